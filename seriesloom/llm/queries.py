@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, transport_media
+from . import exact_dedup, language_id, mixing, packing, sharding, transport_media
 
 QUERIES = {
     "op2_transport_media": transport_media.op2_transport_media,
+    "op4_residual_packing": packing.op4_residual_packing,
+    "op5_pareto_mix": mixing.op5_pareto_mix,
+    "op6_bounded_ring": sharding.op6_bounded_ring,
+    "op7_language_id": language_id.op7_language_id,
     "op10_block_naming": exact_dedup.op10_block_naming,
 }
 SQL = {
