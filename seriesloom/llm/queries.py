@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, mixing, packing, sharding, transport_media
+from . import exact_dedup, language_id, mixing, ngram_join, packing, sharding, transport_media
 
 QUERIES = {
+    "op1_ngram_join": ngram_join.op1_ngram_join,
     "op2_transport_media": transport_media.op2_transport_media,
     "op4_residual_packing": packing.op4_residual_packing,
     "op5_pareto_mix": mixing.op5_pareto_mix,
