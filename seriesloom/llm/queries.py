@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, mixing, ngram_join, packing, sharding, transport_media
+from . import exact_dedup, language_id, license_scan, mixing, ngram_join, packing, sharding, transport_media, tree_weighting
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
     "op2_transport_media": transport_media.op2_transport_media,
+    "op3_sentence_rules": license_scan.op3_sentence_rules,
     "op4_residual_packing": packing.op4_residual_packing,
     "op5_pareto_mix": mixing.op5_pareto_mix,
     "op6_bounded_ring": sharding.op6_bounded_ring,
     "op7_language_id": language_id.op7_language_id,
+    "op9_tree_weighting": tree_weighting.op9_tree_weighting,
     "op10_block_naming": exact_dedup.op10_block_naming,
 }
 SQL = {
+    "op3_sentence_rules": license_scan.SQL,
     "op10_block_naming": exact_dedup.SQL,
 }
