@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, license_scan, mixing, ngram_join, packing, sharding, transport_media, tree_weighting
+from . import exact_dedup, language_id, license_scan, mixing, ngram_join, packing, repeated_spans, sharding, transport_media, tree_weighting
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_pareto_mix": mixing.op5_pareto_mix,
     "op6_bounded_ring": sharding.op6_bounded_ring,
     "op7_language_id": language_id.op7_language_id,
+    "op8_repeated_spans": repeated_spans.op8_repeated_spans,
     "op9_tree_weighting": tree_weighting.op9_tree_weighting,
     "op10_block_naming": exact_dedup.op10_block_naming,
 }
