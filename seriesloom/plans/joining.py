@@ -51,11 +51,11 @@ def jon4(spark, sf):
     return J.combine_on_timestamp({n: e.where(F.col("event_type") == n) for n in ("click", "error", "view")}, "day", "value").withColumn("day", F.col("day").cast("string"))
 
 
-@query("jon5_two_lookups", """with h as (select cast(ts as date) as day, hour(ts) as hour, count(*) as n from events group by all), p as (select cast(o_orderdate as date) as day, round(avg(o_totalprice), 2) as price from orders group by all), t as (select hour(ts) as hour, max(value) as top from events group by all)
+@query("jon5_two_lookups", """with h as (select cast(ts as date) as day, hour(ts) as hour, count(*) as n from events group by all), p as (select cast(o_orderdate as date) as day, round(avg(o_totalprice) + 1e-9, 2) as price from orders group by all), t as (select hour(ts) as hour, max(value) as top from events group by all)
 select cast(day as varchar) as day, h.hour, n, price, top from h left join p using (day) left join t using (hour)""")
 def jon5(spark, sf):
     e = events(spark, sf).withColumn("day", F.to_date("ts")).withColumn("hour", F.hour("ts").cast("long"))
-    price = table(spark, sf, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.round(F.avg("o_totalprice"), 2).alias("price"))
+    price = table(spark, sf, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.round(F.avg("o_totalprice") + 1e-9, 2).alias("price"))
     top = e.groupBy("hour").agg(F.max("value").alias("top"))
     return e.groupBy("day", "hour").agg(F.count("*").alias("n")).join(price, "day", "left").join(top, "hour", "left").select(F.col("day").cast("string").alias("day"), "hour", "n", "price", "top")
 
@@ -149,19 +149,19 @@ def jon15(spark, sf):
     return J.overlapping(spans(spark, sf), ["user_id"], "s", "e").where("share is not null").select("user_id", "a", "b", F.round("share", 6).alias("share"))
 
 
-@query("jon16_ground_truth", "with f as (select distinct date_trunc('day', ts) + interval 12 hour as at from events), g as (select date_trunc('hour', ts) as at, max(value) as truth from events where event_type = 'signup' group by 1) select f.at, truth from f left join g using (at)")
+@query("jon16_ground_truth", "with f as (select distinct date_trunc('day', ts) + interval 12 hour as noon from events), g as (select date_trunc('hour', ts) as noon, max(value) as truth from events where event_type = 'signup' group by 1) select f.noon, truth from f left join g using (noon)")
 def jon16(spark, sf):
     e = events(spark, sf)
-    future = e.select((F.date_trunc("day", "ts") + F.expr("interval 12 hours")).cast("timestamp_ntz").alias("at")).distinct()
-    truth = e.where("event_type = 'signup'").groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("at")).agg(F.max("value").alias("truth"))
-    return future.join(truth, "at", "left")
+    future = e.select((F.date_trunc("day", "ts") + F.expr("interval 12 hours")).cast("timestamp_ntz").alias("noon")).distinct()
+    truth = e.where("event_type = 'signup'").groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("noon")).agg(F.max("value").alias("truth"))
+    return future.join(truth, "noon", "left")
 
 
-@query("jon17_actuals_and_forecasts", """with a as (select event_type as sample_id, ts, value as actual, ts > timestamp '2024-01-25' as target from events), f as (select event_type as sample_id, round(avg(value), 4) as mean from events where ts <= timestamp '2024-01-25' group by 1)
+@query("jon17_actuals_and_forecasts", """with a as (select event_type as sample_id, ts, value as actual, ts > timestamp '2024-01-25' as target from events), f as (select event_type as sample_id, round(avg(value) + 1e-9, 4) as mean from events where ts <= timestamp '2024-01-25' group by 1)
 select sample_id, ts, actual, case when target then mean end as forecast, case when target then 'target' else 'history' end as split from a left join f using (sample_id)""")
 def jon17(spark, sf):
     e = events(spark, sf).select(F.col("event_type").alias("sample_id"), "ts", F.col("value").alias("actual"), (F.col("ts") > F.lit("2024-01-25").cast("timestamp_ntz")).alias("target"))
-    mean = e.where("not target").groupBy("sample_id").agg(F.round(F.avg("actual"), 4).alias("mean"))
+    mean = e.where("not target").groupBy("sample_id").agg(F.round(F.avg("actual") + 1e-9, 4).alias("mean"))
     forecast = e.where("target").join(mean, "sample_id").select("sample_id", "ts", F.col("mean").alias("forecast")).distinct()
     return e.join(forecast, ["sample_id", "ts"], "left").select("sample_id", "ts", "actual", "forecast", F.when(F.col("target"), "target").otherwise("history").alias("split"))
 
@@ -190,9 +190,9 @@ def jon20(spark, sf):
     return J.glued(events(spark, sf), ["user_id"], ["ts", "event_id"], "event_type", ["click", "error"], "value").withColumn("pos", F.col("pos").cast("long"))
 
 
-@query("jon21_leaked_neighbours", "with d as (select event_type, cast(ts as date) as day, round(avg(value), 4) as v from events group by all) select a.event_type, cast(a.day as varchar) as day, a.v, b.event_type as other, b.v as leaked from d a join d b on a.day = b.day and a.event_type <> b.event_type")
+@query("jon21_leaked_neighbours", "with d as (select event_type, cast(ts as date) as day, round(avg(value) + 1e-9, 4) as v from events group by all) select a.event_type, cast(a.day as varchar) as day, a.v, b.event_type as other, b.v as leaked from d a join d b on a.day = b.day and a.event_type <> b.event_type")
 def jon21(spark, sf):
-    d = events(spark, sf).groupBy("event_type", F.to_date("ts").alias("day")).agg(F.round(F.avg("value"), 4).alias("v"))
+    d = events(spark, sf).groupBy("event_type", F.to_date("ts").alias("day")).agg(F.round(F.avg("value") + 1e-9, 4).alias("v"))
     return d.join(d.select("day", F.col("event_type").alias("other"), F.col("v").alias("leaked")), "day").where("event_type <> other").select("event_type", F.col("day").cast("string").alias("day"), "v", "other", "leaked")
 
 
