@@ -2,7 +2,8 @@
 
 1. Texts become sets of shingle hashes. Equal sets are one node.
 2. Similar nodes are partitioned into groups: nodes that share a minimum
-   hash are compared with one leader, and verified links are contracted.
+   hash are compared with one leader, and what links becomes one tied group;
+   the other nodes that share a minimum hash are a loose group.
 3. The matrix holds, for each token, the groups whose union has it. Only a
    set's prefix under one global order (rare tokens first) is stored: sets
    that are similar enough share at least `SHARED` prefix tokens.
@@ -10,9 +11,10 @@
    group is opened, and the query compared with its members in full, only
    if they share `SHARED` tokens or more and the sizes can match.
 
-So every pair that may link either lies in one group already or is compared
-in full; no link is lost. Groups are opened in chunks of bounded size, and
-since a group is connected, one link to a chunk settles it. The order uses
+So every pair that may link either lies in one tied group or is compared in
+full; no link is lost. Groups are opened in chunks of bounded size. Of the
+links found in a chunk, those between nodes that it has joined already are
+not passed on, so a chunk never emits more links than it has nodes. The order uses
 token counts of all rows, gathered in a sketch of fixed size; the counts
 decide only the cost, not the result.
 
@@ -111,6 +113,7 @@ class OpenGroup:
 
     def __init__(self) -> None:
         self.nodes: list[int] = []
+        self.up: dict[int, int] = {}
         self.sets: list[np.ndarray] = []
         self.tokens = None
 
@@ -118,6 +121,18 @@ class OpenGroup:
         self.nodes.append(node)
         self.sets.append(tokens)
 
+    def root(self, node: int) -> int:
+        while (up := self.up.get(node, node)) != node:
+            self.up[node] = self.up.get(up, up)
+            node = up
+        return node
+
+    def join(self, a: int, b: int) -> bool:
+        """Whether a link joins two nodes that this chunk had not joined yet."""
+        a, b = self.root(a), self.root(b)
+        self.up[max(a, b)] = min(a, b)
+        return a != b
+
     def linked(self, tokens: np.ndarray, most: tuple[int, int]) -> list[int]:
         """Members that share num / den of the union with a set of tokens."""
         if self.tokens is None:
@@ -134,7 +149,7 @@ class OpenGroup:
         return [self.nodes[i] for i in found.tolist()]
 
 
-def _open(rows: DataFrame, width: int, most: tuple[int, int], first_only: bool) -> DataFrame:
+def _open(rows: DataFrame, width: int, most: tuple[int, int]) -> DataFrame:
     """Links (a, b) between the queries (role 1) and members (role 0) of each chunk (key, grp, chunk)."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,9 +163,9 @@ def _open(rows: DataFrame, width: int, most: tuple[int, int], first_only: bool)
                 if role[i] == 0:
                     group.add(node[i], tokens)
                 else:
-                    found = [x for x in group.linked(tokens, most) if x != node[i]]
-                    for x in found[:1] if first_only else found:
-                        a.append(node[i]), b.append(x)
+                    for x in group.linked(tokens, most):
+                        if group.join(node[i], x):
+                            a.append(node[i]), b.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     order = ["key", "grp", "chunk"]
@@ -185,21 +200,22 @@ def link_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = store(_texts(source, nodes.join(inside.select("node").distinct(), "node")), "op1-texts")
     members = inside.where("node <> leader").select("key", "grp", F.pmod(F.xxhash64("node"), F.col("chunks").cast("long")).cast("int").alias("chunk"), F.lit(0).alias("role"), "node")
     leaders = stars.select("key", "grp", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("role"), F.col("leader").alias("node"))
-    first = store(_open(members.unionByName(leaders).join(texts, "node"), width, most, False), "op1-first")
+    first = store(_open(members.unionByName(leaders).join(texts, "node"), width, most), "op1-first")
 
     # the matrix, and the groups that each query opens
     groups = components(first)
     counts = spark.sparkContext.broadcast(_sketch(source, width))
     prefix = store(source.mapInArrow(_prefixes(width, most, least, counts), "token long, node long"), "op1-prefix")
     twice = store(prefix.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("token"), "op1-shared")
-    grouped = nodes.select("node", "id", "h", "n").join(groups, "node", "left").withColumn("grp", F.coalesce("comp", "node")).drop("comp")
+    loose = F.xxhash64("m0", F.lit("loose"))
+    grouped = big.select("node", "id", "h", "n", "m0").join(groups, "node", "left").select("node", "id", "h", "n", F.coalesce("comp", loose).alias("grp"), F.col("comp").isNotNull().alias("tied"))
     sizes = grouped.groupBy("grp").agg(F.count("*").alias("count"), F.ceil(F.sum("n") / CHUNK).cast("int").alias("chunks"))
     grouped = store(grouped.join(sizes, "grp"), "op1-groups")
-    ours = store(prefix.join(twice, "token").join(grouped.select("node", "n", "grp", "count"), "node"), "op1-tokens")
+    ours = store(prefix.join(twice, "token").join(grouped.select("node", "n", "grp", "tied", "count"), "node"), "op1-tokens")
     matrix = store(ours.groupBy("token", "grp").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("count").alias("count")), "op1-matrix")
-    many = store(matrix.groupBy("token").count().where("count > 1").select("token"), "op1-many")
-    q = ours.join(many, "token").select("token", F.col("node").alias("q"), F.col("n").alias("qn"), F.col("grp").alias("qgrp"), F.col("count").alias("qcount"))
-    can = (F.struct("qcount", "qgrp") < F.struct("count", "grp")) & (F.col("qn") * most[1] >= F.col("low") * most[0]) & (F.col("high") * most[1] >= F.col("qn") * most[0])
+    own = (F.col("qgrp") == F.col("grp")) & ~F.col("tied") & (F.col("count") > 1)
+    q = ours.select("token", F.col("node").alias("q"), F.col("n").alias("qn"), F.col("grp").alias("qgrp"), "tied", F.col("count").alias("qcount"))
+    can = (own | (F.struct("qcount", "qgrp") < F.struct("count", "grp"))) & (F.col("qn") * most[1] >= F.col("low") * most[0]) & (F.col("high") * most[1] >= F.col("qn") * most[0])
     met = q.join(matrix, "token").where(can).groupBy("q", "grp").agg(F.count_distinct("token").alias("met"))
     opened = store(met.where(F.col("met") >= SHARED).select("q", "grp"), "op1-opened")
     second = first.limit(0)
@@ -209,7 +225,7 @@ def link_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         shown = grouped.join(wide.select("grp").distinct(), "grp").select(F.lit(0).alias("key"), "grp", F.pmod(F.xxhash64("node"), F.col("chunks").cast("long")).cast("int").alias("chunk"), F.lit(0).alias("role"), "node")
         ask = store(ask.unionByName(shown), "op1-ask")
         texts = store(_texts(source, nodes.join(ask.select("node").distinct(), "node")), "op1-texts")
-        second = store(_open(ask.join(texts, "node"), width, most, True), "op1-second")
+        second = store(_open(ask.join(texts, "node"), width, most), "op1-second")
     final = components(first.unionByName(second))
     return rows.select("id", "h", "n", "node").join(final, "node", "left").select("id", "h", "n", F.when(F.col("n") > 0, F.coalesce("comp", "node")).alias("class"))
 
