@@ -48,8 +48,9 @@ def correlations(df: DataFrame, columns: list[str], method: str = "pearson") ->
     """(a, b, corr) for all pairs over complete rows; Spearman by average ranks, ranked without a global sort of rows."""
     rows = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna()
     if method == "spearman":
+        whole = rows
         for c in columns:
-            counts = rows.groupBy(c).agg(F.count("*").alias("_n"))
+            counts = whole.groupBy(c).agg(F.count("*").alias("_n"))
             rows = rows.join(running_total(counts, c, "_n", f"_r_{c}").select(c, (F.col(f"_r_{c}") - (F.col("_n") - 1) / 2).alias(f"_r_{c}")), c)
         rows = rows.select(*[F.col(f"_r_{c}").alias(c) for c in columns])
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]

@@ -36,9 +36,9 @@ def out_of_pattern(long: DataFrame, keys: list[str], ts: str, period: int, thres
 def peaks(long: DataFrame, keys: list[str], ts: str, period: int, band: float) -> DataFrame:
     """Values outside trend + season -+ band deviations of the rest; the score is the rest over a quarter of the band."""
     parts = decomposition(long, keys, [ts], "value", period)
-    spread = F.stddev_samp("rest").over(Window.partitionBy(*keys))
-    width = 2 * band * spread
-    return parts.withColumn("score", F.abs("rest") / (width / 4)).withColumn("predicted", F.col("trend") + F.col("seasonal")).where(F.abs("rest") > band * spread)
+    parts = parts.withColumn("_spread", F.stddev_samp("rest").over(Window.partitionBy(*keys)))
+    width = 2 * band * F.col("_spread")
+    return parts.withColumn("score", F.abs("rest") / (width / 4)).withColumn("predicted", F.col("trend") + F.col("seasonal")).where(F.abs("rest") > band * F.col("_spread")).drop("_spread")
 
 
 def strongest(found: DataFrame, keys: list[str], score: str, least: float, n: int) -> DataFrame:
