@@ -43,8 +43,8 @@ def fit_scaler(long: DataFrame, keys: list[str], kind: str) -> DataFrame:
 def apply_scaler(long: DataFrame, scaler: DataFrame, keys: list[str], invert: bool = False) -> DataFrame:
     """Scaled or restored values; a key without parameters is an error."""
     joined = long.join(scaler, keys, "left")
-    centre = F.when(F.col("scale").isNull(), F.raise_error(F.lit("no scaler for a label")).cast("double")).otherwise(F.col("centre"))
-    value = F.col("value") * F.col("scale") + centre if invert else (F.col("value") - centre) / F.col("scale")
+    scale = F.when(F.col("scale").isNull(), F.raise_error(F.lit("no scaler for a label")).cast("double")).otherwise(F.col("scale"))
+    value = F.col("value") * scale + F.col("centre") if invert else (F.col("value") - F.col("centre")) / scale
     return joined.withColumn("value", value).drop("centre", "scale")
 
 
