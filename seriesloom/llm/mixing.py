@@ -103,7 +103,7 @@ def mixed_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     rows = df.withColumn("_size", word_count(F.col(text_col)))
     rows = rows.join(groups, F.col(source_col).eqNullSafe(F.col("_s")) & F.col(id_col).eqNullSafe(F.col("_i")) & (F.col("_size") == F.col("_z")))
     n = F.row_number().over(Window.partitionBy("_s", "_i", "_z").orderBy(F.lit(1)))
-    copies = (F.col("whole") + F.when(F.col("_n") <= F.col("more"), 1).otherwise(0)).cast("int")
+    copies = F.when(F.col("_z") > 0, F.col("whole") + F.when(F.col("_n") <= F.col("more"), 1).otherwise(0)).otherwise(0).cast("int")
     return rows.withColumn("_n", n).withColumn("_copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)))).select(*[df[c] for c in df.columns])
 
 
