@@ -21,6 +21,7 @@ table gives an empty result. Extra columns are ignored.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -35,7 +36,7 @@ from .words import hash_spans, pieces, text_bytes
 
 VOCABULARY, END_ID, SEQUENCE = "byte_bpe_50k.json", 2, 1024
 ITEMS, FAN, HOSTS = 16384, 8, 64
-CACHE = 1_500_000
+CACHE, ID_ROOM, PART = 600_000, 4_000_000, 2 << 20  # units and ids that the cache holds, bytes of text at a time
 BLANK, PLAIN, LEAD_2, LEAD_3 = (np.zeros(256, bool) for _ in range(4))
 BLANK[[9, 10, 12, 13, 32]] = True
 PLAIN[0x21:0x7F] = True  # no white space
@@ -66,12 +67,24 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.known, self.begin, self.size, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.known, self.begin, self.size, self.hits = np.zeros(0, np.uint64), *(np.zeros(0, np.int32) for _ in range(3))
+        self.ids, self.used = np.zeros(ID_ROOM, np.uint32), 0
+
+    def _trim(self) -> None:
+        """Keep the units that were met again, half a cache of the most frequent ones at most."""
+        least = max(1, int(np.sort(self.hits)[-min(len(self.hits), CACHE // 2)]))
+        keep = self.hits >= least
+        known, begin, size, hits = self.known[keep], self.begin[keep], self.size[keep], self.hits[keep]
+        begins = np.cumsum(size) - size
+        held = self.ids[np.arange(int(size.sum())) + np.repeat(begin - begins, size)]
+        self._clear()
+        self.known, self.begin, self.size, self.hits = known, begins.astype(np.int32), size, hits // 2
+        self.ids, self.used = np.concatenate([held, np.zeros(ID_ROOM, np.uint32)]), len(held)
 
     def texts(self, column: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text, without an end id."""
         data, at = text_bytes(column)
-        for lo, hi in pieces(data, at):
+        for lo, hi in pieces(data, at, PART):
             part, row = data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
             cut = unit_cuts(part)
             cut[row] = True
@@ -91,26 +104,32 @@ class Encoder:
             return np.zeros(0, np.int64)
         unique, first, inverse = np.unique(hash_spans(part, starts, ends), return_index=True, return_inverse=True)
         if len(self.known) + len(unique) > CACHE:
-            self._clear()
+            self._trim()
         at = np.searchsorted(self.known, unique)
         held = at < len(self.known)
         held[held] = self.known[at[held]] == unique[held]
         todo = np.flatnonzero(~held)
+        self.hits[at[held]] += 1
         if len(todo):
-            raw = part.tobytes()
-            begin, size, new = [], [], []
-            for k in range(0, len(todo), 20_000):
-                f = first[todo[k : k + 20_000]]
-                new += [e.ids for e in self.encode_batch([raw[a:b].decode() for a, b in zip(starts[f].tolist(), ends[f].tolist(), strict=True)], add_special_tokens=False)]
-            size = np.array([len(x) for x in new], np.int64)
-            begin = np.cumsum(size) - size + len(self.ids)
-            self.ids = np.concatenate([self.ids, np.concatenate([np.array(x, np.uint32) for x in new])])
-            known = np.concatenate([self.known, unique[todo]])
-            order = np.argsort(known)
-            self.known, self.begin, self.size = known[order], np.concatenate([self.begin, begin])[order], np.concatenate([self.size, size])[order]
+            raw, sizes = part.tobytes(), np.empty(len(todo), np.int32)
+            for k in range(0, len(todo), 4096):
+                f = first[todo[k : k + 4096]]
+                for i, e in enumerate(self.encode_batch([raw[a:b].decode() for a, b in zip(starts[f].tolist(), ends[f].tolist(), strict=True)], add_special_tokens=False), k):
+                    self._hold(e.ids)
+                    sizes[i] = len(e.ids)
+            begins = self.used - int(sizes.sum()) + np.cumsum(sizes) - sizes
+            where = at[todo]
+            self.known, self.begin = np.insert(self.known, where, unique[todo]), np.insert(self.begin, where, begins)
+            self.size, self.hits = np.insert(self.size, where, sizes), np.insert(self.hits, where, 0)
             at = np.searchsorted(self.known, unique)
         return at[inverse]
 
+    def _hold(self, ids: list[int]) -> None:
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(ID_ROOM, len(ids)), np.uint32)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+
 
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -119,6 +138,7 @@ def token_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per piece: id, piece, start, length, crc (of the ids as unsigned 32-bit little-endian) and, if asked for, the ids."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel unit
         encoder = _ENCODERS.get(vocabulary) or _ENCODERS.setdefault(vocabulary, Encoder(vocabulary))
         for batch in batches:
             row, piece, start, length, crc, kept = [], [], [], [], [], []
