@@ -209,7 +209,7 @@ def ano4(spark, sf):
 from .shaping import _DEC  # noqa: E402
 
 
-@query("ano5_peaks", f"with {_DEC}, s as (select *, stddev_samp(rest) over (partition by event_type) as sd from parts) select event_id, round(abs(rest) / (sd), 4) as score from s where abs(rest) > 2 * sd")
+@query("ano5_peaks", f"with {_DEC}, sp as (select *, stddev_samp(rest) over (partition by event_type) as sd from parts) select event_id, round(abs(rest) / (sd), 4) as score from sp where abs(rest) > 2 * sd")
 def ano5(spark, sf):
     return N.peaks(events(spark, sf), ["event_type"], "ts", 24, 2.0).select("event_id", F.round("score", 4).alias("score"))
 
@@ -326,3 +326,45 @@ def evl14(spark, sf):
 
 
 
+
+
+@query("rel11_series_similarity", f"with {PAIRS}, s as (select a, b, corr(x, y) as s from pr group by all), u as (select a as i, b as j, s from s union all select b, a, s from s) select i, j, round(s, 6) as similarity, row_number() over (partition by i order by s desc, j) as place from u qualify place <= 2")
+def rel11(spark, sf):
+    from ..operators.sampling import top_per_group
+
+    s = R.pair_distance(R.aligned_pairs(daily(spark, sf), "event_type", "pos", "v")).select(F.col("a").alias("i"), F.col("b").alias("j"), F.col("pearson").alias("s"))
+    both = s.unionByName(s.select(F.col("j").alias("i"), F.col("i").alias("j"), "s"))
+    return top_per_group(both, ["i"], [F.desc("s"), F.col("j")], 2).select("i", "j", F.round("s", 6).alias("similarity"), F.col("place").cast("long").alias("place"))
+
+
+@query("emb9_top_records", f"with {_EV} select id, label, round(list_cosine_distance(vector, query), 5) as distance from v, (select query from q where q = 0) order by list_cosine_distance(vector, query), id limit 15")
+def emb9(spark, sf):
+    first = queries_of(spark, sf).where("q = 0")
+    near = R.nearest_of(first, vectors(spark, sf), "cosine", 15)
+    return near.join(vectors(spark, sf).select("id", "label"), "id").select("id", "label", F.round("distance", 5).alias("distance"))
+
+
+@query("emb10_best_synthetic", f"with {_EV} select id, q as synthetic, round(pow(list_distance(vector, query), 2) / len(vector), 6) as mse from q, v where id % 20 <> 0 qualify row_number() over (partition by id order by list_distance(vector, query), q) = 1")
+def emb10(spark, sf):
+    pairs = vectors(spark, sf).where("id % 20 <> 0").join(F.broadcast(queries_of(spark, sf).limit(10_000)))
+    d = R.distance(F.col("vector"), F.col("query"), "euclidean")
+    best = pairs.withColumn("d", d).groupBy("id").agg(F.min(F.struct("d", "q", F.size("vector").alias("n"))).alias("m"))
+    return best.select("id", F.col("m.q").alias("synthetic"), F.round(F.col("m.d") * F.col("m.d") / F.col("m.n"), 6).alias("mse"))
+
+
+@query("top4_nearest_series", f"with {PAIRS}, s as (select a, b, corr(x, y) as s from pr group by all), u as (select a as i, s from s union all select b, s from s) select i, round(avg(s), 6) as mean from u group by 1 order by avg(s) desc, i limit 3")
+def top4(spark, sf):
+    s = R.pair_distance(R.aligned_pairs(daily(spark, sf), "event_type", "pos", "v"))
+    both = s.select(F.col("a").alias("i"), "pearson").unionByName(s.select(F.col("b").alias("i"), "pearson"))
+    return both.groupBy("i").agg(F.avg("pearson").alias("m")).orderBy(F.desc("m"), "i").limit(3).select("i", F.round("m", 6).alias("mean"))
+
+
+@query("evl6_backtest_rows", "with o as (select unnest(generate_series(timestamp '2024-01-10', timestamp '2024-01-20', interval 5 day)) as origin), p as (select event_type, origin, ts, value, ts <= origin as history from events, o where ts <= origin + interval 2 day), m as (select event_type, origin, avg(value) as forecast from p where history group by all) select event_type, origin, count(*) as n, round(avg(value), 5) as truth, round(any_value(forecast), 5) as forecast, round(sqrt(avg(pow(value - forecast, 2))), 5) as rmse from p join m using (event_type, origin) where not history group by all")
+def evl6(spark, sf):
+    from ..operators.sampling import rolling_origins
+
+    r = rolling_origins(events(spark, sf), ["event_type"], "ts", "2024-01-10", "2024-01-20", "interval 5 days", "interval 2 days")
+    rows = V.mean_forecast(r.select("event_type", "origin", F.col("value").alias("actual"), (F.col("part") == "history").alias("history")), ["event_type", "origin"]).where("not history")
+    m = V.forecast_metrics(rows, ["event_type", "origin"]).select("event_type", "origin", F.round("rmse", 5).alias("rmse"))
+    one = rows.groupBy("event_type", "origin").agg(F.count("*").alias("n"), F.round(F.avg("actual"), 5).alias("truth"), F.round(F.first("forecast"), 5).alias("forecast"))
+    return one.join(m, ["event_type", "origin"])

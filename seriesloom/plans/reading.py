@@ -158,3 +158,41 @@ def str5(spark, sf):
 @query("fn_safe_divide_and_clip", "select l_orderkey, l_linenumber, coalesce(l_quantity / nullif(l_discount, 0), 0) as ratio, greatest(5, least(40, l_quantity)) as clipped from lineitem")
 def fn1(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", safe_divide("l_quantity", "l_discount").alias("ratio"), clip(F.col("l_quantity"), 5.0, 40.0).alias("clipped"))
+
+
+@query("src4_catalog", "select user_id, count(*) as length, min(ts) as start from events group by 1")
+def src4(spark, sf):
+    """Metadata records as JSON, parsed back: what a catalog reader does with each file."""
+    meta = events(spark, sf).groupBy("user_id").agg(F.count("*").alias("length"), F.date_format(F.min("ts"), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("start"))
+    record = meta.select(F.to_json(F.struct("user_id", "length", "start")).alias("j"))
+    parsed = record.select(F.from_json("j", "user_id long, length long, start string").alias("m")).select("m.*")
+    return parsed.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("src10_nested_to_wide", "select user_id, date_trunc('day', ts) as day, round(max(value) filter (event_type = 'click'), 4) as click, round(max(value) filter (event_type = 'error'), 4) as error from events where event_type in ('click', 'error') group by all")
+def src10(spark, sf):
+    day = events(spark, sf).where("event_type in ('click', 'error')").groupBy("user_id", "event_type", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day")).agg(F.max("value").alias("v"))
+    nested = day.groupBy("user_id", "event_type").agg(F.array_sort(F.collect_list(F.struct("day", "v"))).alias("r"))
+    long = S.long_from_arrays(nested.select("user_id", "event_type", F.col("r.day").alias("day"), F.col("r.v").alias("v")), ["user_id", "event_type"], ["day", "v"])
+    return S.wide_from_long(long, ["user_id", "day"], "event_type", "v", ["click", "error"]).withColumns({c: F.round(c, 4) for c in ("click", "error")})
+
+
+@query("src15_timestamp_from_parts", "select o_orderkey, date_trunc('day', o_orderdate) as timestamp from orders")
+def src15(spark, sf):
+    o = table(spark, sf, "orders")
+    return S.timestamp_of(o.select("o_orderkey", F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month"), F.dayofmonth("o_orderdate").alias("day")))
+
+
+@query("snk2_dataset_description", "select event_type, count(*) as rows, min(ts) as first, max(ts) as last from events where value > 10 group by 1")
+def snk2(spark, sf):
+    return events(spark, sf).where("value > 10").groupBy("event_type").agg(F.count("*").alias("rows"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+
+
+@query("smp4_training_tables", f"with {WIN}, pk as (select *, row_number() over (order by md5(cast(event_type as varchar) || '|' || window_idx), event_type, window_idx) as r from (select distinct event_type, window_idx from w)) select event_type, window_idx, list(value order by step) as value, list(hour(ts) order by step) as hours from w semi join (select * from pk where r <= 50) using (event_type, window_idx) group by all")
+def smp4(spark, sf):
+    from ..operators.windows import window_arrays
+
+    w = event_windows(spark, sf)
+    chosen = w.select("event_type", "window_idx").distinct().orderBy(F.md5(F.concat_ws("|", "event_type", F.col("window_idx").cast("string"))), "event_type", "window_idx").limit(50)
+    rows = w.join(F.broadcast(chosen), ["event_type", "window_idx"], "left_semi").withColumn("hours", F.hour("ts").cast("long"))
+    return window_arrays(rows, ["event_type"], ["value", "hours"])

@@ -23,9 +23,9 @@ def duck():
 
 
 def text(value) -> str:
-    if value is None or value is pd.NaT or (isinstance(value, float) and value != value):
+    if value is None or value is pd.NaT or value is pd.NA or (isinstance(value, float) and value != value):
         return "null"
-    if type(value).__name__ in ("float", "float64", "float32", "Decimal"):
+    if type(value).__name__ in ("int", "int64", "int32", "float", "float64", "float32", "Decimal"):
         return repr(round(float(value), 9) + 0.0)
     return str(value.tolist() if hasattr(value, "tolist") else value)
 
