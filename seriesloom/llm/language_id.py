@@ -142,37 +142,47 @@ def forward(lattice: Lattice, chance: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(words: pd.DataFrame, pieces: list[bytes], steps: int = STEPS) -> np.ndarray:
-    """Piece probabilities from words (word: bytes, n: how often), by expectation maximisation. Words over 48 bytes are left out of the fit."""
-    words = words[words["word"].str.len() <= 48].sort_values("word")
-    index, n = PieceIndex(pieces), words["n"].to_numpy(float)
-    data = np.frombuffer(b"".join(words["word"]), np.uint8)
-    ends = np.cumsum(words["word"].str.len().to_numpy(np.int64))
-    lattice = Lattice(index, data, ends - words["word"].str.len().to_numpy(np.int64), ends)
-    weight, longest = n[lattice.order], int(lattice.sizes[0]) if len(n) else 0
-    found = {(j, k): lattice.pieces(j, k) for j in range(1, longest + 1) for k in range(1, min(j, LONGEST) + 1)}
-    counts = np.zeros(len(pieces) + 1)
-    for x in found.values():
-        counts += np.bincount(x, weight[: len(x)], len(counts))
+def fit(words: pd.DataFrame, pieces: list[bytes], steps: int = STEPS, chunk: int = 20_000) -> np.ndarray:
+    """Piece probabilities from words (word: bytes, n: how often), by expectation maximisation. Words over 48 bytes are left out of the fit.
+
+    Words are taken in chunks of like length, so the tables of partial sums stay small."""
+    words = words[words["word"].str.len() <= 48]
+    words = words.assign(size=words["word"].str.len()).sort_values(["size", "word"])
+    index, width = PieceIndex(pieces), len(pieces) + 1
+    parts = []
+    for lo in range(0, len(words), chunk):
+        part = words.iloc[lo : lo + chunk]
+        ends = np.cumsum(part["size"].to_numpy(np.int64))
+        lattice = Lattice(index, np.frombuffer(b"".join(part["word"]), np.uint8), ends - part["size"].to_numpy(np.int64), ends)
+        longest = int(lattice.sizes[0])
+        found = {(j, k): lattice.pieces(j, k).astype(np.int32) for j in range(1, longest + 1) for k in range(1, min(j, LONGEST) + 1)}
+        parts.append((lattice.sizes, part["n"].to_numpy(float)[lattice.order], found))
+    counts = np.zeros(width)
+    for _, weight, found in parts:
+        for x in found.values():
+            counts += np.bincount(x, weight[: len(x)], width)
     for step in range(steps + 1):
         counts[-1] = 0
         chance = np.append((counts[:-1] + FLOOR) / (counts[:-1].sum() + FLOOR * len(pieces)), 0.0)
-        if step == steps:
-            return chance[:-1]
-        ahead = np.zeros((longest + 1, len(n)))
-        ahead[0] = 1
-        for (j, k), x in found.items():
-            ahead[j, : len(x)] += ahead[j - k, : len(x)] * chance[x]
-        back = np.zeros((longest + 1, len(n)))
-        back[lattice.sizes, np.arange(len(n))] = 1
-        counts = np.zeros(len(pieces) + 1)
-        whole = ahead[lattice.sizes, np.arange(len(n))]
-        for (j, k), x in reversed(found.items()):
-            m = len(x)
-            step_chance = chance[x] * back[j, :m]
-            counts += np.bincount(x, weight[:m] * ahead[j - k, :m] * step_chance / whole[:m], len(counts))
-            back[j - k, :m] += step_chance
-    raise AssertionError
+        if step < steps:
+            counts = sum((_expected(*part, chance) for part in parts), np.zeros(width))
+    return chance[:-1]
+
+
+def _expected(sizes: np.ndarray, weight: np.ndarray, found: dict[tuple[int, int], np.ndarray], chance: np.ndarray) -> np.ndarray:
+    """Expected piece counts over all segmentations of some words, by forward and backward sums."""
+    n, every = len(sizes), np.arange(len(sizes))
+    ahead, back = np.zeros((int(sizes[0]) + 1, n)), np.zeros((int(sizes[0]) + 1, n))
+    ahead[0], back[sizes, every] = 1, 1
+    for (j, k), x in found.items():
+        ahead[j, : len(x)] += ahead[j - k, : len(x)] * chance[x]
+    counts, whole = np.zeros(len(chance)), ahead[sizes, every]
+    for (j, k), x in reversed(found.items()):
+        m = len(x)
+        then = chance[x] * back[j, :m]
+        counts += np.bincount(x, weight[:m] * ahead[j - k, :m] * then / whole[:m], len(counts))
+        back[j - k, :m] += then
+    return counts
 
 
 @dataclass
@@ -257,21 +267,24 @@ def score_texts(scorer: Scorer, column: pa.Array) -> np.ndarray:
 def predict(df: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns `keep` of each row, lang_pred and score (the posterior of the answer)."""
     shared = df.sparkSession.sparkContext.broadcast(model)
-    source = df.select(*keep, F.col(text_col).alias("_text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("_letter"))
+    names = [*keep, *([] if text_col in keep else [text_col])]
+    source = df.select(*names, F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("_letter"))
+    at = names.index(text_col)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, scorer = shared.value, None
-        for batch in batches:
-            names = np.full(batch.num_rows, "und", object)
-            best = np.zeros(batch.num_rows)
-            letter = batch.column(len(keep) + 1).to_numpy(zero_copy_only=False)
-            if model.languages and batch.num_rows:
-                scorer = scorer or Scorer(model)
-                logs = score_texts(scorer, batch.column(len(keep)))
-                odds = np.exp(logs - logs.max(axis=1, keepdims=True))
-                names = np.where(letter, np.array(model.languages, object)[odds.argmax(axis=1)], "und")
-                best = np.where(letter, odds.max(axis=1) / odds.sum(axis=1), 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(names, pa.string()), pa.array(best)], [*keep, "lang_pred", "score"])
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1024):
+                batch = whole.slice(lo, 1024)
+                found, best = np.full(batch.num_rows, "und", object), np.zeros(batch.num_rows)
+                letter = batch.column(len(names)).to_numpy(zero_copy_only=False)
+                if model.languages:
+                    scorer = scorer or Scorer(model)
+                    logs = score_texts(scorer, batch.column(at))
+                    odds = np.exp(logs - logs.max(axis=1, keepdims=True))
+                    found = np.where(letter, np.array(model.languages, object)[odds.argmax(axis=1)], "und")
+                    best = np.where(letter, odds.max(axis=1) / odds.sum(axis=1), 0.0)
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(found, pa.string()), pa.array(best)], [*keep, "lang_pred", "score"])
 
     kept = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep)
     return source.mapInArrow(rows, f"{kept}, lang_pred string, score double")
