@@ -108,6 +108,26 @@ def _prefixes(width: int, most: tuple[int, int], least: int, shared):
     return rows
 
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (token, node) sorted by token, those of tokens that two nodes or more have.
+
+    Of a token that goes on in the next batch, one row is held back at most."""
+    last, shared, held = None, False, np.zeros(0, np.int64)
+    for batch in batches:
+        token, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if not len(token):
+            continue
+        if last is not None and token[0] == last and len(held):
+            token, node = np.append(last, token), np.append(held, node)
+        starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        differ = np.minimum.reduceat(node, starts) != np.maximum.reduceat(node, starts)
+        differ[0] |= shared and token[0] == last
+        keep = np.repeat(differ, np.diff(np.append(starts, len(token))))
+        last, shared = token[-1], bool(differ[-1])
+        held = node[-1:] if not shared else node[:0]
+        yield pa.RecordBatch.from_arrays([pa.array(token[keep]), pa.array(node[keep])], ["token", "node"])
+
+
 class OpenGroup:
     """Members of one chunk of a group, as one sorted token list."""
 
@@ -205,13 +225,13 @@ def link_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # the matrix, and the groups that each query opens
     groups = components(first)
     counts = spark.sparkContext.broadcast(_sketch(source, width))
-    prefix = store(source.mapInArrow(_prefixes(width, most, least, counts), "token long, node long"), "op1-prefix")
-    twice = store(prefix.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("token"), "op1-shared")
+    prefix = source.mapInArrow(_prefixes(width, most, least, counts), "token long, node long").repartition("token").sortWithinPartitions("token")
+    prefix = store(prefix.mapInArrow(_shared, "token long, node long"), "op1-prefix")  # most tokens are met in one node only
     loose = F.xxhash64("m0", F.lit("loose"))
     grouped = big.select("node", "id", "h", "n", "m0").join(groups, "node", "left").select("node", "id", "h", "n", F.coalesce("comp", loose).alias("grp"), F.col("comp").isNotNull().alias("tied"))
     sizes = grouped.groupBy("grp").agg(F.count("*").alias("count"), F.ceil(F.sum("n") / CHUNK).cast("int").alias("chunks"))
     grouped = store(grouped.join(sizes, "grp"), "op1-groups")
-    ours = store(prefix.join(twice, "token").join(grouped.select("node", "n", "grp", "tied", "count"), "node"), "op1-tokens")
+    ours = store(prefix.join(grouped.select("node", "n", "grp", "tied", "count"), "node"), "op1-tokens")
     matrix = store(ours.groupBy("token", "grp").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("count").alias("count")), "op1-matrix")
     own = (F.col("qgrp") == F.col("grp")) & ~F.col("tied") & (F.col("count") > 1)
     q = ours.select("token", F.col("node").alias("q"), F.col("n").alias("qn"), F.col("grp").alias("qgrp"), "tied", F.col("count").alias("qcount"))

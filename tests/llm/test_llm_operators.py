@@ -386,3 +386,13 @@ def test_block_naming(spark, docs, none, clash):
     kept = exact_dedup.keep_one(docs)
     assert kept.columns == docs.columns and kept.count() == len(groups)
     assert exact_dedup.exact_groups(none).count() == 0
+
+
+def test_shared_tokens_across_batches():
+    r = random.Random(5)
+    data = sorted((r.randint(0, 30), r.randint(0, 3)) for _ in range(200))
+    wanted = {t for t in {t for t, _ in data} if len({n for u, n in data if u == t}) > 1}
+    for size in (1, 2, 7, 200):
+        batches = [pa.RecordBatch.from_pydict({"token": [t for t, _ in data[i : i + size]], "node": [n for _, n in data[i : i + size]]}) for i in range(0, 200, size)]
+        got = [(t, n) for b in ngram_join._shared(iter(batches)) for t, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+        assert set(got) == {(t, n) for t, n in data if t in wanted}
