@@ -43,15 +43,17 @@ def apply_edits(df: DataFrame, ts: str, edits: list[dict]) -> DataFrame:
 
 def edit_grid(windows: DataFrame, combos: DataFrame, column: str, n: int) -> DataFrame:
     """Every combination of a small edit table (combo, factor) copies the windows; ids are combo * n + window."""
-    crossed = windows.join(F.broadcast(combos.limit(10_000)))
+    crossed = windows.join(combos)
     return crossed.withColumn(column, F.col(column) * F.col("factor")).withColumn("new_idx", F.col("combo") * n + F.col("window_idx"))
 
 
 def filter_combinations(values: DataFrame) -> DataFrame:
     """One row per combination of one value per column, from (column, value) rows."""
-    names = [r[0] for r in values.select("column").distinct().orderBy("column").limit(20).collect()]
+    names = [r[0] for r in values.select("column").distinct().orderBy("column").limit(21).collect()]
+    if len(names) > 20:
+        raise ValueError("more than 20 columns to combine")
     parts = [values.where(F.col("column") == n).select(F.col("value").alias(n)) for n in names]
-    return reduce(lambda a, b: a.join(F.broadcast(b.limit(10_000))), parts)
+    return reduce(lambda a, b: a.join(b), parts)
 
 
 def covariate_subsets(columns: list[str], most: int) -> list[tuple[str, ...]]:

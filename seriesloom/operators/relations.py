@@ -131,13 +131,16 @@ def nearest(vectors: DataFrame, vector: str, query: list[float], metric: str, n:
     return vectors.withColumn("distance", d).orderBy("distance", ident).limit(n)
 
 
-def nearest_of(queries: DataFrame, corpus: DataFrame, metric: str = "euclidean", k: int = 1, most: int = 10_000) -> DataFrame:
-    """(q, id, distance): the k nearest corpus vectors of each of at most `most` queries, with ties by id.
+def nearest_of(queries: DataFrame, corpus: DataFrame, metric: str = "euclidean", k: int = 1, size: int = 256) -> DataFrame:
+    """(q, id, distance): the k nearest corpus vectors of each query, with ties by id.
 
-    The query set is bounded and broadcast; every corpus partition keeps k per query before the shuffle."""
-    pairs = corpus.join(F.broadcast(queries.limit(most)))
-    d = pairs.select("q", "id", distance(F.col("vector"), F.col("query"), metric).alias("distance"))
-    return d.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy("distance", "id"))).where(F.col("place") <= k)
+    The corpus is dealt into blocks of up to `size` vectors by their order inside a partition. Every query meets every
+    block, which keeps k for it before the shuffle; Spark chooses the join."""
+    dealt = corpus.select("id", "vector", F.monotonically_increasing_id().alias("_n"))
+    blocks = dealt.groupBy(F.floor(F.col("_n") / size).alias("_b")).agg(F.collect_list(F.struct("id", "vector")).alias("_block"))
+    near = F.transform("_block", lambda v: F.struct(distance(v["vector"], F.col("query"), metric).alias("distance"), v["id"].alias("id")))
+    best = blocks.join(queries).select("q", F.explode(F.slice(F.array_sort(near), 1, k)).alias("_m")).select("q", "_m.id", "_m.distance")
+    return best.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy("distance", "id"))).where(F.col("place") <= k)
 
 
 def centroids(vectors: DataFrame, vector: str, label: str) -> DataFrame:
@@ -148,8 +151,8 @@ def centroids(vectors: DataFrame, vector: str, label: str) -> DataFrame:
 def class_relation(classes: DataFrame, label: str) -> DataFrame:
     """Absolute cosine between class centroids, each row scaled to sum 1; classes are few."""
     a = classes.select(F.col(label).alias("a"), F.col("centroid").alias("ca"))
-    b = classes.select(F.col(label).alias("b"), F.col("centroid").alias("cb")).limit(10_000)
-    r = a.join(F.broadcast(b)).select("a", "b", F.abs(1 - distance(F.col("ca"), F.col("cb"), "cosine")).alias("r"))
+    b = classes.select(F.col(label).alias("b"), F.col("centroid").alias("cb"))
+    r = a.join(b).select("a", "b", F.abs(1 - distance(F.col("ca"), F.col("cb"), "cosine")).alias("r"))
     return r.withColumn("r", F.col("r") / F.sum("r").over(Window.partitionBy("a")))
 
 

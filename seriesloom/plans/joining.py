@@ -172,7 +172,7 @@ def jon18(spark, sf):
     e = events(spark, sf)
     tasks = e.select("event_type").distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumn("combo", F.explode(F.array(F.lit("none"), F.lit("calendar"))))
     tasks = tasks.withColumn("cutoff", F.expr("timestamp_ntz'2024-01-10' + make_dt_interval(k * 5)"))
-    met = e.join(F.broadcast(tasks.limit(100_000)), "event_type")
+    met = e.join(tasks, "event_type")
     return met.groupBy("event_type", F.col("k").cast("long").alias("k"), "combo").agg(F.count_if(F.col("ts") <= F.col("cutoff")).alias("history"), F.count_if((F.col("ts") > F.col("cutoff")) & (F.col("ts") <= F.col("cutoff") + F.expr("interval 2 days"))).alias("horizon"))
 
 

@@ -143,7 +143,7 @@ def emb1(spark, sf):
 def emb2(spark, sf):
     c = R.centroids(vectors(spark, sf), "vector", "label")
     b = c.select(F.col("label").alias("b"), F.col("centroid").alias("cb"))
-    both = c.withColumnRenamed("label", "a").join(F.broadcast(b.limit(10_000)))
+    both = c.withColumnRenamed("label", "a").join(b)
     d = lambda m: R.distance(F.col("centroid"), F.col("cb"), m)
     return both.select("a", "b", F.round(0.6 * (1 - d("cosine")) - 0.4 * d("euclidean"), 5).alias("relation"))
 
@@ -175,7 +175,7 @@ def emb6(spark, sf):
 
     c = table(spark, sf, "part").select("p_partkey", F.lower(F.trim(F.split_part("p_name", F.lit(" "), F.lit(1)))).alias("name"))
     ranks = c.select("name").distinct().withColumn("class", F.row_number().over(Window.orderBy("name")).cast("long"))
-    return c.join(F.broadcast(ranks.limit(1_000_000)), "name").select("p_partkey", "name", "class")
+    return c.join(ranks, "name").select("p_partkey", "name", "class")
 
 
 @query("emb7_hash_classes", "select vec_id, cast('0x' || substring(md5(cast(vec_id as varchar)), 1, 8) as bigint) % 10 as class from embeddings")
@@ -185,8 +185,7 @@ def emb7(spark, sf):
 
 @query("emb8_cluster_distance", f"with {_EV} select q % 3 as ci, label as cj, round(avg(list_distance(vector, query)), 4) as mean from q, v group by all")
 def emb8(spark, sf):
-    q = queries_of(spark, sf)
-    pairs = vectors(spark, sf).join(F.broadcast(q.limit(10_000)))
+    pairs = vectors(spark, sf).join(queries_of(spark, sf))
     return pairs.groupBy((F.col("q") % 3).alias("ci"), F.col("label").alias("cj")).agg(F.round(F.avg(R.distance(F.col("vector"), F.col("query"), "euclidean")), 4).alias("mean"))
 
 
@@ -346,10 +345,10 @@ def emb9(spark, sf):
 
 @query("emb10_best_synthetic", f"with {_EV} select id, q as synthetic, round(pow(list_distance(vector, query), 2) / len(vector), 6) as mse from q, v where id % 20 <> 0 qualify row_number() over (partition by id order by list_distance(vector, query), q) = 1")
 def emb10(spark, sf):
-    pairs = vectors(spark, sf).where("id % 20 <> 0").join(F.broadcast(queries_of(spark, sf).limit(10_000)))
-    d = R.distance(F.col("vector"), F.col("query"), "euclidean")
-    best = pairs.withColumn("d", d).groupBy("id").agg(F.min(F.struct("d", "q", F.size("vector").alias("n"))).alias("m"))
-    return best.select("id", F.col("m.q").alias("synthetic"), F.round(F.col("m.d") * F.col("m.d") / F.col("m.n"), 6).alias("mse"))
+    real = vectors(spark, sf).where("id % 20 <> 0")
+    near = R.nearest_of(real.select(F.col("id").alias("q"), F.col("vector").alias("query")), queries_of(spark, sf).select(F.col("q").alias("id"), F.col("query").alias("vector")))
+    best = near.select(F.col("q").alias("id"), F.col("id").alias("synthetic"), "distance").join(real.select("id", F.size("vector").alias("n")), "id")
+    return best.select("id", "synthetic", F.round(F.col("distance") * F.col("distance") / F.col("n"), 6).alias("mse"))
 
 
 @query("top4_nearest_series", f"with {PAIRS}, s as (select a, b, corr(x, y) as s from pr group by all), u as (select a as i, s from s union all select b, s from s) select i, round(avg(s), 6) as mean from u group by 1 order by avg(s) desc, i limit 3")

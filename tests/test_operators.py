@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seriesloom.functions import safe_divide
-from seriesloom.operators import aggregates, edits, filters, projections, scaling, windows
+from seriesloom.operators import aggregates, edits, filters, joins, projections, relations, scaling, windows
 from seriesloom.sources import readers, writers
 
 
@@ -104,3 +104,21 @@ def test_stacked_widens(spark):
     a, b = spark.createDataFrame([(1,)], "x int"), spark.createDataFrame([(2.5,)], "x double")
     out = readers.stacked([a, b])
     assert dict(out.dtypes)["x"] == "double" and values(out, "x", "_source_id") == [(1.0, 0), (2.5, 1)]
+
+
+def test_every_query_vector_gets_its_nearest_beyond_ten_thousand(spark):
+    queries = spark.range(10_050).selectExpr("id as q", "array(cast(id as float)) as query")
+    corpus = spark.createDataFrame([(i, [float(i * 3000)]) for i in range(5)], "id long, vector array<float>")
+    near = relations.nearest_of(queries, corpus).select("q", "id").collect()
+    assert sorted(map(tuple, near)) == [(q, min(range(5), key=lambda i: (abs(i * 3000 - q), i))) for q in range(10_050)]
+    two = relations.nearest_of(queries.where("q = 4000"), corpus, k=2, size=2)
+    assert sorted(map(tuple, two.select("id", "distance").collect())) == [(1, 1000.0), (2, 2000.0)]
+
+
+def test_every_edit_and_typed_text_is_met(spark):
+    combos = spark.range(10_010).selectExpr("id as combo", "1.0D as factor")
+    assert edits.edit_grid(spark.createDataFrame([(0, 1.0)], "window_idx long, v double"), combos, "v", 1).count() == 10_010
+    wanted = spark.range(1005).selectExpr("cast(id as string) as text")
+    assert joins.closest_value(wanted, spark.createDataFrame([("7",)], "value string")).count() == 1005
+    with pytest.raises(ValueError, match="more than 20"):
+        edits.filter_combinations(spark.range(21).selectExpr("concat('c', id) as column", "'x' as value"))
