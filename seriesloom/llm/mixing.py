@@ -8,13 +8,17 @@ weight among the others until none is above.
 Within a source every document gets the whole copies that are certain
 (the whole part of target / source size). For the rest each document has
 an inclusion chance, the fraction that is left; documents are ranked by
-their random odds divided by their inclusion odds and taken in that order
-until the next would pass the target. One more document, the one whose size
-comes nearest to the shortage, is added if that brings the source nearer.
+their random odds divided by their inclusion odds and taken in that order.
+A document that would pass the target is passed over and those behind it are
+still tried, until none is small enough. One more document, the one whose
+size comes nearest to the shortage, is added if that brings the source nearer.
 
 Ranks are cut in two steps, so that a source with a third of all rows is
 never sorted in one task: sums of rank buckets, then the order inside a
-bucket. Rows that repeat source, id and size are counted as one group.
+bucket. A pass takes documents up to the first that does not fit; the next
+looks behind it, at documents no larger than what is left, so what is left
+falls below the size of each document passed over. Rows that repeat source,
+id and size are counted as one group.
 Random numbers are hashes of the id, so that reruns agree. Only SQL
 functions are used.
 
@@ -56,6 +60,36 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     )
 
 
+def _before() -> Column:
+    return F.sum("words").over(Window.partitionBy("source").orderBy("bucket")) - F.col("words")
+
+
+def _passes(taken: DataFrame, short: DataFrame) -> DataFrame | None:
+    """source, id, size, add: what later passes take behind the first document that did not fit. `short` has what is left of each source."""
+    order = ("bucket", "odds", "u", "id", "size")
+    left = taken.where("more < rows and size > 0 and chance > 0").select(*KEY, (F.col("rows") - F.col("more")).alias("rows"), "bucket", "odds", "u")
+    found, words = None, F.col("rows") * F.col("size")
+    # No document behind the first that did not fit was taken, and none before it is small enough.
+    while True:
+        goal = short.select(F.col("source").alias("s"), "short")
+        left = left.join(goal, F.col("source").eqNullSafe(F.col("s"))).where(F.col("size") <= F.col("short")).drop("s")
+        sums = left.groupBy("source", "bucket").agg(F.sum(words).alias("words"), F.max("short").alias("short")).withColumn("before", _before())
+        sums = store(sums.where(F.col("before") < F.col("short")).select(F.col("source").alias("s"), F.col("bucket").alias("b"), "before"), "op5-pass-buckets")
+        if sums.isEmpty():
+            return found
+        near = left.join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
+        start = F.col("before") + F.sum(words).over(Window.partitionBy("source", "bucket").orderBy(*order[1:]).rowsBetween(Window.unboundedPreceding, 0)) - words
+        add = F.greatest(F.lit(0), F.least("rows", F.floor((F.col("short") - start) / F.col("size")))).cast("long")
+        now = store(near.withColumn("add", add).where("add > 0").select(*KEY, "add"), "op5-pass")
+        found = now if found is None else store(found.unionByName(now).groupBy(*KEY).agg(F.sum("add").alias("add")), "op5-passed")
+        went = now.groupBy(F.col("source").alias("s")).agg(F.sum(F.col("add") * F.col("size")).alias("went"))
+        short = store(short.join(went, F.col("source").eqNullSafe(F.col("s"))).select("source", (F.col("short") - F.col("went")).alias("short")), "op5-short")
+        gone = now.select(F.col("source").alias("s"), F.col("id").alias("i"), F.col("size").alias("z"), "add")
+        hit = F.col("source").eqNullSafe(F.col("s")) & F.col("id").eqNullSafe(F.col("i")) & (F.col("size") == F.col("z"))
+        left = left.drop("short").join(gone, hit, "left").withColumn("rows", F.col("rows") - F.coalesce("add", F.lit(0))).where("rows > 0").drop("s", "i", "z", "add")
+        left = store(left, "op5-left")
+
+
 def sampled_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, **rules) -> DataFrame:
     """Groups of equal (source, id, size): rows (how many), source_size, target, whole (copies of every row), more (rows with one copy more)."""
     sized = df.select(F.col(source_col).alias("source"), F.col(id_col).alias("id"), word_count(F.col(text_col)).alias("size"))
@@ -73,21 +107,28 @@ def sampled_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     drawn = groups.withColumn("u", uniform).withColumn("bucket", F.floor(F.col("u") * BUCKETS))
     same = lambda a, b: a["source"].eqNullSafe(b["source"])
     by_bucket = drawn.groupBy("source", "bucket").agg(F.sum(words).alias("words"))
-    before = F.sum("words").over(Window.partitionBy("source").orderBy("bucket")) - F.col("words")
-    by_bucket = store(by_bucket.withColumn("before", before).drop("words"), "op5-buckets")
+    by_bucket = store(by_bucket.withColumn("before", _before()).drop("words"), "op5-buckets")
     ranked = drawn.join(by_bucket, same(drawn, by_bucket) & (drawn.bucket == by_bucket.bucket)).drop(by_bucket.source).drop(by_bucket.bucket)
     ranked = ranked.join(goal, same(ranked, goal)).drop(goal.source)
     odds = F.try_divide(F.col("u") / (1 - F.col("u")), F.col("chance") / (1 - F.col("chance")))  # a chance is under 1
     order = Window.partitionBy("source", "bucket").orderBy(odds, "u", "id", "size")
     start = F.col("before") + F.sum(words).over(order.rowsBetween(Window.unboundedPreceding, 0)) - words
     fit = F.greatest(F.lit(0), F.least("rows", F.floor(F.try_divide(F.col("rest") - start, "size"))))
-    taken = store(ranked.withColumn("more", F.coalesce(F.when(F.col("chance") > 0, fit), F.lit(0)).cast("long")).select(*KEY, "rows", "source_size", "target", "whole", "rest", "more"), "op5-ranked")
-    short = taken.groupBy("source").agg((F.max("rest") - F.sum(F.col("more") * F.col("size"))).alias("short"))
+    taken = store(ranked.withColumn("more", F.coalesce(F.when(F.col("chance") > 0, fit), F.lit(0)).cast("long")).select(*KEY, "rows", "source_size", "target", "whole", "rest", "bucket", odds.alias("odds"), "u", "chance", "more"), "op5-ranked")
+    short = store(taken.groupBy("source").agg((F.max("rest") - F.sum(F.col("more") * F.col("size"))).alias("short")), "op5-short")
+    passed = _passes(taken, short)
+    if passed is not None:
+        short = short.join(passed.groupBy(F.col("source").alias("s")).agg(F.sum(F.col("add") * F.col("size")).alias("went")), F.col("source").eqNullSafe(F.col("s")), "left")
+        short = short.select("source", (F.col("short") - F.coalesce("went", F.lit(0))).alias("short"))
+        passed = passed.select(F.col("source").alias("s"), F.col("id").alias("i"), F.col("size").alias("z"), "add")
+        hit = taken["source"].eqNullSafe(passed["s"]) & taken["id"].eqNullSafe(passed["i"]) & (taken["size"] == passed["z"])
+        taken = taken.join(passed, hit, "left").withColumn("more", F.col("more") + F.coalesce("add", F.lit(0))).drop("s", "i", "z", "add")
+        taken = store(taken, "op5-taken-ranks")
     candidates = taken.where("more < rows and size > 0").join(short.where("short > 0"), same(taken, short)).drop(short.source)
     nearest = candidates.groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("short")).alias("off"), "id", "size", "short")).alias("best"))
     nearest = nearest.where("best.off < best.short").select(F.col("source").alias("s"), F.col("best.id").alias("i"), F.col("best.size").alias("z"))
     hit = taken["source"].eqNullSafe(nearest["s"]) & taken["id"].eqNullSafe(nearest["i"]) & (taken["size"] == nearest["z"])
-    return taken.join(nearest, hit, "left").withColumn("more", F.col("more") + F.when(F.col("z").isNotNull(), 1).otherwise(0)).drop("s", "i", "z", "rest")
+    return taken.join(nearest, hit, "left").withColumn("more", F.col("more") + F.when(F.col("z").isNotNull(), 1).otherwise(0)).drop("s", "i", "z", "rest", "bucket", "odds", "u", "chance")
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:

@@ -235,6 +235,15 @@ def test_mixing_targets_and_limits(spark, docs, none):
     assert mixing.mix(none).count() == 0
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_documents_behind_one_that_does_not_fit_fill_the_gap(spark, seed):
+    big = spark.createDataFrame([(-1, 50_000), (-2, 9000), (-3, 2500)], "doc_id long, n int")
+    sizes = big.unionByName(spark.range(400).selectExpr("id as doc_id", "cast(80 + id % 41 as int) as n"))
+    out = mixing.mix(sizes.selectExpr("doc_id", "repeat('w ', n) as text", "'s' as source"), seed=seed).collect()
+    assert abs(sum(r["taken"] for r in out) - out[0]["target"]) <= 60
+    assert all(r["taken"] in (r["size"], 2 * r["size"]) for r in out)
+
+
 def test_mixed_rows_repeat_documents(docs):
     taken = Counter()
     for r in mixing.mix(docs).collect():
