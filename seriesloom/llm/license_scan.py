@@ -5,9 +5,15 @@ sentences are mapped to their identifiers (0 for others). A licence is found
 where the identifiers of its rule stand next to each other in order. All of
 this happens inside one row with SQL functions: no shuffle, no Python.
 
-Sentences end at line breaks and at `.`, `!` or `?` before white space.
 Normalising lower-cases, and turns all but a-z and 0-9 into single spaces;
-sentences that are then empty are dropped.
+sentences that are then empty are dropped. For `n_sentences`, sentences end at
+line breaks and at `.`, `!` or `?` before white space.
+
+Known sentences are looked for in finer parts: these also end at `;` and `:`,
+and comment and list marks before a line are left out. A known sentence may
+run on over single line breaks, `;` and `:`, so that wrapped notices are
+found, but not over an empty line or the end of a sentence (the stop of `v. 2`
+is none). Where two start at one place, the longer counts.
 
 Defined results: a null, empty or wordless text has 0 sentences and an empty
 licence list. Repeated rows and null ids keep their rows. An empty table
@@ -71,6 +77,19 @@ def sentences(text: Column) -> Column:
     return F.filter(plain, lambda s: s != "")
 
 
+def parts(text: Column) -> Column:
+    """Known sentences of a text, whole, and the parts between them, normalised and in order."""
+    # A line break, then marks, a word that marks comments, and the number or letter of a list.
+    lines = F.regexp_replace(F.concat(F.lit("\n"), F.lower(F.coalesce(text, F.lit("")))), r"(?:\x0D\x0A|[\x0A-\x0D])[^a-z0-9\x0A-\x0D]*(?:(?:rem|dnl|c)[\x20\x09]+[^a-z0-9\x0A-\x0D]*)?(?:(?:[0-9]{1,2}|[a-z]|[ivx]{1,4})[.)][\x20\x09]+)?", "\n")
+    ended = F.regexp_replace(lines, r"[.!?](?<![^a-z0-9]v\.(?=[\x20\x09-\x0D]{1,9}[0-9]))[\x20\x09-\x0D]+", "\n\n")
+    plain = F.regexp_replace(ended, r"[^a-z0-9\n;:]+", " ")
+    hard = F.regexp_replace(plain, r" ?\n ?\n[\n ]*", "#")
+    soft = F.concat(F.lit("#"), F.regexp_replace(hard, r" ?[\n;:][\n;: ]*", "|"), F.lit("#"))
+    known = "|".join(s.replace(" ", "[ |]") for s in sorted(SENTENCES.values(), key=len, reverse=True))
+    found = F.regexp_extract_all(soft, F.lit(rf"[#|] ?((?:{known})(?= ?[#|])|[^#|]*)"), F.lit(1))
+    return F.filter(F.transform(found, lambda s: F.trim(F.translate(s, "|", " "))), lambda s: s != "")
+
+
 def identifiers(found: Column) -> Column:
     """The identifier of each normalised sentence, 0 for one that is not known."""
     known = F.create_map(*[F.lit(x) for i, s in SENTENCES.items() for x in (s, i)])
@@ -82,9 +101,9 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     chain = F.concat(F.lit(","), F.array_join("ids", ","), F.lit(","))
     names = sorted({name for name, _ in RULES})
     hits = {name: reduce(lambda a, b: a | b, (F.col("chain").contains("," + ",".join(map(str, rule)) + ",") for n, rule in RULES if n == name)) for name in names}
-    read = df.select(F.col(id_col).alias("id"), identifiers(sentences(F.col(text_col))).alias("ids")).withColumn("chain", chain)
+    read = df.select(F.col(id_col).alias("id"), F.size(sentences(F.col(text_col))).alias("n"), identifiers(parts(F.col(text_col))).alias("ids")).withColumn("chain", chain)
     return read.select(
-        F.col("id").alias(id_col), F.size("ids").cast("long").alias("n_sentences"), F.array_join(F.filter("ids", lambda i: i != 0), ",").alias("sentence_ids"),
+        F.col("id").alias(id_col), F.col("n").cast("long").alias("n_sentences"), F.array_join(F.filter("ids", lambda i: i != 0), ",").alias("sentence_ids"),
         F.concat_ws(",", *[F.when(hit, F.lit(name)) for name, hit in hits.items()]).alias("licenses"),
     )
 

@@ -168,6 +168,74 @@ def test_license_rules(spark, none):
     assert license_scan.scan(none).count() == 0
 
 
+NOTICES = {
+    "Apache-2.0": """
+// Licensed under the Apache License, Version 2.0 (the "License");
+// you may not use this file except in compliance with the License.
+// You may obtain a copy of the License at
+//
+//     http://www.apache.org/licenses/LICENSE-2.0
+""",
+    "Apache-2.0 ": """
+dnl Unless required by applicable law or agreed to in writing, software
+dnl distributed under the License is distributed on an "AS IS" BASIS,
+dnl WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+dnl See the License for the specific language governing permissions and
+dnl limitations under the License.
+""",
+    "BSD-2-Clause,BSD-3-Clause": """
+ * 1. Redistributions of source code must retain the above copyright
+ *    notice, this list of conditions and the following disclaimer.
+ *
+ * 2. Redistributions in binary form must reproduce the above copyright
+ *    notice, this list of conditions and the following disclaimer in the
+ *    documentation and/or other materials provided with the distribution.
+ *
+ * 3. Neither the name of the copyright holder nor the names of its
+ *    contributors may be used to endorse or promote products derived from
+ *    this software without specific prior written permission.
+""",
+    "GPL-3.0": """
+    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+""",
+    "MIT": """
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+""",
+    "MPL-2.0": """
+/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */
+""",
+    "": """
+Redistributions of source code must retain the above copyright
+
+notice, this list of conditions and the following disclaimer.
+Not released under the MIT License
+""",
+}
+
+
+def test_wrapped_licence_notices_are_known(spark):
+    df = spark.createDataFrame([(i, t.replace("\n", e)) for i, t in enumerate(NOTICES.values()) for e in ("\n", "\r\n")], "doc_id long, text string")
+    out = license_scan.scan(df).collect()
+    names = list(NOTICES)
+    assert [r["licenses"] for r in sorted(out, key=lambda r: r["doc_id"])] == [n.strip() for n in names for _ in range(2)]
+    assert {r["sentence_ids"] for r in out if r["doc_id"] == 0} == {"2,3,4"}
+
+
 # --- op4 ---
 
 
