@@ -91,17 +91,19 @@ class PieceIndex:
 
 
 class Lattice:
-    """All pieces in a set of words, each with one space before it. Words are ordered by falling length."""
+    """All pieces in a set of words, each with one space before it but those in `inside`, which go on with a word. Words are ordered by falling length."""
 
-    def __init__(self, index: PieceIndex, data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
-        self.index, sizes = index, ends - starts + 1
+    def __init__(self, index: PieceIndex, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, inside: np.ndarray | None = None):
+        lead = np.ones(len(starts), np.int64) if inside is None else 1 - inside.astype(np.int64)
+        self.index, sizes = index, ends - starts + lead
         self.order = np.argsort(-sizes, kind="stable")
         self.sizes = sizes[self.order]
         self.offset = np.cumsum(self.sizes) - self.sizes
         whole = np.full(int(self.sizes.sum()), 32, np.uint8)
         at = np.arange(len(whole)) - np.repeat(self.offset, self.sizes)
-        inner = at > 0
-        whole[inner] = data[(np.repeat(starts[self.order], self.sizes) + at - 1)[inner]]
+        at -= np.repeat(lead[self.order], self.sizes)
+        inner = at >= 0
+        whole[inner] = data[(np.repeat(starts[self.order], self.sizes) + at)[inner]]
         up, self.down = powers(len(whole) + 1)
         self.total = np.zeros(len(whole) + 1, np.uint64)
         np.cumsum((whole.astype(np.uint64) + np.uint64(1)) * up[: len(whole)], out=self.total[1:])
@@ -142,30 +144,56 @@ def forward(lattice: Lattice, chance: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(words: pd.DataFrame, pieces: list[bytes], steps: int = STEPS, chunk: int = 20_000) -> np.ndarray:
-    """Piece probabilities from words (word: bytes, n: how often), by expectation maximisation. Words over 48 bytes are left out of the fit.
-
-    Words are taken in chunks of like length, so the tables of partial sums stay small."""
-    words = words[words["word"].str.len() <= 48]
-    words = words.assign(size=words["word"].str.len()).sort_values(["size", "word"])
-    index, width = PieceIndex(pieces), len(pieces) + 1
+def cut(word: bytes, most: int = 48) -> list[bytes]:
+    """A word in parts of at most `most` bytes, cut before a character's first byte."""
     parts = []
-    for lo in range(0, len(words), chunk):
-        part = words.iloc[lo : lo + chunk]
+    while len(word) > most:
+        end = next((e for e in range(most, most - 4, -1) if word[e] & 0xC0 != 0x80), most)
+        parts.append(word[:end])
+        word = word[end:]
+    return [*parts, word]
+
+
+def _in_parts(words: pd.DataFrame) -> pd.DataFrame:
+    """word, n, inside: words over 48 bytes in parts, equal ones together; `inside` holds for all parts but a word's first."""
+    words = words[["word", "n"]].assign(inside=False)
+    long = words["word"].str.len() > 48
+    if not long.any():
+        return words
+    parts = [(p, n, k > 0) for w, n in words.loc[long, ["word", "n"]].itertuples(index=False) for k, p in enumerate(cut(w))]
+    parts = pd.DataFrame(parts, columns=["word", "n", "inside"]).groupby(["word", "inside"], as_index=False)["n"].sum()
+    return pd.concat([words[~long], parts], ignore_index=True)
+
+
+def fit(words: pd.DataFrame, pieces: list[bytes], steps: int = STEPS, chunk: int = 20_000, held: int = 1 << 22) -> np.ndarray:
+    """Piece probabilities from words (word: bytes, n: how often), by expectation maximisation. Words over 48 bytes are fitted in parts.
+
+    Words are taken in chunks of like length, so the tables of partial sums stay small. The pieces of the first `held`
+    bytes are found once; those of the others anew in each step."""
+    words = _in_parts(words)
+    words = words.assign(size=words["word"].str.len()).sort_values(["size", "word", "inside"])
+    index, width = PieceIndex(pieces), len(pieces) + 1
+
+    def look(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, dict[tuple[int, int], np.ndarray]]:
         ends = np.cumsum(part["size"].to_numpy(np.int64))
-        lattice = Lattice(index, np.frombuffer(b"".join(part["word"]), np.uint8), ends - part["size"].to_numpy(np.int64), ends)
+        lattice = Lattice(index, np.frombuffer(b"".join(part["word"]), np.uint8), ends - part["size"].to_numpy(np.int64), ends, part["inside"].to_numpy(bool))
         longest = int(lattice.sizes[0])
         found = {(j, k): lattice.pieces(j, k).astype(np.int32) for j in range(1, longest + 1) for k in range(1, min(j, LONGEST) + 1)}
-        parts.append((lattice.sizes, part["n"].to_numpy(float)[lattice.order], found))
+        return lattice.sizes, part["n"].to_numpy(float)[lattice.order], found
+
+    parts = [words.iloc[lo : lo + chunk] for lo in range(0, len(words), chunk)]
+    before = np.cumsum([0] + [int(part["size"].sum()) for part in parts])
+    kept = [look(part) for part, b in zip(parts, before, strict=False) if b < held]
+    every = lambda: (kept[i] if i < len(kept) else look(part) for i, part in enumerate(parts))
     counts = np.zeros(width)
-    for _, weight, found in parts:
+    for _, weight, found in every():
         for x in found.values():
             counts += np.bincount(x, weight[: len(x)], width)
     for step in range(steps + 1):
         counts[-1] = 0
         chance = np.append((counts[:-1] + FLOOR) / (counts[:-1].sum() + FLOOR * len(pieces)), 0.0)
         if step < steps:
-            counts = sum((_expected(*part, chance) for part in parts), np.zeros(width))
+            counts = sum((_expected(*part, chance) for part in every()), np.zeros(width))
     return chance[:-1]
 
 

@@ -12,6 +12,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -342,6 +343,27 @@ def test_sharding(spark, docs, none):
 # --- op7 ---
 
 
+def test_language_without_spaces_is_fitted(spark):
+    signs = {"zh": "的一是不了人我在有他这为之大来以个中上们", "ja": "のにはをたがでてとしれさあいうえおかきく"}
+    r = random.Random(5)
+    rows = [(i, "".join(r.choice(signs[lang]) for _ in range(300)), lang) for i in range(40) for lang in [("zh", "ja")[i % 2]]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(df.where("doc_id < 20"))
+    assert all(np.ptp(model.chance[:, k]) > 0 for k in range(2))
+    assert all(x["lang_pred"] == rows[x["doc_id"]][2] for x in language_id.predict(df, model).collect())
+    long = ("é" * 100 + "abc").encode()
+    assert b"".join(language_id.cut(long)) == long and all(len(p) <= 48 and p.decode() for p in language_id.cut(long))
+
+
+def test_the_fit_counts_parts_of_words_without_a_space():
+    pieces = sorted({bytes([b]) for b in range(256)}) + [b"ab"]
+    words = pd.DataFrame({"word": [b"ab" * 30, b"b"], "n": [1, 2]})
+    once = language_id.fit(words, pieces, steps=2)
+    assert np.allclose(once, language_id.fit(words, pieces, steps=2, chunk=1, held=0))
+    rest = sum(len(p) * once[pieces.index(p)] for p in (b"a", b"b", b"ab"))
+    assert math.isclose(once[pieces.index(b" ")] / rest, 3 / 62, rel_tol=0.02)
+
+
 def test_language_id(spark, none):
     en, de = "the ing and tion er that with".split(), "der ung und keit ein sch nicht".split()
     r = random.Random(3)
