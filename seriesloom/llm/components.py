@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import store
+from .shared import discard, store
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -23,6 +23,8 @@ def components(links: DataFrame) -> DataFrame:
         roots = lower.select(F.col("node").alias("root"), F.col("comp").alias("up"))
         jumped = lower.join(roots, lower.comp == roots.root).select("node", "old", F.col("up").alias("comp"))
         jumped = store(jumped, "labels")
+        discard(labels, lower)
         labels = jumped.select("node", "comp")
         if jumped.where("old <> comp").isEmpty():
+            discard(both)
             return labels

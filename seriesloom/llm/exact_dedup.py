@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import documents, narrow, store
+from .shared import boxed, discard, documents, narrow, store, unboxed
 
 BLOCK = 2048
 SPACES = r"[\x20\x09-\x0D]+"
@@ -34,8 +34,11 @@ def normalised(text: Column) -> Column:
 
 
 def _blocks(data: Column, block: int) -> Column:
-    count = F.greatest(F.lit(1), F.ceil(F.length(data) / block)).cast("int")
-    return F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(data, i * block + 1, F.lit(block)))
+    def cut(one: Column) -> Column:
+        count = F.greatest(F.lit(1), F.ceil(F.length(one) / block)).cast("int")
+        return F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(one, i * block + 1, F.lit(block)))
+
+    return F.get(F.transform(F.array(data), cut), F.lit(0))  # so that `data` is worked out once, not once a block
 
 
 def _name(keys: DataFrame) -> DataFrame:
@@ -63,6 +66,7 @@ def block_names(docs: DataFrame, block: int = BLOCK, hashed=F.xxhash64) -> DataF
     if not shared.isEmpty():
         level = _by_content(cut, rows, spread, named, shared, hashed)
     level, parts = store(level, "op10-level"), []
+    discard(named)
     widest = level.agg(F.max("n")).first()[0] or 1
     while widest > 1:
         parts.append(level.where("n = 1"))
@@ -78,10 +82,13 @@ def block_names(docs: DataFrame, block: int = BLOCK, hashed=F.xxhash64) -> DataF
         )
         names = store(_name(pairs.select("a", "b")), "op10-names")
         level = store(pairs.join(names, ["a", "b"]).select("rid", "n", "pos", "name"), "op10-level")
+        discard(pairs, names)
         widest = (widest + 1) // 2
     for part in parts:
         level = level.unionByName(part)
-    return rows.select("rid", "id", "n_bytes", "sha").join(level.select("rid", "name"), "rid")
+    done = store(rows.select("rid", "id", "n_bytes", "sha").join(level.select("rid", "name"), "rid"), "op10-named")
+    discard(rows, level)
+    return done
 
 
 def _by_content(cut: DataFrame, rows: DataFrame, spread: DataFrame, named: DataFrame, shared: DataFrame, hashed) -> DataFrame:
@@ -96,7 +103,7 @@ def _by_content(cut: DataFrame, rows: DataFrame, spread: DataFrame, named: DataF
 
 def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """One row per row of `df`: id_col, keep_id, group_size, kept, text_sha256."""
-    named = store(block_names(narrow(df, id=id_col, text=text_col), block), "op10-named")
+    named = block_names(narrow(df, id=id_col, text=text_col), block)
     groups = store(named.groupBy("n_bytes", "name").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size")), "op10-groups")
     first = store(
         named.join(groups, ["n_bytes", "name"])
@@ -106,6 +113,7 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "op10-first",
     )
     one = store(groups.join(first, ["n_bytes", "name"]), "op10-keep")
+    discard(groups, first)
     return named.join(one, ["n_bytes", "name"]).select(
         F.col("id").alias(id_col), "keep_id", "group_size", (F.col("rid") == F.col("keep_rid")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
     )
@@ -113,11 +121,11 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """The rows of `df` that stay, with all their columns."""
-    kept = store(exact_groups(df, id_col, text_col, block).where("kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha")), "op10-kept")
-    sha = F.sha2(F.encode(normalised(F.col(text_col)), "UTF-8"), 256)
-    rows = df.withColumn("_key", sha).join(kept, F.col("_key").eqNullSafe(F.col("_sha")) & F.col(id_col).eqNullSafe(F.col("_id")))
-    order = Window.partitionBy("_key", "_id").orderBy(F.lit(1))
-    return rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").select(*[df[c] for c in df.columns])
+    kept = store(exact_groups(df, id_col, text_col, block).where("kept").select(F.col(id_col).alias("kept_id"), F.col("text_sha256").alias("kept_sha")), "op10-kept")
+    rows = boxed(df, id=F.col(id_col), sha=F.sha2(F.encode(normalised(F.col(text_col)), "UTF-8"), 256))
+    rows = rows.join(kept, (F.col("sha") == F.col("kept_sha")) & F.col("id").eqNullSafe(F.col("kept_id")))
+    order = Window.partitionBy("kept_sha", "kept_id").orderBy(F.lit(1))
+    return unboxed(rows.withColumn("n", F.row_number().over(order)).where("n = 1"))
 
 
 def op10_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,13 +31,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import documents, store
+from .shared import discard, documents, give_back, lean, store
 from .words import hash_spans, mix, powers, words_of
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 LONGEST, SAMPLE, STEPS, FLOOR = 16, 2000, 3, 0.01
 CACHE = 1 << 19
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 
 
 def vocabulary(name: str = VOCABULARY) -> list[bytes]:
@@ -235,20 +235,27 @@ def _sample_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def train(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, vocabulary_name: str = VOCABULARY) -> Model:
     """Fit on the `sample` labelled rows of each language with the smallest hashes; the model is as large as pieces x languages."""
-    spark = rows.sparkSession
     labelled = rows.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null and id is not null")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    chosen = labelled.select("id", "lang").distinct().withColumn("rank", rank).where(F.col("rank") <= sample).select("id", "lang")
-    bound = F.broadcast(chosen) if sample * chosen.select("lang").distinct().count() <= 1_000_000 else chosen
-    words = labelled.join(bound, ["id", "lang"], "left_semi").select("lang", "text").mapInArrow(_sample_words, "lang string, word binary, n long")
+    ids = store(labelled.select("id", "lang").distinct(), "op7-ids")
+    sizes = store(ids.groupBy("lang").agg(F.count("*").alias("n")), "op7-sizes")
+    # Of n hashes, the `sample` smallest lie below about sample / n: only a little more than those are ranked.
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << 52))
+    small = sizes.count() <= 100_000
+    low = ids.join(F.broadcast(sizes) if small else sizes, "lang").where(place.cast("double") * F.col("n") < F.lit(float((1 << 52) * (sample + 8 * sample**0.5 + 64))))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(place, "id"))
+    chosen = store(low.withColumn("rank", rank).where(F.col("rank") <= sample).select("id", "lang"), "op7-chosen")
+    bound = F.broadcast(chosen) if small and sample * sizes.count() <= 1_000_000 else chosen
+    words = labelled.join(bound, ["id", "lang"], "left_semi").select("lang", "text").mapInArrow(lean(_sample_words), "lang string, word binary, n long")
     words = words.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
     def one(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"lang": [key[0]], "chance": [fit(frame, vocabulary(vocabulary_name)).tolist()]})
+        out = pd.DataFrame({"lang": [key[0]], "chance": [fit(frame, vocabulary(vocabulary_name)).tolist()]})
+        give_back()
+        return out
 
     fitted = store(words.groupBy("lang").applyInPandas(one, "lang string, chance array<double>"), "op7-model").orderBy("lang").collect()
     chance = np.array([r["chance"] for r in fitted]).T if fitted else np.zeros((0, 0))
-    del spark
+    discard(ids, sizes, chosen)
     return Model([r["lang"] for r in fitted], vocabulary(vocabulary_name), chance)
 
 
@@ -293,29 +300,25 @@ def score_texts(scorer: Scorer, column: pa.Array) -> np.ndarray:
 
 
 def predict(df: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns `keep` of each row, lang_pred and score (the posterior of the answer)."""
+    """row (a struct of the columns `keep`, so that none can clash), lang_pred and score (the posterior of the answer)."""
     shared = df.sparkSession.sparkContext.broadcast(model)
-    names = [*keep, *([] if text_col in keep else [text_col])]
-    source = df.select(*names, F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("_letter"))
-    at = names.index(text_col)
+    source = df.select(F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in keep]).alias("row"), F.col(text_col).alias("text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("letter"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, scorer = shared.value, None
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 1024):
-                batch = whole.slice(lo, 1024)
-                found, best = np.full(batch.num_rows, "und", object), np.zeros(batch.num_rows)
-                letter = batch.column(len(names)).to_numpy(zero_copy_only=False)
-                if model.languages:
-                    scorer = scorer or Scorer(model)
-                    logs = score_texts(scorer, batch.column(at))
-                    odds = np.exp(logs - logs.max(axis=1, keepdims=True))
-                    found = np.where(letter, np.array(model.languages, object)[odds.argmax(axis=1)], "und")
-                    best = np.where(letter, odds.max(axis=1) / odds.sum(axis=1), 0.0)
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(found, pa.string()), pa.array(best)], [*keep, "lang_pred", "score"])
-
-    kept = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep)
-    return source.mapInArrow(rows, f"{kept}, lang_pred string, score double")
+        for batch in batches:
+            found, best = np.full(batch.num_rows, "und", object), np.zeros(batch.num_rows)
+            letter = batch.column(2).to_numpy(zero_copy_only=False)
+            if model.languages:
+                scorer = scorer or Scorer(model)
+                logs = score_texts(scorer, batch.column(1))
+                odds = np.exp(logs - logs.max(axis=1, keepdims=True))
+                found = np.where(letter, np.array(model.languages, object)[odds.argmax(axis=1)], "und")
+                best = np.where(letter, odds.max(axis=1) / odds.sum(axis=1), 0.0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string()), pa.array(best)], ["row", "lang_pred", "score"])
+
+    kind = source.select("row", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
+    return source.mapInArrow(lean(rows, 1 << 22), kind)
 
 
 def fold(id_column: Column, parts: int) -> Column:
@@ -326,4 +329,4 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = train(docs.where(fold(F.col("doc_id"), 3) != 1))
     found = predict(docs, model)
-    return found.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
+    return found.select("row.doc_id", (fold(F.col("row.doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")

@@ -33,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import documents, store
+from .shared import boxed, documents, store, unboxed
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, SHARE, MOST, BUCKETS, SEED = (5, 2, 1), 1.5, 2, 4096, 17
@@ -140,12 +140,13 @@ def mix(df: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
 
 def mixed_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The rows of `df`, all columns, each as often as the mix takes it."""
-    groups = store(sampled_groups(df, id_col, text_col, source_col, **options).select(F.col("source").alias("_s"), F.col("id").alias("_i"), F.col("size").alias("_z"), "whole", "more"), "op5-taken")
-    rows = df.withColumn("_size", word_count(F.col(text_col)))
-    rows = rows.join(groups, F.col(source_col).eqNullSafe(F.col("_s")) & F.col(id_col).eqNullSafe(F.col("_i")) & (F.col("_size") == F.col("_z")))
-    n = F.row_number().over(Window.partitionBy("_s", "_i", "_z").orderBy(F.lit(1)))
-    copies = F.when(F.col("_z") > 0, F.col("whole") + F.when(F.col("_n") <= F.col("more"), 1).otherwise(0)).otherwise(0).cast("int")
-    return rows.withColumn("_n", n).withColumn("_copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)))).select(*[df[c] for c in df.columns])
+    groups = sampled_groups(df, id_col, text_col, source_col, **options).where("size > 0 and whole + more > 0")
+    groups = store(groups.select(F.col("source").alias("s"), F.col("id").alias("i"), F.col("size").alias("z"), "whole", "more"), "op5-taken")
+    rows = boxed(df, source=F.col(source_col), id=F.col(id_col), size=word_count(F.col(text_col)))
+    rows = rows.join(groups, F.col("source").eqNullSafe(F.col("s")) & F.col("id").eqNullSafe(F.col("i")) & (F.col("size") == F.col("z")))
+    n = F.row_number().over(Window.partitionBy("s", "i", "z").orderBy(F.lit(1)))
+    copies = (F.col("whole") + F.when(F.col("n") <= F.col("more"), 1).otherwise(0)).cast("int")
+    return unboxed(rows.withColumn("n", n).withColumn("copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)))))
 
 
 def op5_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

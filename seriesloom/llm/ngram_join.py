@@ -3,7 +3,7 @@
 1. Texts become sets of shingle hashes. Equal sets are one node.
 2. Similar nodes are partitioned into groups: nodes that share a minimum
    hash are compared with one leader, and what links becomes one tied group;
-   the other nodes that share a minimum hash are a loose group.
+   the other nodes that share all minimum hashes are a loose group.
 3. The matrix holds, for each token, the groups whose union has it. Only a
    set's prefix under one global order (rare tokens first) is stored: sets
    that are similar enough share at least `SHARED` prefix tokens.
@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import documents, store
+from .shared import boxed, discard, documents, lean, store, unboxed
 from .words import mix, shingle_sets
 
 SHARED, KEYS, CHUNK, SKETCH_BITS = 4, 3, 250_000, 18
@@ -82,7 +82,7 @@ def _sketch(df: DataFrame, width: int) -> np.ndarray:
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(total[found])], ["range", "n"])
 
-    counts = df.mapInArrow(count, "range int, n long").groupBy("range").agg(F.sum("n").alias("n")).toPandas()
+    counts = df.mapInArrow(lean(count), "range int, n long").groupBy("range").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(size, np.int64)
     out[counts["range"].to_numpy()] = counts["n"].to_numpy()
     return out
@@ -190,7 +190,7 @@ def _open(rows: DataFrame, width: int, most: tuple[int, int]) -> DataFrame:
 
     order = ["key", "grp", "chunk"]
     dealt = rows.select(*order, "role", "node", "text").repartition(*order).sortWithinPartitions(*order, "role", "node")
-    return dealt.mapInArrow(compare, "a long, b long")
+    return dealt.mapInArrow(lean(compare), "a long, b long")
 
 
 def _texts(source: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -205,7 +205,7 @@ def link_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = df.sparkSession
     source = _sets(df, id_col, text_col)
     keys = ", ".join(f"m{k} long" for k in range(KEYS))
-    rows = store(source.mapInArrow(_digests(width), f"id {source.schema['id'].dataType.simpleString()}, h long, n long, node long, {keys}"), "op1-rows")
+    rows = store(source.mapInArrow(lean(_digests(width)), f"id {source.schema['id'].dataType.simpleString()}, h long, n long, node long, {keys}"), "op1-rows")
     one = rows.where("n > 0").groupBy("node").agg(F.min(F.struct("id", "h")).alias("row"), F.max("n").alias("n"), *[F.max(f"m{k}").alias(f"m{k}") for k in range(KEYS)])
     nodes = store(one.select("node", "row.id", "row.h", "n", *[f"m{k}" for k in range(KEYS)]), "op1-nodes")
     least = next(n for n in range(1, 1 << 20) if n * most[1] >= most[0] * (n + 1))  # a smaller set links only with its equals
@@ -221,23 +221,26 @@ def link_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     members = inside.where("node <> leader").select("key", "grp", F.pmod(F.xxhash64("node"), F.col("chunks").cast("long")).cast("int").alias("chunk"), F.lit(0).alias("role"), "node")
     leaders = stars.select("key", "grp", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("role"), F.col("leader").alias("node"))
     first = store(_open(members.unionByName(leaders).join(texts, "node"), width, most), "op1-first")
+    discard(stars, inside, texts)
 
     # the matrix, and the groups that each query opens
     groups = components(first)
     counts = spark.sparkContext.broadcast(_sketch(source, width))
-    prefix = source.mapInArrow(_prefixes(width, most, least, counts), "token long, node long").repartition("token").sortWithinPartitions("token")
-    prefix = store(prefix.mapInArrow(_shared, "token long, node long"), "op1-prefix")  # most tokens are met in one node only
-    loose = F.xxhash64("m0", F.lit("loose"))
-    grouped = big.select("node", "id", "h", "n", "m0").join(groups, "node", "left").select("node", "id", "h", "n", F.coalesce("comp", loose).alias("grp"), F.col("comp").isNotNull().alias("tied"))
+    prefix = source.mapInArrow(lean(_prefixes(width, most, least, counts)), "token long, node long").repartition("token").sortWithinPartitions("token")
+    prefix = store(prefix.mapInArrow(lean(_shared), "token long, node long"), "op1-prefix")  # most tokens are met in one node only
+    loose = F.xxhash64(*[f"m{k}" for k in range(KEYS)], F.lit("loose"))
+    grouped = big.select("node", "id", "h", "n", *[f"m{k}" for k in range(KEYS)]).join(groups, "node", "left").select("node", "id", "h", "n", F.coalesce("comp", loose).alias("grp"), F.col("comp").isNotNull().alias("tied"))
     sizes = grouped.groupBy("grp").agg(F.count("*").alias("count"), F.ceil(F.sum("n") / CHUNK).cast("int").alias("chunks"))
     grouped = store(grouped.join(sizes, "grp"), "op1-groups")
     ours = store(prefix.join(grouped.select("node", "n", "grp", "tied", "count"), "node"), "op1-tokens")
+    discard(prefix, groups)
     matrix = store(ours.groupBy("token", "grp").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("count").alias("count")), "op1-matrix")
     own = (F.col("qgrp") == F.col("grp")) & ~F.col("tied") & (F.col("count") > 1)
     q = ours.select("token", F.col("node").alias("q"), F.col("n").alias("qn"), F.col("grp").alias("qgrp"), "tied", F.col("count").alias("qcount"))
     can = (own | (F.struct("qcount", "qgrp") < F.struct("count", "grp"))) & (F.col("qn") * most[1] >= F.col("low") * most[0]) & (F.col("high") * most[1] >= F.col("qn") * most[0])
     met = q.join(matrix, "token").where(can).groupBy("q", "grp").agg(F.count_distinct("token").alias("met"))
     opened = store(met.where(F.col("met") >= SHARED).select("q", "grp"), "op1-opened")
+    discard(ours, matrix)
     second = first.limit(0)
     if not opened.isEmpty():
         wide = store(opened.join(grouped.select("grp", "chunks").distinct(), "grp"), "op1-wide")
@@ -246,13 +249,17 @@ def link_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         ask = store(ask.unionByName(shown), "op1-ask")
         texts = store(_texts(source, nodes.join(ask.select("node").distinct(), "node")), "op1-texts")
         second = store(_open(ask.join(texts, "node"), width, most), "op1-second")
+        discard(wide, ask, texts)
     final = components(first.unionByName(second))
-    return rows.select("id", "h", "n", "node").join(final, "node", "left").select("id", "h", "n", F.when(F.col("n") > 0, F.coalesce("comp", "node")).alias("class"))
+    classes = rows.select("id", "h", "n", "node").join(final, "node", "left").select("id", "h", "n", F.when(F.col("n") > 0, F.coalesce("comp", "node")).alias("class"))
+    classes = store(classes, "op1-classes")
+    discard(rows, nodes, grouped, opened, first, final)
+    return classes
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, most: tuple[int, int] = (80, 100)) -> DataFrame:
     """One row per row of `df`: id_col, n_shingles, component_id."""
-    rows = store(link_classes(df, id_col, text_col, width, most), "op1-classes")
+    rows = link_classes(df, id_col, text_col, width, most)
     low = store(rows.where("class is not null").groupBy("class").agg(F.min("id").alias("component_id")), "op1-low")
     found = rows.join(low, "class", "left")
     return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
@@ -260,15 +267,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, most: tuple[int, int] = (80, 100)) -> DataFrame:
     """The rows of `df` that stay, one of each class (that of the smallest id) and all without words, with all columns."""
-    rows = store(link_classes(df, id_col, text_col, width, most), "op1-classes")
+    rows = link_classes(df, id_col, text_col, width, most)
     low = rows.where("class is not null").groupBy("class").agg(F.min(F.struct(F.col("id").isNull(), "id", "h")).alias("row"))
-    kept = store(low.select(F.col("row.id").alias("_id"), F.col("row.h").alias("_h")), "op1-kept")
-    wordless = store(rows.where("class is null").select(F.col("id").alias("_id"), F.col("h").alias("_h")).distinct(), "op1-wordless")
-    hashed = df.withColumn("_key", F.xxhash64(text_col))
-    match = lambda t: F.col("_key").eqNullSafe(t["_h"]) & F.col(id_col).eqNullSafe(t["_id"])
-    order = Window.partitionBy("_key", "_id").orderBy(F.lit(1))
-    with_words = hashed.join(kept, match(kept)).withColumn("_n", F.row_number().over(order)).where("_n = 1").select(*[df[c] for c in df.columns])
-    return with_words.unionByName(hashed.join(wordless, match(wordless), "left_semi").select(*[df[c] for c in df.columns]))
+    kept = low.select(F.col("row.id").alias("kept_id"), F.col("row.h").alias("kept_h"), F.lit(True).alias("one"))
+    wordless = rows.where("class is null").select(F.col("id").alias("kept_id"), F.col("h").alias("kept_h"), F.lit(False).alias("one")).distinct()
+    kept = store(kept.unionByName(wordless), "op1-kept")  # a text with words and one without have different hashes
+    found = boxed(df, id=F.col(id_col), h=F.xxhash64(text_col)).join(kept, F.col("h").eqNullSafe(F.col("kept_h")) & F.col("id").eqNullSafe(F.col("kept_id")))
+    discard(rows)
+    order = Window.partitionBy("kept_h", "kept_id").orderBy(F.lit(1))
+    return unboxed(found.withColumn("n", F.when(F.col("one"), F.row_number().over(order)).otherwise(1)).where("n = 1"))
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, store
+from .shared import discard, documents, give_back, lean, store
 from .words import hash_spans, pieces, text_bytes
 
 VOCABULARY, END_ID, SEQUENCE = "byte_bpe_50k.json", 2, 1024
@@ -62,7 +62,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-        self.tokenizer.encode_special_tokens = True
         self.encode_batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         self._clear()
 
@@ -154,7 +153,7 @@ def token_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays(out + [pa.array(kept, pa.binary())] * with_ids, ["id", "piece", "start", "length", "crc"] + ["ids"] * with_ids)
 
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(rows, f"id {source.schema['id'].dataType.simpleString()}, piece int, start long, length long, crc long" + ", ids binary" * with_ids)
+    return source.mapInArrow(lean(rows), f"id {source.schema['id'].dataType.simpleString()}, piece int, start long, length long, crc long" + ", ids binary" * with_ids)
 
 
 def best_fit(sizes: list[int], room: int) -> tuple[list[int], list[int], list[int]]:

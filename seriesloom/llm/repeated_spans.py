@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, store, utf8
+from .shared import documents, lean, store, utf8
 from .words import mix, powers, text_bytes
 
 SPAN, GRAM, SEGMENT, BATCHES, CROWD, FILTER_BITS = 200, 40, 1 << 20, 2, 20_000, 22
@@ -260,14 +260,14 @@ def _maybe(source: DataFrame, bits: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(hit.astype(bool))], ["id", "th", "text", "maybe"])
 
     bit = F.pmod(F.xxhash64("id", "th"), F.lit(1 << FILTER_BITS)).cast("int")
-    return source.withColumn("bit", bit).mapInArrow(rows, f"id {source.schema['id'].dataType.simpleString()}, th long, text string, maybe boolean")
+    return source.withColumn("bit", bit).mapInArrow(lean(rows), f"id {source.schema['id'].dataType.simpleString()}, th long, text string, maybe boolean")
 
 
 def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int = GRAM, batches: int = BATCHES, crowd: int = CROWD) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(source, spans, bits): the rows (id, th, text), the repeated stretches (id, th, lo, hi) in bytes, and the row filter of the latter."""
     source = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
-    entries = store(source.mapInArrow(_entries(span, gram), f"id {kind}, th long, key long, context long, pick long, back int, more int"), "op8-entries")
+    entries = store(source.mapInArrow(lean(_entries(span, gram)), f"id {kind}, th long, key long, context long, pick long, back int, more int"), "op8-entries")
     family, matches = IndexFamily(), None
     batch = F.pmod(F.xxhash64("id", "th"), F.lit(batches))
     for b in range(batches):
@@ -288,9 +288,9 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def fetch(crowded: bool, what: str) -> DataFrame:
         w = wanted.where(F.col("crowded") == crowded).select(F.col("id").alias("_id"), F.col("th").alias("_th"), "list")
         rows = texts.join(w, (texts.th == w._th) & texts.id.eqNullSafe(w._id)).select("id", "th", "text", "list")
-        return rows.mapInArrow(_contexts(span, crowded), f"key long, id {kind}, th long, pick long, back int, partner boolean, bytes {what}")
+        return rows.mapInArrow(lean(_contexts(span, crowded)), f"key long, id {kind}, th long, pick long, back int, partner boolean, bytes {what}")
 
-    found = fetch(False, "binary").repartition("key").sortWithinPartitions("key").mapInArrow(_compare(span), f"id {kind}, th long, lo long, hi long")
+    found = fetch(False, "binary").repartition("key").sortWithinPartitions("key").mapInArrow(lean(_compare(span)), f"id {kind}, th long, lo long, hi long")
     spans = whole.unionByName(found)
     if not wanted.where("crowded").isEmpty():
         crowd_rows = store(fetch(True, "array<long>"), "op8-crowd")
@@ -310,7 +310,7 @@ def remove_repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     marked = _maybe(source, bits)
     maybe = marked.where("maybe")
     cut = maybe.join(lists, (maybe.th == lists._th) & maybe.id.eqNullSafe(lists._id), "left").select("id", "text", "spans")
-    cut = cut.mapInArrow(_cut, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    cut = cut.mapInArrow(lean(_cut), f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     data, none = utf8(F.col("text")), F.lit(0).cast("long")
     rest = marked.where("not maybe").select("id", F.length(data).cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2(data, 256).alias("kept_sha256"))
     return cut.unionByName(rest).withColumnRenamed("id", id_col)

@@ -1,24 +1,26 @@
-"""Small helpers that the numbered operators share: shared storage and table reads."""
+"""Small helpers that the numbered operators share: shared storage, table reads, boxed rows and lean Python tasks."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share; one of our own only where none is set and Spark runs in one process (tests)."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
         return found.rstrip("/")
-    own = spark.sparkContext.getCheckpointDir()
-    if not own:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-        own = spark.sparkContext.getCheckpointDir()
-    return own.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
 def store(df: DataFrame, name: str) -> DataFrame:
@@ -31,6 +33,19 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables that `store` wrote, once nothing that is still to run reads them."""
+    for table in tables:
+        if table is None:
+            continue
+        spark = table.sparkSession
+        ours = shared_dir(spark).split(":", 1)[-1].lstrip("/")
+        for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+            if ours in folder:
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -40,6 +55,43 @@ def narrow(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[df[source].alias(name) for name, source in columns.items()])
 
 
+def boxed(df: DataFrame, **columns: Column) -> DataFrame:
+    """Each row of `df` as one column `row` beside the named columns, with which no column of `df` can then clash."""
+    return df.select(F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns]).alias("row"), *[column.alias(name) for name, column in columns.items()])
+
+
+def unboxed(df: DataFrame) -> DataFrame:
+    """The rows that `boxed` packed."""
+    return df.select("row.*")
+
+
 def utf8(column) -> object:
     """UTF-8 bytes of a text; null counts as empty."""
     return F.encode(F.coalesce(column, F.lit("")), "UTF-8")
+
+
+def give_back() -> None:
+    """Return freed memory of a reused Python worker to the system; what is not offered by its C library is left out."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], most: int = 1 << 22) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow that takes about `most` bytes at a time and gives memory back after each batch and at the end.
+
+    A worker is reused by all later stages, so what its allocator keeps would add up."""
+
+    def fed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            step = max(1, min(batch.num_rows, int(batch.num_rows * most / max(batch.nbytes, 1))))
+            for lo in range(0, batch.num_rows, step):
+                yield batch.slice(lo, step)
+            give_back()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from rows(fed(batches))
+        give_back()
+
+    return run

@@ -10,7 +10,9 @@ and lists their timestamps and random-access points.
 The payload of the query is the text in UTF-8 (null: empty) with zero bytes
 up to a positive multiple of 64, so an empty text stores 64 zero bytes.
 Equal payloads give equal streams. Ids may be null or repeat; other columns
-are not read. An empty table gives an empty result.
+are not read. An empty table gives an empty result. Tasks take a few MB of text
+at a time, or one text, however long (a stored stream may have 2 GiB at most,
+Spark's bound on one binary value); a stream is about 1.1 times its payload.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents
+from .shared import documents, lean
 
 PACKET, SYNC = 188, 0x47
 PMT_PID, MEDIA_PID, PROGRAM = 0x1000, 0x0101, 1
@@ -160,14 +162,12 @@ def encode_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                texts = [(x or "").encode() for x in part.column(1).to_pylist()]
-                media = pa.array([mux(padded(x)) for x in texts], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in texts], pa.int64()), media], ["id", "n_bytes", "media"])
+            texts = [(x or "").encode() for x in batch.column(1).to_pylist()]
+            media = pa.array([mux(padded(x)) for x in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in texts], pa.int64()), media], ["id", "n_bytes", "media"])
 
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(rows, f"id {source.schema['id'].dataType.simpleString()}, n_bytes long, media binary")
+    return source.mapInArrow(lean(rows), f"id {source.schema['id'].dataType.simpleString()}, n_bytes long, media binary")
 
 
 def decode_media(stored: DataFrame) -> DataFrame:
@@ -176,13 +176,11 @@ def decode_media(stored: DataFrame) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.struct({"payload": pa.binary(), "times": pa.list_(pa.int64()), "entries": pa.list_(pa.int32()), "packets": pa.int64(), "errors": pa.int64()})
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                read = [demux(x) for x in part.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, *pa.array(read, kind).flatten()], [*part.schema.names, "payload", "times", "entries", "packets", "errors"])
+            read = [demux(x) for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *pa.array(read, kind).flatten()], [*batch.schema.names, "payload", "times", "entries", "packets", "errors"])
 
     kind = stored.schema["id"].dataType.simpleString()
-    return stored.mapInArrow(rows, f"id {kind}, n_bytes long, media binary, payload binary, times array<long>, entries array<int>, packets long, errors long")
+    return stored.mapInArrow(lean(rows), f"id {kind}, n_bytes long, media binary, payload binary, times array<long>, entries array<int>, packets long, errors long")
 
 
 def op2_transport_media(spark: SparkSession, sf_dir: str) -> DataFrame:

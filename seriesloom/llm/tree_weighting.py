@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .language_id import fold
-from .shared import documents, store
+from .shared import documents, lean, store
 from .words import hash_spans, words_of
 
 DEPTH, ROOT, HEAVY, FLUSH = 6, 2, 1 << 21, 400_000
@@ -269,10 +269,10 @@ def _heavy(table: DataFrame, weight: str, columns: list[str]) -> tuple[pd.DataFr
 def word_scores(docs: DataFrame) -> tuple[DataFrame, int, int]:
     """A table (h, word, c, every, score) of all words in `docs` (text, train), how many training rows there are, and the end's score (as a one-row table's value)."""
     spark = docs.sparkSession
-    counted = docs.select("text", "train").mapInArrow(_count_words, "word binary, h long, trained long, every long")
+    counted = docs.select("text", "train").mapInArrow(lean(_count_words), "word binary, h long, trained long, every long")
     words = store(counted.groupBy("word").agg(F.any_value("h").alias("h"), F.sum("trained").alias("c"), F.sum("every").alias("every")), "op9-words")
     ends = docs.where("train").count()
-    codes = store(words.select("word", "c").mapInArrow(_count_codes, "code long, n long, uses long").groupBy("code").agg(F.sum("n").alias("n"), F.sum("uses").alias("uses")), "op9-codes")
+    codes = store(words.select("word", "c").mapInArrow(lean(_count_codes), "code long, n long, uses long").groupBy("code").agg(F.sum("n").alias("n"), F.sum("uses").alias("uses")), "op9-codes")
     short = codes.where(f"(code >> 8) % 8 < {ROOT}").select("code", "n").toPandas()  # one context: 256 symbols at most
     end_code = 32 << 8 * (DEPTH - 1) + 11 | 1 << 8 | END
     if not len(short) or end_code not in short["code"].to_numpy():
@@ -280,7 +280,7 @@ def word_scores(docs: DataFrame) -> tuple[DataFrame, int, int]:
     short.loc[short["code"] == end_code, "n"] += ends
     root = F.shiftright("code", 11 + 8 * (DEPTH - ROOT))
     trees = codes.where(f"(code >> 8) % 8 >= {ROOT}").select("code", "n", "uses").withColumn("root", root).repartition("root").sortWithinPartitions("code").drop("root")
-    roots = trees.select("code", "n").mapInArrow(_roots, "key long, zeros double, ones double, log_w double").toPandas()  # 2**24 at most
+    roots = trees.select("code", "n").mapInArrow(lean(_roots), "key long, zeros double, ones double, log_w double").toPandas()  # 2**24 at most
     top = Top(roots, short["code"].to_numpy(np.int64), short["n"].to_numpy(np.int64))
     shared = spark.sparkContext.broadcast(top)
 
@@ -291,7 +291,7 @@ def word_scores(docs: DataFrame) -> tuple[DataFrame, int, int]:
 
     short_scores = code_scores(short["code"].to_numpy(np.int64), top.levels)
     end_score = float(short_scores[short["code"].to_numpy() == end_code][0])
-    longer = trees.select("code", "n").mapInArrow(scored, "code long, score double")
+    longer = trees.select("code", "n").mapInArrow(lean(scored), "code long, score double")
     brief = spark.createDataFrame([(int(c), float(s)) for c, s in zip(short["code"], short_scores, strict=True)], "code long, score double")
     by_code = store(codes.select("code", "uses").join(store(longer.unionByName(brief), "op9-scores"), "code"), "op9-scored")
     heavy, others = _heavy(by_code, "uses", ["code", "score"])
@@ -310,7 +310,7 @@ def word_scores(docs: DataFrame) -> tuple[DataFrame, int, int]:
                 rest = pa.ListArray.from_arrays(pa.array(missing[at].astype(np.int32)), pa.array(own[~hit]))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(total[at[1:]] - total[at[:-1]]), rest], ["h", "c", "every", "score", "rest"])
 
-    partly = store(words.select("h", "word", "c", "every").mapInArrow(add, "h long, c long, every long, score double, rest array<long>"), "op9-partly")
+    partly = store(words.select("h", "word", "c", "every").mapInArrow(lean(add), "h long, c long, every long, score double, rest array<long>"), "op9-partly")
     rare = by_code.where(others).select("code", F.col("score").alias("add"))
     more = partly.select("h", F.explode("rest").alias("code")).join(rare, "code").groupBy("h").agg(F.sum("add").alias("add"))
     scored_words = partly.join(more, "h", "left").select("h", "c", "every", (F.col("score") + F.coalesce("add", F.lit(0.0))).alias("score"))
@@ -363,7 +363,7 @@ def score(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(x) for x in out.values()), lists], ["id", "train", *out, "rest"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    partly = docs.mapInArrow(rows, f"id {kind}, train boolean, tokens long, bytes long, sure long, base double, score double, tree double, rest array<long>")
+    partly = docs.mapInArrow(lean(rows), f"id {kind}, train boolean, tokens long, bytes long, sure long, base double, score double, tree double, rest array<long>")
     partly = store(partly.withColumn("rid", F.monotonically_increasing_id()), "op9-docs")
     rare = words.where(others).select("h", F.col("c").alias("_c"), F.col("base").alias("_base"), F.col("score").alias("_score"), F.col("tree").alias("_tree"))
     found = partly.select("rid", F.explode("rest").alias("h")).join(rare, "h")

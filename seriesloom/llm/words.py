@@ -12,8 +12,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-PIECE = 4 << 20
-WINDOW = 1 << 20
+PIECE = 1 << 20
+WINDOW = 1 << 18
 BASE = 0x9E3779B97F4A7C15 | 1
 MASK = (1 << 64) - 1
 SPACE = np.zeros(256, bool)
@@ -35,14 +35,17 @@ _POWERS: list[np.ndarray] = []
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and its inverse modulo 2**64 for i < n."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, WINDOW + 1)
-        up = np.full(size, BASE, np.uint64)
-        down = np.full(size, pow(BASE, -1, 1 << 64), np.uint64)
-        up[0] = down[0] = 1
-        _POWERS[:] = [np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)]
-    return _POWERS[0], _POWERS[1]
+    """BASE**i and its inverse modulo 2**64 for i < n; only those of about a piece are kept."""
+    if _POWERS and len(_POWERS[0]) >= n:
+        return _POWERS[0], _POWERS[1]
+    size = max(n, WINDOW + 1)
+    up = np.full(size, BASE, np.uint64)
+    down = np.full(size, pow(BASE, -1, 1 << 64), np.uint64)
+    up[0] = down[0] = 1
+    found = [np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)]
+    if size <= PIECE + 64:
+        _POWERS[:] = found
+    return found[0], found[1]
 
 
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -350,7 +350,7 @@ def test_language_without_spaces_is_fitted(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = language_id.train(df.where("doc_id < 20"))
     assert all(np.ptp(model.chance[:, k]) > 0 for k in range(2))
-    assert all(x["lang_pred"] == rows[x["doc_id"]][2] for x in language_id.predict(df, model).collect())
+    assert all(x["lang_pred"] == rows[x["row"]["doc_id"]][2] for x in language_id.predict(df, model).collect())
     long = ("é" * 100 + "abc").encode()
     assert b"".join(language_id.cut(long)) == long and all(len(p) <= 48 and p.decode() for p in language_id.cut(long))
 
@@ -370,7 +370,7 @@ def test_language_id(spark, none):
     texts = [(i, " ".join(r.choice(en if i % 2 else de) + r.choice(en if i % 2 else de) for _ in range(60)), "en" if i % 2 else "de") for i in range(60)]
     df = spark.createDataFrame([*texts, (900, None, None), (901, "12 34 !", None), (None, texts[1][1], None)], "doc_id long, text string, lang string")
     model = language_id.train(df.where("doc_id < 30"))
-    out = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.predict(df, model).collect()}
+    out = {r["row"]["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.predict(df, model).collect()}
     assert all(out[i][0] == lang for i, _, lang in texts if i >= 30)
     assert out[900] == out[901] == ("und", 0.0) and out[None][0] == "en"
     assert {r["lang_pred"] for r in language_id.predict(df, language_id.train(none.select("doc_id", "text", "lang"))).collect()} == {"und"}
