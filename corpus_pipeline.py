@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesloom.llm import exact_dedup, language_id, mixing, ngram_join, packing
-from seriesloom.llm.shared import documents, store
+from seriesloom.llm.shared import discard, documents, store
 
 LEAST_SCORE = 0.5
 
@@ -21,7 +21,7 @@ def with_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents in a language that the model knows: neither null or without letters, nor undecided."""
     model = language_id.train(docs)
     found = language_id.predict(docs, model, keep=tuple(docs.columns))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("row.*")
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +52,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents, each written as Parquet and read again."""
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
         docs = store(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
