@@ -11,13 +11,18 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-AGGREGATES = {"sum": lambda c: F.coalesce(F.sum(c), F.lit(0.0)), "mean": F.avg, "median": F.median, "mode": lambda c: F.mode(c, True), "min": F.min, "max": F.max}
+from .order_statistics import by_keys, mode_of, quantiles_of, with_quantiles
+
+AGGREGATES = {"sum": lambda c: F.coalesce(F.sum(c), F.lit(0.0)), "mean": F.avg, "min": F.min, "max": F.max}
 
 
 def merge_repeated(df: DataFrame, ts: str, keys: list[str], how: str, numeric: list[str], text: list[str]) -> DataFrame:
-    """One row per timestamp and keys; text that differs inside a group is an error. Rows with a null key go."""
+    """One row per timestamp and keys, by sum, mean, min, max, median or mode; text that differs inside a group is an error. Rows with a null key go."""
     known = df.dropna(subset=[ts, *keys])
-    out = known.groupBy(ts, *keys).agg(*[AGGREGATES[how](c).alias(c) for c in numeric], *[F.any_value(c).alias(c) for c in text], *[F.min(c).eqNullSafe(F.max(c)).alias(f"_{c}") for c in text])
+    by_order = {c: {"median": lambda c: quantiles_of(known, [ts, *keys], c, {c: 0.5}), "mode": lambda c: mode_of(known, [ts, *keys], c, c)}[how](c) for c in numeric} if how in ("median", "mode") else {}
+    out = known.groupBy(ts, *keys).agg(F.count("*").alias("_rows"), *[AGGREGATES[how](c).alias(c) for c in numeric if c not in by_order], *[F.any_value(c).alias(c) for c in text], *[F.min(c).eqNullSafe(F.max(c)).alias(f"_{c}") for c in text])
+    for one in by_order.values():
+        out = by_keys(out, one, [ts, *keys], "left")
     checks = [F.when(~F.col(f"_{c}"), F.raise_error(F.lit(f"{c} differs inside a group"))).otherwise(F.col(c)).alias(c) for c in text]
     return out.select(ts, *keys, *numeric, *checks)
 
@@ -31,8 +36,9 @@ def basic_statistics(long: DataFrame, keys: list[str]) -> DataFrame:
     """Population statistics; skewness below 3 and kurtosis below 4 values, and without variance, are 0."""
     one = long.groupBy(*keys).agg(
         F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"),
-        F.percentile("value", F.lit(0.5)).alias("median"), F.skewness("value").alias("_skew"), F.kurtosis("value").alias("_kurt"),
+        F.skewness("value").alias("_skew"), F.kurtosis("value").alias("_kurt"),
     )
+    one = with_quantiles(one, long, keys, "value", {"median": 0.5})
     flat = F.col("std") == 0
     skew = F.when(flat | (F.col("count") < 3), 0.0).otherwise(F.col("_skew"))
     kurt = F.when(flat | (F.col("count") < 4), 0.0).otherwise(F.col("_kurt"))
@@ -41,7 +47,7 @@ def basic_statistics(long: DataFrame, keys: list[str]) -> DataFrame:
 
 def quantiles(long: DataFrame, keys: list[str], shares: list[float]) -> DataFrame:
     """Exact quantiles with linear interpolation, named q<percent>."""
-    return long.groupBy(*keys).agg(*[F.percentile("value", F.lit(q)).alias(f"q{round(q * 100)}") for q in shares])
+    return quantiles_of(long, keys, "value", {f"q{round(q * 100)}": q for q in shares})
 
 
 def correlations(df: DataFrame, columns: list[str], method: str = "pearson") -> DataFrame:
@@ -118,7 +124,8 @@ def clipped_weighted(columns: dict[str, float], low: float = -1.0, high: float =
 def combine_scores(scores: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Mean, maximum and median over groups, each also without zeros."""
     some = F.when(F.col(value) != 0, F.col(value))
-    return scores.groupBy(*keys).agg(F.avg(value).alias("mean"), F.max(value).alias("max"), F.median(value).alias("median"), F.avg(some).alias("mean_nonzero"), F.median(some).alias("median_nonzero"), F.count("*").alias("groups"))
+    out = scores.groupBy(*keys).agg(F.avg(value).alias("mean"), F.max(value).alias("max"), F.avg(some).alias("mean_nonzero"), F.count("*").alias("groups"))
+    return with_quantiles(with_quantiles(out, scores, keys, value, {"median": 0.5}), scores, keys, some, {"median_nonzero": 0.5})
 
 
 def regressions(base: DataFrame, new: DataFrame, keys: list[str], value: str, threshold: float) -> DataFrame:

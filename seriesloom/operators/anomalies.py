@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .features import decomposition
+from .order_statistics import by_keys, quantiles_of
 from .windows import lagged_slot_score, volatility
 
 
@@ -55,11 +56,15 @@ def concurrent(anomalies: DataFrame, ts: str, kpi: str, score: str, seconds: int
     return met.groupBy("t", "k", "v").agg(F.count_distinct("k2").alias("kpis"), F.sum("v2").alias("total")).where(F.col("kpis") >= least)
 
 
+def timestamp_union(found: DataFrame, ts: str, channel: str, score: str) -> DataFrame:
+    """(ts, channels, worst): the timestamps at which any channel is anomalous, with how many are and the largest score."""
+    return found.groupBy(ts).agg(F.count_distinct(channel).alias("channels"), F.max(score).alias("worst"))
+
+
 def modified_z(df: DataFrame, keys: list[str], residual: str, threshold: float) -> DataFrame:
     """0.6745 (r - median) / MAD above a threshold; without spread all values are anomalous unless the median is 0."""
-    m = df.groupBy(*keys).agg(F.median(residual).alias("_med"))
-    d = df.join(m, keys)
-    mad = d.groupBy(*keys).agg(F.median(F.abs(F.col(residual) - F.col("_med"))).alias("_mad"))
+    d = by_keys(df, quantiles_of(df, keys, residual, {"_med": 0.5}), keys)
+    mad = quantiles_of(d, keys, F.abs(F.col(residual) - F.col("_med")), {"_mad": 0.5})
     z = F.try_divide(0.6745 * (F.col(residual) - F.col("_med")), F.col("_mad"))
     flag = F.when(F.col("_mad") == 0, F.col("_med") != 0).otherwise(F.abs(z) > threshold)
-    return d.join(mad, keys).withColumn("z", z).withColumn("anomalous", flag).drop("_med", "_mad")
+    return by_keys(d, mad, keys).withColumn("z", z).withColumn("anomalous", flag).drop("_med", "_mad")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -41,19 +40,23 @@ def apply_edits(df: DataFrame, ts: str, edits: list[dict]) -> DataFrame:
     return df
 
 
-def edit_grid(windows: DataFrame, combos: DataFrame, column: str, n: int) -> DataFrame:
-    """Every combination of a small edit table (combo, factor) copies the windows; ids are combo * n + window."""
-    crossed = windows.join(combos)
-    return crossed.withColumn(column, F.col(column) * F.col("factor")).withColumn("new_idx", F.col("combo") * n + F.col("window_idx"))
+def edit_grid(windows: DataFrame, factors: list[float], column: str, n: int) -> DataFrame:
+    """Every factor of an edit grid copies the windows where they are; ids are the factor's place (combo) * n + window."""
+    copies = windows.select("*", F.posexplode(F.array(*map(F.lit, factors))).alias("combo", "factor"))
+    return copies.withColumn(column, F.col(column) * F.col("factor")).withColumn("new_idx", F.col("combo").cast("long") * n + F.col("window_idx"))
 
 
 def filter_combinations(values: DataFrame) -> DataFrame:
-    """One row per combination of one value per column, from (column, value) rows."""
-    names = [r[0] for r in values.select("column").distinct().orderBy("column").limit(21).collect()]
-    if len(names) > 20:
-        raise ValueError("more than 20 columns to combine")
-    parts = [values.where(F.col("column") == n).select(F.col("value").alias(n)) for n in names]
-    return reduce(lambda a, b: a.join(b), parts)
+    """One row per combination of one value per column, from (column, value) rows, with no bound on columns.
+
+    The lists of values are one row (the result is as many rows as their sizes multiplied), which grows column by column."""
+    names = [r[0] for r in values.select("column").distinct().orderBy("column").collect()]  # names of columns
+    lists = values.groupBy().pivot("column", names).agg(F.collect_set("value"))
+    for i, name in enumerate(names):
+        lists = lists.withColumn(name, F.explode(F.col(f"`{name}`")))
+        if i + 1 < len(names):
+            lists = lists.repartition(F.col(f"`{name}`"))
+    return lists
 
 
 def covariate_subsets(columns: list[str], most: int) -> list[tuple[str, ...]]:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .aggregates import running_total
+from .order_statistics import with_quantiles
 
 
 def history_scaled(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -29,15 +30,20 @@ def channel_metrics(df: DataFrame, keys: list[str]) -> DataFrame:
     """MAPE, median APE and SMAPE in percent with 1e-10 in the denominators."""
     a, gap = F.col("actual"), F.abs(F.col("actual") - F.col("forecast"))
     ape = gap / (F.abs(a) + 1e-10) * 100
-    return df.groupBy(*keys).agg(F.avg(ape).alias("mape"), F.percentile(ape, F.lit(0.5)).alias("mdape"), (F.avg(2 * gap / (F.abs(a) + F.abs("forecast") + 1e-10)) * 100).alias("smape"))
+    out = df.groupBy(*keys).agg(F.avg(ape).alias("mape"), (F.avg(2 * gap / (F.abs(a) + F.abs("forecast") + 1e-10)) * 100).alias("smape"))
+    return with_quantiles(out, df, keys, ape, {"mdape": 0.5})
 
 
-def crps(members: Column, actual: Column) -> Column:
-    """E|X - y| - E|X - X'| / 2 of an ensemble given as an array."""
-    n = F.size(members)
-    first = F.aggregate(members, F.lit(0.0), lambda s, x: s + F.abs(x - actual)) / n
-    ordered = F.transform(F.array_sort(members), lambda x, i: x * (2 * i - n + 1))
-    return first - F.aggregate(ordered, F.lit(0.0), lambda s, x: s + x) / (n * n)
+def crps(df: DataFrame, keys: list[str], member: str, actual: float | Column) -> DataFrame:
+    """(keys, crps): E|X - y| - E|X - X'| / 2 of each group's ensemble, one member a row; its sums are exact to 9 decimals and no array holds a group."""
+    exact = F.col(member).cast("decimal(28, 9)")
+    counts = df.where(F.col(member).isNotNull()).groupBy(*keys, exact.alias("_x"), (F.lit(actual) if isinstance(actual, float) else actual).cast("decimal(28, 9)").alias("_y")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_x", "_y").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = counts.withColumn("_i", before).withColumn("_all", F.sum("_n").over(Window.partitionBy(*keys)))
+    # Members of one value take the places _i + 1 .. _i + _n: the sum of (2 * place - all - 1) is _n * (2 * _i + _n - all).
+    gap, spread = F.sum(F.abs(F.col("_x") - F.col("_y")) * F.col("_n")), F.sum(F.col("_x") * (F.col("_n") * (2 * F.col("_i") + F.col("_n") - F.col("_all"))).cast("decimal(38, 0)"))
+    sums = placed.groupBy(*keys).agg(gap.cast("double").alias("_g"), spread.cast("double").alias("_s"), F.max("_all").cast("double").alias("_all"))
+    return sums.select(*keys, (F.col("_g") / F.col("_all") - F.col("_s") / (F.col("_all") * F.col("_all"))).alias("crps"))
 
 
 def mean_forecast(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -68,7 +74,7 @@ def categorical_distance(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
 def continuous_distance(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
     """Jensen-Shannon distance over Freedman-Diaconis bins of the pooled values."""
     both = a.select(F.col(column).alias("v"), F.lit(1).alias("_a")).unionByName(b.select(F.col(column).alias("v"), F.lit(0).alias("_a"))).where("v is not null")
-    s = both.agg(F.percentile("v", F.lit(0.25)).alias("q1"), F.percentile("v", F.lit(0.75)).alias("q3"), F.count("*").alias("n"), F.min("v").alias("lo"))
+    s = with_quantiles(both.agg(F.count("*").alias("n"), F.min("v").alias("lo")), both, [], "v", {"q1": 0.25, "q3": 0.75})
     width = F.coalesce(F.nullif(2 * (F.col("q3") - F.col("q1")) / F.pow(F.col("n"), F.lit(1 / 3)), F.lit(0.0)), F.lit(1.0))
     bins = both.join(F.broadcast(s)).withColumn("bin", F.floor((F.col("v") - F.col("lo")) / width))  # one row
     return _divergence(bins.groupBy("bin").agg(F.sum("_a").alias("n_a"), F.sum(1 - F.col("_a")).alias("n_b")))
@@ -92,4 +98,4 @@ def joined_logs(logs: DataFrame, run: str, epoch: str) -> DataFrame:
     """Logs of restarts in a row: each run's epochs follow those of the runs before it."""
     ends = logs.groupBy(run).agg(F.max(epoch).alias("_last"))
     offset = F.sum(F.col("_last") + 1).over(Window.orderBy(run)) - F.col("_last") - 1  # a row per run
-    return logs.join(F.broadcast(ends.withColumn("_offset", offset).drop("_last")), run).withColumn("epoch_total", F.col(epoch) + F.col("_offset")).drop("_offset")
+    return logs.join(ends.withColumn("_offset", offset).drop("_last"), run).withColumn("epoch_total", F.col(epoch) + F.col("_offset")).drop("_offset")

@@ -11,12 +11,13 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order_statistics import by_keys, quantiles_of, with_quantiles
 from .windows import numbered
 
 
 def statistical(long: DataFrame, keys: list[str]) -> DataFrame:
-    q = lambda p: F.percentile("value", F.lit(p))
-    one = long.groupBy(*keys).agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), (F.max("value") - F.min("value")).alias("range"), (q(0.75) - q(0.25)).alias("iqr"))
+    one = long.groupBy(*keys).agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), (F.max("value") - F.min("value")).alias("range"))
+    one = with_quantiles(one, long, keys, "value", {"_a": 0.25, "_b": 0.75}).withColumn("iqr", F.col("_b") - F.col("_a")).drop("_a", "_b")
     return one.withColumn("cv", F.coalesce(F.try_divide("std", "mean"), F.lit(0.0)))
 
 
@@ -56,11 +57,12 @@ def volatility_features(df: DataFrame, keys: list[str], order: list[str], value:
 
 def outliers(df: DataFrame, keys: list[str], value: str, method: str, threshold: float) -> DataFrame:
     """Rows outside quartiles -+ threshold * IQR, or with |z| above it."""
-    q = lambda p: F.percentile(value, F.lit(p))
-    stats = df.groupBy(*keys).agg(q(0.25).alias("_a"), q(0.75).alias("_b"), F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
     x, iqr = F.col(value), F.col("_b") - F.col("_a")
-    out = (x < F.col("_a") - threshold * iqr) | (x > F.col("_b") + threshold * iqr) if method == "iqr" else F.abs(x - F.col("_m")) > threshold * F.col("_s")
-    return df.join(stats, keys).where(out).drop("_a", "_b", "_m", "_s")
+    if method == "iqr":
+        stats, out = quantiles_of(df, keys, value, {"_a": 0.25, "_b": 0.75}), (x < F.col("_a") - threshold * iqr) | (x > F.col("_b") + threshold * iqr)
+    else:
+        stats, out = df.groupBy(*keys).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s")), F.abs(x - F.col("_m")) > threshold * F.col("_s")
+    return by_keys(df, stats, keys).where(out).select(*df.columns)
 
 
 def fourier(df: DataFrame, keys: list[str], order: list[str], value: str, most: int) -> DataFrame:
@@ -121,6 +123,8 @@ def seasonal_forecast(parts: DataFrame, keys: list[str], period: int, horizon: i
 
 def sampled_points(df: DataFrame, keys: list[str], order: list[str], value: str, n: int) -> DataFrame:
     """n values at evenly spaced positions, as an array; shorter series repeat positions."""
-    arrays = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, value))).alias("_r"))
-    at = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.floor(i * (F.size("_r") - 1) / (n - 1)).cast("int"))
-    return arrays.select(*keys, F.transform(at, lambda i: F.element_at(F.col(f"_r.{value}"), i + 1)).alias("vector"))
+    placed = numbered(df, keys, order, "_pos").withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
+    at = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(i.alias("i"), F.floor(i * (F.col("_n") - 1) / (n - 1)).alias("at")))
+    wanted = placed.select(*keys, value, F.explode(F.filter(at, lambda x: x["at"] == F.col("_pos"))).alias("_x"))
+    packed = F.array_sort(F.collect_list(F.struct(F.col("_x.i").alias("i"), F.col(value).alias("v"))))  # n values a series
+    return wanted.groupBy(*keys).agg(packed.alias("_r")).select(*keys, F.col("_r.v").alias("vector"))

@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order_statistics import quantiles_of
+
 FREQUENCIES = ["yearly", "quarterly", "monthly", "weekly", "daily", "hourly"]  # fixed order, coarse to fine
 
 
@@ -120,7 +122,7 @@ def by_statistic(column: str, statistic: str, how: str, value: float) -> Column:
 def by_percentile(df: DataFrame, keys: list[str], column: str, how: str, share: float, zeros: bool = True) -> DataFrame:
     """Windows whose median compares with a percentile of all window medians."""
     medians = df.groupBy(*keys).agg(F.percentile(column, F.lit(0.5)).alias("_m"))
-    limit = (medians if zeros else medians.where("_m <> 0")).agg(F.percentile("_m", F.lit(share)).alias("_p"))
+    limit = quantiles_of(medians if zeros else medians.where("_m <> 0"), [], "_m", {"_p": share})
     good = medians.join(F.broadcast(limit)).where(COMPARE[how](F.col("_m"), F.col("_p"))).select(*keys)  # one row
     return df.join(good, keys, "left_semi")
 

@@ -6,9 +6,11 @@ never from comparing all rows; lags are bounded and sums combine early."""
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,6 +99,11 @@ def granger(rows: DataFrame, keys: list[str], x: str, y: str, order: str, lags:
     return sums.select(*keys, solve("g", "c", "yy").alias("score"))
 
 
+def covariance(long: DataFrame, series: str, pos: str, value: str) -> DataFrame:
+    """(a, b, covariance) of series that are each standardized over all their own positions, at the positions that both have."""
+    return aligned_pairs(long, series, pos, value, scaled=True).groupBy("a", "b").agg(F.covar_pop("x", "y").alias("covariance"))
+
+
 def pair_distance(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.corr("x", "y").alias("pearson"), F.sqrt(F.sum(F.pow(F.col("x") - F.col("y"), 2))).alias("euclidean"), F.count("*").alias("n"))
 
@@ -131,16 +138,91 @@ def nearest(vectors: DataFrame, vector: str, query: list[float], metric: str, n:
     return vectors.withColumn("distance", d).orderBy("distance", ident).limit(n)
 
 
-def nearest_of(queries: DataFrame, corpus: DataFrame, metric: str = "euclidean", k: int = 1, size: int = 256) -> DataFrame:
-    """(q, id, distance): the k nearest corpus vectors of each query, with ties by id.
+METRICS = ("cosine", "euclidean", "cityblock", "chebyshev", "correlation")
+
+
+def block_distances(queries: np.ndarray, vectors: np.ndarray, metric: str) -> np.ndarray:
+    """Distances of each query to each vector, one query at a time."""
+    if metric in ("cosine", "correlation"):
+        shift = metric == "correlation"
+        a, b = (x - x.mean(axis=1, keepdims=True) if shift else x for x in (queries, vectors))
+        norms = np.sqrt((a * a).sum(axis=1))[:, None] * np.sqrt((b * b).sum(axis=1))[None, :]
+        return 1 - np.divide(a @ b.T, norms, out=np.zeros_like(norms), where=norms > 0)
+    out = np.empty((len(queries), len(vectors)))
+    for i, q in enumerate(queries):
+        gap = np.abs(vectors - q)
+        out[i] = {"euclidean": lambda g: np.sqrt((g * g).sum(axis=1)), "cityblock": lambda g: g.sum(axis=1), "chebyshev": lambda g: g.max(axis=1)}[metric](gap)
+    return out
+
+
+def _blocks(rows: DataFrame, ident: str, vector: str, size: int, block: str, packed: str) -> DataFrame:
+    """Blocks of up to `size` rows, by their order inside a partition."""
+    dealt = rows.select(ident, vector, F.monotonically_increasing_id().alias("_n"))
+    return dealt.groupBy(F.floor(F.col("_n") / size).alias(block)).agg(F.collect_list(F.struct(F.col(ident).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"))).alias(packed))
+
+
+def nearest_by_metrics(queries: DataFrame, corpus: DataFrame, metrics: tuple[str, ...], k: int, size: int = 512, apart: bool = False) -> DataFrame:
+    """(metric, q, id, distance, place): the k nearest corpus vectors (id, vector) of each query (q, query) by each metric, ties by id; `apart` leaves out the query itself.
+
+    Queries and corpus are dealt into blocks of up to `size` rows. A corpus block is sent to each query block, the pair is worked out as one matrix,
+    and k rows a query and metric are kept before the shuffle. Ids are whole numbers."""
+    asked = _blocks(queries, "q", "query", size, "_qb", "_queries")
+    asked = asked.withColumn("_qb", F.pmod(F.xxhash64("_qb"), F.lit(1 << 31)).cast("long"))
+    names = asked.agg(F.collect_set("_qb").alias("_all"))  # one number a block
+    held = _blocks(corpus, "id", "vector", size, "_cb", "_vectors").join(F.broadcast(names)).withColumn("_qb", F.explode("_all")).drop("_all", "_cb")  # one row
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for q, v in zip(batch.column(0), batch.column(1), strict=True):
+                (qid, qv), (vid, vv) = ((x.values.field(0).to_numpy(), np.stack(x.values.field(1).to_numpy(zero_copy_only=False))) for x in (q, v))
+                out = []
+                for metric in metrics:
+                    d = block_distances(qv, vv, metric)
+                    if apart:
+                        d = np.where(qid[:, None] == vid[None, :], np.inf, d)
+                    for i in range(len(qid)):
+                        # all that are as near as the k-th, then by id
+                        edge = np.partition(d[i], min(k, len(vid)) - 1)[min(k, len(vid)) - 1]
+                        near = np.flatnonzero((d[i] <= edge) & np.isfinite(d[i]))
+                        near = near[np.lexsort((vid[near], d[i][near]))][:k]
+                        out.append((np.full(len(near), metric, object), np.full(len(near), qid[i]), vid[near], d[i][near]))
+                if out:
+                    m, a, b, c = (np.concatenate(x) for x in zip(*out, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(m, pa.string()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64())], ["metric", "q", "id", "distance"])
+
+    best = held.join(asked, "_qb").select("_queries", "_vectors").mapInArrow(solve, "metric string, q long, id long, distance double")
+    return best.withColumn("place", F.row_number().over(Window.partitionBy("metric", "q").orderBy("distance", "id"))).where(F.col("place") <= k)
+
+
+def nearest_of(queries: DataFrame, corpus: DataFrame, metric: str = "euclidean", k: int = 1, size: int = 512) -> DataFrame:
+    """(q, id, distance, place): the k nearest corpus vectors of each query, with ties by id."""
+    return nearest_by_metrics(queries, corpus, (metric,), k, size).drop("metric")
+
+
+def grouped_distances(queries: DataFrame, corpus: DataFrame, size: int = 512) -> DataFrame:
+    """(ci, cj, mean): the mean Euclidean distance of the queries (ci, query) of each class to the vectors (cj, vector) of each class.
+
+    Blocks of the corpus meet the blocks of the queries as in `nearest_by_metrics`; a pair of blocks passes on sums only."""
+    asked = queries.select("ci", "query", F.monotonically_increasing_id().alias("_n")).groupBy("ci", F.floor(F.col("_n") / size).alias("_qb")).agg(F.collect_list(F.col("query").cast("array<double>")).alias("_queries"))
+    asked = asked.withColumn("_qb", F.pmod(F.xxhash64("ci", "_qb"), F.lit(1 << 31)).cast("long"))
+    names = asked.agg(F.collect_set("_qb").alias("_all"))  # one number a block
+    held = corpus.select("cj", "vector", F.monotonically_increasing_id().alias("_n")).groupBy("cj", F.floor(F.col("_n") / size).alias("_cb")).agg(F.collect_list(F.col("vector").cast("array<double>")).alias("_vectors"))
+    met = held.join(F.broadcast(names)).withColumn("_qb", F.explode("_all")).join(asked, "_qb").select("ci", "cj", "_queries", "_vectors")  # one row
+
+    @F.pandas_udf("sum double, n long")
+    def sums(q: pd.Series, v: pd.Series) -> pd.DataFrame:
+        pairs = [block_distances(np.stack(a), np.stack(b), "euclidean") for a, b in zip(q, v, strict=True)]
+        return pd.DataFrame({"sum": [d.sum() for d in pairs], "n": [d.size for d in pairs]})
+
+    each = met.withColumn("_s", sums("_queries", "_vectors"))
+    return each.groupBy("ci", "cj").agg((F.sum("_s.sum") / F.sum("_s.n")).alias("mean"))
+
 
-    The corpus is dealt into blocks of up to `size` vectors by their order inside a partition. Every query meets every
-    block, which keeps k for it before the shuffle; Spark chooses the join."""
-    dealt = corpus.select("id", "vector", F.monotonically_increasing_id().alias("_n"))
-    blocks = dealt.groupBy(F.floor(F.col("_n") / size).alias("_b")).agg(F.collect_list(F.struct("id", "vector")).alias("_block"))
-    near = F.transform("_block", lambda v: F.struct(distance(v["vector"], F.col("query"), metric).alias("distance"), v["id"].alias("id")))
-    best = blocks.join(queries).select("q", F.explode(F.slice(F.array_sort(near), 1, k)).alias("_m")).select("q", "_m.id", "_m.distance")
-    return best.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy("distance", "id"))).where(F.col("place") <= k)
+def class_pairs(classes: DataFrame, label: str, vector: str) -> DataFrame:
+    """(a, b, va, vb): all pairs of classes, as each class against a list of all; a class table has one row a class, which is checked to be at most 10,000."""
+    every = classes.agg(F.collect_list(F.struct(F.col(label).alias("b"), F.col(vector).alias("vb"))).alias("_all"))
+    every = every.select(F.when(F.size("_all") > 10_000, F.raise_error(F.lit("more than 10,000 classes"))).otherwise(F.col("_all")).alias("_all"))
+    return classes.select(F.col(label).alias("a"), F.col(vector).alias("va")).join(F.broadcast(every)).withColumn("_p", F.explode("_all")).select("a", "va", "_p.b", "_p.vb")  # one row
 
 
 def centroids(vectors: DataFrame, vector: str, label: str) -> DataFrame:
@@ -149,10 +231,8 @@ def centroids(vectors: DataFrame, vector: str, label: str) -> DataFrame:
 
 
 def class_relation(classes: DataFrame, label: str) -> DataFrame:
-    """Absolute cosine between class centroids, each row scaled to sum 1; classes are few."""
-    a = classes.select(F.col(label).alias("a"), F.col("centroid").alias("ca"))
-    b = classes.select(F.col(label).alias("b"), F.col("centroid").alias("cb"))
-    r = a.join(b).select("a", "b", F.abs(1 - distance(F.col("ca"), F.col("cb"), "cosine")).alias("r"))
+    """Absolute cosine between class centroids, each row scaled to sum 1."""
+    r = class_pairs(classes, label, "centroid").select("a", "b", F.abs(1 - distance(F.col("va"), F.col("vb"), "cosine")).alias("r"))
     return r.withColumn("r", F.col("r") / F.sum("r").over(Window.partitionBy("a")))
 
 

@@ -146,6 +146,7 @@ def rolling_origins(df: DataFrame, keys: list[str], ts: str, first, last, step:
 
 
 def forecast_windows(ends: DataFrame, low: str, high: str, stride_days: int, most: int = 250) -> DataFrame:
-    """Expanding windows: origins every stride up to the end, the end itself added, at most `most`."""
+    """Expanding windows: origins every stride up to the end, the end itself added; more than `most` origins are an error."""
     seq = F.array_distinct(F.concat(F.sequence(low, high, F.expr(f"interval {stride_days} days")), F.array(high)))
-    return ends.withColumn("origin", F.explode(F.slice(seq, 1, most)))
+    counted = F.when(F.size(seq) > most, F.raise_error(F.lit(f"more than {most} forecast origins"))).otherwise(seq)
+    return ends.withColumn("origin", F.explode(counted))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .aggregates import running_total
+from .order_statistics import quantiles_of
+
 
 def clipped(df: DataFrame, columns: list[str], k: float = 5.0) -> DataFrame:
     """Values cut to the column's mean +- k population deviations."""
@@ -32,12 +35,12 @@ def coerced(df: DataFrame, column: str) -> DataFrame:
 
 def fit_scaler(long: DataFrame, keys: list[str], kind: str) -> DataFrame:
     """(keys, centre, scale) of none, standard, minmax or robust; a zero scale is 1."""
-    q = lambda p: F.percentile("value", F.lit(p))
-    centre, scale = {
-        "none": (F.lit(0.0), F.lit(1.0)), "standard": (F.avg("value"), F.stddev_pop("value")),
-        "minmax": (F.min("value"), F.max("value") - F.min("value")), "robust": (q(0.5), q(0.75) - q(0.25)),
-    }[kind]
-    return long.groupBy(*keys).agg(F.first(F.lit(1)).alias("_1"), centre.alias("centre"), scale.alias("_s")).select(*keys, "centre", F.coalesce(F.nullif(F.col("_s"), F.lit(0.0)), F.lit(1.0)).alias("scale"))
+    if kind == "robust":
+        fitted = quantiles_of(long, keys, "value", {"_q25": 0.25, "centre": 0.5, "_q75": 0.75}).withColumn("_s", F.col("_q75") - F.col("_q25"))
+    else:
+        centre, scale = {"none": (F.lit(0.0), F.lit(1.0)), "standard": (F.avg("value"), F.stddev_pop("value")), "minmax": (F.min("value"), F.max("value") - F.min("value"))}[kind]
+        fitted = long.groupBy(*keys).agg(F.first(F.lit(1)).alias("_1"), centre.alias("centre"), scale.alias("_s"))
+    return fitted.select(*keys, "centre", F.coalesce(F.nullif(F.col("_s"), F.lit(0.0)), F.lit(1.0)).alias("scale"))
 
 
 def apply_scaler(long: DataFrame, scaler: DataFrame, keys: list[str], invert: bool = False) -> DataFrame:
@@ -77,9 +80,9 @@ def from_one_hot(column: str, values: list[str]) -> Column:
 
 
 def codes_by_appearance(df: DataFrame, column: str, order: str) -> DataFrame:
-    """Integer codes in order of first appearance, -1 for null; the ranking runs over the distinct values only."""
-    first = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.min(order).alias("_f"))
-    codes = first.select(column, (F.row_number().over(Window.orderBy("_f")) - 1).alias(f"{column}_code"))
+    """Integer codes in order of first appearance by the numeric column `order`, -1 for null; the distinct values are ranked in two steps, by buckets and inside them."""
+    first = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.min(order).alias("_f")).withColumn("_one", F.lit(1))
+    codes = running_total(first, "_f", "_one", "_place").select(column, (F.col("_place") - 1).alias(f"{column}_code"))
     return df.join(codes, column, "left").withColumn(f"{column}_code", F.coalesce(f"{column}_code", F.lit(-1)))
 
 

@@ -59,11 +59,17 @@ def lag_or_zero(df: DataFrame, keys: list[str], order: list[str], column: str, s
     return df.withColumn(f"{column}_lag_{size}", F.when(F.row_number().over(w) <= size, F.lit(0.0)).otherwise(F.lag(column, size).over(w)))
 
 
+def first_from(known: Column, keys: list[str], order: list[str]) -> Column:
+    """The first known value at the row or behind it: the last one before it in reversed order, so the frame only grows and no row is read twice."""
+    back = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order]).rowsBetween(Window.unboundedPreceding, 0)
+    return F.last(known, ignorenulls=True).over(back)
+
+
 def fill_both_ways(column: str, keys: list[str], order: list[str], default: object | None = None) -> Column:
     """Forward fill, then backward fill, then a default."""
     w = Window.partitionBy(*keys).orderBy(*order)
     past = F.last(column, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    future = F.first(column, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    future = first_from(F.col(column), keys, order)
     return F.coalesce(past, future, *([] if default is None else [F.lit(default)]))
 
 
@@ -161,10 +167,10 @@ def relative_changes(df: DataFrame, keys: list[str], order: list[str], column: s
 def interpolate(df: DataFrame, keys: list[str], order: list[str], column: str) -> DataFrame:
     """Linear interpolation by position; edges take the nearest value; a series of nulls becomes 0."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    past, future = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    past = w.rowsBetween(Window.unboundedPreceding, 0)
     placed = numbered(df, keys, order, "_pos")
     known = F.when(F.col(column).isNotNull(), F.struct(F.col("_pos").alias("p"), F.col(column).alias("v")))
-    out = placed.withColumn("_a", F.last(known, ignorenulls=True).over(past)).withColumn("_b", F.first(known, ignorenulls=True).over(future))
+    out = placed.withColumn("_a", F.last(known, ignorenulls=True).over(past)).withColumn("_b", first_from(known, keys, ["_pos"]))
     between = F.col("_a.v") + (F.col("_b.v") - F.col("_a.v")) * F.try_divide(F.col("_pos") - F.col("_a.p"), F.col("_b.p") - F.col("_a.p"))
     return out.withColumn(f"{column}_filled", F.coalesce(F.col(column), between, F.col("_a.v"), F.col("_b.v"), F.lit(0.0))).drop("_pos", "_a", "_b")
 

@@ -32,7 +32,7 @@ def agg1(spark, sf):
 
 @query("agg2_mode", "select l_returnflag, l_quantity as mode from (select l_returnflag, l_quantity, count(*) as n from lineitem group by all) qualify row_number() over (partition by l_returnflag order by n desc, l_quantity) = 1")
 def agg2(spark, sf):
-    return lines(spark, sf).groupBy("l_returnflag").agg(A.AGGREGATES["mode"]("l_quantity").alias("mode"))
+    return A.mode_of(lines(spark, sf), ["l_returnflag"], "l_quantity", "mode")
 
 
 @query("agg3_hourly_counts", "select cast(cast(ts as date) as varchar) as day, hour(ts) as hour, count(*) as n from events group by all")

@@ -39,8 +39,7 @@ def jon3(spark, sf):
     e = events(spark, sf).withColumn("hour", F.date_trunc("hour", "ts").cast("timestamp_ntz"))
     series = e.where("event_type = 'view'").select("hour").distinct()
     last = e.where("event_type = 'purchase'").groupBy("hour").agg(F.max_by("value", F.struct("ts", "event_id")).alias("covariate"))
-    day = lambda d: d.withColumn("day0", F.lit(0))
-    snapped = J.as_of(day(last), day(series.withColumn("at", F.col("hour"))), "hour", ["at"], ("day0",)).where("at is not null")
+    snapped = J.as_of(last, series.withColumn("at", F.col("hour")), "hour", ["at"]).where("at is not null")
     kept = snapped.groupBy("at").agg(F.max_by("covariate", "hour").alias("covariate")).withColumnRenamed("at", "hour")
     return series.join(kept, "hour", "left").select("hour", "covariate")
 
@@ -72,13 +71,16 @@ def jon7(spark, sf):
     return table(spark, sf, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left").join(r, F.col("n_regionkey") == F.col("r_regionkey"), "left").select("c_custkey", "n_name", "r_name")
 
 
-@query("jon8_interval_facts", """with f as (select o_orderkey as seq, o_orderdate as s, o_orderdate + to_days(cast(o_orderkey % 5 as integer)) as e, o_orderpriority as fact from orders where o_orderkey % 10 = 0)
-select l_orderkey, l_linenumber, string_agg(fact, ' ' order by seq) as facts from lineitem join f on s <= l_shipdate and l_shipdate <= e where l_linenumber = 1 group by all""")
+@query("jon8_interval_facts", """with f as (select o_orderkey as seq, o_orderdate as s, o_orderdate + to_days(cast(o_orderkey % 5 as integer)) as e, o_orderpriority as fact from orders),
+d as (select distinct l_shipdate from lineitem), t as (select l_shipdate, string_agg(fact, ' ' order by seq) as facts from d join f on s <= l_shipdate and l_shipdate <= e group by all)
+select l_orderkey, l_linenumber, facts from lineitem join t using (l_shipdate)""")
 def jon8(spark, sf):
-    facts = table(spark, sf, "orders").where("o_orderkey % 10 = 0").selectExpr("o_orderkey as seq", "o_orderdate as s", "o_orderdate + make_dt_interval(cast(o_orderkey % 5 as int)) as e", "o_orderpriority as fact")
-    met = J.interval_join(table(spark, sf, "lineitem").where("l_linenumber = 1"), facts, "l_shipdate", "s", "e")
+    facts = table(spark, sf, "orders").selectExpr("o_orderkey as seq", "o_orderdate as s", "o_orderdate + make_dt_interval(cast(o_orderkey % 5 as int)) as e", "o_orderpriority as fact")
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
+    met = J.interval_join(lines.select("l_shipdate").distinct(), facts, "l_shipdate", "s", "e")  # a text per timestamp, however many rows have it
     text = F.array_sort(F.collect_list(F.struct("seq", "fact")))
-    return met.groupBy("l_orderkey", "l_linenumber").agg(F.array_join(F.transform(text, lambda x: x["fact"]), " ").alias("facts"))
+    texts = met.groupBy("l_shipdate").agg(F.array_join(F.transform(text, lambda x: x["fact"]), " ").alias("facts"))
+    return lines.join(texts, "l_shipdate").select("l_orderkey", "l_linenumber", "facts")
 
 
 @query("jon9_interval_aggregate", """with t as (select distinct user_id, ts as target_ts from events where event_type = 'error'), r as (select user_id, ts, value, event_id from events where event_type <> 'error'),
@@ -198,8 +200,7 @@ def jon21(spark, sf):
 
 @query("jon22_closest_value", "with k as (select distinct p_name as value from part), w as (select unnest(['smal rnig', 'RED wigdet', 'blu bolt']) as text), s as (select text, value, 1 - levenshtein(lower(text), lower(value)) / greatest(length(text), length(value), 1) as score from k, w) select text, value, round(score, 6) as score from s qualify row_number() over (partition by text order by score desc, value desc) = 1")
 def jon22(spark, sf):
-    wanted = spark.createDataFrame([("smal rnig",), ("RED wigdet",), ("blu bolt",)], "text string")
-    return J.closest_value(wanted, table(spark, sf, "part").select(F.col("p_name").alias("value"))).select("text", "value", F.round("score", 6).alias("score"))
+    return J.closest_value(["smal rnig", "RED wigdet", "blu bolt"], table(spark, sf, "part").select(F.col("p_name").alias("value"))).select("text", "value", F.round("score", 6).alias("score"))
 
 
 @query("jon23_semi_and_anti", "select c_custkey, 'has' as kind from customer where c_custkey in (select o_custkey from orders) union all select c_custkey, 'none' from customer where c_custkey not in (select o_custkey from orders)")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import anomalies as N
 from ..operators import evaluation as V
 from ..operators import relations as R
+from ..operators.order_statistics import dense_rank_of_text
 from .base import query, table
 from .windowing import VOLATILE
 
@@ -15,6 +16,11 @@ def events(spark, sf):
     return table(spark, sf, "events")
 
 
+def half_up(column, n):
+    """Rounded by way of 12 decimals, so that a value on the edge between two roundings goes one way in every engine."""
+    return F.round(F.col(column).cast("decimal(30, 12)"), n).cast("double")
+
+
 def daily(spark, sf):
     """One value per event type and day, with the day number as position."""
     d = events(spark, sf).groupBy("event_type", F.to_date("ts").alias("day")).agg(F.sum("value").alias("v"))
@@ -88,10 +94,9 @@ def rel8(spark, sf):
     return R.pair_distance(R.aligned_pairs(daily(spark, sf), "event_type", "pos", "v")).select("a", "b", F.round("pearson", 6).alias("pearson"), F.round("euclidean", 4).alias("euclidean"), "n")
 
 
-@query("rel9_covariance", f"with {PAIRS} select a, b, round(corr(x, y) , 6) as covariance from pr group by all")
+@query("rel9_covariance", f"with {D}, z as (select event_type, pos, (v - avg(v) over (partition by event_type)) / stddev_pop(v) over (partition by event_type) as z from d) select a.event_type as a, b.event_type as b, round(covar_pop(a.z, b.z), 6) as covariance from z a join z b on a.pos = b.pos and a.event_type < b.event_type group by all")
 def rel9(spark, sf):
-    p = R.aligned_pairs(daily(spark, sf), "event_type", "pos", "v", scaled=True)
-    return p.groupBy("a", "b").agg(F.round(F.covar_pop("x", "y") / (F.stddev_pop("x") * F.stddev_pop("y")), 6).alias("covariance"))
+    return R.covariance(daily(spark, sf), "event_type", "pos", "v").withColumn("covariance", F.round("covariance", 6))
 
 
 @query("rel10_grouped_pairs", "with d as (select user_id % 3 as g, event_type, date_diff('day', date '2024-01-01', cast(ts as date)) as pos, sum(value) as v from events group by all) select a.g, a.event_type as a, b.event_type as b, round(corr(a.v, b.v), 6) as pearson from d a join d b on a.g = b.g and a.pos = b.pos and a.event_type < b.event_type group by all")
@@ -120,7 +125,7 @@ def vectors(spark, sf):
 
 
 _EV = "v as (select vec_id as id, list_transform(embedding, lambda x: cast(x as double)) as vector, label from embeddings), q as (select id as q, vector as query from v where id % 20 = 0)"
-_METRIC = {"cosine": "list_cosine_distance(vector, query)", "euclidean": "list_distance(vector, query)", "cityblock": "list_sum(list_transform(list_zip(vector, query), lambda z: abs(z[1] - z[2])))", "chebyshev": "list_max(list_transform(list_zip(vector, query), lambda z: abs(z[1] - z[2])))"}
+_METRIC = {"cosine": "list_cosine_distance(vector, query)", "euclidean": "list_distance(vector, query)", "cityblock": "list_sum(list_transform(list_zip(vector, query), lambda z: abs(z[1] - z[2])))", "chebyshev": "list_max(list_transform(list_zip(vector, query), lambda z: abs(z[1] - z[2])))", "correlation": "list_cosine_distance(list_transform(vector, lambda x: x - list_avg(vector)), list_transform(query, lambda x: x - list_avg(query)))"}
 
 
 def queries_of(spark, sf):
@@ -129,22 +134,14 @@ def queries_of(spark, sf):
 
 @query("emb1_nearest", f"with {_EV} " + " union all ".join(f"(select '{m}' as metric, q, id, round({e}, 5) as distance from q, v where q.q <> v.id qualify row_number() over (partition by q order by {e}, id) <= 3)" for m, e in _METRIC.items()))
 def emb1(spark, sf):
-    out = None
-    for m in _METRIC:
-        one = R.nearest_of(queries_of(spark, sf), vectors(spark, sf), m, 4).where("q <> id")
-        from pyspark.sql import Window
-
-        one = one.withColumn("p", F.row_number().over(Window.partitionBy("q").orderBy("distance", "id"))).where("p <= 3").select(F.lit(m).alias("metric"), "q", "id", F.round("distance", 5).alias("distance"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    near = R.nearest_by_metrics(queries_of(spark, sf), vectors(spark, sf), tuple(_METRIC), 3, apart=True)
+    return near.select("metric", "q", "id", F.round("distance", 5).alias("distance"))
 
 
 @query("emb2_dataset_relation", f"with {_EV}, c as (select label, i, avg(vector[i]) as m from v, unnest(range(1, 1 + (select len(vector) from v limit 1))) as t(i) group by all), k as (select label, list(m order by i) as c from c group by 1) select a.label as a, b.label as b, round(0.6 * list_cosine_similarity(a.c, b.c) - 0.4 * list_distance(a.c, b.c), 5) as relation from k a, k b")
 def emb2(spark, sf):
-    c = R.centroids(vectors(spark, sf), "vector", "label")
-    b = c.select(F.col("label").alias("b"), F.col("centroid").alias("cb"))
-    both = c.withColumnRenamed("label", "a").join(b)
-    d = lambda m: R.distance(F.col("centroid"), F.col("cb"), m)
+    both = R.class_pairs(R.centroids(vectors(spark, sf), "vector", "label"), "label", "centroid")
+    d = lambda m: R.distance(F.col("va"), F.col("vb"), m)
     return both.select("a", "b", F.round(0.6 * (1 - d("cosine")) - 0.4 * d("euclidean"), 5).alias("relation"))
 
 
@@ -171,11 +168,8 @@ def emb5c(spark, sf):
 
 @query("emb6_text_classes", "with c as (select p_partkey, lower(trim(split_part(p_name, ' ', 1))) as name from part) select p_partkey, name, dense_rank() over (order by name) as class from c")
 def emb6(spark, sf):
-    from pyspark.sql import Window
-
     c = table(spark, sf, "part").select("p_partkey", F.lower(F.trim(F.split_part("p_name", F.lit(" "), F.lit(1)))).alias("name"))
-    ranks = c.select("name").distinct().withColumn("class", F.row_number().over(Window.orderBy("name")).cast("long"))
-    return c.join(ranks, "name").select("p_partkey", "name", "class")
+    return c.join(dense_rank_of_text(c, "name", "class"), "name").select("p_partkey", "name", "class")
 
 
 @query("emb7_hash_classes", "select vec_id, cast('0x' || substring(md5(cast(vec_id as varchar)), 1, 8) as bigint) % 10 as class from embeddings")
@@ -185,8 +179,8 @@ def emb7(spark, sf):
 
 @query("emb8_cluster_distance", f"with {_EV} select q % 3 as ci, label as cj, round(avg(list_distance(vector, query)), 4) as mean from q, v group by all")
 def emb8(spark, sf):
-    pairs = vectors(spark, sf).join(queries_of(spark, sf))
-    return pairs.groupBy((F.col("q") % 3).alias("ci"), F.col("label").alias("cj")).agg(F.round(F.avg(R.distance(F.col("vector"), F.col("query"), "euclidean")), 4).alias("mean"))
+    asked = queries_of(spark, sf).select((F.col("q") % 3).alias("ci"), "query")
+    return R.grouped_distances(asked, vectors(spark, sf).select(F.col("label").alias("cj"), "vector")).withColumn("mean", F.round("mean", 4))
 
 
 @query("ano2_usable_series", "select user_id, event_id from events where user_id in (select user_id from events group by 1 having count(*) >= 20 and min(value) < max(value))")
@@ -223,14 +217,15 @@ def ano7(spark, sf):
     return N.concurrent(events(spark, sf).where("value > 120"), "ts", "event_type", "value", 21600, 3).withColumn("total", F.round("total", 3))
 
 
-@query("ano8_modified_z", "with m as (select event_type, median(value) as md from events group by 1), d as (select event_type, event_id, value, md from events join m using (event_type)), k as (select event_type, median(abs(value - md)) as mad from d group by 1) select event_id, round(0.6745 * (value - md) / mad, 5) as z, abs(0.6745 * (value - md) / mad) > 3.5 as anomalous from d join k using (event_type)")
+@query("ano8_modified_z", "with m as (select event_type, median(value) as md from events group by 1), d as (select event_type, event_id, value, md from events join m using (event_type)), k as (select event_type, median(abs(value - md)) as mad from d group by 1) select event_id, cast(round(cast(0.6745 * (value - md) / mad as decimal(30, 12)), 5) as double) as z, abs(0.6745 * (value - md) / mad) > 3.5 as anomalous from d join k using (event_type)")
 def ano8(spark, sf):
-    return N.modified_z(events(spark, sf), ["event_type"], "value", 3.5).select("event_id", F.round("z", 5).alias("z"), "anomalous")
+    return N.modified_z(events(spark, sf), ["event_type"], "value", 3.5).select("event_id", half_up("z", 5).alias("z"), "anomalous")
 
 
-@query("ano9_timestamp_union", "select date_trunc('hour', ts) as hour, max(value) as worst from events where value > 150 group by 1")
+@query("ano9_timestamp_union", "select date_trunc('hour', ts) as hour, count(distinct event_type) as channels, max(value) as worst from events where value > 150 group by 1")
 def ano9(spark, sf):
-    return events(spark, sf).where("value > 150").groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(F.max("value").alias("worst"))
+    found = events(spark, sf).where("value > 150").withColumn("hour", F.date_trunc("hour", "ts").cast("timestamp_ntz"))
+    return N.timestamp_union(found, "hour", "event_type", "value")
 
 
 def scored(spark, sf):
@@ -259,10 +254,9 @@ def evl3(spark, sf):
     return V.channel_metrics(scored(spark, sf).where("not history and forecast is not null"), []).select(F.round("mape", 3).alias("mape"), F.round("mdape", 4).alias("mdape"))
 
 
-@query("evl4_crps", "with m as (select user_id, list(value order by value) as x, len(list(value)) as n, 40.0 as y from events where event_id % 5 = 0 group by 1) select user_id, round(list_avg(list_transform(x, lambda v: abs(v - y))) - list_sum(list_transform(range(1, n + 1), lambda i: x[i] * (2 * i - n - 1))) / (n * n), 5) as crps from m")
+@query("evl4_crps", "with r as (select user_id, cast(value as decimal(28, 9)) as x, row_number() over (partition by user_id order by value) as i, count(*) over (partition by user_id) as n from events), s as (select user_id, any_value(n) as n, cast(sum(abs(x - 40)) as double) as g, cast(sum(x * cast(2 * i - n - 1 as decimal(9, 0))) as double) as s from r group by 1) select user_id, cast(round(cast(g / n - s / (cast(n as double) * n) as decimal(30, 12)), 5) as double) as crps from s")
 def evl4(spark, sf):
-    m = events(spark, sf).where("event_id % 5 = 0").groupBy("user_id").agg(F.collect_list("value").alias("x"))
-    return m.select("user_id", F.round(V.crps(F.col("x"), F.lit(40.0)), 5).alias("crps"))
+    return V.crps(events(spark, sf), ["user_id"], "value", 40.0).select("user_id", half_up("crps", 5).alias("crps"))
 
 
 @query("evl5_rollup", f"with {_SC}, u as (select user_id, avg(abs(actual - forecast)) as mae from tg group by 1) select round(avg(mae), 5) as mae, count(mae) as samples from u")

@@ -1,7 +1,7 @@
-"""Queries of sources, sinks, fixed-window streaming logic and scalar functions.
+"""Queries of sources, sinks, streaming jobs and scalar functions.
 
-The stream functions run here on the whole table as a batch; tests run them
-as streams."""
+Streaming jobs run as streams over the events as files, in append mode until
+all files are read, so their SQL counts what the watermark has closed by then."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from ..functions import clip, safe_divide
 from ..sources import readers as S
 from ..sources import writers as K
 from ..streaming import jobs
-from .base import query, table
+from .base import query, table, workspace
 from .windowing import WIN, event_windows
 
 
@@ -125,33 +125,55 @@ def snk5(spark, sf):
     return S.latest_rows(table(spark, sf, "orders"), ["o_custkey"], "o_orderkey").select("o_custkey", "o_orderkey")
 
 
-@query("str1_usage_counts", "select date_trunc('hour', ts) as start, event_type, count(*) as n, cast(sum(cast(json_extract_string(props, '$.k') as bigint)) as bigint) as k from events group by all")
+#: The events as a file stream: a pattern, so that it may be a file or a folder of files.
+EVENTS = "{}/events.parque[t]"
+#: What the watermark has passed once a stream has read the whole table.
+_CLOSED = "(select max(ts) from events) - interval {}"
+
+
+def streamed(spark, sf, name, job):
+    """A job over the events as a file stream, run over all that is there."""
+    path = workspace(spark, name)
+    return jobs.run_to_files(job(jobs.event_stream(spark, EVENTS.format(sf))), f"{path}/out", f"{path}/checkpoint")
+
+
+@query("str1_usage_counts", f"select date_trunc('hour', ts) as start, event_type, count(*) as n, cast(sum(cast(json_extract_string(props, '$.k') as bigint)) as bigint) as k from events group by all having date_trunc('hour', any_value(ts)) + interval 1 hour <= {_CLOSED.format('30 minute')}")
 def str1(spark, sf):
-    return jobs.usage_counts(events(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", "k")
+    """The counts that the stream has passed on: those of hours that the watermark has closed."""
+    return streamed(spark, sf, "str1", jobs.usage_counts).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", "k")
 
 
-@query("str2_payload_batch", "select event_id, value from events where event_type = 'click' and user_id % 5 = 0")
+@query("str2_payload_batch", "select event_id, value from events where event_type = 'click'")
 def str2(spark, sf):
-    posted = S.to_column_json(events(spark, sf).where("user_id % 5 = 0"), ["user_id"], "event_id", ["event_id", "event_type", "value"])
-    out = jobs.payload_batch(posted, ["event_id", "event_type", "value"], [{"event_type": ["click"]}], "event_id", ["event_type"], ["value"])
+    """Payloads posted by users, one a user and hour, through foreachBatch."""
+    columns = ["event_id", "event_type", "value"]
+
+    def each(batch):
+        posted = S.to_column_json(batch.withColumn("slot", F.date_trunc("hour", "ts")), ["user_id", "slot"], "event_id", columns)
+        return jobs.payload_batch(posted, columns, [{"event_type": ["click"]}], "event_id", ["event_type"], ["value"])
+
+    path = workspace(spark, "str2")
+    out = jobs.run_batches(jobs.event_stream(spark, EVENTS.format(sf)), each, f"{path}/out", f"{path}/checkpoint")
     return out.select(F.col("event_id").cast("long").alias("event_id"), "value")
 
 
-@query("str3_rolling_scores", "with b as (select event_type, avg(value) as mean, stddev_pop(value) / 4 as spread from events group by 1), w as (select date_trunc('hour', ts) - to_hours(cast(k as integer)) as start, event_type, avg(value) as m from events, (select unnest(range(0, 6)) as k) group by all) select start, event_type, round(abs(m - mean) / (spread + 1e-6), 4) as score from w join b using (event_type) where abs(m - mean) / (spread + 1e-6) > 1.0")
+@query("str3_rolling_scores", f"with b as (select event_type, avg(value) as mean, stddev_pop(value) / 4 as spread from events group by 1), w as (select date_trunc('hour', ts) - to_hours(cast(k as integer)) as start, event_type, avg(value) as m from events, (select unnest(range(0, 6)) as k) group by all having date_trunc('hour', any_value(ts)) - to_hours(cast(any_value(k) as integer)) + interval 6 hour <= {_CLOSED.format('1 hour')}) select start, event_type, round(abs(m - mean) / (spread + 1e-6), 4) as score from w join b using (event_type) where abs(m - mean) / (spread + 1e-6) > 1.0")
 def str3(spark, sf):
-    e = events(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
-    base = e.groupBy("event_type").agg(F.avg("value").alias("mean"), (F.stddev_pop("value") / 4).alias("spread"))
-    return jobs.rolling_scores(e, base).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", F.round("score", 4).alias("score"))
+    base = events(spark, sf).groupBy("event_type").agg(F.avg("value").alias("mean"), (F.stddev_pop("value") / 4).alias("spread"))
+    return streamed(spark, sf, "str3", lambda stream: jobs.rolling_scores(stream, base)).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", F.round("score", 4).alias("score"))
 
 
 @query("str4_without_repeats", "select distinct user_id, event_type, cast(floor(value) as bigint) as level from events")
 def str4(spark, sf):
-    return events(spark, sf).select("user_id", "event_type", F.floor("value").alias("level")).dropDuplicates(["user_id", "event_type", "level"])
+    """Repeats within 60 days, which is longer than the table."""
+    keys = ["user_id", "event_type", "level"]
+    return streamed(spark, sf, "str4", lambda stream: jobs.without_repeats(stream.withColumn("level", F.floor("value")), keys, "60 days")).select(*keys)
 
 
-@query("str5_sessions", "with g as (select user_id, ts, case when ts < lag(ts) over (partition by user_id order by ts) + interval 2 hour then 0 else 1 end as k from events), s as (select *, sum(k) over (partition by user_id order by ts rows unbounded preceding) as s from g) select user_id, min(ts) as start, max(ts) + interval 2 hour as \"end\", count(*) as n from s group by user_id, s")
+@query("str5_sessions", "with g as (select user_id, ts, case when ts < lag(ts) over (partition by user_id order by ts) + interval 2 hour then 0 else 1 end as k from events), s as (select *, sum(k) over (partition by user_id order by ts rows unbounded preceding) as s from g) select user_id, min(ts) as start, max(ts) + interval 2 hour as \"end\", count(*) as n from s group by user_id, s having max(ts) + interval 2 hour <= " + _CLOSED.format("1 hour"))
 def str5(spark, sf):
-    s = jobs.sessions(events(spark, sf).withColumn("ts", F.col("ts").cast("timestamp")))
+    """The sessions that the watermark has closed."""
+    s = streamed(spark, sf, "str5", jobs.sessions)
     return s.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
 
 
@@ -160,13 +182,14 @@ def fn1(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", safe_divide("l_quantity", "l_discount").alias("ratio"), clip(F.col("l_quantity"), 5.0, 40.0).alias("clipped"))
 
 
-@query("src4_catalog", "select user_id, count(*) as length, min(ts) as start from events group by 1")
+@query("src4_catalog", "select event_type, count(*) as length, min(ts) as start from events group by 1")
 def src4(spark, sf):
-    """Metadata records as JSON, parsed back: what a catalog reader does with each file."""
-    meta = events(spark, sf).groupBy("user_id").agg(F.count("*").alias("length"), F.date_format(F.min("ts"), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("start"))
-    record = meta.select(F.to_json(F.struct("user_id", "length", "start")).alias("j"))
-    parsed = record.select(F.from_json("j", "user_id long, length long, start string").alias("m")).select("m.*")
-    return parsed.withColumn("start", F.col("start").cast("timestamp_ntz"))
+    """One metadata file a series, as a catalog has them, read with the files' names."""
+    meta = events(spark, sf).groupBy("event_type").agg(F.count("*").alias("length"), F.date_format(F.min("ts"), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("start"))
+    path = workspace(spark, "src4")
+    meta.write.option("maxRecordsPerFile", 1).json(path)
+    found = S.catalog(spark, path).where("source_file is not null")
+    return found.select("event_type", F.col("length").cast("long").alias("length"), F.col("start").cast("timestamp_ntz").alias("start"))
 
 
 @query("src10_nested_to_wide", "select user_id, date_trunc('day', ts) as day, round(max(value) filter (event_type = 'click'), 4) as click, round(max(value) filter (event_type = 'error'), 4) as error from events where event_type in ('click', 'error') group by all")
@@ -185,7 +208,40 @@ def src15(spark, sf):
 
 @query("snk2_dataset_description", "select event_type, count(*) as rows, min(ts) as first, max(ts) as last from events where value > 10 group by 1")
 def snk2(spark, sf):
-    return events(spark, sf).where("value > 10").groupBy("event_type").agg(F.count("*").alias("rows"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+    """Each dataset saved in another format, with its description."""
+    kinds = {"click": "csv", "error": "json"}
+    kept, path, found = events(spark, sf).where("value > 10"), workspace(spark, "snk2"), None
+    for name in [r[0] for r in kept.select("event_type").distinct().orderBy("event_type").collect()]:  # names of event types
+        one = K.save_dataset(kept.where(F.col("event_type") == name), f"{path}/{name}", "ts", kinds.get(name, "parquet")).select(F.lit(name).alias("event_type"), "*")
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+@query("snk3_saved_samples", f"with {WIN}, a as (select event_type, window_idx, list(value order by step) as v from w group by all) select case when window_idx % 5 = 0 then 'val' else 'train' end as split, event_type, window_idx, v[1:18] as history, v[19:24] as target from a")
+def snk3(spark, sf):
+    from ..operators.windows import history_and_target, window_arrays
+
+    samples = history_and_target(window_arrays(event_windows(spark, sf), ["event_type"], ["value"]), "value", 18, 6).drop("value")
+    path = workspace(spark, "snk3")
+    K.save_samples(samples.withColumn("split", F.when(F.col("window_idx") % 5 == 0, "val").otherwise("train")), path)
+    return spark.read.parquet(path).select("split", "event_type", "window_idx", "history", "target")
+
+
+@query("snk6_saved_results", "select user_id, count(*) as n, min(value) as low, max(value) as high from events group by 1")
+def snk6(spark, sf):
+    results = events(spark, sf).groupBy("user_id").agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+    path = workspace(spark, "snk6")
+    K.save_results(results, path)
+    return K.load_results(spark, path, results.schema)
+
+
+@query("snk7_usage_rows", "select event_id as call_id, sha256(cast(user_id as varchar)) as user_key, event_type as endpoint, case when event_type = 'error' then 'failed' when value > 200 then 'rejected' else 'success' end as status from events")
+def snk7(spark, sf):
+    code = F.when(F.col("event_type") == "error", 500).when(F.col("value") > 200, 429).otherwise(200)
+    calls = events(spark, sf).select(F.col("event_id").alias("call_id"), "ts", F.col("user_id").alias("user"), F.col("event_type").alias("endpoint"), code.alias("code"), F.col("value").alias("seconds"))
+    path = workspace(spark, "snk7")
+    K.append_usage(calls, path)
+    return spark.read.parquet(path).select("call_id", "user_key", "endpoint", "status")
 
 
 @query("smp4_training_tables", f"with {WIN}, pk as (select *, row_number() over (order by md5(cast(event_type as varchar) || '|' || window_idx), event_type, window_idx) as r from (select distinct event_type, window_idx from w)) select event_type, window_idx, list(value order by step) as value, list(hour(ts) order by step) as hours from w semi join (select * from pk where r <= 50) using (event_type, window_idx) group by all")

@@ -150,8 +150,7 @@ def edt3(spark, sf):
 
 @query("edt5_edit_grid", f"with {WIN}, c as (select unnest([0, 1, 2]) as combo, unnest([1.0, 1.5, 2.0]) as factor) select event_type, combo * 100000 + window_idx as new_idx, round(sum(value * factor), 4) as total from w, c group by all")
 def edt5(spark, sf):
-    combos = spark.range(3).select(F.col("id").alias("combo"), (F.col("id") * 0.5 + 1).alias("factor"))
-    g = E.edit_grid(event_windows(spark, sf), combos, "value", 100000)
+    g = E.edit_grid(event_windows(spark, sf), [1.0, 1.5, 2.0], "value", 100000)
     return g.groupBy("event_type", "new_idx").agg(F.round(F.sum("value"), 4).alias("total"))
 
 

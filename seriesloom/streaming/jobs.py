@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +51,22 @@ def payload_batch(batch: DataFrame, columns: list[str], filters: list[dict[str,
     return merge_repeated(group_filter(typed, filters), ts, keys, "mean", numeric, [])
 
 
+def run_to_files(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Run a stream in append mode over what is there, written as Parquet by the executors, and read it back; a later call goes on from the checkpoint."""
+    stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
+def run_batches(stream: DataFrame, each: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> DataFrame:
+    """Run `each` over every micro-batch and append what it gives to a Parquet table, which is read back."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        each(batch).withColumn("batch", F.lit(number)).write.mode("append").parquet(path)
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.parquet(path)
+
+
 def run_to_table(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
     """Run a stream over what is there and read its in-memory result table (for tests and small reports)."""
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
