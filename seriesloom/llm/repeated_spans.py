@@ -2,16 +2,20 @@
 
 A byte goes if a 200-byte string that covers it also starts anywhere else.
 
-Suffixes are sampled by winnowing: every 200-byte window picks the 40-byte
-string in it with the smallest hash, so equal windows pick the same place.
-A suffix entry stands for one pick: the hash of the picked string (the sort
-key), and the hash of the context, that is, of all the bytes of the
-neighbouring windows that made the pick.
-
-New batches of documents get a sorted array of their entries. A batch is
-merge-scanned against each level of the index, a match being a key on both
-sides; then it becomes a level, and levels of equal size merge, so that there
-are never more levels than a logarithm of the batches.
+The suffix arrays are sparse. Suffixes are sampled by winnowing: every
+200-byte window picks the place in it whose next 40 bytes have the smallest
+hash, so equal windows pick the same suffix, and no repeated window goes
+without one. An array entry is a sampled suffix: its first HEAD bytes as they
+are (the sort key, as two whole numbers in byte order), the hash of its first
+40 bytes, and the hash of its context, that is, of all the bytes of the
+neighbouring windows that picked it; `n` says how often it stands in the array.
+
+A new batch of documents gets an array: entries dealt over partitions and in
+suffix order inside each. It is merge-scanned against each level of the index
+(a sort-merge join in suffix order); a long match is a suffix that shares its
+first 40 bytes with one on the other side or in its own batch. Then the batch
+becomes a level, and levels of equal size merge, so that there are never more
+levels than a logarithm of the batches.
 
 A context that occurs twice is repeated in full. Where only the key matches
 (at the ends of repeated spans), the windows of the contexts that share it
@@ -36,10 +40,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, lean, store, utf8
+from .shared import discard, documents, lean, store, utf8
 from .words import mix, powers, text_bytes
 
-SPAN, GRAM, SEGMENT, BATCHES, CROWD, FILTER_BITS = 200, 40, 1 << 20, 2, 20_000, 22
+SPAN, GRAM, SEGMENT, BATCHES, CROWD, FILTER_BITS = 200, 40, 1 << 20, 4, 1000, 22
+HEAD, SUFFIX = 16, ["head", "next", "key"]
 PLACE = np.uint64((1 << 21) - 1)
 
 
@@ -65,6 +70,14 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
 
 
+def _leading(data: np.ndarray, at: np.ndarray, skip: int, gram: int) -> np.ndarray:
+    """Bytes `skip` .. `skip` + 7 of each suffix as whole numbers that sort as the bytes do; zeros behind the first `gram` bytes."""
+    out = np.zeros(len(at), np.uint64)
+    for i in range(skip, skip + HEAD // 2):
+        out = out << np.uint64(8) | (data[at + i].astype(np.uint64) if i < gram else np.uint64(0))
+    return (out ^ np.uint64(1 << 63)).astype(np.int64)
+
+
 def picks(data: np.ndarray, begin: np.ndarray, end: np.ndarray, span: int, gram: int) -> tuple[np.ndarray, ...]:
     """For the texts data[begin:end], none shorter than `span`: text, pick, first and last window, key, context hash of every pick."""
     total, down = _prefix_hash(data)
@@ -106,48 +119,55 @@ def _entries(span: int, gram: int):
         for batch in batches:
             data, at = text_bytes(batch.column(2))
             for who, begin, end, base in _segments(data, at, span):
-                text, pick, first, last, key, context = picks(data[base : base + end[-1]], begin, end, span, gram)
+                part = data[base : base + end[-1]]
+                text, pick, first, last, key, context = picks(part, begin, end, span, gram)
+                head, behind = (_leading(part, pick, skip, gram) for skip in (0, HEAD // 2))
                 row = who[text]
                 place = pick + base - at[row]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(key.astype(np.int64)), pa.array(context.astype(np.int64)), pa.array(place), pa.array((pick - first).astype(np.int32)), pa.array((last - first).astype(np.int32))],
-                    ["id", "th", "key", "context", "pick", "back", "more"],
+                    [batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(head), pa.array(behind), pa.array(key.astype(np.int64)), pa.array(context.astype(np.int64)), pa.array(place), pa.array((pick - first).astype(np.int32)), pa.array((last - first).astype(np.int32))],
+                    ["id", "th", *SUFFIX, "context", "pick", "back", "more"],
                 )
 
     return rows
 
 
 class IndexFamily:
-    """Levels of sorted suffix entries (key, context, n), merged geometrically."""
+    """Levels of sparse suffix arrays (head, next, key, context, n), merged geometrically."""
 
     def __init__(self) -> None:
         self.levels: list[tuple[int, DataFrame]] = []
 
     def add(self, entries: DataFrame) -> DataFrame:
         """Index a batch; the keys of its long matches, inside it and with all earlier batches."""
-        array = self._sorted(entries.groupBy("key", "context").agg(F.count("*").alias("n")))
-        found = array.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
+        array = self._sorted(entries.groupBy(*SUFFIX, "context").agg(F.count("*").alias("n")))
+        found = array.groupBy(*SUFFIX).agg(F.sum("n").alias("n")).where("n > 1").select("key")
         for _, level in self.levels:
-            found = found.union(array.join(level.select("key"), "key", "left_semi").select("key"))
+            found = found.union(array.join(level.select(*SUFFIX).hint("merge"), SUFFIX, "left_semi").select("key"))
         found = store(found.distinct(), "op8-matches")
         size = 1
         while self.levels and self.levels[-1][0] == size:
             _, level = self.levels.pop()
-            array = self._sorted(level.unionByName(array).groupBy("key", "context").agg(F.sum("n").alias("n")))
-            size *= 2
+            merged = self._sorted(level.unionByName(array).groupBy(*SUFFIX, "context").agg(F.sum("n").alias("n")))
+            discard(level, array)
+            array, size = merged, size * 2
         self.levels.append((size, array))
         return found
 
     @staticmethod
     def _sorted(array: DataFrame) -> DataFrame:
-        return store(array.sortWithinPartitions("key", "context"), "op8-level")
+        return store(array.sortWithinPartitions(*SUFFIX, "context"), "op8-level")
 
     def entries(self) -> DataFrame:
         whole = self.levels[0][1]
         for _, level in self.levels[1:]:
             whole = whole.unionByName(level)
+        whole = whole.select("key", "context", "n")
         return whole if len(self.levels) == 1 else whole.groupBy("key", "context").agg(F.sum("n").alias("n"))
 
+    def drop(self) -> None:
+        discard(*[level for _, level in self.levels])
+
 
 def _contexts(span: int, crowded: bool):
     """Bytes of each wanted context, or, for crowded keys, the hashes of its windows."""
@@ -267,16 +287,20 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(source, spans, bits): the rows (id, th, text), the repeated stretches (id, th, lo, hi) in bytes, and the row filter of the latter."""
     source = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
-    entries = store(source.mapInArrow(lean(_entries(span, gram)), f"id {kind}, th long, key long, context long, pick long, back int, more int"), "op8-entries")
-    family, matches = IndexFamily(), None
+    entries = store(source.mapInArrow(lean(_entries(span, gram)), f"id {kind}, th long, head long, next long, key long, context long, pick long, back int, more int"), "op8-entries")
+    family, matches, found_in = IndexFamily(), None, []
     batch = F.pmod(F.xxhash64("id", "th"), F.lit(batches))
     for b in range(batches):
         found = family.add(entries.where(batch == b))
+        found_in.append(found)
         matches = found if matches is None else matches.union(found)
     classes = family.entries().join(matches.distinct(), "key", "left_semi")
     keys = classes.groupBy("key").agg(F.count("*").alias("contexts"))
     classes = store(classes.join(keys, "key"), "op8-classes")
+    family.drop()
+    discard(*found_in)
     own = store(entries.join(classes, ["key", "context"]).select("id", "th", "key", "context", "pick", "back", "more", "n", "contexts"), "op8-own")
+    discard(entries, classes)
     whole = own.where("n > 1").select("id", "th", (F.col("pick") - F.col("back")).alias("lo"), (F.col("pick") - F.col("back") + F.col("more") + span).alias("hi"))
     one = F.struct("id", "th", "pick", "back", "more")
     mates = own.where("n > 1 and contexts > 1").groupBy("key", "context", "contexts").agg(F.min(one).alias("one")).select("one.*", "key", "contexts", F.lit(True).alias("partner"))
@@ -299,6 +323,7 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         start = F.col("pick") - F.col("back")
         spans = spans.unionByName(each.where("not partner").join(again, ["key", "left", "window"]).groupBy("id", "th", "pick", "back").agg((start + F.min("i")).alias("lo"), (start + F.max("i") + span).alias("hi")).select("id", "th", "lo", "hi"))
     spans = store(spans, "op8-spans")
+    discard(own, wanted)
     return source, spans, _row_filter(spans)
 
 

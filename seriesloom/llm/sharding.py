@@ -2,7 +2,10 @@
 
 Every shard has `nodes` points on a ring of 2**32 places. A row hashes to
 the ring and goes clockwise to the first shard with room: no shard takes
-over (1 + slack) times the mean, so the law that holds is `bytes`.
+over (1 + slack) times the mean, so the law that holds is `bytes`. With one
+more shard, little more moves than its own share: with 1024 nodes and a slack
+of 0.002, 2.9 % of all bytes on the way from 40 to 41 shards, of which 2.4 % are
+the new shard's share (`tests/llm` measure it on a table).
 
 Where rows go is decided from a summary of fixed size: the bytes of 65,536
 ring cells, and the rows of at least 1/1000 of a shard, of which there are
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .shared import documents, store
 
-SHARDS, NODES, SLACK, HEAVY, CELL_BITS = 40, 512, 0.002, 1000, 16
+SHARDS, NODES, SLACK, HEAVY, CELL_BITS = 40, 1024, 0.002, 1000, 16
 COPIES = 1 << 16
 
 

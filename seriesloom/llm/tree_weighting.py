@@ -2,27 +2,25 @@
 
 A text is its lower-cased words, each followed by a space, and one end
 symbol. Every byte is eight binary decisions. A decision's context is the
-bytes before it, back to the space before its word and DEPTH bytes at most;
-at every context of every length stands a Krichevsky-Trofimov estimate, and
-the tree's weights mix the estimates of all lengths. The weight of a node
-follows from the training counts alone (the estimate's block probability
-against that of its children), so the model is a table of byte contexts that
-Spark gathers from all training rows. Where a context was never seen, the
-mixture goes on from the longest one that was.
-
-Since no context reaches past a word's own space, a word always has the
-same code length. So contexts are counted once per distinct word, words are
-scored once, and a text's score is the sum over its tokens.
-
-Above the tree stands one longest context, the whole word: with V distinct
-and N training tokens, a word of count c has (c + V * tree) / (N + V), which
-is a distribution over words as the tree is one. `tree_score` is the tree's
-part alone, and `bits_per_byte` its code length.
+DEPTH bytes before it, across words and spaces (end symbols stand before the
+first byte of a text); at the contexts of all lengths 0 .. DEPTH stand
+Krichevsky-Trofimov estimates, and the tree's weights mix the estimates of all
+lengths. The weight of a node follows from the training counts alone (the
+estimate's block probability against that of its children), so the model is a
+table of byte contexts that Spark gathers from all training rows. Where a
+context was never seen, the mixture goes on from the longest one that was.
+
+The score is the tree's: a distribution over texts. `bits_per_byte` is its
+code length over the text's bytes with one space a word and the end.
+
+Contexts are counted in each task before they are shuffled. Whole trees below
+one context of ROOT bytes are weighed in one task; what they pass on to the
+levels above is at most one row per node of two bytes, 2**24 in all.
 
 Tables that grow with the corpus (words, contexts) are never collected.
 Lookups take two ways: the entries that make up at least 1 / HEAVY of all
 lookups are at most HEAVY many and are broadcast; the others are joined.
-Words are joined by a 64-bit hash.
+Words are joined by a 64-bit hash; contexts by their bytes.
 
 Defined results: a null or empty text has one token, the end. A null doc_id
 counts as an empty id in the fold rule. Without training rows every known
@@ -42,10 +40,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .language_id import fold
-from .shared import documents, lean, store
-from .words import hash_spans, words_of
+from .shared import discard, documents, lean, store
+from .words import Words, hash_spans, mix, words_of
 
-DEPTH, ROOT, HEAVY, FLUSH = 6, 2, 1 << 21, 400_000
+DEPTH, ROOT, HEAVY, FLUSH, SPARE = 6, 3, 1 << 21, 400_000, 1 << 18
+HELD = 1 << 20
 END = 10
 LOG10 = np.log(10.0)
 
@@ -87,37 +86,60 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-# --- contexts: a code is context << 11 | length << 8 | symbol; a context's latest byte is its highest ---
-
-
-def word_codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of every byte of every word and of the space after it, and where each word's codes begin."""
-    column = column.cast(pa.large_binary())
-    offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
-    data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if len(column) else np.zeros(0, np.uint8)
-    at = offsets - offsets[0] + np.arange(len(column) + 1)  # with one space after each word
-    symbols = np.full(at[-1], 32, np.uint64)
-    inside = np.ones(at[-1], bool)
-    inside[at[1:] - 1] = False
-    symbols[inside] = data
-    position = np.arange(at[-1]) - np.repeat(at[:-1], np.diff(at))
-    padded = np.concatenate([np.full(DEPTH, 32, np.uint64), symbols])
-    length = np.minimum(position + 1, DEPTH)
-    context = np.zeros(at[-1], np.uint64)
-    for i in range(DEPTH):  # the byte i before the symbol; byte `position` before it is the space before the word
-        back = padded[DEPTH - 1 - i : DEPTH - 1 - i + len(symbols)]
-        context |= np.where(i < position, back, np.where(i == position, np.uint64(32), np.uint64(0))) << np.uint64(8 * (DEPTH - 1 - i))
-    return (context << np.uint64(11) | length.astype(np.uint64) << np.uint64(8) | symbols).astype(np.int64), at
+# --- contexts: a code is context << 8 | symbol; a context's latest byte is its highest ---
+
+
+def stream_codes(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of every byte of every row: of its words, of the space after each, and of the end; and how many each row has."""
+    words = np.diff(w.first_word)
+    sizes = w.ends - w.starts
+    whole = np.cumsum(sizes) - sizes
+    at = whole + np.arange(len(sizes)) + (DEPTH + 1) * np.repeat(np.arange(w.rows), words) + DEPTH  # DEPTH ends before each row and one behind it
+    text = np.full(int(sizes.sum()) + len(sizes) + (DEPTH + 1) * w.rows, END, np.uint8)
+    inner = np.arange(int(sizes.sum()))
+    text[inner + np.repeat(at - whole, sizes)] = w.data[inner + np.repeat(w.starts - whole, sizes)]
+    text[at + sizes] = 32
+    total = np.concatenate([[0], np.cumsum(sizes + 1)])
+    lengths = total[w.first_word[1:]] - total[w.first_word[:-1]] + 1
+    begins = np.cumsum(lengths + DEPTH) - lengths - DEPTH
+    wide = text.astype(np.int64)
+    codes = wide.copy()
+    for back in range(1, DEPTH + 1):
+        codes[back:] |= wide[:-back] << 8 * (DEPTH - back + 1)
+    valid = np.ones(len(text), bool)
+    valid[(begins[:, None] + np.arange(DEPTH)).ravel()] = False
+    return codes[valid], lengths
+
+
+def _merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Sorted distinct codes of several counts, with their sums."""
+    code, *counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(code, kind="stable")
+    code = code[order]
+    first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
+    return code[first], *(np.add.reduceat(c[order], first) if len(first) else c[:0] for c in counts)
 
 
 def _count_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(code, n, uses): how often each code stands in training rows and in all rows of this task."""
+    out = lambda found: pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["code", "n", "uses"])
+    held: list[tuple[np.ndarray, ...]] = []
     for batch in batches:
-        for lo in range(0, batch.num_rows, 100_000):
-            part = batch.slice(lo, 100_000)
-            codes, at = word_codes(part.column(0))
-            unique, inverse = np.unique(codes, return_inverse=True)
-            weight = np.repeat(part.column(1).to_numpy().astype(float), np.diff(at))
-            yield pa.RecordBatch.from_arrays([pa.array(unique), pa.array(np.bincount(inverse, weight, len(unique)).astype(np.int64)), pa.array(np.bincount(inverse, minlength=len(unique)))], ["code", "n", "uses"])
+        train = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+        for w in words_of(batch.column(0)):
+            codes, lengths = stream_codes(w)
+            marked = codes << 1 | np.repeat(train[w.first : w.first + w.rows], lengths)
+            marked.sort()
+            code = marked >> 1
+            first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+            held.append((code[first], np.add.reduceat(marked & 1, first), np.diff(np.append(first, len(code)))))
+            if sum(len(x[0]) for x in held) > 2 * HELD:
+                held = [_merged(held)]
+                if len(held[0][0]) > HELD:
+                    yield out(held[0])
+                    held = []
+    if held:
+        yield out(_merged(held))
 
 
 def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -139,32 +161,41 @@ def _lgamma(x: np.ndarray) -> np.ndarray:
 class Level:
     """Binary nodes of all contexts of one length: key = context << 8 | bits so far, with a leading one."""
 
-    def __init__(self, contexts: np.ndarray, symbols: np.ndarray, counts: np.ndarray, ends: np.ndarray, below: Level | None):
-        pair, where = np.unique(contexts << np.uint64(8) | symbols, return_inverse=True)
-        n = np.bincount(where, counts, len(pair))
-        keys, bits = [], []
-        for t in range(8):
-            keys.append(pair >> np.uint64(8) << np.uint64(8) | np.uint64(1 << t) | (pair & np.uint64(255)) >> np.uint64(8 - t))
-            bits.append(pair >> np.uint64(7 - t) & np.uint64(1))
-        self.keys, where_key = np.unique(np.concatenate(keys), return_inverse=True)
-        bits, n = np.concatenate(bits).astype(bool), np.tile(n, 8)
-        self.zeros, self.ones = np.bincount(where_key, n * ~bits, len(self.keys)), np.bincount(where_key, n * bits, len(self.keys))
-        kt = log_kt(self.zeros, self.ones)
+    def __init__(self, keys: np.ndarray, zeros: np.ndarray, ones: np.ndarray, children: np.ndarray | None = None):
+        """Sorted keys, counts, and the summed log-weights of each node's children (none at the greatest length)."""
+        kt = log_kt(zeros, ones)
+        self.keys, self.zeros, self.ones = keys, zeros, ones
         self.stop, self.log_w = np.ones(len(kt)), kt
-        if below is not None and len(below.keys):
-            parents = below.keys >> np.uint64(16) << np.uint64(8) | below.keys & np.uint64(255)
-            children = np.zeros(len(kt))
-            np.add.at(children, np.searchsorted(self.keys, parents), below.log_w)
-            inner = ~np.isin(self.keys >> np.uint64(8), ends)
-            mixed = np.logaddexp(kt, children) - np.log(2.0)
-            self.stop = np.where(inner, np.exp(np.minimum(0.0, kt - np.log(2.0) - mixed)), 1.0)
-            self.log_w = np.where(inner, mixed, kt)
+        if children is not None:
+            self.log_w = np.logaddexp(kt, children) - np.log(2.0)
+            self.stop = np.exp(np.minimum(0.0, kt - np.log(2.0) - self.log_w))
+
+    @classmethod
+    def deepest(cls, codes: np.ndarray, counts: np.ndarray) -> Level:
+        """Of sorted codes and their counts."""
+        keys, zeros, ones = [], [], []
+        context, symbol = codes >> 8 << 8, codes & 255
+        for t in range(8):
+            key, bit = context | 1 << t | symbol >> 8 - t, symbol >> 7 - t & 1
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+            if len(first):
+                keys.append(key[first]), zeros.append(np.add.reduceat(counts * (1 - bit), first)), ones.append(np.add.reduceat(counts * bit, first))
+        if not keys:
+            return cls(*(np.zeros(0, np.int64), np.zeros(0), np.zeros(0)))
+        every = np.concatenate(keys)
+        order = np.argsort(every)
+        return cls(every[order], np.concatenate(zeros)[order].astype(float), np.concatenate(ones)[order].astype(float))
+
+    def above(self) -> Level:
+        """The level whose contexts lack this one's earliest byte."""
+        parents, where = np.unique(self.keys >> 16 << 8 | self.keys & 255, return_inverse=True)
+        return Level(parents, *(np.bincount(where, x, len(parents)) for x in (self.zeros, self.ones, self.log_w)))
 
     def chance(self, contexts: np.ndarray, prefix: np.ndarray, bit: np.ndarray, deeper: np.ndarray) -> np.ndarray:
         """Mix this level's estimates with `deeper` (nan: no longer context was seen)."""
         if not len(self.keys):
             return deeper
-        keys = contexts << np.uint64(8) | prefix
+        keys = contexts << 8 | prefix
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         seen = self.keys[at] == keys
         own = (np.where(bit, self.ones[at], self.zeros[at]) + 0.5) / (self.zeros[at] + self.ones[at] + 1.0)
@@ -172,90 +203,47 @@ class Level:
         return np.where(seen, mixed, deeper)
 
 
-def _split(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    codes = codes.astype(np.uint64)
-    return codes >> np.uint64(11), (codes >> np.uint64(8) & np.uint64(7)).astype(np.int64), codes & np.uint64(255)
-
-
 def _levels(codes: np.ndarray, counts: np.ndarray, lowest: int) -> dict[int, Level]:
-    """Levels DEPTH .. lowest of the trees that the codes (of lengths >= lowest) make up."""
-    context, length, symbol = _split(codes[counts > 0])
-    counts, levels = counts[counts > 0], {}
-    for d in range(DEPTH, lowest - 1, -1):
-        here = length >= d
-        own = context[here] >> np.uint64(8 * (DEPTH - d))
-        ends = np.unique(context[length == d] >> np.uint64(8 * (DEPTH - d))) if d < DEPTH else own[:0]
-        levels[d] = Level(own, symbol[here], counts[here], ends, levels.get(d + 1))
+    """Levels DEPTH .. lowest of the trees that the sorted codes make up."""
+    levels = {DEPTH: Level.deepest(codes[counts > 0], counts[counts > 0])}
+    for d in range(DEPTH - 1, lowest - 1, -1):
+        levels[d] = levels[d + 1].above()
     return levels
 
 
-def _bits(symbol: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.uint64(1 << t) | symbol >> np.uint64(8 - t), (symbol >> np.uint64(7 - t) & np.uint64(1)).astype(bool)
-
-
 def code_scores(codes: np.ndarray, levels: dict[int, Level]) -> np.ndarray:
     """log10 of the mixed probability of each code's symbol in its context."""
-    context, length, symbol = _split(codes)
-    out = np.zeros(len(codes))
+    context, symbol, out = codes >> 8, codes & 255, np.zeros(len(codes))
     for t in range(8):
-        prefix, bit = _bits(symbol, t)
-        chance = np.full(len(codes), np.nan)
+        prefix, bit, chance = 1 << t | symbol >> 8 - t, (symbol >> 7 - t & 1).astype(bool), np.full(len(codes), np.nan)
         for d in sorted(levels, reverse=True):
-            here = np.flatnonzero(length >= d)
-            chance[here] = levels[d].chance(context[here] >> np.uint64(8 * (DEPTH - d)) if d else np.zeros(len(here), np.uint64), prefix[here], bit[here], chance[here])
+            chance = levels[d].chance(context >> 8 * (DEPTH - d), prefix, bit, chance)
         out += np.log(np.where(np.isnan(chance), 0.5, chance))
     return out / LOG10
 
 
-class Top:
-    """Levels 0 and 1, from the summed counts and weights of the contexts of length ROOT and from the codes of length 1."""
-
-    def __init__(self, roots: pd.DataFrame, short_codes: np.ndarray, short_counts: np.ndarray):
-        self.levels: dict[int, Level] = {}
-        below = _given(roots["key"].to_numpy().astype(np.uint64), roots["zeros"].to_numpy(), roots["ones"].to_numpy(), roots["log_w"].to_numpy())
-        _, _, symbol = _split(short_codes[short_counts > 0])
-        leaf = Level(np.full(len(symbol), 32, np.uint64), symbol, short_counts[short_counts > 0], symbol[:0], None)
-        for d in (1, 0):
-            parents, where = np.unique(below.keys >> np.uint64(16) << np.uint64(8) | below.keys & np.uint64(255), return_inverse=True)
-            level = _given(parents, np.bincount(where, below.zeros, len(parents)), np.bincount(where, below.ones, len(parents)), np.zeros(len(parents)))
-            kt, children = log_kt(level.zeros, level.ones), np.bincount(where, below.log_w, len(parents))
-            level.log_w = np.logaddexp(kt, children) - np.log(2.0)
-            level.stop = np.exp(np.minimum(0.0, kt - np.log(2.0) - level.log_w))
-            if d == 1:  # the space before a word: a context that nothing extends
-                keys = np.concatenate([level.keys, leaf.keys])
-                order = np.argsort(keys)
-                merged = _given(keys[order], *(np.concatenate([getattr(level, k), getattr(leaf, k)])[order] for k in ("zeros", "ones", "log_w")))
-                merged.stop = np.concatenate([level.stop, leaf.stop])[order]
-                level = merged
-            self.levels[d] = below = level
-
-
-def _given(keys: np.ndarray, zeros: np.ndarray, ones: np.ndarray, log_w: np.ndarray) -> Level:
-    level = Level.__new__(Level)
-    order = np.argsort(keys)
-    level.keys, level.zeros, level.ones, level.log_w, level.stop = keys[order], zeros[order].astype(float), ones[order].astype(float), log_w[order], np.ones(len(keys))
-    return level
-
-
-def _trees(batches: Iterator[pa.RecordBatch], spare: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _trees(batches: Iterator[pa.RecordBatch], spare: int = SPARE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Codes and counts of whole trees: rows come sorted by code, so the contexts of one root stand together."""
-    codes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    held, size = [], 0
     for batch in batches:
-        codes, counts = np.append(codes, batch.column(0).to_numpy()), np.append(counts, batch.column(1).to_numpy())
-        if len(codes) >= spare:
-            root = codes >> 11 + 8 * (DEPTH - ROOT)
+        if batch.num_rows:
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            size += batch.num_rows
+        if size >= spare:
+            codes, counts = (np.concatenate(x) for x in zip(*held, strict=True))
+            root = codes >> 8 * (DEPTH - ROOT + 1)
             cut = int(np.searchsorted(root, root[-1]))
             if cut:
                 yield codes[:cut], counts[:cut]
-                codes, counts = codes[cut:], counts[cut:]
-    if len(codes):
-        yield codes, counts
+            held, size = [(codes[cut:], counts[cut:])], 0 if cut else size - spare  # a root that is larger than that goes on whole
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
 
 def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for codes, counts in _trees(batches):
         level = _levels(codes, counts, ROOT)[ROOT]
-        yield pa.RecordBatch.from_arrays([pa.array(level.keys.astype(np.int64)), pa.array(level.zeros.astype(float)), pa.array(level.ones.astype(float)), pa.array(level.log_w)], ["key", "zeros", "ones", "log_w"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (level.keys, level.zeros, level.ones, level.log_w)], ["key", "zeros", "ones", "log_w"])
 
 
 def _heavy(table: DataFrame, weight: str, columns: list[str]) -> tuple[pd.DataFrame, Column]:
@@ -266,123 +254,144 @@ def _heavy(table: DataFrame, weight: str, columns: list[str]) -> tuple[pd.DataFr
     return found.sort_values(columns[0], ignore_index=True), F.col(weight) < least
 
 
-def word_scores(docs: DataFrame) -> tuple[DataFrame, int, int]:
-    """A table (h, word, c, every, score) of all words in `docs` (text, train), how many training rows there are, and the end's score (as a one-row table's value)."""
+class Lookup:
+    """Values of whole-number keys by open addressing; missing keys have no value."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(len(keys)).bit_length() + 1)
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, values.dtype)
+        at, left, self.probes = self._place(keys), np.arange(len(keys)), 0
+        while len(left):
+            free = self.keys[at] == -1
+            _, first = np.unique(at, return_index=True)
+            take = np.zeros(len(left), bool)
+            take[first] = True
+            take &= free
+            self.keys[at[take]], self.values[at[take]] = keys[left[take]], values[left[take]]
+            left, at = left[~take], at[~take] + 1 & (1 << self.bits) - 1
+            self.probes += 1
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return (mix(keys.astype(np.uint64)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where a key is held, and its value (0 elsewhere)."""
+        at = self._place(keys)
+        there = self.keys[at]
+        hit = there == keys
+        out = np.where(hit, self.values[at], 0)
+        open_ = np.flatnonzero(~hit & (there != -1))
+        for _ in range(self.probes):
+            if not len(open_):
+                break
+            at[open_] = at[open_] + 1 & (1 << self.bits) - 1
+            there = self.keys[at[open_]]
+            found = there == keys[open_]
+            hit[open_[found]], out[open_[found]] = True, self.values[at[open_[found]]]
+            open_ = open_[~found & (there != -1)]
+        return hit, out
+
+
+def context_scores(docs: DataFrame) -> DataFrame:
+    """(code, uses, score): every byte of `docs` (text, train) in its context, how often it stands in all rows, and the log10 of its probability under the tree of the training rows."""
     spark = docs.sparkSession
-    counted = docs.select("text", "train").mapInArrow(lean(_count_words), "word binary, h long, trained long, every long")
-    words = store(counted.groupBy("word").agg(F.any_value("h").alias("h"), F.sum("trained").alias("c"), F.sum("every").alias("every")), "op9-words")
-    ends = docs.where("train").count()
-    codes = store(words.select("word", "c").mapInArrow(lean(_count_codes), "code long, n long, uses long").groupBy("code").agg(F.sum("n").alias("n"), F.sum("uses").alias("uses")), "op9-codes")
-    short = codes.where(f"(code >> 8) % 8 < {ROOT}").select("code", "n").toPandas()  # one context: 256 symbols at most
-    end_code = 32 << 8 * (DEPTH - 1) + 11 | 1 << 8 | END
-    if not len(short) or end_code not in short["code"].to_numpy():
-        short = pd.concat([short, pd.DataFrame({"code": [end_code], "n": [0]})], ignore_index=True)
-    short.loc[short["code"] == end_code, "n"] += ends
-    root = F.shiftright("code", 11 + 8 * (DEPTH - ROOT))
-    trees = codes.where(f"(code >> 8) % 8 >= {ROOT}").select("code", "n", "uses").withColumn("root", root).repartition("root").sortWithinPartitions("code").drop("root")
-    roots = trees.select("code", "n").mapInArrow(lean(_roots), "key long, zeros double, ones double, log_w double").toPandas()  # 2**24 at most
-    top = Top(roots, short["code"].to_numpy(np.int64), short["n"].to_numpy(np.int64))
-    shared = spark.sparkContext.broadcast(top)
+    counted = docs.select("text", "train").mapInArrow(lean(_count_codes), "code long, n long, uses long")
+    codes = store(counted.groupBy("code").agg(F.sum("n").alias("n"), F.sum("uses").alias("uses")), "op9-codes")
+    trees = codes.withColumn("root", F.shiftright("code", 8 * (DEPTH - ROOT + 1))).repartition("root").sortWithinPartitions("code").select("code", "n")
+    roots = trees.mapInArrow(lean(_roots), "key long, zeros double, ones double, log_w double")
+    above = roots.groupBy(F.expr("shiftleft(shiftright(key, 16), 8) | (key & 255)").alias("key")).agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "log_w")])
+    above = above.toPandas().sort_values("key")  # nodes of two bytes: 2**24 at most
+    levels = {ROOT - 1: Level(above["key"].to_numpy(np.int64), *(above[c].to_numpy(float) for c in ("zeros", "ones", "log_w")))}
+    for d in range(ROOT - 2, -1, -1):
+        levels[d] = levels[d + 1].above()
+    shared = spark.sparkContext.broadcast(levels)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for codes, counts in _trees(batches):
-            found = code_scores(codes, _levels(codes, counts, ROOT) | shared.value.levels)
+            found = code_scores(codes, _levels(codes, counts, ROOT) | shared.value)
             yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(found)], ["code", "score"])
 
-    short_scores = code_scores(short["code"].to_numpy(np.int64), top.levels)
-    end_score = float(short_scores[short["code"].to_numpy() == end_code][0])
-    longer = trees.select("code", "n").mapInArrow(lean(scored), "code long, score double")
-    brief = spark.createDataFrame([(int(c), float(s)) for c, s in zip(short["code"], short_scores, strict=True)], "code long, score double")
-    by_code = store(codes.select("code", "uses").join(store(longer.unionByName(brief), "op9-scores"), "code"), "op9-scored")
-    heavy, others = _heavy(by_code, "uses", ["code", "score"])
-    table = spark.sparkContext.broadcast((heavy["code"].to_numpy(np.int64), heavy["score"].to_numpy(float)))
+    scores = store(trees.mapInArrow(lean(scored), "code long, score double"), "op9-scores")
+    found = store(codes.select("code", "uses").join(scores, "code"), "op9-contexts")
+    discard(codes, scores)
+    return found
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, scores = table.value
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 100_000):
-                part = batch.slice(lo, 100_000)
-                own, at = word_codes(part.column(1))
-                where = np.minimum(np.searchsorted(codes, own), max(len(codes) - 1, 0))
-                hit = codes[where] == own if len(codes) else np.zeros(len(own), bool)
-                total = np.concatenate([[0.0], np.cumsum(np.where(hit, scores[where] if len(codes) else 0.0, 0.0))])
-                missing = np.concatenate([[0], np.cumsum(~hit)])
-                rest = pa.ListArray.from_arrays(pa.array(missing[at].astype(np.int32)), pa.array(own[~hit]))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(total[at[1:]] - total[at[:-1]]), rest], ["h", "c", "every", "score", "rest"])
-
-    partly = store(words.select("h", "word", "c", "every").mapInArrow(lean(add), "h long, c long, every long, score double, rest array<long>"), "op9-partly")
-    rare = by_code.where(others).select("code", F.col("score").alias("add"))
-    more = partly.select("h", F.explode("rest").alias("code")).join(rare, "code").groupBy("h").agg(F.sum("add").alias("add"))
-    scored_words = partly.join(more, "h", "left").select("h", "c", "every", (F.col("score") + F.coalesce("add", F.lit(0.0))).alias("score"))
-    return store(scored_words, "op9-word-scores"), ends, end_score
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(h, c, every): the words of `docs` (text, train) by hash, their count in training rows and in all rows."""
+    counted = docs.select("text", "train").mapInArrow(lean(_count_words), "word binary, h long, trained long, every long")
+    words = counted.groupBy("word").agg(F.any_value("h").alias("h"), F.sum("trained").alias("c"), F.sum("every").alias("every"))
+    return store(words.select("h", "c", "every"), "op9-words")
 
 
 def score(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of `df`: id_col, train, n_tokens, n_known, train_tokens, base_score, score, tree_score, bits_per_byte."""
+    """One row per row of `df`: id_col, train, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
     spark = df.sparkSession
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), train.alias("train"))
-    words, ends, end_tree = word_scores(docs)
+    words, ends = word_counts(docs), docs.where("train").count()
     sums = words.agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
     n, v = (sums["n"] or 0) + ends, sums["v"] + (ends > 0)
 
     def base(c: Column) -> Column:
         return F.log10(c + 0.5) - F.log10(F.lit(n + 0.5 * (v + 1)))
 
-    def whole(c: Column, tree: Column) -> Column:
-        seen = F.log10(c + v * F.pow(F.lit(10.0), tree)) - F.log10(F.lit(float(max(n + v, 1))))
-        return F.when(c > 0, seen).otherwise(tree + F.log10(F.lit(v / (n + v) if v else 1.0)))
-
-    words = words.select("h", "c", "every", base(F.col("c")).alias("base"), whole(F.col("c"), F.col("score")).alias("score"), F.col("score").alias("tree"))
-    heavy, others = _heavy(words, "every", ["h", "c", "base", "score", "tree"])
-    table = spark.sparkContext.broadcast({k: heavy[k].to_numpy() for k in heavy.columns})
+    words = words.select("h", "c", "every", base(F.col("c")).alias("base"))
+    heavy, other_words = _heavy(words, "every", ["h", "c"])
+    contexts = context_scores(docs)
+    often, other_codes = _heavy(contexts, "uses", ["code", "score"])
+    tables = spark.sparkContext.broadcast((heavy["h"].to_numpy(np.int64), heavy["c"].to_numpy(np.int64), often["code"].to_numpy(np.int64), often["score"].to_numpy(np.float64)))
+    del heavy, often
+    floor = np.log10(n + 0.5 * (v + 1))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = table.value
+        h, c, code, value = tables.value
+        known, tree = Lookup(h, c), Lookup(code, value)
         for batch in batches:
-            out = {k: np.zeros(batch.num_rows, np.int64 if k in ("tokens", "bytes", "sure") else float) for k in ("tokens", "bytes", "sure", "base", "score", "tree")}
-            rest, sizes = [np.zeros(0, np.int64)], np.zeros(batch.num_rows, np.int64)
+            out = {k: np.zeros(batch.num_rows, np.int64 if k in ("tokens", "bytes", "sure") else float) for k in ("tokens", "bytes", "sure", "base", "score")}
+            rest = {k: ([np.zeros(0, np.int64)], np.zeros(batch.num_rows, np.int64)) for k in ("words", "codes")}
             for w in words_of(batch.column(1)):
-                unique, inverse = np.unique(hash_spans(w.data, w.starts, w.ends), return_inverse=True)
-                unique, here, (a, b) = unique.astype(np.int64), slice(w.first, w.first + w.rows), (w.first_word[:-1], w.first_word[1:])
-                where = np.minimum(np.searchsorted(known["h"], unique), max(len(known["h"]) - 1, 0))
-                hit = known["h"][where] == unique if len(known["h"]) else np.zeros(len(unique), bool)
-
-                def put(name: str, by_token: np.ndarray, a=a, b=b, here=here) -> None:
-                    total = np.concatenate([[0], np.cumsum(by_token)])
-                    out[name][here] = total[b] - total[a]
-
-                out["tokens"][here] = b - a
-                put("bytes", w.ends - w.starts + 1)
-                for name, values in (("sure", known["c"] > 0), ("base", known["base"]), ("score", known["score"]), ("tree", known["tree"])):
-                    put(name, (np.where(hit, values[where], 0) if len(known["h"]) else np.zeros(len(unique)))[inverse])
-                missing = ~hit[inverse] if len(unique) else np.zeros(0, bool)
-                rest.append(unique[inverse][missing])
-                total = np.concatenate([[0], np.cumsum(missing)])
-                sizes[here] = total[b] - total[a]
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate(rest)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(x) for x in out.values()), lists], ["id", "train", *out, "rest"])
+                here = slice(w.first, w.first + w.rows)
+                edge = w.first_word
+
+                def total(values: np.ndarray, edge: np.ndarray) -> np.ndarray:
+                    sums = np.concatenate([[0], np.cumsum(values)])
+                    return sums[edge[1:]] - sums[edge[:-1]]
+
+                hashes = hash_spans(w.data, w.starts, w.ends).astype(np.int64)
+                hit, count = known.find(hashes)
+                out["tokens"][here], out["sure"][here] = np.diff(edge), total(count > 0, edge)
+                out["base"][here] = total(np.where(hit, np.log10(count + 0.5) - floor, 0.0), edge)
+                rest["words"][0].append(hashes[~hit])
+                rest["words"][1][here] = total(~hit, edge)
+                codes, lengths = stream_codes(w)
+                ends_at = np.concatenate([[0], np.cumsum(lengths)])
+                hit, logs = tree.find(codes)
+                out["bytes"][here], out["score"][here] = lengths, total(logs, ends_at)
+                rest["codes"][0].append(codes[~hit])
+                rest["codes"][1][here] = total(~hit, ends_at)
+            lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate(parts))) for parts, sizes in rest.values()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(x) for x in out.values()), *lists], ["id", "train", *out, *rest])
 
     kind = docs.schema["id"].dataType.simpleString()
-    partly = docs.mapInArrow(lean(rows), f"id {kind}, train boolean, tokens long, bytes long, sure long, base double, score double, tree double, rest array<long>")
+    partly = docs.mapInArrow(lean(rows), f"id {kind}, train boolean, tokens long, bytes long, sure long, base double, score double, words array<long>, codes array<long>")
     partly = store(partly.withColumn("rid", F.monotonically_increasing_id()), "op9-docs")
-    rare = words.where(others).select("h", F.col("c").alias("_c"), F.col("base").alias("_base"), F.col("score").alias("_score"), F.col("tree").alias("_tree"))
-    found = partly.select("rid", F.explode("rest").alias("h")).join(rare, "h")
-    more = found.groupBy("rid").agg(*[F.sum(c).alias(c) for c in ("_base", "_score", "_tree")], F.count(F.when(F.col("_c") > 0, 1)).alias("_sure"))
-    end = F.lit(float(ends))
+    rare_words = words.where(other_words).select("h", F.col("c").alias("_c"), F.col("base").alias("_base"))
+    of_words = partly.select("rid", F.explode("words").alias("h")).join(rare_words, "h").groupBy("rid").agg(F.sum("_base").alias("_base"), F.count(F.when(F.col("_c") > 0, 1)).alias("_sure"))
+    rare_codes = contexts.where(other_codes).select("code", F.col("score").alias("_score"))
+    of_codes = partly.select("rid", F.explode("codes").alias("code")).join(rare_codes, "code").groupBy("rid").agg(F.sum("_score").alias("_score"))
 
-    def total(name: str, last: Column) -> Column:
-        return F.col(name) + F.coalesce("_" + name, F.lit(0)) + last
+    def total(name: str) -> Column:
+        return F.col(name) + F.coalesce("_" + name, F.lit(0))
 
     return (
-        partly.drop("rest").join(more, "rid", "left").withColumn("tree", total("tree", F.lit(end_tree)))
+        partly.drop("words", "codes").join(of_words, "rid", "left").join(of_codes, "rid", "left")
         .select(
-            F.col("id").alias(id_col), "train", (F.col("tokens") + 1).alias("n_tokens"), total("sure", F.lit(int(ends > 0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-            total("base", base(end)).alias("base_score"), total("score", whole(end, F.lit(end_tree))).alias("score"),
-            F.col("tree").alias("tree_score"), (F.col("tree") / (F.col("bytes") + 1) * -float(np.log2(10.0))).alias("bits_per_byte"),
+            F.col("id").alias(id_col), "train", (F.col("tokens") + 1).alias("n_tokens"), (total("sure") + int(ends > 0)).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
+            (total("base") + base(F.lit(float(ends)))).alias("base_score"), total("score").alias("score"), (total("score") / F.col("bytes") * -float(np.log2(10.0))).alias("bits_per_byte"),
         )
     )
 
 
 def op9_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = score(documents(spark, sf_dir), fold(F.col("doc_id"), 5) != 1)
-    return found.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "tree_score", "bits_per_byte")
+    return found.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
