@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import aggregating, filtering, joining, judging, reading, shaping, timing, windowing  # noqa: F401
+from . import aggregating, filtering, joining, judging, plugging, reading, shaping, timing, windowing  # noqa: F401
 from .base import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL", "flagship"]
