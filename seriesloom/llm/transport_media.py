@@ -3,9 +3,12 @@
 `encode_media` stores each payload as a transport stream: a program
 association table and a program map table before every random-access point,
 and the payload as time-stamped PES packets (access units) on one
-elementary PID. `decode_media` reads stored bytes back: it parses the
-program tables, checks the continuity counters, reassembles the PES packets
-and lists their timestamps and random-access points.
+elementary PID. `decode_media` reads stored bytes back, its own or those of
+other encoders: it parses the program tables (of any number of packets), checks
+the continuity counters (with packets sent twice, packets without payload and
+marked discontinuities), reassembles the PES packets (also those without a
+length) and lists their timestamps and random-access points. Null packets and
+PIDs that no program lists are passed over.
 
 The payload of the query is the text in UTF-8 (null: empty) with zero bytes
 up to a positive multiple of 64, so an empty text stores 64 zero bytes.
@@ -101,56 +104,82 @@ def mux(payload: bytes) -> bytes:
     return b"".join(out)
 
 
-def _section_of(packets: np.ndarray, pid: np.ndarray, wanted: int) -> bytes:
-    """The section in the first packet of a PID, its CRC checked."""
-    found = np.flatnonzero(pid == wanted)
+def _payloads(packets: np.ndarray) -> np.ndarray:
+    """Where the payload of each packet begins, 188 where it has none."""
+    start = np.where(packets[:, 3] & 0x20, 5 + packets[:, 4].astype(np.int32), 4)
+    return np.where(packets[:, 3] & 0x10, np.minimum(start, PACKET), PACKET)
+
+
+def _in_order(packets: np.ndarray) -> tuple[np.ndarray, int]:
+    """The packets of one PID without those that are sent twice, and how often the continuity counter breaks.
+
+    A counter goes up by one with each payload and stays without; a packet may be sent twice; a discontinuity indicator allows any jump."""
+    if len(packets) < 2:
+        return packets, 0
+    step = (packets[1:, 3].astype(np.int16) - packets[:-1, 3]) & 15
+    carries = (packets[1:, 3] & 0x10) != 0
+    twice = (step == 0) & carries & (packets[1:] == packets[:-1]).all(axis=1)
+    jumps = ((packets[1:, 3] & 0x20) != 0) & (packets[1:, 4] > 0) & ((packets[1:, 5] & 0x80) != 0)
+    broken = ~(twice | jumps | (step == carries))
+    return packets[np.concatenate([[True], ~twice])], int(broken.sum())
+
+
+def _section_of(packets: np.ndarray, start: np.ndarray) -> bytes:
+    """The first section in the packets of a PID, however many it spans, its CRC checked."""
+    found = np.flatnonzero((packets[:, 1] & 0x40 != 0) & (start < PACKET))
     if not len(found):
-        raise ValueError(f"no packet has PID {wanted}")
-    raw = packets[found[0]].tobytes()
-    at = 5 + raw[4] + (raw[4] + 1 if raw[3] & 0x20 else 0) if not raw[3] & 0x20 else 6 + raw[4]
-    length = int.from_bytes(raw[at + 1 : at + 3], "big") & 0x0FFF
-    section = raw[at : at + 3 + length]
+        raise ValueError("no packet begins a program table")
+    raw = b"".join(packets[k, start[k] :].tobytes() for k in range(found[0], min(len(packets), found[0] + 8)))  # a section has 1024 bytes at most
+    raw = raw[1 + raw[0] :]
+    section = raw[: 3 + (int.from_bytes(raw[1:3], "big") & 0x0FFF)]
     if crc32_mpeg(section[:-4]) != int.from_bytes(section[-4:], "big"):
         raise ValueError("a program table has a wrong checksum")
     return section
 
 
 def demux(media: bytes) -> dict:
-    """payload, times (90 kHz ticks), entries (units that are random-access
-    points), packets, and errors (breaks of a continuity counter)."""
+    """Of the first elementary stream of the first program: payload, times (90 kHz ticks, -1 for a unit without one), entries (units that are
+    random-access points); and packets, and errors (breaks of a continuity counter) of the tables and all elementary streams."""
     packets = np.frombuffer(media, np.uint8).reshape(-1, PACKET)
     if len(packets) == 0 or (packets[:, 0] != SYNC).any():
         raise ValueError("not a transport stream")
     pid = (packets[:, 1].astype(np.int32) & 31) << 8 | packets[:, 2]
-    pat = _section_of(packets, pid, 0)
+    streams, errors = {}, 0
+
+    def read(one: int) -> tuple[np.ndarray, np.ndarray]:
+        nonlocal errors
+        if one not in streams:
+            own, broken = _in_order(packets[pid == one])
+            errors += broken
+            streams[one] = own, _payloads(own)
+        return streams[one]
+
+    pat = _section_of(*read(0))
     programs = {int.from_bytes(pat[i : i + 2], "big"): int.from_bytes(pat[i + 2 : i + 4], "big") & 0x1FFF for i in range(8, len(pat) - 4, 4)}
     program = min(n for n in programs if n)
-    pmt = _section_of(packets, pid, programs[program])
-    at, streams = 12 + (int.from_bytes(pmt[10:12], "big") & 0x0FFF), []
+    pmt = _section_of(*read(programs[program]))
+    at, media_pids = 12 + (int.from_bytes(pmt[10:12], "big") & 0x0FFF), []
     while at < len(pmt) - 4:
-        streams.append((pmt[at], int.from_bytes(pmt[at + 1 : at + 3], "big") & 0x1FFF))
+        media_pids.append(int.from_bytes(pmt[at + 1 : at + 3], "big") & 0x1FFF)
         at += 5 + (int.from_bytes(pmt[at + 3 : at + 5], "big") & 0x0FFF)
-    errors = 0
-    for one in (0, programs[program], *(p for _, p in streams)):
-        counters = packets[pid == one, 3].astype(np.int16) & 15
-        errors += int(((np.diff(counters) - 1) % 16 != 0).sum())
-    own = packets[pid == streams[0][1]]
-    has_field = (own[:, 3] & 0x20) != 0
-    start = np.where(has_field, 5 + own[:, 4].astype(np.int32), 4)
+    for one in media_pids:
+        read(one)
+    own, start = read(media_pids[0])
     data = own[np.arange(PACKET)[None, :] >= start[:, None]].tobytes()
     ends = np.cumsum(PACKET - start)
-    first = np.flatnonzero(own[:, 1] & 0x40)
-    begins = np.where(first > 0, ends[first - 1], 0)
+    first = np.flatnonzero((own[:, 1] & 0x40 != 0) & (start < PACKET))
+    begins = ends[first] - (PACKET - start[first])
+    stops = np.append(begins[1:], len(data))
     payload, times = [], []
-    for b in begins.tolist():
+    for b, stop in zip(begins.tolist(), stops.tolist(), strict=True):
         if data[b : b + 3] != b"\x00\x00\x01":
             raise ValueError("no start code where a PES packet begins")
         length = int.from_bytes(data[b + 4 : b + 6], "big")
         s = data[b + 9 : b + 14]
-        times.append((s[0] >> 1 & 7) << 30 | s[1] << 22 | s[2] >> 1 << 15 | s[3] << 7 | s[4] >> 1)
-        payload.append(data[b + 9 + data[b + 8] : b + 6 + length])
-    entries = np.flatnonzero(has_field[first] & (start[first] > 5) & ((own[first, 5] & 0x40) != 0))
-    return {"payload": b"".join(payload), "times": times, "entries": entries.tolist(), "packets": len(packets), "errors": errors, "program": program, "pid": streams[0][1]}
+        times.append((s[0] >> 1 & 7) << 30 | s[1] << 22 | s[2] >> 1 << 15 | s[3] << 7 | s[4] >> 1 if data[b + 7] & 0x80 else -1)
+        payload.append(data[b + 9 + data[b + 8] : b + 6 + length if length else stop])  # length 0: up to the next one
+    entries = np.flatnonzero((own[first, 3] & 0x20 != 0) & (own[first, 4] > 0) & (own[first, 5] & 0x40 != 0))
+    return {"payload": b"".join(payload), "times": times, "entries": entries.tolist(), "packets": len(packets), "errors": errors, "program": program, "pid": media_pids[0]}
 
 
 def padded(text: bytes) -> bytes:

@@ -157,6 +157,32 @@ def test_media_columns(docs, none):
     assert transport_media.decode_media(transport_media.encode_media(none)).count() == 0
 
 
+def test_streams_of_other_encoders_are_read():
+    P = transport_media.PACKET
+    head = lambda pid, counter, control, start=False: bytes([0x47, (0x40 if start else 0) | pid >> 8, pid & 255, control << 4 | counter & 15])
+    pat = transport_media._section(0, 1, (1).to_bytes(2, "big") + (0xE000 | 0x20).to_bytes(2, "big"))
+    about = b"\x05" + bytes([250]) + bytes(250)  # a descriptor that makes the table span two packets
+    pmt = transport_media._section(2, 1, (0xE000 | 0x30).to_bytes(2, "big") + b"\xf0\x00" + bytes([0x1B]) + (0xE000 | 0x30).to_bytes(2, "big") + (0xF000 | len(about)).to_bytes(2, "big") + about)
+    out = [(head(0, 3, 1, True) + b"\x00" + pat).ljust(P, b"\xff"), head(0x1FFF, 0, 1).ljust(P, b"\xff")]
+    table = b"\x00" + pmt
+    out += [(head(0x20, k, 1, k == 0) + table[184 * k : 184 * k + 184]).ljust(P, b"\xff") for k in range(2)]
+    one = b"\x00\x00\x01\xe0\x00\x00\x80\x80\x05" + transport_media._stamp(5_000_000_000) + b"A" * 170  # without a length
+    two = b"\x00\x00\x01\xe0\x00\x00\x80\x00\x00" + b"B" * 175  # without a time
+
+    def packet(counter, part, flags=0, start=False):
+        space = P - 4 - len(part)
+        return head(0x30, counter, 3, start) + bytes([space - 1]) + (bytes([flags]) + b"\xff" * (space - 2))[: space - 1] + part
+
+    first = packet(7, one[:100], 0x40, True)
+    out += [first, first, head(0x30, 7, 2) + bytes([183, 0]) + b"\xff" * 182, packet(8, one[100:]), head(0x77, 1, 1).ljust(P, b"\0")]
+    out += [packet(2, two[:90], 0x80, True), packet(3, two[90:])]  # a marked discontinuity
+    found = transport_media.demux(b"".join(out))
+    assert found["payload"] == b"A" * 170 + b"B" * 175 and found["errors"] == 0 and found["entries"] == [0]
+    assert found["times"] == [5_000_000_000 & (1 << 33) - 1, -1] and found["pid"] == 0x30
+    lost = transport_media.demux(b"".join([*out[:-1], packet(5, two[90:])]))
+    assert lost["errors"] == 1
+
+
 # --- op3 ---
 
 
