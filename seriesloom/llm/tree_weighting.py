@@ -18,8 +18,8 @@ one context of ROOT bytes are weighed in one task; what they pass on to the
 levels above is at most one row per node of two bytes, 2**24 in all.
 
 Tables that grow with the corpus (words, contexts) are never collected.
-Lookups take two ways: the entries that make up at least 1 / HEAVY of all
-lookups are at most HEAVY many and are broadcast; the others are joined.
+Lookups take two ways: the entries that are looked up most often, HEAVY many
+at most, are broadcast; the others are joined.
 Words are joined by a 64-bit hash; contexts by their bytes.
 
 Defined results: a null or empty text has one token, the end. A null doc_id
@@ -44,7 +44,7 @@ from .shared import discard, documents, lean, store
 from .words import Words, hash_spans, mix, words_of
 
 DEPTH, ROOT, HEAVY, FLUSH, SPARE = 6, 3, 1 << 21, 400_000, 1 << 18
-HELD = 1 << 20
+HELD = 1 << 21
 END = 10
 LOG10 = np.log(10.0)
 
@@ -247,9 +247,15 @@ def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _heavy(table: DataFrame, weight: str, columns: list[str]) -> tuple[pd.DataFrame, Column]:
-    """The rows of at least 1 / HEAVY of the summed weight, HEAVY at most, sorted by their first column; and the condition for the others."""
-    total = table.agg(F.sum(weight)).first()[0] or 0
-    least = max(1, -(-total // HEAVY))
+    """The rows of the greatest weights, as many as HEAVY allows, sorted by their first column; and the condition for the others."""
+    octave = F.floor(F.log2(weight) * 8)  # eight steps to a doubling: a few hundred groups
+    steps = table.where(F.col(weight) > 0).groupBy(octave.alias("step")).agg(F.count("*").alias("n"), F.min(weight).alias("least")).collect()
+    least, rows = 1 << 62, 0
+    for one in sorted(steps, key=lambda r: -r["step"]):
+        rows += one["n"]
+        if rows > HEAVY:
+            break
+        least = one["least"]
     found = table.where(F.col(weight) >= least).select(*columns).toPandas()
     return found.sort_values(columns[0], ignore_index=True), F.col(weight) < least
 
