@@ -43,7 +43,7 @@ from .language_id import fold
 from .shared import discard, documents, lean, store
 from .words import Words, hash_spans, mix, words_of
 
-DEPTH, ROOT, HEAVY, FLUSH, SPARE = 6, 3, 1 << 21, 400_000, 1 << 18
+DEPTH, ROOT, HEAVY, FLUSH, SPARE = 5, 3, 1 << 20, 400_000, 1 << 18
 HELD = 1 << 21
 END = 10
 LOG10 = np.log(10.0)
