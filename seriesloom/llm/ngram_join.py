@@ -12,7 +12,9 @@
    if they share `SHARED` tokens or more and the sizes can match.
 
 So every pair that may link either lies in one tied group or is compared in
-full; no link is lost. Groups are opened in chunks of bounded size. Of the
+full; no link is lost. Groups are opened in chunks of bounded size, and the
+queries of a group are dealt over chunks of their own, so a task holds a chunk
+of members and sees a chunk of queries. Of the
 links found in a chunk, those between nodes that it has joined already are
 not passed on, so a chunk never emits more links than it has nodes. The order uses
 token counts of all rows, gathered in a sketch of fixed size; the counts
@@ -41,7 +43,7 @@ from .components import components
 from .shared import boxed, discard, documents, lean, store, unboxed
 from .words import mix, shingle_sets
 
-SHARED, KEYS, CHUNK, SKETCH_BITS = 4, 3, 250_000, 18
+SHARED, KEYS, CHUNK, QUERIES, SKETCH_BITS = 4, 3, 100_000, 2000, 18
 
 
 def _sets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -243,13 +245,17 @@ def link_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     discard(ours, matrix)
     second = first.limit(0)
     if not opened.isEmpty():
-        wide = store(opened.join(grouped.select("grp", "chunks").distinct(), "grp"), "op1-wide")
-        ask = wide.select(F.lit(0).alias("key"), "grp", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("role"), F.col("q").alias("node"))
-        shown = grouped.join(wide.select("grp").distinct(), "grp").select(F.lit(0).alias("key"), "grp", F.pmod(F.xxhash64("node"), F.col("chunks").cast("long")).cast("int").alias("chunk"), F.lit(0).alias("role"), "node")
+        asked = store(opened.groupBy("grp").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts")), "op1-asked")
+        wide = store(opened.join(asked, "grp").join(grouped.select("grp", "chunks").distinct(), "grp"), "op1-wide")
+        dealt = lambda n: F.pmod(F.xxhash64("node"), F.col(n).cast("long")).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        ask = wide.withColumnRenamed("q", "node").withColumn("own", dealt("parts")).withColumn("chunk", every("chunks")).withColumn("role", F.lit(1))
+        shown = grouped.join(asked, "grp").withColumn("chunk", dealt("chunks")).withColumn("own", every("parts")).withColumn("role", F.lit(0))
+        ask, shown = (x.select(F.lit(0).alias("key"), "grp", (F.col("chunk") * F.col("parts") + F.col("own")).alias("chunk"), "role", "node") for x in (ask, shown))
         ask = store(ask.unionByName(shown), "op1-ask")
         texts = store(_texts(source, nodes.join(ask.select("node").distinct(), "node")), "op1-texts")
         second = store(_open(ask.join(texts, "node"), width, most), "op1-second")
-        discard(wide, ask, texts)
+        discard(asked, wide, ask, texts)
     final = components(first.unionByName(second))
     classes = rows.select("id", "h", "n", "node").join(final, "node", "left").select("id", "h", "n", F.when(F.col("n") > 0, F.coalesce("comp", "node")).alias("class"))
     classes = store(classes, "op1-classes")

@@ -93,8 +93,10 @@ def test_long_words_and_small_windows(monkeypatch):
 # --- op1 ---
 
 
-@pytest.mark.parametrize(("width", "most"), [(3, (90, 100)), (5, (80, 100))])
-def test_ngram_join(spark, docs, width, most):
+@pytest.mark.parametrize(("width", "most", "chunk"), [(3, (90, 100), 100_000), (5, (80, 100), 100)])
+def test_ngram_join(spark, monkeypatch, width, most, chunk):
+    monkeypatch.setattr(ngram_join, "CHUNK", chunk)  # groups of several chunks, and queries dealt over chunks
+    monkeypatch.setattr(ngram_join, "QUERIES", chunk // 50)
     r = rows()
     for k in range(30):  # a cluster of near copies, and texts that share a passage
         w = prose(80, 100).split()
@@ -635,7 +637,7 @@ def brute_tree_score(train, text):
     return total
 
 
-@pytest.mark.parametrize("heavy", [16, 1 << 21])
+@pytest.mark.parametrize("heavy", [16, 1 << 20])
 def test_tree_scores_against_brute_force(spark, monkeypatch, heavy):
     monkeypatch.setattr(tree_weighting, "HEAVY", heavy)
     texts = [(i, t) for i, t in enumerate([prose(30, 70), "the cat sat", "the cat sat on the mat", None, "", "mat the on sat cat the", "añ ß", "The  Cat\nsat", prose(25, 71), "zz" * 40])]
