@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from .shared import discard, documents, lean, store, utf8
 from .words import mix, powers, text_bytes
 
-SPAN, GRAM, SEGMENT, BATCHES, CROWD, FILTER_BITS = 200, 40, 1 << 20, 4, 1000, 22
+SPAN, GRAM, SEGMENT, BATCHES, CROWD, FILTER_BITS = 200, 40, 1 << 20, 4, 20_000, 22
 HEAD, SUFFIX = 16, ["head", "next", "key"]
 PLACE = np.uint64((1 << 21) - 1)
 
