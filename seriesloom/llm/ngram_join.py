@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import boxed, discard, documents, lean, store, unboxed
+from .shared import boxed, discard, documents, gathered, lean, store, unboxed
 from .words import mix, shingle_sets
 
 SHARED, KEYS, CHUNK, QUERIES, SKETCH_BITS = 4, 3, 100_000, 2000, 18
@@ -84,9 +84,9 @@ def _sketch(df: DataFrame, width: int) -> np.ndarray:
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(total[found])], ["range", "n"])
 
-    counts = df.mapInArrow(lean(count), "range int, n long").groupBy("range").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(size, np.int64)
-    out[counts["range"].to_numpy()] = counts["n"].to_numpy()
+    counts = df.mapInArrow(lean(count), "range int, n long").groupBy("range").agg(F.sum("n").alias("n"))
+    counts, out = gathered(counts), np.zeros(size, np.int64)
+    out[counts["range"]] = counts["n"]
     return out
 
 

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import discard, documents, lean, store, utf8
+from .shared import discard, documents, gathered, lean, store, utf8
 from .words import mix, powers, text_bytes
 
 SPAN, GRAM, SEGMENT, BATCHES, CROWD, FILTER_BITS = 200, 40, 1 << 20, 4, 20_000, 22
@@ -265,7 +265,7 @@ def _row_filter(wanted: DataFrame) -> np.ndarray:
     """A bit set of fixed size that has every row of `wanted` (id, th); others may hit it by chance."""
     bit = F.pmod(F.xxhash64("id", "th"), F.lit(1 << FILTER_BITS)).cast("int")
     out = np.zeros(1 << FILTER_BITS, bool)
-    out[wanted.select(bit.alias("bit")).distinct().toPandas()["bit"].to_numpy()] = True
+    out[gathered(wanted.select(bit.alias("bit")).distinct())["bit"]] = True
     return np.packbits(out)
 
 

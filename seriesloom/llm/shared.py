@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,6 +71,12 @@ def utf8(column) -> object:
     return F.encode(F.coalesce(column, F.lit("")), "UTF-8")
 
 
+def gathered(df: DataFrame) -> dict[str, np.ndarray]:
+    """A table of proven bound on the driver, column by column and by way of Arrow, so that no row becomes a Python object."""
+    table = df.toArrow()
+    return {name: table.column(name).to_numpy() for name in df.columns}
+
+
 def give_back() -> None:
     """Return freed memory of a reused Python worker to the system; what is not offered by its C library is left out."""
     pa.default_memory_pool().release_unused()

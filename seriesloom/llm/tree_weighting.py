@@ -34,13 +34,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .language_id import fold
-from .shared import discard, documents, lean, store
+from .shared import discard, documents, gathered, lean, store
 from .words import Words, hash_spans, mix, words_of
 
 DEPTH, ROOT, HEAVY, FLUSH, SPARE = 5, 3, 1 << 20, 400_000, 1 << 18
@@ -246,8 +245,8 @@ def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (level.keys, level.zeros, level.ones, level.log_w)], ["key", "zeros", "ones", "log_w"])
 
 
-def _heavy(table: DataFrame, weight: str, columns: list[str]) -> tuple[pd.DataFrame, Column]:
-    """The rows of the greatest weights, as many as HEAVY allows, sorted by their first column; and the condition for the others."""
+def _heavy(table: DataFrame, weight: str, columns: list[str]) -> tuple[dict[str, np.ndarray], Column]:
+    """The rows of the greatest weights, as many as HEAVY allows; and the condition for the others."""
     octave = F.floor(F.log2(weight) * 8)  # eight steps to a doubling: a few hundred groups
     steps = table.where(F.col(weight) > 0).groupBy(octave.alias("step")).agg(F.count("*").alias("n"), F.min(weight).alias("least")).collect()
     least, rows = 1 << 62, 0
@@ -256,8 +255,7 @@ def _heavy(table: DataFrame, weight: str, columns: list[str]) -> tuple[pd.DataFr
         if rows > HEAVY:
             break
         least = one["least"]
-    found = table.where(F.col(weight) >= least).select(*columns).toPandas()
-    return found.sort_values(columns[0], ignore_index=True), F.col(weight) < least
+    return gathered(table.where(F.col(weight) >= least).select(*columns)), F.col(weight) < least
 
 
 class Lookup:
@@ -306,8 +304,9 @@ def context_scores(docs: DataFrame) -> DataFrame:
     trees = codes.withColumn("root", F.shiftright("code", 8 * (DEPTH - ROOT + 1))).repartition("root").sortWithinPartitions("code").select("code", "n")
     roots = trees.mapInArrow(lean(_roots), "key long, zeros double, ones double, log_w double")
     above = roots.groupBy(F.expr("shiftleft(shiftright(key, 16), 8) | (key & 255)").alias("key")).agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "log_w")])
-    above = above.toPandas().sort_values("key")  # nodes of two bytes: 2**24 at most
-    levels = {ROOT - 1: Level(above["key"].to_numpy(np.int64), *(above[c].to_numpy(float) for c in ("zeros", "ones", "log_w")))}
+    above = gathered(above)  # nodes of two bytes: 2**24 at most
+    order = np.argsort(above["key"])
+    levels = {ROOT - 1: Level(above["key"][order].astype(np.int64), *(above[c][order].astype(float) for c in ("zeros", "ones", "log_w")))}
     for d in range(ROOT - 2, -1, -1):
         levels[d] = levels[d + 1].above()
     shared = spark.sparkContext.broadcast(levels)
@@ -345,7 +344,7 @@ def score(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     heavy, other_words = _heavy(words, "every", ["h", "c"])
     contexts = context_scores(docs)
     often, other_codes = _heavy(contexts, "uses", ["code", "score"])
-    tables = spark.sparkContext.broadcast((heavy["h"].to_numpy(np.int64), heavy["c"].to_numpy(np.int64), often["code"].to_numpy(np.int64), often["score"].to_numpy(np.float64)))
+    tables = spark.sparkContext.broadcast((heavy["h"], heavy["c"], often["code"], often["score"]))
     del heavy, often
     floor = np.log10(n + 0.5 * (v + 1))
 
