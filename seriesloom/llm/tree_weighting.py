@@ -43,7 +43,7 @@ from .shared import discard, documents, gathered, lean, store
 from .words import Words, hash_spans, mix, words_of
 
 DEPTH, ROOT, HEAVY, FLUSH, SPARE = 5, 3, 1 << 20, 400_000, 1 << 18
-HELD = 1 << 21
+HELD = 1 << 20
 END = 10
 LOG10 = np.log(10.0)
 
