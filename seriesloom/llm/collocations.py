@@ -35,7 +35,7 @@ from .shared import discard, documents, give_back, lean, narrow, store
 from .words import LOWER, hash_spans
 
 LONGEST, LEAST, TOP = 5, 100, 2000
-SHARD = 1 << 22
+SHARD = 1 << 21
 VOCABULARY = 1 << 26
 
 BREAK = table_of(b".,;:!?\x0a\x0b\x0c\x0d")
@@ -121,22 +121,27 @@ def shards(df: DataFrame, text_col: str, lang_col: str, most: int = SHARD) -> Da
 
 
 def by_depth(text: np.ndarray, base: int, depth: int) -> np.ndarray:
-    """Positions of a cyclic text in the order of their next `depth` symbols, ties by position; symbols are below `base`."""
-    key, size, span = text.astype(np.int64), base, 1
-    while span < depth:
-        add = span if 2 * span <= depth else 1
-        other, other_size = (key, size) if add == span else (text, base)
-        if size * other_size >= 1 << 62:
-            key = np.unique(key, return_inverse=True)[1]
-            size = int(key.max()) + 1
-            other, other_size = (key, size) if add == span else (text, base)
-        key, size, span = key * other_size + np.roll(other, -span), size * other_size, span + add
-    return np.argsort(key, kind="stable")
+    """Positions of a cyclic text in the order of their next `depth` symbols, ties by position; symbols are below `base`.
+
+    As many symbols as fit into 62 bits are one key; the keys are sorted from the last to the first, each sort stable."""
+    width = max(1, min(depth, int(62 // np.log2(max(base, 2)))))
+    order = None
+    for start in reversed(range(0, depth, width)):
+        key = np.zeros(len(text), np.int64)
+        for i in range(start, min(start + width, depth)):
+            key *= base
+            key += np.roll(text, -i)
+        order = np.argsort(key, kind="stable") if order is None else order[np.argsort(key[order], kind="stable")]
+    return order
 
 
 def transforms(text: np.ndarray, base: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """The symbols before the sorted contexts of the text and of the reversed text."""
-    return tuple(t[by_depth(t, base, depth) - 1].astype(np.int32) for t in (text, text[::-1]))
+    found = []
+    for t in (text, text[::-1].copy()):
+        found.append(t[by_depth(t, base, depth) - 1].astype(np.int32))
+        give_back()
+    return found[0], found[1]
 
 
 class Ranks:
@@ -193,19 +198,19 @@ def index(sharded: DataFrame, numbered: DataFrame, depth: int) -> DataFrame:
         local, number = right.column("local").to_numpy(), right.column("number").to_numpy()
         order = np.argsort(number)
         local, number = local[order], number[order]
-        codes = np.frombuffer(left.column("codes")[0].as_py(), np.int32)
-        symbol = np.zeros(max(int(codes.max()), int(local.max()) + 1) + 1, np.int64)
+        codes = np.frombuffer(left.column("codes")[0].as_buffer(), np.int32)
+        symbol = np.zeros(max(int(codes.max()), int(local.max()) + 1) + 1, np.int32)
         symbol[local + 1] = np.arange(1, len(local) + 1)
-        text = np.concatenate([symbol[codes], [0]])
+        text = np.append(symbol[codes], np.int32(0))
         inside = text > 0
         pair = np.zeros(len(text), bool)  # words beside another common word of their piece
         pair[1:] |= inside[1:] & inside[:-1]
         pair[:-1] |= inside[1:] & inside[:-1]
-        text = np.where(pair, text, 0)
+        text[~pair] = 0
         text = text[pair | np.concatenate([[True], pair[:-1]])]  # one 0 after each run of words
         if not pair.any():
             return schema.empty_table()
-        forward, reverse = transforms(np.append(text, 0) if text[-1] else text, len(number) + 1, depth)
+        forward, reverse = transforms(text, len(number) + 1, depth)
         give_back()
         return pa.table([[key[0].as_py()], [len(forward)], [len(number)], [packed(number.astype(np.int64))], [packed(forward)], [packed(reverse)]], schema=schema)
 
