@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .order_statistics import by_keys, mode_of, quantiles_of, with_quantiles
+from .scans import running_sum
 
 AGGREGATES = {"sum": lambda c: F.coalesce(F.sum(c), F.lit(0.0)), "mean": F.avg, "min": F.min, "max": F.max}
 
@@ -65,14 +66,9 @@ def correlations(df: DataFrame, columns: list[str], method: str = "pearson") ->
     return long.select(F.split_part("_pair", F.lit("|"), F.lit(1)).alias("a"), F.split_part("_pair", F.lit("|"), F.lit(2)).alias("b"), "corr")
 
 
-def running_total(df: DataFrame, order: str, weight: str, name: str, width: float = 1000.0) -> DataFrame:
-    """Inclusive running sum of `weight` by `order` in two steps: buckets of the order's range, then rows inside a bucket."""
-    ends = df.agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
-    placed = df.join(F.broadcast(ends)).withColumn("_b", F.floor(F.coalesce(F.try_divide((F.col(order) - F.col("_lo")) * width, F.col("_hi") - F.col("_lo")), F.lit(0.0))))  # one row
-    sums = placed.groupBy("_b").agg(F.sum(weight).alias("_s"))
-    before = sums.select("_b", (F.sum("_s").over(Window.orderBy("_b")) - F.col("_s")).alias("_before"))  # `width` rows
-    inside = F.sum(weight).over(Window.partitionBy("_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return placed.withColumn("_in", inside).join(F.broadcast(before), "_b").withColumn(name, F.col("_in") + F.col("_before")).drop("_b", "_lo", "_hi", "_in", "_before")
+def running_total(df: DataFrame, order: str, weight: str, name: str) -> DataFrame:
+    """Inclusive running sum of `weight` by `order` in two steps: buckets of about equally many rows, then rows inside a bucket."""
+    return running_sum(df, order, weight, name)
 
 
 def column_summary(df: DataFrame, columns: list[str], k: float = 3.0) -> DataFrame:

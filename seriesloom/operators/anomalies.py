@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .features import decomposition
 from .order_statistics import by_keys, quantiles_of
-from .windows import lagged_slot_score, volatility
+from .windows import pattern_score, volatility
 
 
 def window_sizes(frequency: str) -> dict[str, int]:
@@ -27,11 +27,13 @@ def usable(df: DataFrame, kpis: list[str], keys: list[str], ts: str, least: int)
 
 
 def scattered(long: DataFrame, keys: list[str], ts: str, size: int, baseline: int, threshold: float) -> DataFrame:
+    """Rows whose deviations have grown: a volatility score above a threshold."""
     return volatility(long, keys, [ts], "value", size, baseline).where(F.col("score") > threshold)
 
 
-def out_of_pattern(long: DataFrame, keys: list[str], ts: str, period: int, threshold: float) -> DataFrame:
-    return lagged_slot_score(long, keys, [ts], "value", period).where(F.col("slot_score") > threshold)
+def out_of_pattern(long: DataFrame, keys: list[str], ts: str, period: int, threshold: float, hours: bool = True) -> DataFrame:
+    """Rows far from what earlier periods, their hour and their weekday are used to: a pattern score above a threshold."""
+    return pattern_score(long, keys, ts, "value", period, hours=hours).where(F.col("pattern_score") > threshold)
 
 
 def peaks(long: DataFrame, keys: list[str], ts: str, period: int, band: float) -> DataFrame:

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scans import positioned
+
 NTZ = "timestamp_ntz"
 EPOCH = "1970-01-01"
 
@@ -42,7 +44,7 @@ def cyclic_features(df: DataFrame, keys: list[str], ts: str) -> DataFrame:
     parts = {"hour": (F.hour(c), 24), "weekday": (F.weekday(c), 7), "day": (F.dayofmonth(c), 31), "yearday": (F.dayofyear(c), 366), "week": (F.weekofyear(c), 53), "month": (F.month(c), 12)}
     angle = {k: p * (2 * math.pi / n) for k, (p, n) in parts.items()}
     out = df.withColumns({f"{k}_sin": F.sin(a) for k, a in angle.items()} | {f"{k}_cos": F.cos(a) for k, a in angle.items()})
-    return out.withColumn("year", F.year(c)).withColumn("index", F.row_number().over(Window.partitionBy(*keys).orderBy(ts)) - 1)
+    return positioned(out.withColumn("year", F.year(c)), keys, [ts], "index")
 
 
 def gaps(df: DataFrame, keys: list[str], ts: str) -> DataFrame:

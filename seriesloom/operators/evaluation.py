@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .aggregates import running_total
 from .order_statistics import with_quantiles
+from .scans import placed_in_buckets
 
 
 def history_scaled(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -81,14 +82,13 @@ def continuous_distance(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
 
 
 def earth_movers(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
-    """Area between both distribution functions; the running sums go by buckets of the range, so no task sorts all values."""
+    """Area between both distribution functions; the running sums go by buckets of about equally many values, so no task sorts all values."""
     both = a.select(F.col(column).alias("v"), F.lit(1).alias("_a")).unionByName(b.select(F.col(column).alias("v"), F.lit(0).alias("_a"))).where("v is not null")
-    t = both.agg(F.sum("_a").alias("ta"), F.sum(1 - F.col("_a")).alias("tb"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    t = both.agg(F.sum("_a").alias("ta"), F.sum(1 - F.col("_a")).alias("tb"))
     steps = both.groupBy("v").agg(F.sum("_a").alias("na"), F.sum(1 - F.col("_a")).alias("nb")).join(F.broadcast(t))  # one row
     steps = steps.withColumn("d", F.col("na") / F.col("ta") - F.col("nb") / F.col("tb"))
     run = running_total(steps, "v", "d", "f")
-    bucket = F.floor(F.coalesce(F.try_divide((F.col("v") - F.col("lo")) * 1000.0, F.col("hi") - F.col("lo")), F.lit(0.0)))
-    run = run.withColumn("_k", bucket).withColumn("_next", F.lead("v").over(Window.partitionBy("_k").orderBy("v")))
+    run = placed_in_buckets(run, "v", name="_k")[1].withColumn("_next", F.lead("v").over(Window.partitionBy("_k").orderBy("v")))
     firsts = run.groupBy("_k").agg(F.min("v").alias("_first")).withColumn("_after", F.lead("_first").over(Window.orderBy("_k")))  # a row per bucket
     gaps = run.join(F.broadcast(firsts), "_k").withColumn("_next", F.coalesce("_next", "_after"))
     return gaps.agg(F.coalesce(F.sum(F.abs("f") * (F.col("_next") - F.col("v"))), F.lit(0.0)).alias("emd"))

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .order_statistics import by_keys, quantiles_of, with_quantiles
-from .windows import numbered
+from .scans import chunked
+from .windows import numbered, relative_changes
 
 
 def statistical(long: DataFrame, keys: list[str]) -> DataFrame:
@@ -23,7 +24,7 @@ def statistical(long: DataFrame, keys: list[str]) -> DataFrame:
 
 def trend(df: DataFrame, keys: list[str], order: list[str], value: str, edge: int = 5) -> DataFrame:
     """Least-squares line against the position, and the change between the means of the first and last `edge` rows."""
-    p = numbered(df, keys, order).withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
+    p = numbered(df, keys, order, total="_n")
     head, tail = F.avg(F.when(F.col("pos") < edge, F.col(value))), F.avg(F.when(F.col("pos") >= F.col("_n") - edge, F.col(value)))
     out = p.groupBy(*keys).agg(F.regr_slope(value, "pos").alias("slope"), F.regr_intercept(value, "pos").alias("intercept"), F.corr(value, "pos").alias("corr"), (tail - head).alias("edge_change"), (F.max_by(value, "pos") - F.min_by(value, "pos")).alias("change"))
     return out.withColumn("direction", F.when(F.col("slope") > 0, "up").when(F.col("slope") < 0, "down").otherwise("flat"))
@@ -31,8 +32,8 @@ def trend(df: DataFrame, keys: list[str], order: list[str], value: str, edge: in
 
 def autocorrelation(df: DataFrame, keys: list[str], order: list[str], value: str, lags: int) -> DataFrame:
     """Pearson correlation with itself at lags 1 .. lags, from one pass of running lags; undefined is 0."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    back = df.withColumn("_back", F.array(*[F.lag(value, k).over(w) for k in range(1, lags + 1)]))
+    c = chunked(df, keys, order, before=lags)
+    back = c.own(c.rows.withColumn("_back", F.array(*[F.lag(value, k).over(c.window) for k in range(1, lags + 1)])))
     back = back.select(*keys, F.col(value).alias("_x"), F.posexplode_outer("_back").alias("_k", "_y"))
     return back.where("_y is not null").groupBy(*keys, (F.col("_k") + 1).alias("lag")).agg(F.coalesce(F.corr("_x", "_y"), F.lit(0.0)).alias("acf"))
 
@@ -48,10 +49,10 @@ def seasonality(acf: DataFrame, keys: list[str], least: float = 0.1) -> DataFram
 
 def volatility_features(df: DataFrame, keys: list[str], order: list[str], value: str, size: int) -> DataFrame:
     """Spread and shape of relative changes, and mean and spread of their rolling deviation."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    r = df.withColumn("_r", F.try_divide(F.col(value) - F.lag(value).over(w), F.lag(value).over(w))).where("_r is not null")
-    near = w.rowsBetween(-size, -1)
-    r = r.withColumn("_v", F.when(F.count("_r").over(near) == size, F.stddev_pop("_r").over(near)))
+    changes = relative_changes(df, keys, order, value).where("relative is not null")
+    c = chunked(changes.withColumn("_r", F.col("relative")), keys, order, before=size)
+    near = c.window.rowsBetween(-size, -1)
+    r = c.own(c.rows.withColumn("_v", F.when(F.count("_r").over(near) == size, F.stddev_pop("_r").over(near))))
     return r.groupBy(*keys).agg(F.stddev_pop("_r").alias("std"), F.skewness("_r").alias("skew"), F.kurtosis("_r").alias("kurt"), F.avg("_v").alias("roll_mean"), F.stddev_pop("_v").alias("roll_std"))
 
 
@@ -67,9 +68,8 @@ def outliers(df: DataFrame, keys: list[str], value: str, method: str, threshold:
 
 def fourier(df: DataFrame, keys: list[str], order: list[str], value: str, most: int) -> DataFrame:
     """(keys, k, re, im, amplitude) of the standardized series for k = 1 .. most."""
-    w = Window.partitionBy(*keys)
-    p = numbered(df, keys, order).withColumn("_n", F.count("*").over(w))
-    p = p.withColumn("_z", F.try_divide(F.col(value) - F.avg(value).over(w), F.stddev_pop(value).over(w)))
+    p = by_keys(numbered(df, keys, order, total="_n"), df.groupBy(*keys).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s")), keys)
+    p = p.withColumn("_z", F.try_divide(F.col(value) - F.col("_m"), F.col("_s")))
     each = p.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(most)))).where(F.col("k") * 2 <= F.col("_n"))
     angle = F.col("k") * F.col("pos") * (2 * math.pi) / F.col("_n")
     sums = each.groupBy(*keys, "k").agg(F.sum(F.col("_z") * F.cos(angle)).alias("re"), F.sum(-F.col("_z") * F.sin(angle)).alias("im"), F.max("_n").alias("n"))
@@ -81,7 +81,7 @@ def reconstructed(df: DataFrame, components: DataFrame, keys: list[str], order:
     w = Window.partitionBy(*keys)
     best = components.withColumn("_r", F.row_number().over(w.orderBy(F.desc("amplitude"), "k"))).where(F.col("_r") <= top)
     packed = best.groupBy(*keys).agg(F.collect_list(F.struct("k", "re", "im", "n")).alias("_c"))
-    p = numbered(df, keys, order).withColumn("_m", F.avg(value).over(w)).withColumn("_s", F.stddev_pop(value).over(w)).join(packed, keys)
+    p = by_keys(numbered(df, keys, order).join(packed, keys), df.groupBy(*keys).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s")), keys)
     term = lambda a, c: a + 2 / c["n"] * (c["re"] * F.cos(c["k"] * F.col("pos") * (2 * math.pi) / c["n"]) - c["im"] * F.sin(c["k"] * F.col("pos") * (2 * math.pi) / c["n"]))
     out = p.withColumn("fitted", F.col("_m") + F.col("_s") * F.aggregate("_c", F.lit(0.0), term))
     return out.withColumn("residual", F.col(value) - F.col("fitted")).drop("_m", "_s", "_c")
@@ -97,9 +97,9 @@ def dominant_period(components: DataFrame, acf: DataFrame, keys: list[str], leas
 
 def decomposition(df: DataFrame, keys: list[str], order: list[str], value: str, period: int) -> DataFrame:
     """Classical decomposition: centred moving mean, mean of the detrended values by place in the period, rest."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    near = w.rowsBetween(-(period // 2), period // 2)
-    p = numbered(df, keys, order).withColumn("trend", F.avg(value).over(near))
+    c = chunked(df, keys, order, before=period // 2, after=period // 2)
+    near = c.window.rowsBetween(-(period // 2), period // 2)
+    p = c.own(c.rows.withColumn("pos", F.col("_pos")).withColumn("trend", F.avg(value).over(near)))
     place = p.withColumn("_p", F.col("pos") % period)
     means = place.groupBy(*keys, "_p").agg(F.avg(F.col(value) - F.col("trend")).alias("_raw"))
     means = means.withColumn("seasonal", F.col("_raw") - F.avg("_raw").over(Window.partitionBy(*keys))).drop("_raw")
@@ -123,7 +123,7 @@ def seasonal_forecast(parts: DataFrame, keys: list[str], period: int, horizon: i
 
 def sampled_points(df: DataFrame, keys: list[str], order: list[str], value: str, n: int) -> DataFrame:
     """n values at evenly spaced positions, as an array; shorter series repeat positions."""
-    placed = numbered(df, keys, order, "_pos").withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
+    placed = numbered(df, keys, order, "_pos", "_n")
     at = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(i.alias("i"), F.floor(i * (F.col("_n") - 1) / (n - 1)).alias("at")))
     wanted = placed.select(*keys, value, F.explode(F.filter(at, lambda x: x["at"] == F.col("_pos"))).alias("_x"))
     packed = F.array_sort(F.collect_list(F.struct(F.col("_x.i").alias("i"), F.col(value).alias("v"))))  # n values a series

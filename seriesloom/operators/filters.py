@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .order_statistics import quantiles_of
+from .scans import positioned
 
 FREQUENCIES = ["yearly", "quarterly", "monthly", "weekly", "daily", "hourly"]  # fixed order, coarse to fine
 
@@ -135,14 +136,10 @@ def by_category(df: DataFrame, keys: list[str], column: str, include: list, excl
     return df.join(good, keys, "left_semi")
 
 
-def renumbered(windows: DataFrame, keys: list[str], buckets: int = 64) -> DataFrame:
-    """Window ids 0 .. N-1 in key order inside hash buckets: numbers in a bucket after the counts of the buckets before it."""
-    ids = windows.select(*keys).distinct().withColumn("_b", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
-    counts = ids.groupBy("_b").agg(F.count("*").alias("_c"))
-    base = counts.select("_b", (F.sum("_c").over(Window.orderBy("_b")) - F.col("_c")).alias("_base"))
-    inside_bucket = ids.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy(*keys)) - 1)
-    numbers = inside_bucket.join(F.broadcast(base), "_b").select(*keys, (F.col("_r") + F.col("_base")).alias("new_idx"))
-    return windows.join(numbers, keys)
+def renumbered(windows: DataFrame, keys: list[str]) -> DataFrame:
+    """Window ids 0 .. N-1, in the order of a hash of their keys."""
+    ids = windows.select(*keys).distinct().withColumn("_h", F.xxhash64(*keys))
+    return windows.join(positioned(ids, [], ["_h", *keys], "new_idx").drop("_h"), keys)
 
 
 def substring_search(df: DataFrame, column: str, term: str, n: int) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scans import positioned
+
 LEVELS = ["hour", "day", "week", "month", "quarter", "year"]
 NTZ = "timestamp_ntz"
 
@@ -84,7 +86,7 @@ def resample(df: DataFrame, keys: list[str], ts: str, seconds: int, aggregates:
 
 
 def every_kth(df: DataFrame, keys: list[str], order: list[str], k: int) -> DataFrame:
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).where(F.col("_n") % k == 0).drop("_n")
+    return positioned(df, keys, order, "_n").where(F.col("_n") % k == 0).drop("_n")
 
 
 def padded(df: DataFrame, keys: list[str], ts: str, value: str, size: int) -> DataFrame:

@@ -59,10 +59,9 @@ def mode_of(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     return counts.groupBy(*keys).agg(F.min_by("_v", F.struct(-F.col("_n"), F.col("_v"))).alias(name))
 
 
-def dense_rank_of_text(df: DataFrame, column: str, name: str, width: int = 2) -> DataFrame:
-    """(column, name): the distinct texts with their rank from 1: counts by leading characters first, then the order inside one lead."""
-    each = df.select(column).where(F.col(column).isNotNull()).distinct().withColumn("_lead", F.substring(column, 1, width))
-    leads = each.groupBy("_lead").agg(F.count("*").alias("_n"))
-    before = leads.select(F.col("_lead").alias("_l"), (F.sum("_n").over(Window.orderBy("_lead")) - F.col("_n")).alias("_before"))  # a row per lead
-    place = F.row_number().over(Window.partitionBy("_lead").orderBy(column))
-    return each.withColumn("_p", place).join(before, F.col("_lead") == F.col("_l")).select(column, (F.col("_p") + F.col("_before")).cast("long").alias(name))
+def dense_rank_of_text(df: DataFrame, column: str, name: str) -> DataFrame:
+    """(column, name): the distinct texts with their rank from 1: counts by buckets of about equally many texts first, then the order inside a bucket."""
+    from .scans import positioned
+
+    each = df.select(column).where(F.col(column).isNotNull()).distinct()
+    return positioned(each, [], [column], "_p").select(column, (F.col("_p") + 1).cast("long").alias(name))

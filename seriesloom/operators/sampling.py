@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scans import positioned
+
 
 def draw(*columns: str | Column, seed: int = 0) -> Column:
     """A repeatable number in [0, 1) from row values: the first 13 hexadecimal digits of an md5."""
@@ -29,9 +31,8 @@ def first_rows_filled(df: DataFrame, keys: list[str], order: list[str], n: int,
 
 
 def half(df: DataFrame, keys: list[str], order: list[str], second: bool) -> DataFrame:
-    w = Window.partitionBy(*keys)
-    placed = df.withColumn("_p", F.row_number().over(w.orderBy(*order))).withColumn("_n", F.floor(F.count("*").over(w) / 2))
-    return placed.where(F.col("_p") > F.col("_n") if second else F.col("_p") <= F.col("_n")).drop("_p", "_n")
+    placed, middle = positioned(df, keys, order, "_p", "_n"), F.floor(F.col("_n") / 2)
+    return placed.where(F.col("_p") >= middle if second else F.col("_p") < middle).drop("_p", "_n")
 
 
 def share(df: DataFrame, ids: list[str], percent: float, seed: int = 0) -> DataFrame:
@@ -65,8 +66,7 @@ def noised(df: DataFrame, column: str, ids: list[str], kind: str, level: float,
 
 def thinned(df: DataFrame, keys: list[str], order: list[str], size: int) -> DataFrame:
     """One row, drawn by hash, of every `size` neighbouring rows."""
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
-    chunks = df.withColumn("chunk", F.floor(place / size))
+    chunks = positioned(df, keys, order, "_p").withColumn("chunk", F.floor(F.col("_p") / size))
     row = F.struct(*[c for c in df.columns])
     return chunks.groupBy(*keys, "chunk").agg(F.min_by(row, draw(*order, seed=4)).alias("_r")).select("chunk", "_r.*")
 
@@ -79,20 +79,16 @@ def sampled_batches(df: DataFrame, batch: str, n: int) -> DataFrame:
 
 def hash_ratio_split(df: DataFrame, keys: list[str], ids: list[str], train: float, validation: float, seed: int = 0) -> DataFrame:
     """Within each group the first share of rows in hash order trains, the next validates, the rest tests."""
-    w = Window.partitionBy(*keys)
-    placed = df.withColumn("_p", F.row_number().over(w.orderBy(draw(*ids, seed=seed), *ids))).withColumn("_n", F.count("*").over(w))
-    return _named(placed, train, validation)
+    return _named(positioned(df.withColumn("_h", draw(*ids, seed=seed)), keys, ["_h", *ids], "_p", "_n").drop("_h"), train, validation)
 
 
 def chronological_split(df: DataFrame, keys: list[str], order: list[str], train: float, validation: float) -> DataFrame:
-    w = Window.partitionBy(*keys)
-    placed = df.withColumn("_p", F.row_number().over(w.orderBy(*order))).withColumn("_n", F.count("*").over(w))
-    return _named(placed, train, validation)
+    return _named(positioned(df, keys, order, "_p", "_n"), train, validation)
 
 
 def _named(placed: DataFrame, train: float, validation: float) -> DataFrame:
     a, b = F.floor(F.col("_n") * train), F.floor(F.col("_n") * (train + validation))
-    return placed.withColumn("split", F.when(F.col("_p") <= a, "train").when(F.col("_p") <= b, "val").otherwise("test")).drop("_p", "_n")
+    return placed.withColumn("split", F.when(F.col("_p") < a, "train").when(F.col("_p") < b, "val").otherwise("test")).drop("_p", "_n")
 
 
 def window_splits(counts: DataFrame, keys: list[str], n: str, size: int, stride: int, train: float, validation: float, from_start: bool = False) -> DataFrame:

@@ -1,24 +1,26 @@
 """Sliding windows, lags, rolling statistics and gap filling over ordered series.
 
-Every ordered step partitions by the series keys. A row goes to each window
-that holds it by an explode of window numbers, so one shuffle by series and
-one by window is all that windows cost."""
+Ordered steps run on chunks of a series (module `scans`), so one long series
+spreads over tasks. A row goes to each window that holds it by an explode of window numbers."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order_statistics import by_keys
+from .scans import CHUNK, Chunks, affine_scan, bucket_of, chunked, edges_of, ordinal, positioned
 
-def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "pos") -> DataFrame:
-    """Position from 0 inside each series."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "pos", total: str | None = None, chunk: int = CHUNK) -> DataFrame:
+    """Position from 0 inside each series, and the series' size if `total` names a column."""
+    return positioned(df, keys, order, name, total, chunk)
 
 
-def sliding_windows(df: DataFrame, keys: list[str], order: list[str], size: int, stride: int) -> DataFrame:
+def sliding_windows(df: DataFrame, keys: list[str], order: list[str], size: int, stride: int, chunk: int = CHUNK) -> DataFrame:
     """Rows with window_idx and step (0 .. size - 1); a series of n rows has (n - size) // stride + 1 windows."""
-    every = F.count("*").over(Window.partitionBy(*keys))
-    placed = numbered(df, keys, order).withColumn("_n", every).where(F.col("_n") >= size)
+    placed = numbered(df, keys, order, "pos", "_n", chunk).where(F.col("_n") >= size)
     first = F.expr(f"greatest(0, cast(ceil((pos - {size - 1}) / {stride}) as int))")
     last = F.expr(f"cast(least(pos div {stride}, (_n - {size}) div {stride}) as int)")
     spread = placed.withColumn("_first", first).withColumn("_last", last).where("_first <= _last")
@@ -45,111 +47,199 @@ def history_and_target(arrays: DataFrame, column: str, history: int, horizon: in
     return whole.withColumn("history", F.slice(column, 1, history)).withColumn("target", F.slice(column, history + 1, horizon))
 
 
-def blocks(df: DataFrame, keys: list[str], order: list[str], size: int, history: int) -> DataFrame:
+def blocks(df: DataFrame, keys: list[str], order: list[str], size: int, history: int, chunk: int = CHUNK) -> DataFrame:
     """Windows without overlap; the incomplete last one goes; `part` is history or target."""
-    placed = numbered(df, keys, order).withColumn("block", F.expr(f"cast(pos div {size} as int)"))
+    placed = numbered(df, keys, order, chunk=chunk).withColumn("block", F.expr(f"cast(pos div {size} as int)"))
     full = F.count("*").over(Window.partitionBy(*keys, "block"))
     part = F.when(F.col("pos") % size < history, "history").otherwise("target")
     return placed.withColumn("_n", full).where(F.col("_n") == size).withColumn("part", part).drop("_n")
 
 
-def lag_or_zero(df: DataFrame, keys: list[str], order: list[str], column: str, size: int) -> DataFrame:
+def lag_or_zero(df: DataFrame, keys: list[str], order: list[str], column: str, size: int, chunk: int = CHUNK) -> DataFrame:
     """The value `size` rows back; 0 in the first `size` rows."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(f"{column}_lag_{size}", F.when(F.row_number().over(w) <= size, F.lit(0.0)).otherwise(F.lag(column, size).over(w)))
-
-
-def first_from(known: Column, keys: list[str], order: list[str]) -> Column:
-    """The first known value at the row or behind it: the last one before it in reversed order, so the frame only grows and no row is read twice."""
-    back = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order]).rowsBetween(Window.unboundedPreceding, 0)
-    return F.last(known, ignorenulls=True).over(back)
-
-
-def fill_both_ways(column: str, keys: list[str], order: list[str], default: object | None = None) -> Column:
-    """Forward fill, then backward fill, then a default."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    past = F.last(column, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    future = first_from(F.col(column), keys, order)
-    return F.coalesce(past, future, *([] if default is None else [F.lit(default)]))
-
-
-def many_lags(df: DataFrame, keys: list[str], order: list[str], column: str, lags: list[int]) -> DataFrame:
+    c = chunked(df, keys, order, before=size, chunk=chunk)
+    return c.own(c.rows.withColumn(f"{column}_lag_{size}", F.when(F.col("_pos") < size, F.lit(0.0)).otherwise(F.lag(column, size).over(c.window))))
+
+
+def fill_both_ways(df: DataFrame, keys: list[str], order: list[str], columns: dict[str, Column | str], default: object | None = None, chunk: int = CHUNK) -> DataFrame:
+    """Each named column: a value, or the last known one before it, or the first known one behind it, or a default."""
+    c = chunked(df, keys, order, chunk=chunk)
+    values = {name: F.col(v) if isinstance(v, str) else v for name, v in columns.items()}
+    rows = c.rows.withColumns({f"_v_{name}": v for name, v in values.items()})
+    past, future = c.window.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*keys, "_chunk").orderBy(F.desc("_pos")).rowsBetween(Window.unboundedPreceding, 0)
+    known = lambda name: F.when(F.col(f"_v_{name}").isNotNull(), F.col("_pos"))
+    states = {f"_p_{n}": (F.max_by(f"_v_{n}", known(n)), "last") for n in values} | {f"_f_{n}": (F.min_by(f"_v_{n}", known(n)), "next") for n in values}
+    out = c.carried(rows, **states)
+    filled = {
+        n: F.coalesce(F.last(f"_v_{n}", ignorenulls=True).over(past), f"_p_{n}", F.last(f"_v_{n}", ignorenulls=True).over(future), f"_f_{n}", *([] if default is None else [F.lit(default)]))
+        for n in values
+    }
+    return c.own(out.withColumns(filled)).drop(*[f"_v_{n}" for n in values], *states)
+
+
+def many_lags(df: DataFrame, keys: list[str], order: list[str], column: str, lags: list[int], chunk: int = CHUNK) -> DataFrame:
     """One column per lag; gaps at the ends are filled forward, backward, then with 0."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    out = df.select("*", *[F.lag(column, k).over(w).alias(f"{column}_lag_{k}") for k in lags])
-    return out.select(*df.columns, *[fill_both_ways(f"{column}_lag_{k}", keys, order, 0.0).alias(f"{column}_lag_{k}") for k in lags])
-
-
-def ema_weights(span: float, tiny: float = 1e-9) -> list[float]:
-    """Weights of an exponential mean, newest first, until they are tiny."""
-    a, out = 1 - 2 / (span + 1), [1.0]
-    while out[-1] * a > tiny:
-        out.append(out[-1] * a)
-    return out
-
-
-def ema(df: DataFrame, keys: list[str], order: list[str], column: str, span: float) -> DataFrame:
-    """Exponential moving mean and deviation (weights normalised, sample correction), over the rows where weights count."""
-    weights = ema_weights(span)
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(1 - len(weights), 0)
-    held = F.reverse(F.collect_list(column).over(w))
-    pairs = F.zip_with("_held", F.slice(F.array(*map(F.lit, weights)), 1, F.size("_held")), lambda x, k: F.struct(x.alias("x"), k.alias("k")))
-    start = F.struct(*[F.lit(0.0).alias(n) for n in ("k", "kk", "kx", "kxx")])
-    sums = F.aggregate(pairs, start, lambda a, p: F.struct((a.k + p.k).alias("k"), (a.kk + p.k * p.k).alias("kk"), (a.kx + p.k * p.x).alias("kx"), (a.kxx + p.k * p.x * p.x).alias("kxx")))
-    mean, variance = F.col("_s.kx") / F.col("_s.k"), F.col("_s.kxx") / F.col("_s.k") - F.pow(F.col("_s.kx") / F.col("_s.k"), 2)
-    unbiased = F.try_divide(F.greatest(variance, F.lit(0.0)) * F.col("_s.k") * F.col("_s.k"), F.col("_s.k") * F.col("_s.k") - F.col("_s.kk"))
-    return df.withColumn("_held", held).withColumn("_s", sums).withColumn(f"{column}_ema", mean).withColumn(f"{column}_ema_std", F.sqrt(unbiased)).drop("_held", "_s")
-
-
-def rolling_mean(df: DataFrame, keys: list[str], order: list[str], column: str, size: int) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(1 - size, 0)
-    return df.withColumn(f"{column}_mean_{size}", F.avg(column).over(w))
-
-
-def gaussian_smooth(df: DataFrame, keys: list[str], order: list[str], column: str, sigma: float) -> DataFrame:
-    """Weighted mean over four deviations to both sides; at the ends the weights that are inside are normalised."""
+    c = chunked(df, keys, order, before=max(lags), chunk=chunk)
+    back = c.own(c.rows.withColumns({f"{column}_lag_{k}": F.lag(column, k).over(c.window) for k in lags}))
+    return fill_both_ways(back, keys, order, {f"{column}_lag_{k}": f"{column}_lag_{k}" for k in lags}, 0.0, chunk)
+
+
+def _ewm(c: Chunks, rows: DataFrame, value: str, alpha: float) -> DataFrame:
+    """`rows` with _mean and _std: exponential mean and deviation with decaying weights of the rows that have a value, sample correction included."""
+    w, x = 1 - alpha, F.col(value).cast("double")
+    one, v = F.when(x.isNotNull(), 1.0).otherwise(0.0), F.coalesce(x - F.col("_base"), F.lit(0.0))
+    centre = rows.groupBy(*c.keys).agg(F.avg(value).alias("_base"))
+    rows = by_keys(rows, centre, c.keys)
+    sums = affine_scan(c, rows, 46 / -math.log(w) if 0 < w < 1 else None, _k=(F.lit(w), one), _kk=(F.lit(w * w), one), _kx=(F.lit(w), v), _kxx=(F.lit(w), v * v))
+    mean, full = F.try_divide(F.col("_kx"), F.col("_k")), F.col("_k") * F.col("_k")
+    variance = F.greatest(F.try_divide(F.col("_kxx"), F.col("_k")) - mean * mean, F.lit(0.0))
+    # With one value so far, both sums of weights agree but for rounding, and there is no deviation.
+    unbiased = F.when(full - F.col("_kk") > 1e-12 * full, variance * full / (full - F.col("_kk")))
+    return sums.withColumn("_mean", mean + F.col("_base")).withColumn("_std", F.sqrt(unbiased)).drop("_k", "_kk", "_kx", "_kxx", "_base")
+
+
+def ema(df: DataFrame, keys: list[str], order: list[str], column: str, span: float, adjust: bool = True, chunk: int = CHUNK) -> DataFrame:
+    """Exponential moving mean, as column_ema, with alpha = 2 / (span + 1).
+
+    Adjusted: weights decay by a row, known values count, and column_ema_std has the deviation with the sample correction.
+    Otherwise the recursion y = (1 - alpha) * y + alpha * x from the first known value, where after g rows without
+    a value the old y weighs (1 - alpha) ** g against alpha. A row without a value keeps the mean before it; before
+    the first known value there is none."""
+    alpha = 2 / (span + 1)
+    c = chunked(df, keys, order, chunk=chunk)
+    if adjust:
+        out = _ewm(c, c.rows, column, alpha)
+        return c.own(out.withColumnRenamed("_mean", f"{column}_ema").withColumnRenamed("_std", f"{column}_ema_std"))
+    x = F.col(column).cast("double")
+    known = F.when(x.isNotNull(), F.col("_pos"))
+    rows = c.carried(c.rows.withColumn("_at", known), _past=(F.max("_at"), "last"))
+    before = F.coalesce(F.last("_at", ignorenulls=True).over(c.window.rowsBetween(Window.unboundedPreceding, -1)), F.col("_past"))
+    rows = rows.withColumn("_old", F.pow(F.lit(1 - alpha), F.col("_pos") - before))  # null at the first known value
+    share = F.col("_old") / (F.col("_old") + alpha)
+    a = F.when(x.isNull(), 1.0).otherwise(F.coalesce(share, F.lit(0.0)))
+    b = F.when(x.isNull(), 0.0).otherwise(x * F.coalesce(1 - share, F.lit(1.0)))
+    some = F.coalesce(F.max("_at").over(c.window.rowsBetween(Window.unboundedPreceding, 0)), F.col("_past")).isNotNull()
+    out = affine_scan(c, rows.withColumn("_some", some), _y=(a, b))
+    return c.own(out.withColumn(f"{column}_ema", F.when(F.col("_some"), F.col("_y")))).drop("_at", "_past", "_old", "_some", "_y")
+
+
+def rolling_mean(df: DataFrame, keys: list[str], order: list[str], column: str, size: int, chunk: int = CHUNK) -> DataFrame:
+    """Mean of the known values among the last `size` rows."""
+    c = chunked(df, keys, order, before=size - 1, chunk=chunk)
+    return c.own(c.rows.withColumn(f"{column}_mean_{size}", F.avg(column).over(c.window.rowsBetween(1 - size, 0))))
+
+
+def rolling_mean_in_time(df: DataFrame, keys: list[str], ts: str, column: str, seconds: float, buckets: int = 1023) -> DataFrame:
+    """Mean of the known values in the `seconds` up to and with each row's time, those that are exactly so old left out.
+
+    `ts` is a timestamp or a date. Rows of the same time see each other. Rows go to the bucket of their time and, as
+    copies, to later buckets that may look back at them. A row without a time has no mean."""
+    day = df.schema[ts].dataType.simpleString() == "date"
+    at = df.withColumn("_at", (ordinal(df, ts) * (86_400_000_000 if day else 1)).cast("long"))
+    span = round(seconds * 1_000_000)
+    edges = edges_of(at, "_at", buckets)[1]
+    rows = at.withColumn("_home", bucket_of(F.col("_at"), edges)).withColumn("_chunk", F.explode(F.sequence("_home", bucket_of(F.col("_at") + span, edges))))
+    w = Window.partitionBy(*keys, "_chunk").orderBy("_at")
+    mean = F.avg(column).over(w.rangeBetween(1 - span, 0))
+    out = rows.withColumn(f"{column}_mean", F.when(F.col("_at").isNotNull(), mean))
+    return out.where(F.col("_chunk") == F.col("_home")).drop("_at", "_home", "_chunk")
+
+
+def gaussian_smooth(df: DataFrame, keys: list[str], order: list[str], column: str, sigma: float, chunk: int = CHUNK) -> DataFrame:
+    """Gaussian filter over four deviations to both sides; a series goes on as its mirror image at both ends, and as often as that takes.
+
+    Missing values are filled from both sides before, and are missing afterwards."""
     reach = int(4 * sigma + 0.5)
-    w = Window.partitionBy(*keys).orderBy(*order)
-    terms = [(F.exp(F.lit(-0.5 * (k / sigma) ** 2)), F.lag(column, k).over(w) if k > 0 else F.lead(column, -k).over(w) if k else F.col(column)) for k in range(-reach, reach + 1)]
-    top = sum((F.coalesce(g * x, F.lit(0.0)) for g, x in terms), F.lit(0.0))
-    low = sum((F.when(x.isNotNull(), g).otherwise(0.0) for g, x in terms), F.lit(0.0))
-    return df.withColumn(f"{column}_smooth", F.try_divide(top, low))
-
-
-def volatility(df: DataFrame, keys: list[str], order: list[str], column: str, size: int, baseline: int) -> DataFrame:
-    """Rolling deviation and rolling absolute deviation from the rolling mean, each against its own longer rolling mean, and their mean as a score."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    near, far = w.rowsBetween(1 - size, 0), w.rowsBetween(1 - baseline, 0)
+    filled = fill_both_ways(df, keys, order, {"_x": column}, chunk=chunk)
+    placed = positioned(filled, keys, order, "_pos", "_n", chunk)
+    # A row stands at 2nm + pos and, mirrored, at 2nm - 1 - pos for every whole m.
+    turns = F.sequence(F.floor(F.lit(-reach) / (2 * F.col("_n"))).cast("int") - 1, F.ceil(F.lit(reach) / (2 * F.col("_n"))).cast("int") + 1)
+    at = F.flatten(F.transform(turns, lambda m: F.array(2 * F.col("_n") * m + F.col("_pos"), 2 * F.col("_n") * m - 1 - F.col("_pos"))))
+    near = F.filter(at, lambda p: (p >= -reach) & (p < F.col("_n") + reach))
+    spread = placed.withColumn("_at", F.explode(near))
+    home, first, last = F.floor(F.col("_at") / chunk), F.floor((F.col("_at") - reach) / chunk), F.floor((F.col("_at") + reach) / chunk)
+    spread = spread.withColumn("_own", F.col("_at") == F.col("_pos")).withColumn("_home", home).withColumn("_chunk", F.explode(F.sequence(first, last)))
+    w = Window.partitionBy(*keys, "_chunk").orderBy("_at")
+    gs = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-reach, reach + 1)]
+    total = math.fsum(gs)
+    held = F.collect_list("_x").over(w.rowsBetween(-reach, reach))
+    pairs = F.zip_with("_held", F.array(*[F.lit(g / total) for g in gs]), lambda x, g: x * g)
+    smooth = F.when(F.col(column).isNotNull(), F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x))
+    out = spread.withColumn("_held", F.when(F.col("_own") & (F.col("_chunk") == F.col("_home")), held)).where(F.col("_own") & (F.col("_chunk") == F.col("_home")))
+    return out.withColumn(f"{column}_smooth", smooth).drop("_x", "_pos", "_n", "_at", "_own", "_home", "_chunk", "_held")
+
+
+def median_of(values: Column) -> Column:
+    """The median of an array without nulls; null of an empty one."""
+    middle = lambda s: (F.get(s, F.floor((F.size(s) - 1) / 2).cast("int")) + F.get(s, F.floor(F.size(s) / 2).cast("int"))) / 2
+    return F.get(F.transform(F.array(F.array_sort(values)), middle), F.lit(0))
+
+
+def volatility(df: DataFrame, keys: list[str], order: list[str], column: str, size: int, baseline: int, chunk: int = CHUNK) -> DataFrame:
+    """Three deviations of a series, each against the mean of its own last `baseline` rows, and their mean as a score.
+
+    roll_std and roll_mad: sample deviation, and median absolute deviation from the median, of the last `size` values; ewm_std:
+    exponential deviation of span `size`. Each score is (x - base) / base; a score that is undefined, or has a
+    base of 0, is left out of the mean. A window or baseline with fewer rows, or a missing value, is undefined."""
+    c = chunked(df, keys, order, before=size + baseline - 2, chunk=chunk)
+    near, far = c.window.rowsBetween(1 - size, 0), c.window.rowsBetween(1 - baseline, 0)
     full = F.count(column).over(near) == size
-    out = df.withColumn("roll_std", F.when(full, F.stddev_samp(column).over(near))).withColumn("_m", F.avg(column).over(near))
-    out = out.withColumn("roll_mad", F.when(full, F.avg(F.abs(F.col(column) - F.col("_m"))).over(near)))
-    relative = [F.try_divide(F.col(c), F.avg(c).over(far) + 1e-6) for c in ("roll_std", "roll_mad")]
-    return out.withColumn("score", (relative[0] + relative[1]) / 2).drop("_m")
-
-
-def lagged_slot_score(df: DataFrame, keys: list[str], order: list[str], column: str, period: int, times: int = 4) -> DataFrame:
-    """Deviation from mean and spread of the values 1 .. times periods back."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    back = F.array_compact(F.array(*[F.lag(column, i * period).over(w) for i in range(1, times + 1)]))
-    out = df.withColumn("_back", back).withColumn("_n", F.size("_back"))
-    mean = F.aggregate("_back", F.lit(0.0), lambda a, x: a + x) / F.nullif(F.col("_n"), F.lit(0))
-    out = out.withColumn("_mean", mean)
-    spread = F.sqrt(F.aggregate("_back", F.lit(0.0), lambda a, x: a + F.pow(x - F.col("_mean"), 2)) / F.nullif(F.col("_n") - 1, F.lit(0)))
-    return out.withColumn("slot_score", F.abs(F.col(column) - F.col("_mean")) / (spread + 1e-6)).drop("_back", "_n", "_mean")
-
-
-def long_term_score(df: DataFrame, keys: list[str], order: list[str], column: str, periods: int = 12) -> DataFrame:
+    plain = chunked(df, keys, order, chunk=chunk)
+    decayed = _ewm(plain, plain.rows, column, 2 / (size + 1)).select(*keys, "_pos", F.col("_std").alias("ewm_std"))
+    rows = by_keys(c.rows, decayed, [*keys, "_pos"])
+    rows = rows.withColumn("roll_std", F.when(full, F.stddev_samp(column).over(near))).withColumn("_held", F.when(full, F.collect_list(column).over(near)))
+    rows = rows.withColumn("_med", median_of(F.col("_held"))).withColumn("roll_mad", median_of(F.transform("_held", lambda x: F.abs(x - F.col("_med"))))).drop("_held", "_med")
+    names = ["roll_std", "roll_mad", "ewm_std"]
+    rows = rows.withColumns({f"_base_{n}": F.when(F.count(n).over(far) == baseline, F.avg(n).over(far)) for n in names})
+    scores = F.array_compact(F.array(*[F.try_divide(F.col(n) - F.col(f"_base_{n}"), F.col(f"_base_{n}")) for n in names]))
+    rows = rows.withColumn("_s", scores).withColumn("score", F.try_divide(F.aggregate("_s", F.lit(0.0), lambda a, x: a + x), F.size("_s")))
+    return c.own(rows).drop("_s", *[f"_base_{n}" for n in names])
+
+
+def _deviation(x: Column, back: str) -> Column:
+    """|x - mean| / (sample deviation + 1e-6) against an array of values."""
+    n, total = F.size(back), lambda values: F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
+    mean = F.try_divide(total(F.col(back)), n)
+    spread = F.sqrt(F.try_divide(F.aggregate(F.transform(back, lambda v: F.pow(v - mean, 2)), F.lit(0.0), lambda a, v: a + v), n - 1))
+    return F.abs(x - mean) / (spread + 1e-6)
+
+
+def lagged_slot_score(df: DataFrame, keys: list[str], order: list[str], column: str, period: int, times: int = 4, chunk: int = CHUNK) -> DataFrame:
+    """Deviation from mean and spread of the values 1 .. times periods back, as slot_score."""
+    c = chunked(df, keys, order, before=times * period, chunk=chunk)
+    back = F.array_compact(F.array(*[F.lag(column, i * period).over(c.window) for i in range(1, times + 1)]))
+    return c.own(c.rows.withColumn("_back", back).withColumn("slot_score", _deviation(F.col(column), "_back"))).drop("_back")
+
+
+def pattern_score(df: DataFrame, keys: list[str], ts: str, column: str, period: int, times: int = 4, hours: bool = True, chunk: int = CHUNK) -> DataFrame:
+    """slot_score, hour_score and weekday_score, and as pattern_score the mean of those that are defined.
+
+    They are |x - mean| / (sample deviation + 1e-6) against the values 1 .. times periods back, those of the same hour (with `hours`) and those of the same weekday."""
+    out = lagged_slot_score(df, keys, [ts], column, period, times, chunk)
+    names = ["slot_score"]
+    for name, part in (("hour_score", F.hour(ts)), ("weekday_score", F.dayofweek(ts)))[0 if hours else 1 :]:
+        stats = df.groupBy(*keys, part.alias("_part")).agg(F.avg(column).alias("_m"), F.stddev_samp(column).alias("_s"))
+        out = by_keys(out.withColumn("_part", part), stats, [*keys, "_part"])
+        out = out.withColumn(name, F.abs(F.col(column) - F.col("_m")) / (F.col("_s") + 1e-6)).drop("_part", "_m", "_s")
+        names.append(name)
+    known = F.array_compact(F.array(*names))
+    return out.withColumn("_k", known).withColumn("pattern_score", F.try_divide(F.aggregate("_k", F.lit(0.0), lambda a, x: a + x), F.size("_k"))).drop("_k")
+
+
+def long_term_score(df: DataFrame, keys: list[str], order: list[str], column: str, periods: int = 12, chunk: int = CHUNK) -> DataFrame:
     """Deviation from mean and spread of the previous periods."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-periods, -1)
-    return df.withColumn("long_score", F.abs(F.col(column) - F.avg(column).over(w)) / (F.stddev_samp(column).over(w) + 1e-6))
+    c = chunked(df, keys, order, before=periods, chunk=chunk)
+    w = c.window.rowsBetween(-periods, -1)
+    return c.own(c.rows.withColumn("long_score", F.abs(F.col(column) - F.avg(column).over(w)) / (F.stddev_samp(column).over(w) + 1e-6)))
 
 
-def segments(df: DataFrame, keys: list[str], order: list[str], ts: str, least: int) -> DataFrame:
+def segments(df: DataFrame, keys: list[str], order: list[str], ts: str, least: int, chunk: int = CHUNK) -> DataFrame:
     """A new segment starts where time goes backwards in the given row order; short segments go."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    back = F.when(F.col(ts) < F.lag(ts).over(w), 1).otherwise(0)
-    out = df.withColumn("_back", back).withColumn("segment", F.sum("_back").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_back")
-    return large_groups(out, [*keys, "segment"], least)
+    c = chunked(df, keys, order, before=1, chunk=chunk)
+    rows = c.rows.withColumn("_back", F.when(F.col(ts) < F.lag(ts).over(c.window), 1).otherwise(0)).where("_own")
+    rows = c.carried(rows, _before=(F.sum("_back"), "sum"))
+    rows = rows.withColumn("segment", F.sum("_back").over(c.window.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_before"))
+    return large_groups(c.own(rows).drop("_back", "_before"), [*keys, "segment"], least)
 
 
 def large_groups(df: DataFrame, keys: list[str], least: int) -> DataFrame:
@@ -158,21 +248,23 @@ def large_groups(df: DataFrame, keys: list[str], least: int) -> DataFrame:
     return df.join(counts, keys, "left_semi")
 
 
-def relative_changes(df: DataFrame, keys: list[str], order: list[str], column: str) -> DataFrame:
+def relative_changes(df: DataFrame, keys: list[str], order: list[str], column: str, chunk: int = CHUNK) -> DataFrame:
     """First difference and relative change; null where there is no base."""
-    before = F.lag(column).over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("change", F.col(column) - before).withColumn("relative", F.try_divide(F.col(column) - before, before))
+    c = chunked(df, keys, order, before=1, chunk=chunk)
+    before = F.lag(column).over(c.window)
+    return c.own(c.rows.withColumn("change", F.col(column) - before).withColumn("relative", F.try_divide(F.col(column) - before, before)))
 
 
-def interpolate(df: DataFrame, keys: list[str], order: list[str], column: str) -> DataFrame:
+def interpolate(df: DataFrame, keys: list[str], order: list[str], column: str, chunk: int = CHUNK) -> DataFrame:
     """Linear interpolation by position; edges take the nearest value; a series of nulls becomes 0."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    past = w.rowsBetween(Window.unboundedPreceding, 0)
-    placed = numbered(df, keys, order, "_pos")
+    c = chunked(df, keys, order, chunk=chunk)
     known = F.when(F.col(column).isNotNull(), F.struct(F.col("_pos").alias("p"), F.col(column).alias("v")))
-    out = placed.withColumn("_a", F.last(known, ignorenulls=True).over(past)).withColumn("_b", first_from(known, keys, ["_pos"]))
-    between = F.col("_a.v") + (F.col("_b.v") - F.col("_a.v")) * F.try_divide(F.col("_pos") - F.col("_a.p"), F.col("_b.p") - F.col("_a.p"))
-    return out.withColumn(f"{column}_filled", F.coalesce(F.col(column), between, F.col("_a.v"), F.col("_b.v"), F.lit(0.0))).drop("_pos", "_a", "_b")
+    rows = c.carried(c.rows.withColumn("_k", known), _past=(F.max("_k"), "last"), _next=(F.min("_k"), "next"))
+    past, back = c.window.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*keys, "_chunk").orderBy(F.desc("_pos")).rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.withColumn("_a", F.coalesce(F.last("_k", ignorenulls=True).over(past), "_past")).withColumn("_c", F.coalesce(F.last("_k", ignorenulls=True).over(back), "_next"))
+    between = F.col("_a.v") + (F.col("_c.v") - F.col("_a.v")) * F.try_divide(F.col("_pos") - F.col("_a.p"), F.col("_c.p") - F.col("_a.p"))
+    out = out.withColumn(f"{column}_filled", F.coalesce(F.col(column), between, F.col("_a.v"), F.col("_c.v"), F.lit(0.0)))
+    return c.own(out).drop("_k", "_a", "_c", "_past", "_next")
 
 
 def fill_mean(df: DataFrame, keys: list[str], column: str) -> DataFrame:

@@ -9,7 +9,7 @@ from ..operators import evaluation as V
 from ..operators import relations as R
 from ..operators.order_statistics import dense_rank_of_text
 from .base import query, table
-from .windowing import VOLATILE
+from .windowing import PATTERN, VOLATILE
 
 
 def events(spark, sf):
@@ -189,14 +189,14 @@ def ano2(spark, sf):
     return long.join(events(spark, sf).select("user_id", "ts", "event_id"), ["user_id", "ts"]).select("user_id", "event_id")
 
 
-@query("ano3_scattered", f"with {VOLATILE} select event_id, round(score + 1e-9, 4) as score from x where score > 1.2")
+@query("ano3_scattered", f"with {VOLATILE} select event_id, round(score, 5) as score from x where score > 0.5")
 def ano3(spark, sf):
-    return N.scattered(events(spark, sf), ["event_type"], "ts", 12, 48, 1.2).select("event_id", F.round(F.col("score") + 1e-9, 4).alias("score"))
+    return N.scattered(events(spark, sf), ["event_type"], "ts", 12, 48, 0.5).select("event_id", F.round("score", 5).alias("score"))
 
 
-@query("ano4_out_of_pattern", "with l as (select *, list_filter([lag(value, 24) over o, lag(value, 48) over o, lag(value, 72) over o, lag(value, 96) over o], lambda x: x is not null) as b from events window o as (partition by event_type order by ts)) select event_id from l where len(b) > 1 and abs(value - list_avg(b)) / (list_stddev_samp(b) + 1e-6) > 5")
+@query("ano4_out_of_pattern", f"with {PATTERN} select event_id, round(pattern_score, 4) as score from pt where pattern_score > 3")
 def ano4(spark, sf):
-    return N.out_of_pattern(events(spark, sf), ["event_type"], "ts", 24, 5.0).select("event_id")
+    return N.out_of_pattern(events(spark, sf), ["event_type"], "ts", 24, 3.0).select("event_id", F.round("pattern_score", 4).alias("score"))
 
 
 from .shaping import _DEC  # noqa: E402

@@ -65,15 +65,31 @@ def win6(spark, sf):
     return W.many_lags(events(spark, sf), KEYS, ORDER, "value", [1, 7]).select("event_type", "event_id", "value_lag_1", "value_lag_7")
 
 
-_EMA = W.ema_weights(5)
+def decayed(rows: str, alpha: float, terms: int, where: str = "true") -> str:
+    """SQL of sums of decaying weights over the rows that have a value: k, kk (squared weights), kx and kxx of `rows` (event_type, event_id, pos, x)."""
+    w = f"pow({1 - alpha!r}, d)"
+    return f"""select a.event_type, a.event_id, sum({w}) filter (b.x is not null) as k, sum({w} * {w}) filter (b.x is not null) as kk, sum({w} * b.x) as kx, sum({w} * b.x * b.x) as kxx
+  from {rows} a cross join (select unnest(range(0, {terms})) as d) join {rows} b on a.event_type = b.event_type and b.pos = a.pos - d where {where} group by all"""
 
 
-@query("win7_ema", f"""with {POS}, k as (select unnest(range(0, {len(_EMA)})) as d), j as (
-  select a.event_type, a.event_id, sum(pow({1 - 2 / 6!r}, d)) as k, sum(pow({1 - 2 / 6!r}, 2 * d)) as kk, sum(pow({1 - 2 / 6!r}, d) * b.value) as kx, sum(pow({1 - 2 / 6!r}, d) * b.value * b.value) as kxx
-  from p a cross join k join p b on a.event_type = b.event_type and b.pos = a.pos - d group by all)
-select event_type, event_id, round(kx / k, 4) as value_ema, case when k * k - kk <= 0 then null else round(sqrt(greatest(kxx / k - pow(kx / k, 2), 0) * k * k / (k * k - kk)), 3) end as value_ema_std from j""")
+_DEV = "case when k * k - kk > 1e-12 * k * k then sqrt(greatest(kxx / k - pow(kx / k, 2), 0) * k * k / (k * k - kk)) end"
+
+
+@query("win7_ema", f"""with {GAPS}, p as (select *, y as x, row_number() over ({OVER}) - 1 as pos from g), j as ({decayed("p", 2 / 6, 96)})
+select p.event_type, p.event_id, round(kx / k, 4) as y_ema, round({_DEV}, 3) as y_ema_std from p left join j using (event_type, event_id)""")
 def win7(spark, sf):
-    return W.ema(events(spark, sf), KEYS, ORDER, "value", 5).select("event_type", "event_id", F.round("value_ema", 4).alias("value_ema"), F.round("value_ema_std", 3).alias("value_ema_std"))
+    return W.ema(gappy(spark, sf), KEYS, ORDER, "y", 5).select("event_type", "event_id", F.round("y_ema", 4).alias("y_ema"), F.round("y_ema_std", 3).alias("y_ema_std"))
+
+
+@query("win7_recursive_ema", f"""with recursive {GAPS}, p as (select *, row_number() over (partition by user_id order by ts, event_id) as pos from g), r as (
+  select user_id, event_id, pos, y as e, 1 as gap from p where pos = 1
+  union all
+  select p.user_id, p.event_id, p.pos, case when p.y is null then r.e when r.e is null then p.y else (pow({1 - 2 / 6!r}, r.gap) * r.e + {2 / 6!r} * p.y) / (pow({1 - 2 / 6!r}, r.gap) + {2 / 6!r}) end,
+    case when p.y is null then r.gap + 1 else 1 end
+  from r join p on p.user_id = r.user_id and p.pos = r.pos + 1)
+select user_id, event_id, round(e, 4) as y_ema from r""")
+def win7r(spark, sf):
+    return W.ema(gappy(spark, sf), ["user_id"], ORDER, "y", 5, adjust=False).select("user_id", "event_id", F.round("y_ema", 4).alias("y_ema"))
 
 
 @query("win8_rolling_mean", f"select event_type, event_id, round(avg(value) over ({OVER} rows between 6 preceding and current row), 5) as value_mean_7 from events")
@@ -81,27 +97,46 @@ def win8(spark, sf):
     return W.rolling_mean(events(spark, sf), KEYS, ORDER, "value", 7).select("event_type", "event_id", F.round("value_mean_7", 5).alias("value_mean_7"))
 
 
-@query("win9_gaussian_smooth", f"""with {POS}, k as (select unnest(range(-8, 9)) as d)
-select a.event_type, a.event_id, round(sum(exp(-0.5 * pow(d / 2.0, 2)) * b.value) / sum(exp(-0.5 * pow(d / 2.0, 2))), 5) as value_smooth from p a cross join k join p b on a.event_type = b.event_type and b.pos = a.pos - d group by all""")
+@query("win8_mean_in_time", f"with {GAPS} select event_type, event_id, round(avg(y) over (partition by event_type order by ts range between interval 21599999999 microseconds preceding and current row), 5) as y_mean from g")
+def win8t(spark, sf):
+    return W.rolling_mean_in_time(gappy(spark, sf), KEYS, "ts", "y", 21600).select("event_type", "event_id", F.round("y_mean", 5).alias("y_mean"))
+
+
+@query("win9_gaussian_smooth", f"""with {GAPS}, p as (select *, row_number() over ({OVER}) - 1 as pos, count(*) over (partition by event_type) as n,
+  coalesce(last_value(y ignore nulls) over ({OVER} rows between unbounded preceding and current row), first_value(y ignore nulls) over ({OVER} rows between current row and unbounded following)) as x from g),
+k as (select d, exp(-0.5 * pow(d / 2.0, 2)) as g from (select unnest(range(-8, 9)) as d)),
+m as (select p.event_type, p.event_id, p.y, p.n, g, ((pos + d) % (2 * n) + 2 * n) % (2 * n) as spot from p cross join k)
+select m.event_type, m.event_id, case when any_value(m.y) is not null then round(sum(g * b.x) / sum(g), 5) end as y_smooth
+from m join p b on b.event_type = m.event_type and b.pos = case when spot < m.n then spot else 2 * m.n - 1 - spot end group by all""")
 def win9(spark, sf):
-    return W.gaussian_smooth(events(spark, sf), KEYS, ORDER, "value", 2.0).select("event_type", "event_id", F.round("value_smooth", 5).alias("value_smooth"))
+    return W.gaussian_smooth(gappy(spark, sf), KEYS, ORDER, "y", 2.0).select("event_type", "event_id", F.round("y_smooth", 5).alias("y_smooth"))
 
 
-VOLATILE = f"""m as (select *, count(value) over ({OVER} rows between 11 preceding and current row) as k, stddev_samp(value) over ({OVER} rows between 11 preceding and current row) as s, avg(value) over ({OVER} rows between 11 preceding and current row) as av from events),
-v as (select *, case when k = 12 then s end as roll_std, case when k = 12 then avg(abs(value - av)) over ({OVER} rows between 11 preceding and current row) end as roll_mad from m),
-x as (select *, (roll_std / (avg(roll_std) over ({OVER} rows between 47 preceding and current row) + 1e-6) + roll_mad / (avg(roll_mad) over ({OVER} rows between 47 preceding and current row) + 1e-6)) / 2 as score from v)"""
+_NEAR, _FAR = f"({OVER} rows between 11 preceding and current row)", f"({OVER} rows between 47 preceding and current row)"
+VOLATILE = f"""p0 as (select *, value as x, row_number() over ({OVER}) - 1 as pos from events), ew as ({decayed("p0", 2 / 13, 180)}),
+m as (select *, count(value) over {_NEAR} as k, stddev_samp(value) over {_NEAR} as s, list(value) over {_NEAR} as l, median(value) over {_NEAR} as md from events),
+v as (select m.* exclude (k, s, l, md), case when m.k = 12 then s end as roll_std, case when m.k = 12 then list_median(list_transform(l, lambda t: abs(t - md))) end as roll_mad, {_DEV.replace("k * k - kk > 1e-12 * k * k", "ew.k * ew.k - kk > 1e-12 * ew.k * ew.k").replace("kxx / k", "kxx / ew.k").replace("kx / k", "kx / ew.k").replace("* k * k / (k * k - kk)", "* ew.k * ew.k / (ew.k * ew.k - kk)")} as ewm_std from m join ew using (event_type, event_id)),
+bs as (select *, case when count(roll_std) over {_FAR} = 48 then avg(roll_std) over {_FAR} end as b1, case when count(roll_mad) over {_FAR} = 48 then avg(roll_mad) over {_FAR} end as b2, case when count(ewm_std) over {_FAR} = 48 then avg(ewm_std) over {_FAR} end as b3 from v),
+x as (select *, list_avg(list_filter([(roll_std - b1) / nullif(b1, 0), (roll_mad - b2) / nullif(b2, 0), (ewm_std - b3) / nullif(b3, 0)], lambda t: t is not null)) as score from bs)"""
 
 
-@query("win10_volatility", f"with {VOLATILE} select event_type, event_id, round(roll_std + 1e-9, 4) as roll_std, round(roll_mad + 1e-9, 4) as roll_mad, round(score + 1e-9, 4) as score from x")
+@query("win10_volatility", f"with {VOLATILE} select event_type, event_id, round(roll_std, 4) as roll_std, round(roll_mad, 3) as roll_mad, round(ewm_std, 4) as ewm_std, round(score, 5) as score from x")
 def win10(spark, sf):
     out = W.volatility(events(spark, sf), KEYS, ORDER, "value", 12, 48)
-    return out.select("event_type", "event_id", *[F.round(F.col(c) + 1e-9, 4).alias(c) for c in ("roll_std", "roll_mad", "score")])
+    return out.select("event_type", "event_id", *[F.round(c, n).alias(c) for c, n in (("roll_std", 4), ("roll_mad", 3), ("ewm_std", 4), ("score", 5))])
+
+
+PATTERN = """l as (select *, list_filter([lag(value, 24) over o, lag(value, 48) over o, lag(value, 72) over o, lag(value, 96) over o], lambda x: x is not null) as b,
+  avg(value) over (partition by event_type, hour(ts)) as hm, stddev_samp(value) over (partition by event_type, hour(ts)) as hs, avg(value) over (partition by event_type, dayofweek(ts)) as wm, stddev_samp(value) over (partition by event_type, dayofweek(ts)) as ws
+  from events window o as (partition by event_type order by ts)),
+sc as (select *, case when len(b) > 1 then abs(value - list_avg(b)) / (list_stddev_samp(b) + 1e-6) end as slot_score, abs(value - hm) / (hs + 1e-6) as hour_score, abs(value - wm) / (ws + 1e-6) as weekday_score from l),
+pt as (select *, list_avg(list_filter([slot_score, hour_score, weekday_score], lambda x: x is not null)) as pattern_score from sc)"""
 
 
-@query("win11_slot_score", f"""with l as (select *, list_filter([lag(value, 24) over ({OVER}), lag(value, 48) over ({OVER}), lag(value, 72) over ({OVER}), lag(value, 96) over ({OVER})], lambda x: x is not null) as b from events)
-select event_type, event_id, case when len(b) > 1 then round(abs(value - list_avg(b)) / (list_stddev_samp(b) + 1e-6), 4) end as slot_score from l""")
+@query("win11_slot_score", f"with {PATTERN} select event_type, event_id, round(slot_score, 4) as slot_score, round(hour_score, 4) as hour_score, round(weekday_score, 4) as weekday_score, round(pattern_score, 4) as pattern_score from pt")
 def win11(spark, sf):
-    return W.lagged_slot_score(events(spark, sf), KEYS, ORDER, "value", 24).select("event_type", "event_id", F.round("slot_score", 4).alias("slot_score"))
+    out = W.pattern_score(events(spark, sf), KEYS, "ts", "value", 24)
+    return out.select("event_type", "event_id", *[F.round(c, 4).alias(c) for c in ("slot_score", "hour_score", "weekday_score", "pattern_score")])
 
 
 @query("win12_long_term_score", f"select event_type, event_id, round(abs(value - avg(value) over (w rows between 12 preceding and 1 preceding)) / (stddev_samp(value) over (w rows between 12 preceding and 1 preceding) + 1e-6), 3) as long_score from events window w as ({OVER})".replace("(w rows", f"({OVER} rows").replace(f" window w as ({OVER})", ""))
@@ -128,7 +163,7 @@ def win15(spark, sf):
 
 @query("fil1_fill_both_ways", f"with {GAPS} select event_type, event_id, coalesce(last_value(y ignore nulls) over ({OVER} rows between unbounded preceding and current row), first_value(y ignore nulls) over ({OVER} rows between current row and unbounded following), 0) as filled from g")
 def fil1(spark, sf):
-    return gappy(spark, sf).select("event_type", "event_id", W.fill_both_ways("y", KEYS, ORDER, 0.0).alias("filled"))
+    return W.fill_both_ways(gappy(spark, sf), KEYS, ORDER, {"filled": "y"}, 0.0).select("event_type", "event_id", "filled")
 
 
 @query("fil2_interpolate", f"""with {GAPS}, p as (select *, row_number() over ({OVER}) as pos from g), k as (select *, case when y is not null then pos end as q from p),
