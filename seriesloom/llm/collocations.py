@@ -10,7 +10,10 @@ transform; extending it by a word on the right is a rank query in the reversed
 transform and a sum of smaller followers in the forward one.
 
 Phrases grow by one word a round: shards extend the phrases that are common over
-all of them, and their counts are summed across shards. A phrase whose whole forward
+all of them, and their counts are summed across shards. The first round, in which nearly every pair of common
+words is rare, ships sorted and compressed lists of pairs instead of rows; a shard finds the intervals
+of the pairs that are left by one rank query in either transform. The index is stored in buckets of
+shards, so that later rounds move only phrases. A phrase whose whole forward
 interval is preceded by one word, or whose reversed one is followed by one, in every shard,
 is part of a longer phrase that is just as common.
 
@@ -31,8 +34,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .segments import runs_of, segments, table_of
-from .shared import discard, documents, give_back, lean, narrow, store
-from .words import LOWER, hash_spans
+from .shared import discard, documents, give_back, in_buckets, lean, narrow, store
+from .words import LOWER, hash_spans, mix
 
 LONGEST, LEAST, TOP = 5, 100, 2000
 SHARD = 1 << 21
@@ -79,11 +82,11 @@ class Shard:
         words = words.take(pa.array(np.argsort(new))).cast(pa.binary())
         one = pa.array([0, len(new)], pa.int32())
         lists = [pa.ListArray.from_arrays(one, words), pa.ListArray.from_arrays(one, pa.array(counts, pa.int64()))]
-        return pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([self.n]), *lists, pa.array([codes.tobytes()], pa.binary())], ["lang", "n", "words", "counts", "codes"])
+        return pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([self.n]), *lists, pa.array([packed(codes)], pa.binary()), pa.array([len(codes)], pa.int32())], ["lang", "n", "words", "counts", "codes", "n_codes"])
 
 
 def shards(df: DataFrame, text_col: str, lang_col: str, most: int = SHARD) -> DataFrame:
-    """Columns shard, lang, n, words, counts, codes (32-bit local word numbers from 1, 0 before a word that no word of its piece precedes)."""
+    """Columns shard, lang, n, words, counts, codes and their number (compressed 32-bit local word numbers from 1, 0 before a word that no word of its piece precedes)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_: dict[str, Shard] = {}
@@ -117,7 +120,7 @@ def shards(df: DataFrame, text_col: str, lang_col: str, most: int = SHARD) -> Da
             yield shard.row(name)
 
     plain = narrow(df, text=text_col, lang=lang_col)
-    return plain.mapInArrow(lean(rows), "lang string, n long, words array<binary>, counts array<long>, codes binary").withColumn("shard", F.monotonically_increasing_id())
+    return plain.mapInArrow(lean(rows), "lang string, n long, words array<binary>, counts array<long>, codes binary, n_codes int").withColumn("shard", F.monotonically_increasing_id())
 
 
 def by_depth(text: np.ndarray, base: int, depth: int) -> np.ndarray:
@@ -198,7 +201,9 @@ def index(sharded: DataFrame, numbered: DataFrame, depth: int) -> DataFrame:
         local, number = right.column("local").to_numpy(), right.column("number").to_numpy()
         order = np.argsort(number)
         local, number = local[order], number[order]
-        codes = np.frombuffer(left.column("codes")[0].as_buffer(), np.int32)
+        if number[-1] >> 31:
+            raise ValueError("numbers of words pass 31 bits")
+        codes = unpacked(left.column("codes")[0].as_py(), left.column("n_codes")[0].as_py(), np.int32)
         symbol = np.zeros(max(int(codes.max()), int(local.max()) + 1) + 1, np.int32)
         symbol[local + 1] = np.arange(1, len(local) + 1)
         text = np.append(symbol[codes], np.int32(0))
@@ -214,28 +219,75 @@ def index(sharded: DataFrame, numbered: DataFrame, depth: int) -> DataFrame:
         give_back()
         return pa.table([[key[0].as_py()], [len(forward)], [len(number)], [packed(number.astype(np.int64))], [packed(forward)], [packed(reverse)]], schema=schema)
 
-    grouped = sharded.select("shard", "codes").groupBy("shard").cogroup(numbered.groupBy("shard"))
+    grouped = sharded.select("shard", "codes", "n_codes").groupBy("shard").cogroup(numbered.groupBy("shard"))
     return grouped.applyInArrow(build, INDEX)
 
 
+PAIRS = "bucket int, shard long, n int, keys binary, counts binary"
+FOUND = "shard long, phrase long, parent long, number long, a long"
+
+
+def first_round(indexed: DataFrame, buckets: int) -> DataFrame:
+    """All pairs of common words of every shard, dealt by a hash of the pair: sorted keys (first number * 2**32 + second) as differences, and counts."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                numbers, reverse = unpacked(r["numbers"], r["n_words"], np.int64), unpacked(r["reverse"], r["n"], np.int32)
+                size = np.bincount(reverse, minlength=r["n_words"] + 1)[1:]
+                owner = np.repeat(np.arange(r["n_words"]), size)
+                follower = reverse[len(reverse) - len(owner) :].astype(np.int64)
+                pair, count = np.unique((owner * (r["n_words"] + 1) + follower)[follower > 0], return_counts=True)
+                key = (numbers[pair // (r["n_words"] + 1)] << 32) + numbers[pair % (r["n_words"] + 1) - 1]
+                bucket = (mix(key.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+                order = np.lexsort((key, bucket))
+                key, count, ends = key[order], count[order].astype(np.int32), np.searchsorted(bucket[order], np.arange(buckets + 1))
+                out = [(b, r["shard"], hi - lo, packed(np.diff(key[lo:hi], prepend=0)), packed(count[lo:hi])) for b, (lo, hi) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())) if hi > lo]
+                kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(list(column), kind) for column, kind in zip(zip(*out), kinds)], ["bucket", "shard", "n", "keys", "counts"])
+                give_back()
+
+    return indexed.mapInArrow(lean(rows), PAIRS)
+
+
+def common_pairs(pairs: DataFrame, buckets: int, least: int) -> DataFrame:
+    """The pairs that are common over all shards, a row for each shard that has them, with a number of their own and the sum `a`."""
+
+    def rows(group: pa.Table) -> pa.Table:
+        shard, n = group.column("shard").to_numpy(), group.column("n").to_numpy()
+        keys = np.concatenate([np.cumsum(unpacked(k, m, np.int64)) for k, m in zip(group.column("keys").to_pylist(), n.tolist())])
+        counts = np.concatenate([unpacked(c, m, np.int32) for c, m in zip(group.column("counts").to_pylist(), n.tolist())])
+        order = np.argsort(keys, kind="stable")
+        first = np.flatnonzero(np.diff(keys[order], prepend=-1))
+        total = np.add.reduceat(counts[order].astype(np.int64), first)
+        enough = total >= least
+        place = np.searchsorted(keys[order][first][enough], keys)
+        known = keys[order][first][enough]
+        here = np.flatnonzero(known[np.minimum(place, len(known) - 1)] == keys) if len(known) else np.zeros(0, np.int64)
+        place, key = place[here], keys[here]
+        number = place * buckets + group.column("bucket")[0].as_py() if len(here) else place
+        give_back()
+        return pa.table([np.repeat(shard, n)[here], number, key >> 32, key & 0xFFFFFFFF, total[enough][place]], names=["shard", "phrase", "parent", "number", "a"])
+
+    return pairs.groupBy("bucket").applyInArrow(rows, FOUND)
+
+
 GROWN = "shard long, parent long, number long, lo int, lo_r int, size int, left_word long, right_word long"
 
 
-def grown(shard: int, n: int, n_words: int, codes: tuple[bytes, bytes, bytes], phrases: dict[str, np.ndarray] | None) -> pa.Table:
-    """Extensions of a shard's phrases (all of its words, if none are given), and what fills the intervals of given ones (rows without a number)."""
+def grown(shard: int, n: int, n_words: int, codes: tuple[bytes, bytes, bytes], phrases: dict[str, np.ndarray], pairs: bool) -> pa.Table:
+    """Extensions of a shard's phrases, and what fills their intervals (rows without a number)."""
     numbers, forward, reverse = unpacked(codes[0], n_words, np.int64), unpacked(codes[1], n, np.int32), unpacked(codes[2], n, np.int32)
-    rows = []
-    if phrases is None:
-        size = np.bincount(reverse, minlength=n_words + 1)
-        lo = np.cumsum(size) - size
-        here = np.flatnonzero(size[1:]) + 1
-        ids, lo, lo_r, size = numbers[here - 1], lo[here], lo[here], size[here]
-    else:
-        order = np.argsort(phrases["lo_r"])
-        ids, lo, lo_r, size = (phrases[c][order].astype(np.int64) for c in ("phrase", "lo", "lo_r", "size"))
-        named = np.concatenate([[0], numbers])
-        none = np.zeros(len(ids), np.int64)
-        rows.append((ids, None, none, none, size, named[sole(forward, lo, size)], named[sole(reverse, lo_r, size)]))
+    if pairs:
+        a, b = (np.searchsorted(numbers, phrases[c]) + 1 for c in ("parent", "number"))
+        ends = np.cumsum(np.bincount(reverse, minlength=n_words + 1))
+        step = Ranks(reverse).step
+        phrases = {"phrase": phrases["phrase"], "lo": Ranks(forward).step(a, ends[b - 1]), "lo_r": step(b, ends[a - 1]), "size": step(b, ends[a]) - step(b, ends[a - 1])}
+    order = np.argsort(phrases["lo_r"])
+    ids, lo, lo_r, size = (phrases[c][order].astype(np.int64) for c in ("phrase", "lo", "lo_r", "size"))
+    named = np.concatenate([[0], numbers])
+    none = np.zeros(len(ids), np.int64)
+    rows = [(ids, None, none, none, size, named[sole(forward, lo, size)], named[sole(reverse, lo_r, size)])]
     owner, symbol, lo, lo_r, size = extended(reverse, n_words + 1, lo, lo_r, size)
     rows.append((ids[owner], numbers[symbol - 1], lo, lo_r, size, None, None))
     give_back()
@@ -246,25 +298,15 @@ def grown(shard: int, n: int, n_words: int, codes: tuple[bytes, bytes, bytes], p
     )
 
 
-def first_round(indexed: DataFrame) -> DataFrame:
-    """All pairs of common words, without a shuffle."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                yield from grown(r["shard"], r["n"], r["n_words"], (r["numbers"], r["forward"], r["reverse"]), None).to_batches(max_chunksize=1 << 16)
-
-    return indexed.mapInArrow(lean(rows), GROWN)
-
-
 def next_round(indexed: DataFrame, phrases: DataFrame) -> DataFrame:
-    """Extensions of `phrases` (shard, phrase, lo, lo_r, size), and what stands beside them."""
+    """Extensions of `phrases` (shard, phrase, and their intervals or, for pairs, both words), and what stands beside them."""
+    pairs = "parent" in phrases.columns
 
     def rows(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return pa.table([pa.array([], pa.int64())] * 3 + [pa.array([], pa.int32())] * 3 + [pa.array([], pa.int64())] * 2, names=[part.split(" ")[0] for part in GROWN.split(", ")])
         r = left.to_pylist()[0]
-        return grown(r["shard"], r["n"], r["n_words"], (r["numbers"], r["forward"], r["reverse"]), {c: right.column(c).to_numpy() for c in right.column_names[1:]})
+        return grown(r["shard"], r["n"], r["n_words"], (r["numbers"], r["forward"], r["reverse"]), {c: right.column(c).to_numpy() for c in right.column_names[1:]}, pairs)
 
     return indexed.groupBy("shard").cogroup(phrases.groupBy("shard")).applyInArrow(rows, GROWN)
 
@@ -281,28 +323,36 @@ def phrases(df: DataFrame, longest: int = LONGEST, least: int = LEAST, text_col:
     Columns lang, phrase, depth, a (its count), n (the language's words), before and after (counts of its
     first k and of its words behind them, for k = 1, 2, ..), left_word and right_word (the word that always stands before or after it, else null)."""
     sharded = store(shards(df, text_col, lang_col, shard), "op11-shards")
+    n = sharded.count()
     words = sharded.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("local", "w")).select("shard", "lang", "local", F.col("w.words").alias("word"), F.col("w.counts").alias("count"))
-    total = F.sum("count").over(Window.partitionBy("lang", "word"))
-    placed = store(words.withColumn("a", total).where(F.col("a") >= least).drop("count"), "op11-placed")
-    vocabulary = store(placed.groupBy("lang", "word").agg(F.first("a").alias("a")).withColumn("phrase_id", F.monotonically_increasing_id() + 1), "op11-words")
-    numbered = placed.join(vocabulary.drop("a"), ["lang", "word"]).select("shard", "local", F.col("phrase_id").alias("number"))
-    indexed = store(index(sharded, numbered, longest), "op11-index")
+    # All steps of a word's numbering are in one part of a hash; a part numbers its common words from 0 on, and numbers of different parts never meet.
+    parts = max(64, n)
+    words = words.withColumn("part", F.pmod(F.xxhash64("lang", "word"), F.lit(parts))).repartition("part")
+    words = words.withColumn("a", F.sum("count").over(Window.partitionBy("part", "lang", "word"))).where(F.col("a") >= least)
+    place = F.dense_rank().over(Window.partitionBy("part").orderBy("lang", "word"))
+    placed = store(words.select("shard", "local", "lang", "word", "a", ((place - 1) * parts + F.col("part") + 1).cast("long").alias("phrase_id")), "op11-placed")
+    vocabulary = store(placed.groupBy("phrase_id").agg(F.first("lang").alias("lang"), F.first("word").alias("word"), F.first("a").alias("a")), "op11-words")
+    indexed, table = in_buckets(index(sharded, placed.select("shard", "local", F.col("phrase_id").alias("number")), longest), "shard", min(max(1, n), 20_000), "op11-index")
     sizes = store(sharded.groupBy("lang").agg(F.sum("n").alias("n")), "op11-sizes")
     discard(placed, sharded)
     none = F.array().cast("array<long>")
     spelled = F.col("word").cast("string")
     level = vocabulary.select("phrase_id", "lang", "a", spelled.alias("phrase"), spelled.alias("head"), F.array("phrase_id").alias("words"), none.alias("before"), none.alias("after"))
     levels, sides, live = [], [], None
+    buckets = max(16, n // 4)  # a group holds the pairs of about four shards
     for depth in range(2, longest + 1):
-        rows = store(first_round(indexed) if live is None else next_round(indexed, live), "op11-grown")
-        if live is not None:
+        if depth == 2:
+            rows, found = None, store(common_pairs(first_round(indexed, buckets), buckets, least), "op11-common")
+        else:
+            rows = store(next_round(indexed, live), "op11-grown")
             sides.append(_beside(rows))
+            found = store(common(rows, least), "op11-common")
         discard(live)
-        found = store(common(rows, least), "op11-common")
         ends = level.select(F.col("words").alias("tail"), F.col("phrase").alias("tail_phrase"), F.col("a").alias("tail_a"), F.col("after").alias("tail_after"))
         heads = level.select(F.col("phrase_id").alias("parent"), "lang", "head", "words", "before", F.col("a").alias("head_a"))
-        named = found.groupBy("parent", "number").agg(F.first("a").alias("a")).join(heads, "parent").withColumn("words", F.concat("words", F.array("number")))
-        named = named.join(ends, F.slice("words", 2, depth - 1) == F.col("tail")).withColumn("phrase_id", F.monotonically_increasing_id())
+        own = F.first("phrase").alias("phrase_id") if depth == 2 else F.monotonically_increasing_id().alias("phrase_id")
+        named = found.groupBy("parent", "number").agg(F.first("a").alias("a"), *([own] if depth == 2 else [])).join(heads, "parent").withColumn("words", F.concat("words", F.array("number")))
+        named = named.join(ends, F.slice("words", 2, depth - 1) == F.col("tail")).select("*", *([] if depth == 2 else [own]))
         level = store(
             named.select(
                 "phrase_id", "parent", "number", "lang", "a", F.concat_ws(" ", "head", "tail_phrase").alias("phrase"), "head", "words",
@@ -311,11 +361,14 @@ def phrases(df: DataFrame, longest: int = LONGEST, least: int = LEAST, text_col:
             "op11-phrases",
         )
         levels.append(level.select("phrase_id", F.lit(depth).alias("depth"), "lang", "phrase", "a", "before", "after"))
-        if depth < longest:
+        live = None
+        if depth == 2 and longest > 2:
+            live = store(found.select("shard", "phrase", "parent", "number"), "op11-live")
+        elif depth < longest:
             live = store(found.join(level.select("parent", "number", F.col("phrase_id").alias("phrase")), ["parent", "number"]).select("shard", "phrase", "lo", "lo_r", "size"), "op11-live")
         discard(found)
-        if not sides:
-            discard(rows)
+    discard(indexed)
+    df.sparkSession.sql(f"drop table {table}")
     out = None
     for depth, part in enumerate(levels, 2):
         word = vocabulary.select(F.col("phrase_id").alias("side_id"), F.col("word").cast("string").alias("side"))

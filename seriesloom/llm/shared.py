@@ -34,6 +34,14 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_buckets(df: DataFrame, key: str, buckets: int, name: str) -> tuple[DataFrame, str]:
+    """As `store`, in buckets of a key: what is later grouped or joined by that key is not shuffled again. The table's name is for dropping it."""
+    spark, table = df.sparkSession, f"b{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{table}"
+    df.repartition(buckets, key).write.option("path", path).bucketBy(buckets, key).saveAsTable(table)
+    return spark.table(table), table
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Delete tables that `store` wrote, once nothing that is still to run reads them."""
     for table in tables:
