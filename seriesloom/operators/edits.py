@@ -40,10 +40,11 @@ def apply_edits(df: DataFrame, ts: str, edits: list[dict]) -> DataFrame:
     return df
 
 
-def edit_grid(windows: DataFrame, factors: list[float], column: str, n: int) -> DataFrame:
-    """Every factor of an edit grid copies the windows where they are; ids are the factor's place (combo) * n + window."""
-    copies = windows.select("*", F.posexplode(F.array(*map(F.lit, factors))).alias("combo", "factor"))
-    return copies.withColumn(column, F.col(column) * F.col("factor")).withColumn("new_idx", F.col("combo").cast("long") * n + F.col("window_idx"))
+def edit_grid(windows: DataFrame, factors: list[float], column: str) -> DataFrame:
+    """Every factor of an edit grid copies the windows where they are; new_idx is the factor's place (combo) * n + window, with n above every window number of the table."""
+    n = windows.agg((F.max("window_idx") + 1).cast("long").alias("_n"))  # one row
+    copies = windows.select("*", F.posexplode(F.array(*map(F.lit, factors))).alias("combo", "factor")).join(F.broadcast(n))
+    return copies.withColumn(column, F.col(column) * F.col("factor")).withColumn("new_idx", F.col("combo") * F.col("_n") + F.col("window_idx")).drop("_n")
 
 
 def filter_combinations(values: DataFrame) -> DataFrame:

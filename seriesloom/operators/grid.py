@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,14 +39,15 @@ def downsample(df: DataFrame, keys: list[str], ts: str, value: str, level: str)
     return df.groupBy(*keys, period_start(level, ts).alias(ts)).agg(F.avg(value).alias(value))
 
 
-#: How often a row of a level repeats one level below, and the step.
-REPEATS = {"year": ("quarter", 4, "interval 3 months"), "quarter": ("month", 3, "interval 1 month"), "month": ("week", 4, "interval 7 days"), "week": ("day", 7, "interval 1 day"), "day": ("hour", 24, "interval 1 hour")}
+#: How often a row of a level repeats one level below (a month once for every seven days or part of them), and the step.
+REPEATS = {"year": ("quarter", 4, "interval 3 months"), "quarter": ("month", 3, "interval 1 month"), "month": ("week", None, "interval 7 days"), "week": ("day", 7, "interval 1 day"), "day": ("hour", 24, "interval 1 hour")}
 
 
 def upsample(df: DataFrame, ts: str, level: str) -> DataFrame:
     """Each row repeated over the steps of the next finer level."""
     _, n, step = REPEATS[level]
-    return df.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn(ts, (F.col(ts) + F.col("_k") * F.expr(step)).cast(NTZ)).drop("_k")
+    last = F.lit(n - 1) if n else F.when(F.dayofmonth(F.last_day(ts)) > 28, 4).otherwise(3)
+    return df.withColumn("_k", F.explode(F.sequence(F.lit(0), last))).withColumn(ts, (F.col(ts) + F.col("_k") * F.expr(step)).cast(NTZ)).drop("_k")
 
 
 def resample_to(df: DataFrame, keys: list[str], ts: str, value: str, have: str, want: str) -> DataFrame:
@@ -60,6 +63,25 @@ def resample_to(df: DataFrame, keys: list[str], ts: str, value: str, have: str,
     return df
 
 
+def all_levels(df: DataFrame, keys: list[str], ts: str, value: str, have: str, coarsest: str = "year", finest: str | None = None) -> DataFrame:
+    """(level, keys, ts, value): the series at its own level and, one level after the other, at all coarser ones up to `coarsest` and finer ones down to `finest`."""
+    at, out = LEVELS.index(have), [df.select(F.lit(have).alias("level"), *keys, ts, value)]
+    for step, end in ((1, LEVELS.index(coarsest)), (-1, LEVELS.index(finest or have))):
+        now, level = df, at
+        while level != end:
+            level += step
+            now = resample_to(now, keys, ts, value, LEVELS[level - step], LEVELS[level])
+            out.append(now.select(F.lit(LEVELS[level]).alias("level"), *keys, ts, value))
+    return reduce(DataFrame.unionByName, out)
+
+
+def longest(df: DataFrame, level: str, keys: list[str], n: int) -> DataFrame:
+    """The n series with most rows of each level, ties by key."""
+    counts = df.groupBy(level, *keys).agg(F.count("*").alias("_n"))
+    best = counts.withColumn("_r", F.row_number().over(Window.partitionBy(level).orderBy(F.desc("_n"), *keys))).where(F.col("_r") <= n)  # Spark keeps n rows a level before the shuffle
+    return df.join(best.select(level, *keys), [level, *keys], "left_semi")
+
+
 def rounded(unit: str, ts: str) -> Column:
     """To the nearest slot: years from July up, months from the 16th up, hours from half past up; quarters down."""
     c = F.col(ts)

@@ -11,6 +11,7 @@ is ordered whole. Edges and that count come from one pass over one column."""
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass
 
@@ -21,7 +22,7 @@ from pyspark.sql import types as T
 from .order_statistics import by_keys
 
 CHUNK = 1 << 14
-EDGES = 1023
+EDGES = 255
 
 
 def ordinal(df: DataFrame, column: str) -> Column | None:
@@ -58,15 +59,19 @@ def bucket_of(value: Column, edges: list) -> Column:
         return F.lit(0)
     width = math.isqrt(len(edges)) + 1
     groups = [edges[i : i + width] for i in range(0, len(edges), width)]
+    kind = "string" if isinstance(edges[0], str) else "double"
+    literal = lambda values, nested: F.from_json(F.lit(json.dumps(values)), f"array<{nested}>")  # noqa: E731  (one literal, not one for each edge)
     below = lambda among: F.size(F.filter(among, lambda e: e <= value))
-    coarse = below(F.array(*[F.lit(g[0]) for g in groups]))
-    inside = F.get(F.array(*[F.array(*map(F.lit, g)) for g in groups]), coarse - 1)
+    coarse = below(literal([g[0] for g in groups], kind))
+    inside = F.get(literal(groups, f"array<{kind}>"), coarse - 1)
     return F.when(coarse == 0, 0).otherwise((coarse - 1) * width + below(inside))
 
 
 def placed_in_buckets(df: DataFrame, column: str, most: int = EDGES, name: str = "_b") -> tuple[int, DataFrame]:
     """The number of rows, and `df` with its bucket: equal values share one, and a bucket's rows are about as many as any other's."""
     n, edges = edges_of(df, column, most)
+    if n <= CHUNK:  # one task holds them all
+        return n, df.withColumn(name, F.lit(0))
     value = ordinal(df, column)
     return n, df.withColumn(name, bucket_of(F.col(column) if value is None else value, edges))
 
@@ -77,11 +82,13 @@ def positioned(df: DataFrame, keys: list[str], order: list[str], name: str = "po
 
 
 def _positioned(df: DataFrame, keys: list[str], order: list[str], name: str, total: str | None, chunk: int) -> tuple[int, DataFrame]:
-    n, rows = placed_in_buckets(df, order[0])
+    n, edges = edges_of(df, order[0])
     w = Window.partitionBy(*keys)
     if n <= chunk:
         out = df.withColumn(name, F.row_number().over(w.orderBy(*order)) - 1)
         return n, out.withColumn(total, F.count("*").over(w)) if total else out
+    value = ordinal(df, order[0])
+    rows = df.withColumn("_b", bucket_of(F.col(order[0]) if value is None else value, edges))
     inside = Window.partitionBy(*keys, "_b").orderBy(*order)
     sizes = rows.groupBy(*keys, "_b").agg(F.count("*").alias("_k"))
     sizes = sizes.select(*keys, "_b", (F.sum("_k").over(w.orderBy("_b")) - F.col("_k")).alias("_before"), F.sum("_k").over(w).alias("_all"))  # a row per series and bucket

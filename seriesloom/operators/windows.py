@@ -129,7 +129,7 @@ def rolling_mean(df: DataFrame, keys: list[str], order: list[str], column: str,
     return c.own(c.rows.withColumn(f"{column}_mean_{size}", F.avg(column).over(c.window.rowsBetween(1 - size, 0))))
 
 
-def rolling_mean_in_time(df: DataFrame, keys: list[str], ts: str, column: str, seconds: float, buckets: int = 1023) -> DataFrame:
+def rolling_mean_in_time(df: DataFrame, keys: list[str], ts: str, column: str, seconds: float, buckets: int = 255) -> DataFrame:
     """Mean of the known values in the `seconds` up to and with each row's time, those that are exactly so old left out.
 
     `ts` is a timestamp or a date. Rows of the same time see each other. Rows go to the bucket of their time and, as

@@ -148,10 +148,10 @@ def edt3(spark, sf):
     return E.apply_edits(events(spark, sf), "ts", edits).select("event_id", "value")
 
 
-@query("edt5_edit_grid", f"with {WIN}, c as (select unnest([0, 1, 2]) as combo, unnest([1.0, 1.5, 2.0]) as factor) select event_type, combo * 100000 + window_idx as new_idx, round(sum(value * factor), 4) as total from w, c group by all")
+@query("edt5_edit_grid", f"with {WIN}, c as (select unnest([0, 1, 2]) as combo, unnest([1.0, 1.5, 2.0]) as factor) select event_type, combo, combo * (select max(window_idx) + 1 from w) + window_idx as new_idx, round(sum(value * factor), 4) as total from w, c group by all")
 def edt5(spark, sf):
-    g = E.edit_grid(event_windows(spark, sf), [1.0, 1.5, 2.0], "value", 100000)
-    return g.groupBy("event_type", "new_idx").agg(F.round(F.sum("value"), 4).alias("total"))
+    g = E.edit_grid(event_windows(spark, sf), [1.0, 1.5, 2.0], "value")
+    return g.groupBy("event_type", F.col("combo").cast("long").alias("combo"), "new_idx").agg(F.round(F.sum("value"), 4).alias("total"))
 
 
 @query("edt6_filter_combinations", "select distinct a.event_type, b.o_orderstatus from events a, (select distinct o_orderstatus from orders) b")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import math
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import calendar as C
@@ -47,10 +50,24 @@ def grd3(spark, sf):
     return out
 
 
-@query("grd4_upsample", "with w as (select date_trunc('week', o_orderdate) as ts, count(*) as n from orders group by 1) select ts + to_days(cast(k as integer)) as ts, n from w, (select unnest(range(0, 7)) as k)")
+_LEVELS = ["year", "quarter", "month", "week", "day"]
+_AT = {"year": "ts + to_months(cast(3 * k as integer))", "quarter": "ts + to_months(cast(k as integer))", "month": "ts + to_days(cast(7 * k as integer))", "week": "ts + to_days(cast(k as integer))", "day": "ts + to_hours(cast(k as integer))"}
+_TIMES = {"year": "4", "quarter": "3", "month": "cast(ceil(day(last_day(ts)) / 7.0) as bigint)", "week": "7", "day": "24"}
+
+
+@query("grd4_upsample", "with " + ", ".join(f"{x} as (select date_trunc('{x}', o_orderdate) as ts, count(*) as n from orders group by 1)" for x in _LEVELS) + " " + " union all ".join(f"select '{x}' as level, {_AT[x]} as ts, n from (select *, unnest(range(0, {_TIMES[x]})) as k from {x})" for x in _LEVELS))
 def grd4(spark, sf):
-    w = orders(spark, sf).groupBy(G.truncated("week", "o_orderdate").alias("ts")).agg(F.count("*").alias("n"))
-    return G.upsample(w, "ts", "week")
+    counts = lambda level: orders(spark, sf).groupBy(G.truncated(level, "o_orderdate").alias("ts")).agg(F.count("*").alias("n"))
+    return reduce(DataFrame.unionByName, [G.upsample(counts(x), "ts", x).select(F.lit(x).alias("level"), "ts", "n") for x in _LEVELS])
+
+
+_UP = {"week": "day", "month": "week", "quarter": "month", "year": "quarter"}
+
+
+@query("grd5_all_levels", "with day as (select o_orderpriority as k, date_trunc('day', o_orderdate) as ts, avg(o_totalprice) as v from orders group by all), " + ", ".join(f"{x} as (select k, {'date_trunc(' + chr(39) + x + chr(39) + ', ts)' + (' + interval 3 months' if x == 'quarter' else '')} as ts, avg(v) as v from \"{y}\" group by all)" if x != "month" else f"month as (select k, date_trunc('month', ts) as ts, avg(v) as v from week group by all)" for x, y in _UP.items()) + ", u as (" + " union all ".join(f"select '{x}' as level, * from \"{x}\"" for x in ["day", *_UP]) + "), c as (select level, k from u group by level, k qualify row_number() over (partition by level order by count(*) desc, k) <= 2) select level, k, ts, round(v + 1e-8, 5) as v from u join c using (level, k)")
+def grd5a(spark, sf):
+    daily_ = orders(spark, sf).groupBy(F.col("o_orderpriority").alias("k"), G.truncated("day", "o_orderdate").alias("ts")).agg(F.avg("o_totalprice").alias("v"))
+    return G.longest(G.all_levels(daily_, ["k"], "ts", "v", "day", "year"), "level", ["k"], 2).withColumn("v", F.round(F.col("v") + 1e-8, 5))
 
 
 @query("grd5_resample_levels", "with d as (select date_trunc('day', o_orderdate) as ts, avg(o_totalprice) as v from orders group by 1), w as (select date_trunc('week', ts) as ts, avg(v) as v from d group by 1), m as (select date_trunc('month', ts) as ts, avg(v) as v from w group by 1) select ts, round(v + 1e-9, 3) as v from m")
