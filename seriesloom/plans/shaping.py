@@ -208,14 +208,27 @@ def acf(spark, sf):
     return T.autocorrelation(events(spark, sf), KEYS, ORDER, "value", 24)
 
 
-@query("fea3_seasonality", f"with {_ACF}, q as (select *, acf > lag(acf) over o and acf > lead(acf) over o and acf > 0.01 as peak from acf window o as (partition by event_type order by lag)), t as (select distinct event_type from acf) select t.event_type, arg_max(q.lag, q.acf) as period, round(max(q.acf), 6) as strength from t left join q on q.event_type = t.event_type and q.peak group by 1")
+_RATIO = f"vr as (select event_type, var_pop(case when pos >= 3 then value - m end) / var_pop(value) as variance_ratio from (select *, avg(value) over (partition by event_type order by pos rows 3 preceding) as m from p) group by 1)"
+_SEASON = f"{_ACF}, q as (select *, acf > lag(acf) over o and acf > lead(acf) over o and acf > 0.01 as peak from acf window o as (partition by event_type order by lag)), t as (select distinct event_type from acf), {_RATIO}, sn as (select t.event_type, coalesce(arg_max(q.lag, q.acf), 0) as period, coalesce(max(q.acf), 0) as strength, any_value(variance_ratio) as variance_ratio from t join vr using (event_type) left join q on q.event_type = t.event_type and q.peak group by 1)"
+
+
+@query("fea3_seasonality", f"with {_SEASON} select event_type, period, round(strength, 6) as strength, round(variance_ratio, 6) as variance_ratio, case when strength > 0.05 then 1.0 else 0.0 end as has_seasonality from sn")
 def fea3(spark, sf):
-    return T.seasonality(acf(spark, sf), KEYS, 0.01).select("event_type", F.col("period").cast("long").alias("period"), F.round("strength", 6).alias("strength"))
+    out = T.seasonality_features(events(spark, sf), KEYS, ORDER, "value", 24, 0.01, 0.05)
+    return out.select("event_type", F.col("period").cast("long").alias("period"), F.round("strength", 6).alias("strength"), F.round("variance_ratio", 6).alias("variance_ratio"), "has_seasonality")
+
+
+_VOL = """r as (select *, value - lag(value) over o as d, value / lag(value) over o - 1 as r, case when pos >= 10 then stddev_pop(value) over (partition by event_type order by pos rows between 10 preceding and 1 preceding) end as rv from p window o as (partition by event_type order by pos)),
+rs as (select event_type, avg(r) as rm, stddev_pop(r) as std, avg(rv) as roll_mean, stddev_pop(rv) as roll_std from r group by 1),
+sh as (select event_type, avg(pow((r - rm) / std, 3)) as skew, avg(pow((r - rm) / std, 4)) - 3 as kurt from r join rs using (event_type) group by 1),
+cl as (select event_type, avg(c) as clustering from (select a.event_type, k, coalesce(corr(abs(a.d), abs(b.d)), 0) as c from r a, (select unnest(range(1, 21)) as k) join r b on b.event_type = a.event_type and b.pos = a.pos - k where b.d is not null group by all) group by 1),
+vo as (select * from rs join sh using (event_type) join cl using (event_type))"""
 
 
-@query("fea4_volatility", f"with {POS}, r as (select event_type, pos, value / lag(value) over o - 1 as r from p window o as (partition by event_type order by pos) qualify r is not null), v as (select *, case when count(r) over (partition by event_type order by pos rows between 10 preceding and 1 preceding) = 10 then stddev_pop(r) over (partition by event_type order by pos rows between 10 preceding and 1 preceding) end as v from r) select event_type, round(stddev_pop(r), 3) as std, round(avg(v), 3) as roll_mean, round(stddev_pop(v), 3) as roll_std from v group by 1")
+@query("fea4_volatility", f"with {POS}, {_VOL} select event_type, round(std, 3) as std, round(skew, 4) as skew, round(kurt, 3) as kurt, round(roll_mean, 5) as roll_mean, round(roll_std, 5) as roll_std, round(clustering, 6) as clustering from vo")
 def fea4(spark, sf):
-    return T.volatility_features(events(spark, sf), KEYS, ORDER, "value", 10).select("event_type", *[F.round(c, 3).alias(c) for c in ("std", "roll_mean", "roll_std")])
+    out = T.volatility_features(events(spark, sf), KEYS, ORDER, "value", 10)
+    return out.select("event_type", *[F.round(c, n).alias(c) for c, n in (("std", 3), ("skew", 4), ("kurt", 3), ("roll_mean", 5), ("roll_std", 5), ("clustering", 6))])
 
 
 @query("fea5_autocorrelation", f"with {_ACF} select event_type, lag, round(acf, 6) as acf from acf")
@@ -223,10 +236,16 @@ def fea5(spark, sf):
     return acf(spark, sf).select("event_type", F.col("lag").cast("long").alias("lag"), F.round("acf", 6).alias("acf"))
 
 
-@query("fea6_all_features", f"with {POS} select event_type, round(avg(value) + 1e-9, 5) as mean, round(regr_slope(value, pos) + 1e-9, 6) as slope from p group by 1")
+_RECORD = {"mean": 5, "std": 5, "range": 5, "iqr": 5, "cv": 5, "slope": 6, "intercept": 4, "corr": 6, "edge_change": 5, "change": 5, "strength": 6, "variance_ratio": 6, "roll_mean": 5, "roll_std": 5, "change_skew": 4, "clustering": 6}
+
+
+@query("fea6_all_features", f"""with {_SEASON}, {_VOL}, bs as (select event_type, avg(value) as mean, stddev_pop(value) as std, max(value) - min(value) as range, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) as iqr, coalesce(stddev_pop(value) / nullif(avg(value), 0), 0) as cv,
+regr_slope(value, pos) as slope, regr_intercept(value, pos) as intercept, corr(value, pos) as corr, avg(value) filter (pos >= n - 5) - avg(value) filter (pos < 5) as edge_change, arg_max(value, pos) - arg_min(value, pos) as change from p group by 1),
+al as (select bs.*, period, strength, variance_ratio, roll_mean, roll_std, skew as change_skew, clustering from bs join sn using (event_type) join vo using (event_type))
+select event_type, period, """ + ", ".join(f"round({c} + 1e-9, {n}) as {c}" for c, n in _RECORD.items()) + " from al")
 def fea6(spark, sf):
-    both = T.statistical(events(spark, sf), KEYS).join(T.trend(events(spark, sf), KEYS, ORDER, "value"), KEYS)
-    return _round(_round(both, 5, "mean"), 6, "slope").select("event_type", "mean", "slope")
+    out = T.all_features(events(spark, sf), KEYS, ORDER, "value", 10, 24, 0.01)
+    return out.select("event_type", F.col("period").cast("long").alias("period"), *[F.round(F.col(c) + 1e-9, n).alias(c) for c, n in _RECORD.items()])
 
 
 @query("fea7_outliers", "with s as (select event_type, quantile_cont(value, 0.25) as a, quantile_cont(value, 0.75) as b, avg(value) as m, stddev_pop(value) as s from events group by 1) select 'iqr' as method, event_id, value from events join s using (event_type) where value > b + 1.5 * (b - a) or value < a - 1.5 * (b - a) union all select 'z', event_id, value from events join s using (event_type) where abs(value - m) > 2 * s")
@@ -252,16 +271,31 @@ def fea8r(spark, sf):
     return T.reconstructed(events(spark, sf), dft(spark, sf), KEYS, ORDER, "value", 3).select("event_id", F.round("fitted", 4).alias("fitted"))
 
 
-@query("fea9_window_fourier", f"with {WIN}, z as (select *, (value - avg(value) over (partition by event_type, window_idx)) / stddev_pop(value) over (partition by event_type, window_idx) as z from w) select event_type, window_idx, k, round(sum(z * cos(k * step * {2 * math.pi!r} / 24)), 4) as re, round(sum(-z * sin(k * step * {2 * math.pi!r} / 24)), 4) as im from z, (select unnest(range(1, 4)) as k) group by all")
+_WF = ["mean_magnitude", "median_magnitude", "std_magnitude", "mean_phase", "median_phase", "std_phase", "ts_sum_values", "ts_median", "ts_mean", "ts_std", "ts_var", "ts_rms", "ts_max", "ts_abs_max", "ts_min"]
+
+
+@query("fea9_window_fourier", f"""with {WIN}, co as (select event_type, window_idx, k, round(sum(value * cos(((k * step) % 24) * {2 * math.pi!r} / 24)) / 24, 9) + 0.0 as re, round(-sum(value * sin(((k * step) % 24) * {2 * math.pi!r} / 24)) / 24, 9) + 0.0 as im from w, (select unnest(range(0, 24)) as k) group by all),
+m as (select event_type, window_idx, list(round(re + 1 + 1e-7, 5) order by k) as coefficients, avg(sqrt(re * re + im * im)) as mean_magnitude, median(sqrt(re * re + im * im)) as median_magnitude, stddev_pop(sqrt(re * re + im * im)) as std_magnitude, avg(atan2(im, re)) as mean_phase, median(atan2(im, re)) as median_phase, stddev_pop(atan2(im, re)) as std_phase from co group by all),
+v as (select event_type, window_idx, sum(value) as ts_sum_values, median(value) as ts_median, avg(value) as ts_mean, count(*) as ts_length, stddev_pop(value) as ts_std, var_pop(value) as ts_var, sqrt(avg(value * value)) as ts_rms, max(value) as ts_max, max(abs(value)) as ts_abs_max, min(value) as ts_min from w group by all)
+select event_type, window_idx, coefficients, ts_length, {", ".join(f"round({c} + 1e-7, 5) as {c}" for c in _WF)} from m join v using (event_type, window_idx)""")
 def fea9(spark, sf):
-    w = event_windows(spark, sf)
-    return T.fourier(w, ["event_type", "window_idx"], ["step"], "value", 3).select("event_type", "window_idx", F.col("k").cast("long").alias("k"), F.round("re", 4).alias("re"), F.round("im", 4).alias("im"))
+    from ..operators.windows import window_arrays
 
+    out = T.window_fourier(window_arrays(event_windows(spark, sf), KEYS, ["value"]), "value")
+    return out.select("event_type", "window_idx", F.transform("coefficients", lambda x: F.round(x + 1e-7, 5)).alias("coefficients"), F.col("ts_length").cast("long").alias("ts_length"), *[F.round(F.col(c) + 1e-7, 5).alias(c) for c in _WF])
 
-@query("fea10_dominant_period", f"with {_DFT}, acf as (select a.event_type, k as lag, corr(a.value, b.value) as acf from p a, (select unnest(range(1, 400)) as k) join p b on b.event_type = a.event_type and b.pos = a.pos - k group by all), s as (select *, cast(round(n / k) as bigint) as lag from amp qualify amplitude > avg(amplitude) over (partition by event_type) + 2 * stddev_pop(amplitude) over (partition by event_type)) select event_type, arg_max(lag, amplitude) as period from s join acf using (event_type, lag) where acf > -1 group by 1")
+
+@query("fea10_dominant_period", f"""with p as (select user_id, value + 60 * cos((row_number() over (partition by user_id order by ts, event_id) - 1) * {2 * math.pi!r} / 8) as v, row_number() over (partition by user_id order by ts, event_id) - 1 as pos, count(*) over (partition by user_id) as n from events),
+s as (select user_id, k, n, pow(sum(v * cos(((k * pos) % n) * {2 * math.pi!r} / n)), 2) + pow(sum(v * sin(((k * pos) % n) * {2 * math.pi!r} / n)), 2) as power from p, (select unnest(range(1, 400)) as k) where k <= (n - 1) // 2 group by all),
+g as (select *, row_number() over (partition by user_id order by power desc, k) as r, cast(round_even(n / k, 0) as bigint) as lag from s qualify power > avg(power) over (partition by user_id) + 2 * stddev_pop(power) over (partition by user_id)),
+a as (select g.user_id, g.lag, min(g.r) as r from g where lag between 3 and 30 and lag * 2 <= n and r <= 6 group by all),
+c as (select a.user_id, a.lag, a.r from a join p x on x.user_id = a.user_id join p y on y.user_id = a.user_id and y.pos = x.pos + a.lag group by all having corr(x.v, y.v) > 0.1),
+f as (select user_id, list(lag order by r)[:3] as periods, min(r) as first from c group by 1), z as (select user_id, any_value(n) as n from p group by 1)
+select z.user_id, cast(case when first = 1 then periods[1] when n // 2 >= 7 then 7 else 3 end as integer) as period, list_transform(coalesce(periods, []), lambda x: cast(x as integer)) as periods from z left join f using (user_id)""")
 def fea10(spark, sf):
-    wide = T.autocorrelation(events(spark, sf), KEYS, ORDER, "value", 399)
-    return T.dominant_period(dft(spark, sf), wide, KEYS, -1.0).select("event_type", F.col("period").cast("long").alias("period"))
+    placed = T.numbered(events(spark, sf), ["user_id"], ORDER)
+    wave = placed.withColumn("v", F.col("value") + 60 * F.cos(F.col("pos") * (2 * math.pi) / 8)).drop("pos")
+    return T.dominant_periods(wave, ["user_id"], ORDER, "v", 3, 30)
 
 
 _DEC = f"{POS}, t as (select *, avg(value) over (partition by event_type order by pos rows between 12 preceding and 12 following) as trend from p), m as (select event_type, pos % 24 as ph, avg(value - trend) as raw from t group by all), s as (select event_type, ph, raw - avg(raw) over (partition by event_type) as seasonal from m), parts as (select t.*, seasonal, value - trend - seasonal as rest from t join s on s.event_type = t.event_type and s.ph = pos % 24)"
@@ -291,6 +325,18 @@ def fea13(spark, sf):
     return T.sampled_points(events(spark, sf), KEYS, ["ts", "event_id"], "value", 8)
 
 
+@query("fea13_fixed_vector", f"""with p as (select user_id, value, row_number() over (partition by user_id order by ts, event_id) - 1 as pos, count(*) over (partition by user_id) as n from events),
+b as (select *, lag(value, 1) over o as l1, lag(value, 7) over o as l7, lag(value, 30) over o as l30 from p window o as (partition by user_id order by pos)),
+st as (select user_id, [avg(value), stddev_pop(value), min(value), max(value), median(value), quantile_cont(value, 0.25), quantile_cont(value, 0.75), regr_slope(value, pos), corr(value, l1), corr(value, l7), corr(value, l30)] as s from b group by 1),
+pt as (select user_id, list(value order by i) as pts from p join (select unnest(range(0, 8)) as i) on pos = cast(floor(i * (n - 1) / 7) as bigint) group by 1),
+fq as (select user_id, n, i, case when n // 2 + 1 > 6 then cast(floor(i * (n // 2) / 5) as bigint) when i < n // 2 + 1 then i end as k from (select user_id, any_value(n) as n from p group by 1), (select unnest(range(0, 6)) as i)),
+fr as (select q.user_id, i, coalesce(sqrt(pow(sum(value * cos(((k * pos) % q.n) * {2 * math.pi!r} / q.n)), 2) + pow(sum(value * sin(((k * pos) % q.n) * {2 * math.pi!r} / q.n)), 2)), 0) as m from fq q left join p on p.user_id = q.user_id and k is not null group by all),
+fl as (select user_id, list(m order by i) as f from fr group by 1)
+select user_id, list_transform(list_concat(s, pts, f), lambda x: case when x is null or isnan(x) or isinf(x) then 0 else round(x + 1e-7, 4) end) as vector from st join pt using (user_id) join fl using (user_id)""")
+def fea13v(spark, sf):
+    return T.fixed_vector(events(spark, sf), ["user_id"], ORDER, "value", 8, 6).withColumn("vector", F.transform("vector", lambda x: F.when(x == 0, 0.0).otherwise(F.round(x + 1e-7, 4))))
+
+
 @query("fea14_cut_by_date", "select event_id from events where ts < timestamp '2024-01-12'")
 def fea14(spark, sf):
     return events(spark, sf).where(F.col("ts") < F.lit("2024-01-12").cast("timestamp_ntz")).select("event_id")
