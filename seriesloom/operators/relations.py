@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order_statistics import by_keys, quantiles_of
+
 
 def aligned_pairs(long: DataFrame, series: str, pos: str, value: str, scaled: bool = False) -> DataFrame:
     """(a, b, pos, x, y) of all pairs of series at shared positions, a < b; positions with a null go."""
@@ -74,6 +76,64 @@ def transfer_entropy(rows: DataFrame, keys: list[str], x: str, y: str, order: st
     return g.groupBy(*keys).agg(te.alias("te"), h.alias("h")).withColumn("te", F.coalesce(F.try_divide("te", "h"), F.lit(0.0))).drop("h")
 
 
+def quantile_binned(long: DataFrame, series: str, value: str, bins: int) -> DataFrame:
+    """`long` with bin 0 .. bins - 1 between the series' exact quantiles of equal shares; a value on an edge goes up, so repeated edges leave bins empty."""
+    shares = {f"_q{i}": i / bins for i in range(1, bins)}
+    placed = by_keys(long, quantiles_of(long, [series], value, shares), [series])
+    edges = F.array(*shares)
+    return placed.withColumn("bin", F.size(F.filter(edges, lambda e: e <= F.col(value)))).drop(*shares)
+
+
+def bin_counts(long: DataFrame, series: str, value: str, most: int, least_rows: int = 1) -> DataFrame:
+    """(series, bins): the greatest number of equal-width bins, from `most` down to 2, of which two or more have rows and none that has rows has fewer than `least_rows`.
+
+    All numbers of bins are tried in one job: each value is counted once for each of them."""
+    ends = long.groupBy(series).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    each = by_keys(long.select(series, value), ends, [series]).withColumn("bins", F.explode(F.sequence(F.lit(2), F.lit(most))))
+    counts = each.groupBy(series, "bins", width_bin(F.col(value), F.col("_lo"), F.col("_hi"), F.col("bins")).alias("_bin")).agg(F.count("*").alias("_n"))
+    good = counts.groupBy(series, "bins").agg(F.count("*").alias("_k"), F.min("_n").alias("_least")).where((F.col("_k") > 1) & (F.col("_least") >= least_rows))
+    return ends.select(series).join(good.groupBy(series).agg(F.max("bins").alias("bins")), series, "left").withColumn("bins", F.coalesce("bins", F.lit(2)))
+
+
+def width_bin(value: Column, low: Column, high: Column, bins: Column) -> Column:
+    return F.least(bins - 1, F.floor(F.coalesce(F.try_divide((value - low) * bins, high - low), F.lit(0.0)))).cast("int")
+
+
+def transfer_tasks(long: DataFrame, series: str, pos: str, value: str, lags: list[int], bins: int, targets: list | None = None, least_rows: int = 1) -> DataFrame:
+    """(source, target, lag, te, bins) of all tasks of a profile, in one plan: every ordered pair of series, or those with a target among `targets` on either side.
+
+    Each series has the greatest number of equal-width bins that leaves no used bin under `least_rows`; a task takes the smaller number of its two series. The entropy transferred from
+    the source's value `lag` positions back, given the target's one position back, is divided by the entropy of the target. A task
+    uses the positions from the series' start by its larger lag on at which all three values are known. Values travel once for each number of bins, not for each pair."""
+    sizes = bin_counts(long, series, value, bins, least_rows)
+    ends = long.groupBy(series).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    partners = (sizes if targets is None else sizes.where(F.col(series).isin(targets))).agg(F.collect_list(F.struct(F.col(series).alias("s"), F.col("bins").alias("k"))).alias("_o"))  # the columns of one profile, in one row
+    pairs = sizes.join(F.broadcast(partners)).select(F.col(series).alias("source"), F.col("bins").alias("_s"), F.explode("_o").alias("_o")).select("source", F.col("_o.s").alias("target"), "_s", F.col("_o.k").alias("_t"))
+    pairs = pairs.unionByName(pairs.select(F.col("target").alias("source"), F.col("source").alias("target"), F.col("_t").alias("_s"), F.col("_s").alias("_t"))).where("source <> target").distinct()
+    tasks = pairs.select("source", "target", F.least("_s", "_t").alias("bins")).withColumn("lag", F.explode(F.array(*map(F.lit, lags))))
+    used = tasks.select(F.col("source").alias(series), "bins").unionByName(tasks.select(F.col("target").alias(series), "bins")).distinct()
+    coded = long.select(series, pos, value).join(ends, series).join(used, series).select(series, "bins", F.col(pos).alias("_p"), width_bin(F.col(value), F.col("_lo"), F.col("_hi"), F.col("bins")).alias("_b"))
+    now = coded.select(F.col(series).alias("target"), "bins", "_p", F.col("_b").alias("y"))
+    before = coded.select(F.col(series).alias("target"), "bins", (F.col("_p") + 1).alias("_p"), F.col("_b").alias("yp"))
+    states = tasks.join(now.join(before, ["target", "bins", "_p"]), ["target", "bins"]).withColumn("_q", F.col("_p") - F.col("lag"))
+    past = coded.select(F.col(series).alias("source"), "bins", F.col("_p").alias("_q"), F.col("_b").alias("xp"))
+    met = states.join(past, ["source", "bins", "_q"]).groupBy("source", "target", "lag", "bins", "y", "yp", "xp").agg(F.count("*").alias("n"))
+    keys = ["source", "target", "lag", "bins"]
+    for name, by in {"t": [], "ny": ["y"], "nyp": ["yp"], "nyyp": ["y", "yp"], "nypxp": ["yp", "xp"]}.items():
+        met = met.withColumn(name, F.sum("n").over(Window.partitionBy(*keys, *by)))  # states of a task, at most bins ** 3
+    p = F.col("n") / F.col("t")
+    te, h = F.sum(p * F.log2(F.col("n") * F.col("nyp") / (F.col("nypxp") * F.col("nyyp")))), -F.sum(p * F.log2(F.col("ny") / F.col("t")))
+    out = met.groupBy(*keys).agg(te.alias("te"), h.alias("_h"))
+    return out.select("source", "target", "lag", F.coalesce(F.try_divide("te", "_h"), F.lit(0.0)).alias("te"), "bins")
+
+
+def best_lags(tasks: DataFrame) -> DataFrame:
+    """(source, target, lag, te): the lag of most transferred entropy, the smallest of ties; lag 1 and 0 where none transfers any."""
+    best = tasks.groupBy("source", "target").agg(F.max(F.struct(F.round("te", 9).alias("r"), (-F.col("lag")).alias("l"), "te")).alias("_m"))
+    some = F.col("_m.r") > 0
+    return best.select("source", "target", F.when(some, -F.col("_m.l")).otherwise(1).alias("lag"), F.when(some, F.col("_m.te")).otherwise(0.0).alias("te"))
+
+
 def granger(rows: DataFrame, keys: list[str], x: str, y: str, order: str, lags: int = 5) -> DataFrame:
     """Share of the residual sum of squares of an autoregression of y that lags of x remove, 0 .. 1.
 

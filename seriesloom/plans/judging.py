@@ -120,6 +120,38 @@ def rel13(spark, sf):
     return cc.groupBy("a", "b").agg(F.count("*").alias("lags"), F.round(F.max(F.abs("cc")), 6).alias("best"))
 
 
+#: Hourly sums, the greatest number of bins (of 12 at most) that leaves two rows or more in each used bin, and the transferred entropy of all tasks.
+_TE = """h as (select event_type as s, date_diff('hour', timestamp '2024-01-01', ts) as pos, sum(value) as v from events group by all), e as (select s, min(v) as lo, max(v) as hi from h group by 1),
+bc as (select s, k, least(k - 1, cast(floor((v - lo) * k / (hi - lo)) as bigint)) as b, count(*) as n from h join e using (s), (select unnest(range(2, 13)) as k) group by all),
+nb as (select s, coalesce(max(k) filter (ok), 2) as k from (select s, k, count(*) > 1 and min(n) >= 2 as ok from bc group by all) group by 1),
+tk as (select a.s as source, b.s as target, least(a.k, b.k) as bins, lag from nb a, nb b, (select unnest([1, 5, 10, 20, 50]) as lag) where a.s <> b.s and (a.s in ('click', 'view') or b.s in ('click', 'view'))),
+cd as (select s, pos, bins, least(bins - 1, cast(floor((v - lo) * bins / (hi - lo)) as bigint)) as b from h join e using (s), (select distinct bins from tk)),
+g as (select source, target, lag, tk.bins as bins, y.b as y, yp.b as yp, xp.b as xp, count(*) as n from tk join cd y on y.s = target and y.bins = tk.bins join cd yp on yp.s = target and yp.bins = tk.bins and yp.pos = y.pos - 1
+  join cd xp on xp.s = source and xp.bins = tk.bins and xp.pos = y.pos - lag group by source, target, lag, tk.bins, y.b, yp.b, xp.b),
+w as (select *, sum(n) over (partition by source, target, lag) as t, sum(n) over (partition by source, target, lag, y) as ny, sum(n) over (partition by source, target, lag, yp) as nyp, sum(n) over (partition by source, target, lag, y, yp) as nyyp, sum(n) over (partition by source, target, lag, yp, xp) as nypxp from g),
+te as (select source, target, lag, any_value(bins) as bins, coalesce(sum(n / t * log2(n * nyp / (nypxp * nyyp))) / nullif(-sum(n / t * log2(ny / t)), 0), 0) as te from w group by all)"""
+
+
+def transfers(spark, sf):
+    hourly = events(spark, sf).groupBy("event_type", F.timestamp_diff("HOUR", F.lit("2024-01-01").cast("timestamp_ntz"), F.date_trunc("hour", "ts").cast("timestamp_ntz")).alias("pos")).agg(F.sum("value").alias("v"))
+    return R.transfer_tasks(hourly, "event_type", "pos", "v", [1, 5, 10, 20, 50], 12, ["click", "view"], 2)
+
+
+@query("rel4_transfer_tasks", f"with {_TE} select source, target, lag, bins, round(te, 6) as te from te")
+def rel4t(spark, sf):
+    return transfers(spark, sf).select("source", "target", F.col("lag").cast("long").alias("lag"), F.col("bins").cast("long").alias("bins"), F.round("te", 6).alias("te"))
+
+
+@query("rel13_best_lags", f"with {_TE} select source, target, case when max(round(te, 9)) > 0 then arg_max(lag, round(te, 9) - lag * 1e-12) else 1 end as lag, round(greatest(max(te), 0), 6) as te from te group by all")
+def rel13t(spark, sf):
+    return R.best_lags(transfers(spark, sf)).select("source", "target", F.col("lag").cast("long").alias("lag"), F.round("te", 6).alias("te"))
+
+
+@query("rel4_quantile_bins", f"with {D}, q as (select event_type, [quantile_cont(v, 0.2), quantile_cont(v, 0.4), quantile_cont(v, 0.6), quantile_cont(v, 0.8)] as e from d group by 1) select event_type, pos, len(list_filter(e, lambda x: x <= v)) as bin from d join q using (event_type)")
+def rel4q(spark, sf):
+    return R.quantile_binned(daily(spark, sf), "event_type", "v", 5).select("event_type", "pos", F.col("bin").cast("long").alias("bin"))
+
+
 def vectors(spark, sf):
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
 

@@ -275,14 +275,14 @@ _WF = ["mean_magnitude", "median_magnitude", "std_magnitude", "mean_phase", "med
 
 
 @query("fea9_window_fourier", f"""with {WIN}, co as (select event_type, window_idx, k, round(sum(value * cos(((k * step) % 24) * {2 * math.pi!r} / 24)) / 24, 9) + 0.0 as re, round(-sum(value * sin(((k * step) % 24) * {2 * math.pi!r} / 24)) / 24, 9) + 0.0 as im from w, (select unnest(range(0, 24)) as k) group by all),
-m as (select event_type, window_idx, list(round(re + 1 + 1e-7, 5) order by k) as coefficients, avg(sqrt(re * re + im * im)) as mean_magnitude, median(sqrt(re * re + im * im)) as median_magnitude, stddev_pop(sqrt(re * re + im * im)) as std_magnitude, avg(atan2(im, re)) as mean_phase, median(atan2(im, re)) as median_phase, stddev_pop(atan2(im, re)) as std_phase from co group by all),
+m as (select event_type, window_idx, list(round(re + 1 + 2.3e-10, 5) order by k) as coefficients, avg(sqrt(re * re + im * im)) as mean_magnitude, median(sqrt(re * re + im * im)) as median_magnitude, stddev_pop(sqrt(re * re + im * im)) as std_magnitude, avg(atan2(im, re)) as mean_phase, median(atan2(im, re)) as median_phase, stddev_pop(atan2(im, re)) as std_phase from co group by all),
 v as (select event_type, window_idx, sum(value) as ts_sum_values, median(value) as ts_median, avg(value) as ts_mean, count(*) as ts_length, stddev_pop(value) as ts_std, var_pop(value) as ts_var, sqrt(avg(value * value)) as ts_rms, max(value) as ts_max, max(abs(value)) as ts_abs_max, min(value) as ts_min from w group by all)
 select event_type, window_idx, coefficients, ts_length, {", ".join(f"round({c} + 1e-7, 5) as {c}" for c in _WF)} from m join v using (event_type, window_idx)""")
 def fea9(spark, sf):
     from ..operators.windows import window_arrays
 
     out = T.window_fourier(window_arrays(event_windows(spark, sf), KEYS, ["value"]), "value")
-    return out.select("event_type", "window_idx", F.transform("coefficients", lambda x: F.round(x + 1e-7, 5)).alias("coefficients"), F.col("ts_length").cast("long").alias("ts_length"), *[F.round(F.col(c) + 1e-7, 5).alias(c) for c in _WF])
+    return out.select("event_type", "window_idx", F.transform("coefficients", lambda x: F.round(x + 2.3e-10, 5)).alias("coefficients"), F.col("ts_length").cast("long").alias("ts_length"), *[F.round(F.col(c) + 1e-7, 5).alias(c) for c in _WF])
 
 
 @query("fea10_dominant_period", f"""with p as (select user_id, value + 60 * cos((row_number() over (partition by user_id order by ts, event_id) - 1) * {2 * math.pi!r} / 8) as v, row_number() over (partition by user_id order by ts, event_id) - 1 as pos, count(*) over (partition by user_id) as n from events),
