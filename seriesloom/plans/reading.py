@@ -143,6 +143,14 @@ def str1(spark, sf):
     return streamed(spark, sf, "str1", jobs.usage_counts).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", "k")
 
 
+@query("str1_endpoint_health", f"""with r as (select date_trunc('hour', ts) as start, '/v' || (user_id % 3) as endpoint, case event_type when 'error' then 500 when 'signup' then 404 else 200 end as status, value from events)
+select start, endpoint, count(*) as n, round(avg(case when status >= 400 then 1.0 else 0.0 end), 6) as error_share, round(avg(value) + 1e-7, 5) as mean_latency, max(value) as worst_latency from r group by all having start + interval 1 hour <= {_CLOSED.format('30 minute')}""")
+def str1h(spark, sf):
+    status = F.when(F.col("event_type") == "error", 500).when(F.col("event_type") == "signup", 404).otherwise(200)
+    health = streamed(spark, sf, "str1h", lambda s: jobs.endpoint_health(s, F.concat(F.lit("/v"), (F.col("user_id") % 3).cast("string")), status, F.col("value")))
+    return health.select(F.col("start").cast("timestamp_ntz").alias("start"), "endpoint", "n", F.round("error_share", 6).alias("error_share"), F.round(F.col("mean_latency") + 1e-7, 5).alias("mean_latency"), "worst_latency")
+
+
 @query("str2_payload_batch", "select event_id, value from events where event_type = 'click'")
 def str2(spark, sf):
     """Payloads posted by users, one a user and hour, through foreachBatch."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.aggregates import merge_repeated
@@ -27,6 +27,14 @@ def usage_counts(stream: DataFrame, window: str = "1 hour", late: str = "30 minu
     return counts.select(F.col("window.start").alias("start"), "event_type", "n", "k", "users")
 
 
+def endpoint_health(stream: DataFrame, endpoint: Column, status: Column, latency: Column, window: str = "1 hour", late: str = "30 minutes") -> DataFrame:
+    """Requests, share of failed ones (an HTTP status of 400 or more), mean and greatest latency, per endpoint and window. A row without a status counts as a request, but not in the share."""
+    rows = stream.withColumns({"endpoint": endpoint, "_failed": (status >= 400).cast("double"), "_latency": latency.cast("double")})
+    sums = rows.withWatermark("ts", late).groupBy(F.window("ts", window), "endpoint")
+    found = sums.agg(F.count("*").alias("n"), F.avg("_failed").alias("error_share"), F.avg("_latency").alias("mean_latency"), F.max("_latency").alias("worst_latency"))
+    return found.select(F.col("window.start").alias("start"), "endpoint", "n", "error_share", "mean_latency", "worst_latency")
+
+
 def without_repeats(stream: DataFrame, keys: list[str], late: str = "1 hour") -> DataFrame:
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
