@@ -113,12 +113,15 @@ def _payloads(packets: np.ndarray) -> np.ndarray:
 def _in_order(packets: np.ndarray) -> tuple[np.ndarray, int]:
     """The packets of one PID without those that are sent twice, and how often the continuity counter breaks.
 
-    A counter goes up by one with each payload and stays without; a packet may be sent twice; a discontinuity indicator allows any jump."""
+    A counter goes up by one with each payload and stays without; a packet may be sent twice, the second time with another clock value; a discontinuity indicator allows any jump."""
     if len(packets) < 2:
         return packets, 0
+    clocked = ((packets[:, 3] & 0x20) != 0) & (packets[:, 4] >= 7) & ((packets[:, 5] & 0x10) != 0)
+    bare = packets.copy() if clocked.any() else packets
+    bare[clocked, 6:12] = 0
     step = (packets[1:, 3].astype(np.int16) - packets[:-1, 3]) & 15
     carries = (packets[1:, 3] & 0x10) != 0
-    twice = (step == 0) & carries & (packets[1:] == packets[:-1]).all(axis=1)
+    twice = (step == 0) & carries & (bare[1:] == bare[:-1]).all(axis=1)
     jumps = ((packets[1:, 3] & 0x20) != 0) & (packets[1:, 4] > 0) & ((packets[1:, 5] & 0x80) != 0)
     broken = ~(twice | jumps | (step == carries))
     return packets[np.concatenate([[True], ~twice])], int(broken.sum())
@@ -139,7 +142,7 @@ def _section_of(packets: np.ndarray, start: np.ndarray) -> bytes:
 
 def demux(media: bytes) -> dict:
     """Of the first elementary stream of the first program: payload, times (90 kHz ticks, -1 for a unit without one), entries (units that are
-    random-access points); and packets, and errors (breaks of a continuity counter) of the tables and all elementary streams."""
+    random-access points), cut (units that end before their length); and packets, and errors (breaks of a continuity counter) of the tables and all elementary streams."""
     packets = np.frombuffer(media, np.uint8).reshape(-1, PACKET)
     if len(packets) == 0 or (packets[:, 0] != SYNC).any():
         raise ValueError("not a transport stream")
@@ -170,16 +173,18 @@ def demux(media: bytes) -> dict:
     first = np.flatnonzero((own[:, 1] & 0x40 != 0) & (start < PACKET))
     begins = ends[first] - (PACKET - start[first])
     stops = np.append(begins[1:], len(data))
-    payload, times = [], []
+    payload, times, cut = [], [], 0
     for b, stop in zip(begins.tolist(), stops.tolist(), strict=True):
         if data[b : b + 3] != b"\x00\x00\x01":
             raise ValueError("no start code where a PES packet begins")
         length = int.from_bytes(data[b + 4 : b + 6], "big")
         s = data[b + 9 : b + 14]
-        times.append((s[0] >> 1 & 7) << 30 | s[1] << 22 | s[2] >> 1 << 15 | s[3] << 7 | s[4] >> 1 if data[b + 7] & 0x80 else -1)
-        payload.append(data[b + 9 + data[b + 8] : b + 6 + length if length else stop])  # length 0: up to the next one
+        times.append((s[0] >> 1 & 7) << 30 | s[1] << 22 | s[2] >> 1 << 15 | s[3] << 7 | s[4] >> 1 if len(s) == 5 and data[b + 7] & 0x80 else -1)
+        end = b + 6 + length if length else stop  # length 0: up to the next one
+        cut += end > stop
+        payload.append(data[b + 9 + data[b + 8] : min(end, stop)])  # after a lost packet, nothing of the next unit
     entries = np.flatnonzero((own[first, 3] & 0x20 != 0) & (own[first, 4] > 0) & (own[first, 5] & 0x40 != 0))
-    return {"payload": b"".join(payload), "times": times, "entries": entries.tolist(), "packets": len(packets), "errors": errors, "program": program, "pid": media_pids[0]}
+    return {"payload": b"".join(payload), "times": times, "entries": entries.tolist(), "packets": len(packets), "errors": errors, "cut": cut, "program": program, "pid": media_pids[0]}
 
 
 def padded(text: bytes) -> bytes:

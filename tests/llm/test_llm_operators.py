@@ -185,6 +185,32 @@ def test_streams_of_other_encoders_are_read():
     assert lost["errors"] == 1
 
 
+def _with_clock(packet, ticks):
+    return packet[:6] + transport_media._clock(ticks) + packet[12:]
+
+
+def test_a_packet_sent_twice_with_another_clock_counts_once():
+    payload = transport_media.padded(os.urandom(9000))
+    media = transport_media.mux(payload)
+    packets = [media[i : i + 188] for i in range(0, len(media), 188)]
+    twice = [p for q in packets for p in ([q, _with_clock(q, 77)] if q[3] & 0x20 and q[4] >= 7 and q[5] & 0x10 else [q])]
+    assert len(twice) > len(packets)
+    read = transport_media.demux(b"".join(twice))
+    assert read["payload"] == payload and read["errors"] == 0 and read["cut"] == 0
+
+
+def test_a_unit_ends_where_the_next_one_begins_after_a_lost_packet():
+    payload = transport_media.padded(os.urandom(3 * transport_media.UNIT))
+    media = transport_media.mux(payload)
+    packets = [media[i : i + 188] for i in range(0, len(media), 188)]
+    inside = [i for i, p in enumerate(packets) if p[1:3] == transport_media.MEDIA_PID.to_bytes(2, "big")]
+    gone = inside[1]
+    read = transport_media.demux(b"".join(packets[:gone] + packets[gone + 1 :]))
+    assert read["errors"] == 1 and read["cut"] == 1 and len(read["times"]) == len(transport_media.demux(media)["times"])
+    lost = len(payload) - len(read["payload"])
+    assert 0 < lost <= 184 and read["payload"].endswith(payload[transport_media.UNIT :])
+
+
 # --- op3 ---
 
 
