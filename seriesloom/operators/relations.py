@@ -221,15 +221,11 @@ def _blocks(rows: DataFrame, ident: str, vector: str, size: int, block: str, pac
     return dealt.groupBy(F.floor(F.col("_n") / size).alias(block)).agg(F.collect_list(F.struct(F.col(ident).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"))).alias(packed))
 
 
-def nearest_by_metrics(queries: DataFrame, corpus: DataFrame, metrics: tuple[str, ...], k: int, size: int = 512, apart: bool = False) -> DataFrame:
-    """(metric, q, id, distance, place): the k nearest corpus vectors (id, vector) of each query (q, query) by each metric, ties by id; `apart` leaves out the query itself.
+NEAR = "metric string, q long, id long, distance double"
 
-    Queries and corpus are dealt into blocks of up to `size` rows. A corpus block is sent to each query block, the pair is worked out as one matrix,
-    and k rows a query and metric are kept before the shuffle. Ids are whole numbers."""
-    asked = _blocks(queries, "q", "query", size, "_qb", "_queries")
-    asked = asked.withColumn("_qb", F.pmod(F.xxhash64("_qb"), F.lit(1 << 31)).cast("long"))
-    names = asked.agg(F.collect_set("_qb").alias("_all"))  # one number a block
-    held = _blocks(corpus, "id", "vector", size, "_cb", "_vectors").join(F.broadcast(names)).withColumn("_qb", F.explode("_all")).drop("_all", "_cb")  # one row
+
+def _solver(metrics: tuple[str, ...], k: int, apart: bool):
+    """A function for mapInArrow from pairs of blocks (queries, vectors) to the k nearest of each query in each pair."""
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -250,7 +246,20 @@ def nearest_by_metrics(queries: DataFrame, corpus: DataFrame, metrics: tuple[str
                     m, a, b, c = (np.concatenate(x) for x in zip(*out, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(m, pa.string()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64())], ["metric", "q", "id", "distance"])
 
-    best = held.join(asked, "_qb").select("_queries", "_vectors").mapInArrow(solve, "metric string, q long, id long, distance double")
+    return solve
+
+
+def nearest_by_metrics(queries: DataFrame, corpus: DataFrame, metrics: tuple[str, ...], k: int, size: int = 512, apart: bool = False) -> DataFrame:
+    """(metric, q, id, distance, place): the k nearest corpus vectors (id, vector) of each query (q, query) by each metric, ties by id; `apart` leaves out the query itself.
+
+    Queries and corpus are dealt into blocks of up to `size` rows. A corpus block is sent to each query block, the pair is worked out as one matrix,
+    and k rows a query and metric are kept before the shuffle. Ids are whole numbers."""
+    asked = _blocks(queries, "q", "query", size, "_qb", "_queries")
+    asked = asked.withColumn("_qb", F.pmod(F.xxhash64("_qb"), F.lit(1 << 31)).cast("long"))
+    names = asked.agg(F.collect_set("_qb").alias("_all"))  # one number a block
+    held = _blocks(corpus, "id", "vector", size, "_cb", "_vectors").join(F.broadcast(names)).withColumn("_qb", F.explode("_all")).drop("_all", "_cb")  # one row
+
+    best = held.join(asked, "_qb").select("_queries", "_vectors").mapInArrow(_solver(metrics, k, apart), NEAR)
     return best.withColumn("place", F.row_number().over(Window.partitionBy("metric", "q").orderBy("distance", "id"))).where(F.col("place") <= k)
 
 
@@ -259,6 +268,86 @@ def nearest_of(queries: DataFrame, corpus: DataFrame, metric: str = "euclidean",
     return nearest_by_metrics(queries, corpus, (metric,), k, size).drop("metric")
 
 
+def fit_lists(corpus: DataFrame, lists: int = 64, per_list: int = 64, rounds: int = 8) -> np.ndarray:
+    """Centres of an inverted file: k-means over a sample of at most lists * per_list vectors, those whose hashes of ids are smallest. Fewer vectors than lists make fewer centres."""
+    sample = corpus.where(F.col("vector").isNotNull()).select("id", F.col("vector").cast("array<double>").alias("vector")).orderBy(F.xxhash64("id"), "id").limit(lists * per_list).toArrow()
+    if not sample.num_rows:
+        return np.zeros((0, 0))
+    x = np.stack(sample.column("vector").to_numpy())
+    centres = x[: min(lists, len(x))].copy()
+    for _ in range(rounds):
+        nearest = ((x * x).sum(1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(1)[None, :]).argmin(1)
+        for j in range(len(centres)):
+            if (nearest == j).any():
+                centres[j] = x[nearest == j].mean(0)
+    return centres
+
+
+def _listed(rows: DataFrame, ident: str, vector: str, centres: np.ndarray, choose, extra: str | None = None) -> DataFrame:
+    """(_list, ident, vector, _gap): each row once for every list that choose(distances to the centres, extra) marks, with its distance to the centre."""
+    kinds = f"_list int, {ident} long, {vector} array<double>, _gap double"
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.stack(batch.column(1).to_numpy(zero_copy_only=False))
+            gap = np.stack([np.sqrt(((centres - v) ** 2).sum(1)) for v in x])
+            row, one = np.nonzero(choose(gap, batch.column(2).to_numpy(zero_copy_only=False) if extra else None))
+            taken = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(one, pa.int32()), batch.column(0).take(taken), batch.column(1).take(taken), pa.array(gap[row, one])], ["_list", ident, vector, "_gap"])
+
+    known = rows.where(F.col(vector).isNotNull())
+    return known.select(F.col(ident).cast("long").alias(ident), F.col(vector).cast("array<double>").alias(vector), *([extra] if extra else [])).mapInArrow(place, kinds)
+
+
+def _list_blocks(listed: DataFrame, ident: str, vector: str, size: int, packed: str) -> DataFrame:
+    dealt = listed.select("_list", F.struct(F.col(ident).alias("id"), F.col(vector).alias("vector")).alias("_v"), F.floor(F.monotonically_increasing_id() / size).alias("_b"))
+    return dealt.groupBy("_list", "_b").agg(F.collect_list("_v").alias(packed)).drop("_b")  # `size` rows at most
+
+
+def nearest_in_lists(queries: DataFrame, corpus: DataFrame, k: int = 1, centres: np.ndarray | None = None, probes: int = 4, exact: bool = True, size: int = 512) -> DataFrame:
+    """(q, id, distance, place): the k corpus vectors (id, vector) of least Euclidean distance of each query (q, query), ties by id, by an inverted file.
+
+    Every vector is in the list of its nearest centre. A query first looks into its `probes` nearest lists. That is all without `exact`; else the distance d of its k-th find
+    bounds the rest: a list may hold a nearer vector only if its centre is within d plus the list's radius, and
+    those lists are looked into as well, so the result is that of comparing all. Only blocks of the same list meet. Rows without a vector take no part."""
+    centres = fit_lists(corpus) if centres is None else centres
+    n = len(centres)
+    if not n:
+        return queries.sparkSession.createDataFrame([], "q long, id long, distance double, place int")
+
+    def among(gap: np.ndarray, most: int) -> np.ndarray:
+        chosen = np.zeros(gap.shape, bool)
+        np.put_along_axis(chosen, np.argsort(gap, axis=1, kind="stable")[:, : min(most, n)], True, axis=1)
+        return chosen
+
+    held = _listed(corpus, "id", "vector", centres, lambda gap, _: among(gap, 1))
+    blocks = _list_blocks(held, "id", "vector", size, "_vectors")
+
+    def search(asked: DataFrame) -> DataFrame:
+        met = _list_blocks(asked, "q", "query", size, "_queries").join(blocks, "_list").select("_queries", "_vectors").mapInArrow(_solver(("euclidean",), k, False), NEAR)
+        return met.select("q", "id", "distance")
+
+    w = Window.partitionBy("q").orderBy("distance", "id")
+    first = search(_listed(queries, "q", "query", centres, lambda gap, _: among(gap, probes)))
+    best = first.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    if not exact:
+        return best
+    radius = np.full(n, -np.inf)
+    for r in held.groupBy("_list").agg(F.max("_gap").alias("r")).collect():  # a row per list
+        radius[r["_list"]] = r["r"]
+    bound = best.groupBy("q").agg(F.max("distance").alias("_d"), F.count("*").alias("_k")).select("q", F.when(F.col("_k") >= k, F.col("_d")).alias("_d"))
+    asked = queries.join(bound, "q", "left").withColumn("_d", F.coalesce("_d", F.lit(float("inf"))))
+
+    def open_(gap: np.ndarray, d: np.ndarray) -> np.ndarray:
+        slack = 1e-9 * (1 + gap)  # for what is rounded in either distance
+        return (gap - radius[None, :] <= d[:, None] + slack) & ~among(gap, probes)
+
+    more = search(_listed(asked, "q", "query", centres, open_, "_d"))
+    return best.drop("place").unionByName(more).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+
+
 def grouped_distances(queries: DataFrame, corpus: DataFrame, size: int = 512) -> DataFrame:
     """(ci, cj, mean): the mean Euclidean distance of the queries (ci, query) of each class to the vectors (cj, vector) of each class.
 

@@ -182,6 +182,12 @@ def emb3(spark, sf):
     return R.nearest_of(queries_of(spark, sf), vectors(spark, sf).where("id % 20 <> 0")).select("q", "id", F.round("distance", 5).alias("distance"))
 
 
+@query("emb3_indexed_nearest", f"with {_EV} select q, id, round(list_distance(vector, query), 5) as distance from q, v where id % 20 <> 0 qualify row_number() over (partition by q order by list_distance(vector, query), id) <= 3")
+def emb3i(spark, sf):
+    near = R.nearest_in_lists(queries_of(spark, sf), vectors(spark, sf).where("id % 20 <> 0"), 3)
+    return near.select("q", "id", F.round("distance", 5).alias("distance"))
+
+
 @query("emb4_pca")
 def emb4(spark, sf):
     p = R.principal_components(vectors(spark, sf), "vector", 3)

@@ -200,6 +200,21 @@ def src4(spark, sf):
     return found.select("event_type", F.col("length").cast("long").alias("length"), F.col("start").cast("timestamp_ntz").alias("start"))
 
 
+@query("src5_chosen_series", "with s as (select event_type || '-' || (user_id % 10) as series_id, event_id, value from events), c as (select series_id, avg(value) as mean, count(*) as length from s group by 1) select series_id, event_id, value from s where series_id in (select series_id from c where series_id like 'click%' and mean > 45 and length > 2)")
+def src5c(spark, sf):
+    """Series saved in folders with a catalog; a second save of the same series adds nothing; then those that the catalog picks are read."""
+    path = workspace(spark, "src5")
+    long = events(spark, sf).withColumn("series_id", F.concat("event_type", F.lit("-"), (F.col("user_id") % 10).cast("string")))
+    first = long.where("event_type <> 'view'")
+    K.save_series(first, f"{path}/data", ["series_id"])
+    K.save_catalog(first, f"{path}/catalog", "series_id", "ts", "value")
+    saved = spark.read.parquet(f"{path}/catalog")
+    fresh = K.new_series(long, saved, ["series_id"])
+    K.save_series(fresh, f"{path}/data", ["series_id"])
+    K.save_catalog(fresh, f"{path}/catalog", "series_id", "ts", "value")
+    return S.chosen_series(spark, f"{path}/data", spark.read.parquet(f"{path}/catalog"), "series_id like 'click%' and mean > 45 and length > 2", columns=["event_id", "value"])
+
+
 @query("src10_nested_to_wide", "select user_id, date_trunc('day', ts) as day, round(max(value) filter (event_type = 'click'), 4) as click, round(max(value) filter (event_type = 'error'), 4) as error from events where event_type in ('click', 'error') group by all")
 def src10(spark, sf):
     day = events(spark, sf).where("event_type in ('click', 'error')").groupBy("user_id", "event_type", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day")).agg(F.max("value").alias("v"))

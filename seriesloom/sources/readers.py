@@ -46,6 +46,17 @@ def catalog(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).json(path).withColumn("source_file", F.col("_metadata.file_path"))
 
 
+def chosen_series(spark: SparkSession, path: str, catalog: DataFrame, condition: Column | str, key: str = "series_id", columns: list[str] | None = None) -> DataFrame:
+    """Rows of the series that a condition on their catalog rows (one a series) picks, from a table in folders by `key`.
+
+    It is a semi join on the folders' column: where the picked keys are few enough to be broadcast, Spark opens only their folders;
+    a larger choice is an ordinary join. No key passes through the driver."""
+    data = spark.read.parquet(path)
+    picked = catalog.where(condition).select(F.col(key).alias(key)).distinct()
+    found = data.join(picked, key, "left_semi")
+    return found if columns is None else found.select(key, *columns)
+
+
 def column_series(df: DataFrame, keys: list[str], ts: str, columns: list[str] | None = None) -> DataFrame:
     """Each numeric column as a series of its own: (keys, column_id, ts, value), trimmed to its known part."""
     columns = columns or [c for c, t in df.dtypes if t in NUMERIC and c not in keys and c != ts]

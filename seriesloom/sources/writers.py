@@ -19,6 +19,12 @@ def save_series(long: DataFrame, path: str, keys: list[str], saved: DataFrame |
     return fresh
 
 
+def save_catalog(long: DataFrame, path: str, key: str, ts: str, value: str) -> None:
+    """Append a catalog row (start, end, length, known values, mean) for each series of `long`, in one pass."""
+    rows = long.groupBy(key).agg(F.min(ts).alias("start"), F.max(ts).alias("end"), F.count("*").alias("length"), F.count(value).alias("known"), F.avg(value).alias("mean"))
+    rows.write.mode("append").parquet(path)
+
+
 def save_dataset(df: DataFrame, path: str, ts: str, kind: str = "parquet") -> DataFrame:
     """Write as csv, json or parquet; a one-row description (rows, first, last)."""
     writer = df.write.mode("overwrite")
