@@ -74,14 +74,17 @@ class Shard:
 
     def row(self, lang: str) -> pa.RecordBatch:
         hashes, breaks, new = np.concatenate(self.hashes), np.concatenate(self.breaks), np.concatenate(self.new)
-        codes = np.searchsorted(self.known, hashes).astype(np.int32) + 1
-        counts = np.bincount(codes - 1, minlength=len(self.known))
-        codes = np.insert(codes, np.flatnonzero(breaks), 0)
+        place = np.searchsorted(self.known, hashes)
+        counts = np.bincount(place, minlength=len(self.known))
+        common_first = np.argsort(-counts, kind="stable")  # small numbers for common words, which pack well
+        rank = np.empty(len(counts), np.int32)
+        rank[common_first] = np.arange(1, len(counts) + 1)
+        codes = np.insert(rank[place], np.flatnonzero(breaks), 0)
         offsets = np.concatenate([[0], np.cumsum(np.concatenate(self.sizes))]).astype(np.int64)
         words = pa.Array.from_buffers(pa.large_binary(), len(new), [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(self.spelled))])
-        words = words.take(pa.array(np.argsort(new))).cast(pa.binary())
+        words = words.take(pa.array(np.argsort(new)[common_first])).cast(pa.binary())
         one = pa.array([0, len(new)], pa.int32())
-        lists = [pa.ListArray.from_arrays(one, words), pa.ListArray.from_arrays(one, pa.array(counts, pa.int64()))]
+        lists = [pa.ListArray.from_arrays(one, words), pa.ListArray.from_arrays(one, pa.array(counts[common_first], pa.int64()))]
         return pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([self.n]), *lists, pa.array([packed(codes)], pa.binary()), pa.array([len(codes)], pa.int32())], ["lang", "n", "words", "counts", "codes", "n_codes"])
 
 
@@ -272,49 +275,62 @@ def common_pairs(pairs: DataFrame, buckets: int, least: int) -> DataFrame:
     return pairs.groupBy("bucket").applyInArrow(rows, FOUND)
 
 
-GROWN = "shard long, parent long, number long, lo int, lo_r int, size int, left_word long, right_word long"
+GROWN = "shard long, parent long, number long, suffix long, lo int, lo_r int, size int, left_word long, right_word long"
+GROWN_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+GROWN_NAMES = [part.split(" ")[0] for part in GROWN.split(", ")]
 
 
-def grown(shard: int, n: int, n_words: int, codes: tuple[bytes, bytes, bytes], phrases: dict[str, np.ndarray], pairs: bool) -> pa.Table:
-    """Extensions of a shard's phrases, and what fills their intervals (rows without a number)."""
+def grown(shard: int, n: int, n_words: int, codes: tuple[bytes, bytes, bytes], phrases: dict[str, np.ndarray]) -> pa.Table:
+    """Extensions of a shard's phrases, and what fills their intervals (rows without a number).
+
+    An extension counts only if what it is without its first word is common, too: that is one of the shard's phrases again, its `suffix`."""
     numbers, forward, reverse = unpacked(codes[0], n_words, np.int64), unpacked(codes[1], n, np.int32), unpacked(codes[2], n, np.int32)
-    if pairs:
-        a, b = (np.searchsorted(numbers, phrases[c]) + 1 for c in ("parent", "number"))
-        ends = np.cumsum(np.bincount(reverse, minlength=n_words + 1))
-        step = Ranks(reverse).step
-        phrases = {"phrase": phrases["phrase"], "lo": Ranks(forward).step(a, ends[b - 1]), "lo_r": step(b, ends[a - 1]), "size": step(b, ends[a]) - step(b, ends[a - 1])}
-    order = np.argsort(phrases["lo_r"])
-    ids, lo, lo_r, size = (phrases[c][order].astype(np.int64) for c in ("phrase", "lo", "lo_r", "size"))
+    ids, parents, words, suffixes = (phrases[c] for c in ("phrase", "parent", "number", "suffix"))
+    if "lo" in phrases:
+        lo, lo_r, size = (phrases[c].astype(np.int64) for c in ("lo", "lo_r", "size"))
+    else:  # pairs: each interval is one rank query
+        a, b = np.searchsorted(numbers, parents) + 1, np.searchsorted(numbers, words) + 1
+        ends, step = np.cumsum(np.bincount(reverse, minlength=n_words + 1)), Ranks(reverse).step
+        lo, lo_r = Ranks(forward).step(a, ends[b - 1]), step(b, ends[a - 1])
+        size = step(b, ends[a]) - lo_r
     named = np.concatenate([[0], numbers])
     none = np.zeros(len(ids), np.int64)
-    rows = [(ids, None, none, none, size, named[sole(forward, lo, size)], named[sole(reverse, lo_r, size)])]
-    owner, symbol, lo, lo_r, size = extended(reverse, n_words + 1, lo, lo_r, size)
-    rows.append((ids[owner], numbers[symbol - 1], lo, lo_r, size, None, None))
+    rows = [(ids, None, None, none, none, size, named[sole(forward, lo, size)], named[sole(reverse, lo_r, size)])]
+    order = np.argsort(lo_r)
+    owner, symbol, lo, lo_r, size = extended(reverse, n_words + 1, lo[order], lo_r[order], size[order])
+    owner = order[owner]
+    parent_of = np.unique(parents)
+    known = np.searchsorted(parent_of, parents) << 31 | words
+    by_key = np.argsort(known)
+    rank = np.searchsorted(parent_of, suffixes[owner])
+    wanted = rank << 31 | numbers[symbol - 1]
+    place = np.minimum(np.searchsorted(known[by_key], wanted), len(known) - 1)
+    here = np.flatnonzero((known[by_key][place] == wanted) & (parent_of[np.minimum(rank, len(parent_of) - 1)] == suffixes[owner]))
+    owner, symbol, place = owner[here], symbol[here], place[here]
+    rows.append((ids[owner], numbers[symbol - 1], ids[by_key[place]], lo[here], lo_r[here], size[here], None, None))
     give_back()
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-    names = [part.split(" ")[0] for part in GROWN.split(", ")]
     return pa.concat_tables(
-        pa.table([pa.array(np.full(len(r[0]), shard)), *[pa.nulls(len(r[0]), k) if v is None else pa.array(v, k) for v, k in zip(r, kinds)]], names=names) for r in rows
+        pa.table([pa.array(np.full(len(r[0]), shard)), *[pa.nulls(len(r[0]), k) if v is None else pa.array(v, k) for v, k in zip(r, GROWN_KINDS[1:])]], names=GROWN_NAMES) for r in rows
     )
 
 
 def next_round(indexed: DataFrame, phrases: DataFrame) -> DataFrame:
-    """Extensions of `phrases` (shard, phrase, and their intervals or, for pairs, both words), and what stands beside them."""
-    pairs = "parent" in phrases.columns
+    """Extensions of `phrases` (shard, phrase, parent, number, suffix and, but for pairs, their intervals), and what stands beside them."""
 
     def rows(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
-            return pa.table([pa.array([], pa.int64())] * 3 + [pa.array([], pa.int32())] * 3 + [pa.array([], pa.int64())] * 2, names=[part.split(" ")[0] for part in GROWN.split(", ")])
+            return pa.table([pa.array([], kind) for kind in GROWN_KINDS], names=GROWN_NAMES)
         r = left.to_pylist()[0]
-        return grown(r["shard"], r["n"], r["n_words"], (r["numbers"], r["forward"], r["reverse"]), {c: right.column(c).to_numpy() for c in right.column_names[1:]}, pairs)
+        return grown(r["shard"], r["n"], r["n_words"], (r["numbers"], r["forward"], r["reverse"]), {c: right.column(c).to_numpy() for c in right.column_names[1:]})
 
     return indexed.groupBy("shard").cogroup(phrases.groupBy("shard")).applyInArrow(rows, GROWN)
 
 
 def common(grown_rows: DataFrame, least: int) -> DataFrame:
-    """Extensions that are common over all shards, each shard's row with the sum `a`."""
-    total = F.sum("size").over(Window.partitionBy("parent", "number"))
-    return grown_rows.where("number is not null").select("shard", "parent", "number", "lo", "lo_r", "size", total.alias("a")).where(F.col("a") >= least)
+    """Extensions that are common over all shards, each shard's row with a number of the phrase and the sum `a`."""
+    w = Window.partitionBy("parent", "number")
+    rows = grown_rows.where("number is not null").select("shard", "parent", "number", "suffix", "lo", "lo_r", "size", F.monotonically_increasing_id().alias("_row"))
+    return rows.withColumn("a", F.sum("size").over(w)).where(F.col("a") >= least).withColumn("phrase", F.min("_row").over(w)).drop("_row")
 
 
 def phrases(df: DataFrame, longest: int = LONGEST, least: int = LEAST, text_col: str = "text", lang_col: str = "lang", shard: int = SHARD) -> DataFrame:
@@ -332,40 +348,36 @@ def phrases(df: DataFrame, longest: int = LONGEST, least: int = LEAST, text_col:
     place = F.dense_rank().over(Window.partitionBy("part").orderBy("lang", "word"))
     placed = store(words.select("shard", "local", "lang", "word", "a", ((place - 1) * parts + F.col("part") + 1).cast("long").alias("phrase_id")), "op11-placed")
     vocabulary = store(placed.groupBy("phrase_id").agg(F.first("lang").alias("lang"), F.first("word").alias("word"), F.first("a").alias("a")), "op11-words")
-    indexed, table = in_buckets(index(sharded, placed.select("shard", "local", F.col("phrase_id").alias("number")), longest), "shard", min(max(1, n), 20_000), "op11-index")
+    shares = min(max(1, n), 20_000)
+    numbers = placed.select("shard", "local", F.col("phrase_id").alias("number")).repartition(shares, "shard")
+    indexed, table = in_buckets(index(sharded.select("shard", "codes", "n_codes").repartition(shares, "shard"), numbers, longest), "shard", shares, "op11-index")
     sizes = store(sharded.groupBy("lang").agg(F.sum("n").alias("n")), "op11-sizes")
     discard(placed, sharded)
     none = F.array().cast("array<long>")
     spelled = F.col("word").cast("string")
-    level = vocabulary.select("phrase_id", "lang", "a", spelled.alias("phrase"), spelled.alias("head"), F.array("phrase_id").alias("words"), none.alias("before"), none.alias("after"))
+    level = vocabulary.select("phrase_id", "lang", "a", spelled.alias("phrase"), spelled.alias("head"), none.alias("before"), none.alias("after"))
     levels, sides, live = [], [], None
     buckets = max(16, n // 4)  # a group holds the pairs of about four shards
     for depth in range(2, longest + 1):
         if depth == 2:
-            rows, found = None, store(common_pairs(first_round(indexed, buckets), buckets, least), "op11-common")
+            rows, found = None, store(common_pairs(first_round(indexed, buckets), buckets, least).withColumn("suffix", F.col("number")), "op11-common")
         else:
             rows = store(next_round(indexed, live), "op11-grown")
             sides.append(_beside(rows))
             found = store(common(rows, least), "op11-common")
         discard(live)
-        ends = level.select(F.col("words").alias("tail"), F.col("phrase").alias("tail_phrase"), F.col("a").alias("tail_a"), F.col("after").alias("tail_after"))
-        heads = level.select(F.col("phrase_id").alias("parent"), "lang", "head", "words", "before", F.col("a").alias("head_a"))
-        own = F.first("phrase").alias("phrase_id") if depth == 2 else F.monotonically_increasing_id().alias("phrase_id")
-        named = found.groupBy("parent", "number").agg(F.first("a").alias("a"), *([own] if depth == 2 else [])).join(heads, "parent").withColumn("words", F.concat("words", F.array("number")))
-        named = named.join(ends, F.slice("words", 2, depth - 1) == F.col("tail")).select("*", *([] if depth == 2 else [own]))
+        ends = level.select(F.col("phrase_id").alias("suffix"), F.col("phrase").alias("tail_phrase"), F.col("a").alias("tail_a"), F.col("after").alias("tail_after"))
+        heads = level.select(F.col("phrase_id").alias("parent"), "lang", "head", "before", F.col("a").alias("head_a"))
+        named = found.groupBy(F.col("phrase").alias("phrase_id")).agg(*[F.first(c).alias(c) for c in ("parent", "suffix", "a")]).join(heads, "parent").join(ends, "suffix")
         level = store(
             named.select(
-                "phrase_id", "parent", "number", "lang", "a", F.concat_ws(" ", "head", "tail_phrase").alias("phrase"), "head", "words",
+                "phrase_id", "lang", "a", F.concat_ws(" ", "head", "tail_phrase").alias("phrase"), "head",
                 F.concat("before", F.array("head_a")).alias("before"), F.concat(F.array("tail_a"), "tail_after").alias("after"),
             ),
             "op11-phrases",
         )
         levels.append(level.select("phrase_id", F.lit(depth).alias("depth"), "lang", "phrase", "a", "before", "after"))
-        live = None
-        if depth == 2 and longest > 2:
-            live = store(found.select("shard", "phrase", "parent", "number"), "op11-live")
-        elif depth < longest:
-            live = store(found.join(level.select("parent", "number", F.col("phrase_id").alias("phrase")), ["parent", "number"]).select("shard", "phrase", "lo", "lo_r", "size"), "op11-live")
+        live = store(found.drop("a"), "op11-live") if depth < longest else None
         discard(found)
     discard(indexed)
     df.sparkSession.sql(f"drop table {table}")

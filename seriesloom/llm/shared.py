@@ -35,10 +35,12 @@ def store(df: DataFrame, name: str) -> DataFrame:
 
 
 def in_buckets(df: DataFrame, key: str, buckets: int, name: str) -> tuple[DataFrame, str]:
-    """As `store`, in buckets of a key: what is later grouped or joined by that key is not shuffled again. The table's name is for dropping it."""
+    """As `store`, in buckets of a key: what is later grouped or joined by that key is not shuffled again. The table's name is for dropping it.
+
+    `df` comes out of repartition(buckets, key), or of a grouping on it, so that a task has the rows of one bucket."""
     spark, table = df.sparkSession, f"b{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{name}-{table}"
-    df.repartition(buckets, key).write.option("path", path).bucketBy(buckets, key).saveAsTable(table)
+    df.write.option("path", path).bucketBy(buckets, key).saveAsTable(table)
     return spark.table(table), table
 
 
