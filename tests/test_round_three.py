@@ -144,9 +144,9 @@ def test_window_spectra(spark):
 
 def test_periods(spark):
     r = random.Random(9)
-    rows = [("p", t, 9 * math.sin(2 * math.pi * t / 12) + 4 * math.sin(2 * math.pi * t / 5) + r.gauss(0, 0.1)) for t in range(120)] + [("noise", t, r.gauss(0, 1)) for t in range(40)] + [("short", 0, 1.0)]
+    rows = [("p", t, 9 * math.sin(2 * math.pi * t / 12) + 7 * math.sin(2 * math.pi * t / 10) + r.gauss(0, 0.1)) for t in range(120)] + [("noise", t, r.gauss(0, 1)) for t in range(40)] + [("short", 0, 1.0)]
     found = {x["s"]: (x["period"], list(x["periods"])) for x in features.dominant_periods(spark.createDataFrame(rows, "s string, t int, v double"), ["s"], ["t"], "v", 3, 30).collect()}
-    assert found["p"] == (12, [12, 5]) and found["short"] == (3, [])
+    assert found["p"] == (12, [12, 10]) and found["short"] == (3, [])
 
 
 def test_feature_record_of_a_series(spark):
