@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,6 +104,29 @@ def window_splits(counts: DataFrame, keys: list[str], n: str, size: int, stride:
     return z.select(*keys, "split", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("k")), lambda i: first + i * stride)).alias("start"))
 
 
+def workable_lengths(size: int, stride: int, train: float, validation: float) -> tuple[int, int, int]:
+    """Rows that training, validation and test need so that the smallest share which is not 0 has one window and the others have as many more as their shares say; training has one at least."""
+    shares = [Fraction(str(train)), Fraction(str(validation)), 1 - Fraction(str(train)) - Fraction(str(validation))]
+    least = min(s for s in shares if s > 0)
+    counts = [int(s / least) for s in shares]
+    counts[0] = max(1, counts[0])
+    return tuple(size + (n - 1) * stride if n > 0 else 0 for n in counts)
+
+
+def partitioned_splits(counts: DataFrame, keys: list[str], n: str, size: int, stride: int, train: float, validation: float, seed: int = 0) -> DataFrame:
+    """Window starts (keys, part, split, start, turn) where each group is cut into parts of the least length that has windows of all splits, and each part is split by itself.
+
+    What is left over is a shorter part; a group under that length is one part. A part without a training window goes. `turn` is a draw by
+    hash: its order takes the place of a shuffle of the parts."""
+    lengths = workable_lengths(size, stride, train, validation)
+    whole = sum(lengths)
+    last = F.floor((F.greatest(F.col(n), F.lit(1)) - 1) / whole).cast("int")
+    parts = counts.select(*keys, F.col(n).alias("_n"), F.explode(F.sequence(F.lit(0), last)).alias("part")).withColumn("_rows", F.least(F.lit(whole), F.col("_n") - F.col("part") * whole)).where("_rows > 0")
+    exact = 1e-12  # a share of whole numbers, floored, must not fall below them
+    split = window_splits(parts.select(*keys, "part", "_rows"), [*keys, "part"], "_rows", size, stride, lengths[0] / whole + exact, lengths[1] / whole + exact)
+    return split.withColumn("start", F.col("start") + F.col("part") * whole).withColumn("turn", draw(*keys, "part", seed=seed))
+
+
 def drop_overlaps(windows: DataFrame, keys: list[str], size: int) -> DataFrame:
     """Train and validation windows that overlap a test window go, then training windows that overlap validation; in buckets of one window length."""
     def without(a: DataFrame, b: DataFrame) -> DataFrame:

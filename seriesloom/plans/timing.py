@@ -299,13 +299,14 @@ def spl1(spark, sf):
     return S.window_splits(c, ["user_id"], "n", 12, 6, 0.7, 0.2)
 
 
-@query("spl2_partitioned_splits", "with p as (select user_id, (row_number() over (partition by user_id order by ts, event_id) - 1) // 20 as part, event_id from events), c as (select user_id, part, count(*) as n from p group by all) select user_id, part, n, cast(floor(n * 0.7e0) as bigint) as train from c where n = 20")
+@query("spl2_partitioned_splits", """with c as (select user_id, count(*) as n from events group by 1), p as (select user_id, part, least(26, n - part * 26) as n from (select *, unnest(range(0, (n - 1) // 26 + 1)) as part from c)),
+a as (select *, case when n = 4 then n else n * 16 // 26 end as a from p), b as (select *, greatest(a, n * 22 // 26) as b from a where a >= 4),
+z as (select user_id, part, 'train' as split, 0 as lo, a as hi from b union all select user_id, part, 'val', a, b from b union all select user_id, part, 'test', b, n from b)
+select user_id, part, split, part * 26 + hi - 4 - i * 2 as start from (select *, unnest(range(0, (hi - lo - 4) // 2 + 1)) as i from z where hi - lo >= 4)""")
 def spl2(spark, sf):
-    from ..operators.windows import numbered
-
-    p = numbered(events(spark, sf), ["user_id"], ["ts", "event_id"]).withColumn("part", F.expr("cast(pos div 20 as long)"))
-    c = p.groupBy("user_id", "part").agg(F.count("*").alias("n")).where("n = 20")
-    return c.withColumn("train", F.floor(F.col("n") * 0.7))
+    """Shares of 0.7, 0.2 and 0.1 with windows of 4 rows, 2 apart: parts of 16 + 6 + 4 rows."""
+    c = events(spark, sf).groupBy("user_id").agg(F.count("*").alias("n"))
+    return S.partitioned_splits(c, ["user_id"], "n", 4, 2, 0.7, 0.2).select("user_id", F.col("part").cast("long").alias("part"), "split", "start")
 
 
 @query("spl3_without_overlaps", "with c as (select user_id, count(*) as n from events group by 1), w as (select user_id, i * 4 as start, case when i % 9 = 8 then 'test' when i % 9 = 5 then 'val' else 'train' end as split from c, unnest(range(0, n // 4)) as t(i)), v as (select * from w a where split = 'val' and not exists (select 1 from w b where b.user_id = a.user_id and b.split = 'test' and abs(a.start - b.start) < 12)) select user_id, start, split from w where split = 'test' union all select user_id, start, split from v union all select user_id, start, split from w a where split = 'train' and not exists (select 1 from w b where b.user_id = a.user_id and b.split = 'test' and abs(a.start - b.start) < 12) and not exists (select 1 from v b where b.user_id = a.user_id and abs(a.start - b.start) < 12)")
