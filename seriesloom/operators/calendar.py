@@ -30,10 +30,18 @@ def unscaled_parts(year_low: Column, year_high: Column) -> Column:
     return F.make_timestamp_ntz(year.cast("int"), part(F.col("time_M") * 12 + 6), part(F.col("time_D") * 31 + 15.5), part(F.col("time_H") * 24 + 12), part(F.col("time_T") * 60), F.round(F.col("time_S") * 60).cast("decimal(8, 6)"))
 
 
-def calendar_vector(df: DataFrame, ts: str, holidays: DataFrame) -> DataFrame:
-    """Parts scaled to 0 .. 1 and a holiday flag."""
+#: The years and the hours of zone offsets that are scaled to 0 .. 1.
+YEARS, OFFSETS = (1970, 2030), (-12, 14)
+
+
+def calendar_vector(df: DataFrame, ts: str, holidays: DataFrame, offset: float | Column = 0.0) -> DataFrame:
+    """Parts scaled to 0 .. 1 (years and zone offsets outside their ranges pass these), and a holiday flag. `offset`: hours of the zone against UTC, one value or a column. A null time has null parts and no holiday."""
     c = F.col(ts)
-    parts = {"quarter": (F.quarter(c) - 1) / 3, "month": (F.month(c) - 1) / 11, "week": (F.weekofyear(c) - 1) / 52, "day": (F.dayofmonth(c) - 1) / 30, "hour": F.hour(c) / 23, "minute": F.minute(c) / 59}
+    hours = offset if isinstance(offset, Column) else F.lit(float(offset))
+    parts = {
+        "quarter": (F.quarter(c) - 1) / 3, "month": (F.month(c) - 1) / 11, "week": (F.weekofyear(c) - 1) / 52, "day": (F.dayofmonth(c) - 1) / 30, "hour": F.hour(c) / 23, "minute": F.minute(c) / 59,
+        "year": (F.year(c) - YEARS[0]) / (YEARS[1] - YEARS[0]), "weekday": F.weekday(c) / 6, "second": F.floor(F.second(c)) / 59, "zone": F.when(c.isNotNull(), (hours - OFFSETS[0]) / (OFFSETS[1] - OFFSETS[0])),
+    }
     marked = holidays.select(F.col("holiday").alias("_h")).distinct()
     return df.withColumns(parts).join(marked, F.to_date(c) == F.col("_h"), "left").withColumn("is_holiday", F.col("_h").isNotNull()).drop("_h")
 

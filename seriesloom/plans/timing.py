@@ -108,10 +108,13 @@ def tim1(spark, sf):
     return p.select("o_orderkey", *[F.round(f"time_{k.upper()}", 6).alias(k) for k in "ymdh"])
 
 
-@query("tim2_calendar_vector", f"with {_CAL} select event_id, round((month(ts) - 1) / 11, 6) as month, round((weekofyear(ts) - 1) / 52, 6) as week, round(hour(ts) / 23, 6) as hour, cast(ts as date) in (select holiday from cal) as is_holiday from events")
+_VECTOR = {"year": "(year(ts) - 1970) / 60", "quarter": "(quarter(ts) - 1) / 3", "month": "(month(ts) - 1) / 11", "week": "(weekofyear(ts) - 1) / 52", "day": "(day(ts) - 1) / 30", "weekday": "(isodow(ts) - 1) / 6", "hour": "hour(ts) / 23", "minute": "minute(ts) / 59", "second": "second(ts) / 59", "zone": "(user_id % 5 - 2 + 12) / 26"}
+
+
+@query("tim2_calendar_vector", f"with {_CAL} select event_id, " + ", ".join(f"round({e}, 6) as {c}" for c, e in _VECTOR.items()) + ", cast(ts as date) in (select holiday from cal) as is_holiday from events")
 def tim2(spark, sf):
-    v = C.calendar_vector(events(spark, sf), "ts", calendar(spark, sf))
-    return v.select("event_id", *[F.round(c, 6).alias(c) for c in ("month", "week", "hour")], "is_holiday")
+    v = C.calendar_vector(events(spark, sf), "ts", calendar(spark, sf), F.col("user_id") % 5 - 2)
+    return v.select("event_id", *[F.round(c, 6).alias(c) for c in _VECTOR], "is_holiday")
 
 
 @query("tim3_unscaled_parts", "select o_orderkey, date_trunc('second', o_orderdate) as ts from orders")
