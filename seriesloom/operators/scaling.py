@@ -43,6 +43,19 @@ def fit_scaler(long: DataFrame, keys: list[str], kind: str) -> DataFrame:
     return fitted.select(*keys, "centre", F.coalesce(F.nullif(F.col("_s"), F.lit(0.0)), F.lit(1.0)).alias("scale"))
 
 
+def fit_scalers(long: DataFrame, keys: list[str], kinds: list[str]) -> DataFrame:
+    """(kind, keys, centre, scale) for several kinds: one aggregate gives all but robust ones, one pass of quantiles those. A group without values has no robust row."""
+    plain = {"none": (F.lit(0.0), F.lit(1.0)), "standard": (F.col("_avg"), F.col("_std")), "minmax": (F.col("_lo"), F.col("_hi") - F.col("_lo"))}
+    asked = [k for k in kinds if k in plain]
+    one = long.groupBy(*keys).agg(F.avg("value").alias("_avg"), F.stddev_pop("value").alias("_std"), F.min("value").alias("_lo"), F.max("value").alias("_hi"))
+    rows = F.array(*[F.struct(F.lit(k).alias("kind"), plain[k][0].cast("double").alias("centre"), plain[k][1].cast("double").alias("_s")) for k in asked])
+    out = one.select(*keys, F.explode(rows).alias("_r")).select("_r.kind", *keys, "_r.centre", F.coalesce(F.nullif(F.col("_r._s"), F.lit(0.0)), F.lit(1.0)).alias("scale")) if asked else None
+    if "robust" not in kinds:
+        return out
+    robust = fit_scaler(long, keys, "robust").select(F.lit("robust").alias("kind"), *keys, "centre", "scale")
+    return robust if out is None else out.unionByName(robust)
+
+
 def apply_scaler(long: DataFrame, scaler: DataFrame, keys: list[str], invert: bool = False) -> DataFrame:
     """Scaled or restored values; a key without parameters is an error."""
     joined = long.join(scaler, keys, "left")

@@ -52,11 +52,8 @@ _FIT = {"standard": ("avg(value)", "stddev_pop(value)"), "minmax": ("min(value)"
 
 @query("scl1_fit_scalers", f"with {LONG} " + " union all ".join(f"select '{k}' as kind, column_name, l_returnflag, round({c}, 6) as centre, round(coalesce(nullif({s}, 0), 1), 6) as scale from lf group by all" for k, (c, s) in _FIT.items()))
 def scl1(spark, sf):
-    out = None
-    for kind in _FIT:
-        one = S.fit_scaler(long_lines(spark, sf), ["column_name", "l_returnflag"], kind).select(F.lit(kind).alias("kind"), "column_name", "l_returnflag", F.round("centre", 6).alias("centre"), F.round("scale", 6).alias("scale"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    fitted = S.fit_scalers(long_lines(spark, sf), ["column_name", "l_returnflag"], list(_FIT))
+    return fitted.select("kind", "column_name", "l_returnflag", F.round("centre", 6).alias("centre"), F.round("scale", 6).alias("scale"))
 
 
 _SCALED = "with s as (select user_id, avg(value) as c, coalesce(nullif(stddev_pop(value), 0), 1) as s from events where ts < timestamp '2024-01-20' group by 1)"
