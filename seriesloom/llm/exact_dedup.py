@@ -13,7 +13,8 @@ by content instead, so a hash collision never merges two texts.
 Defined results: a null text is the empty text, and all empty texts are
 equal. Rows with a null doc_id take part; keep_id is the smallest non-null
 doc_id of the group (null if it has none). Of rows that repeat both doc_id
-and text, one counts as kept. An empty table gives an empty result. Extra
+and text, one counts as kept. A text of any length is normalised and cut by
+one task; its blocks then travel by themselves. An empty table gives an empty result. Extra
 columns are ignored.
 """
 

@@ -15,7 +15,8 @@ Defined results: `und` with score 0 for a null text or one without a letter,
 and for every row if no training row has a language. Rows with a null
 doc_id are scored like others (null counts as an empty id in the fold
 rule). Ties go to the smallest language name. Null and repeated rows keep
-their rows in the result; extra columns are ignored.
+their rows in the result. A text of any length is scored whole by one task. An empty
+table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -18,7 +18,9 @@ found, but not over an empty line or the end of a sentence (the stop of `v. 2`
 is none). Where two start at one place, the longer counts. The SQL does the same.
 
 Defined results: a null, empty or wordless text has 0 sentences and an empty
-licence list. Repeated rows and null ids keep their rows. An empty table
+licence list. Repeated rows and null ids keep their rows. Of rules that match
+the same sentences, the first of the table takes them. A text of any length
+is read whole, inside one row. An empty table
 gives an empty result; extra columns are ignored.
 """
 

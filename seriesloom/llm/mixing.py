@@ -29,7 +29,8 @@ functions are used.
 
 Defined results: a null text has size 0 and is taken 0 times, as is every
 row of a source without words. Null ids and sources take part; equal rows
-are interchangeable. An empty table gives an empty result; extra columns
+are interchangeable. Ties of the order go to the smaller random number, then
+to the smaller id. Of a text, of any length, only its number of words is kept. An empty table gives an empty result; extra columns
 are ignored, except by `mixed_rows`, which keeps them.
 """
 

@@ -25,7 +25,8 @@ digest; a clash (chance about n * n / 2**65) could make one wrong link.
 
 Defined results: a null or empty text has no shingle and links with
 nothing. component_id is the smallest non-null doc_id (null only if all
-are null). Repeated rows are in one class. An empty table gives an empty
+are null). Repeated rows are in one class. A text of any length is read by
+one task, in several bytes of memory a byte. An empty table gives an empty
 result; extra columns are ignored.
 """
 

@@ -15,7 +15,9 @@ is no white space, so a text is cut there and each distinct unit is encoded
 once.
 
 Defined results: a null or empty text is one piece that holds only the end
-id. Repeated rows and repeated or null ids are packed row by row. An empty
+id. Repeated rows and repeated or null ids are packed row by row. Pieces of
+equal length are interchangeable, so places may differ between reruns. A text
+of any length is tokenised by one task, unit by unit. An empty
 table gives an empty result. Extra columns are ignored.
 """
 

@@ -26,7 +26,8 @@ Windows are compared by 64-bit hashes of all their bytes.
 
 Defined results: a null text counts as empty; texts under 200 bytes lose
 nothing. Rows that repeat id and text are two occurrences and lose the same
-bytes. Null ids take part. An empty table gives an empty result; extra
+bytes. Null ids take part. A text over 1 MB is read in overlapping segments of one
+task, which holds its bytes whole. Of contexts that tie, all count. An empty table gives an empty result; extra
 columns are ignored.
 """
 

@@ -16,7 +16,8 @@ than a cell or a summary, and shards differ by less than one such row
 beyond the slack. Only SQL functions are used.
 
 Defined results: a null text counts as empty (size 16, checksum 0). Null and
-repeated ids take part; equal rows are interchangeable and may be split. An
+repeated ids take part; equal rows are interchangeable and may be split. Of a
+text, of any length, only size and checksum are kept. An
 empty table gives an empty result. Extra columns are ignored.
 """
 

@@ -25,7 +25,8 @@ Words are joined by a 64-bit hash; contexts by their bytes.
 Defined results: a null or empty text has one token, the end. A null doc_id
 counts as an empty id in the fold rule. Without training rows every known
 count is 0, and the score is 8 binary decisions of 1/2 a byte. Repeated rows
-keep their rows. An empty table gives an empty result; extra columns are
+keep their rows. A text of any length is coded by one task, in several bytes
+of memory a byte. An empty table gives an empty result; extra columns are
 ignored.
 """
 
