@@ -40,10 +40,14 @@ def apply_edits(df: DataFrame, ts: str, edits: list[dict]) -> DataFrame:
     return df
 
 
-def edit_grid(windows: DataFrame, factors: list[float], column: str) -> DataFrame:
-    """Every factor of an edit grid copies the windows where they are; new_idx is the factor's place (combo) * n + window, with n above every window number of the table."""
-    n = windows.agg((F.max("window_idx") + 1).cast("long").alias("_n"))  # one row
-    copies = windows.select("*", F.posexplode(F.array(*map(F.lit, factors))).alias("combo", "factor")).join(F.broadcast(n))
+def edit_grid(windows: DataFrame, factors: list[float], column: str, n: int | None = None) -> DataFrame:
+    """Every factor of an edit grid copies the windows where they are; new_idx is the factor's place (combo) * n + window.
+
+    Without n, it is one above the greatest window number of the table; a window number of n or more is an error."""
+    top = windows.agg((F.max("window_idx") + 1).cast("long").alias("_n"))  # one row
+    if n is not None:
+        top = top.withColumn("_n", F.when(F.col("_n") > n, F.raise_error(F.lit("a window number is n or more")).cast("long")).otherwise(F.lit(n)))
+    copies = windows.select("*", F.posexplode(F.array(*map(F.lit, factors))).alias("combo", "factor")).join(F.broadcast(top))
     return copies.withColumn(column, F.col(column) * F.col("factor")).withColumn("new_idx", F.col("combo") * F.col("_n") + F.col("window_idx")).drop("_n")
 
 

@@ -61,7 +61,15 @@ def lag_or_zero(df: DataFrame, keys: list[str], order: list[str], column: str, s
     return c.own(c.rows.withColumn(f"{column}_lag_{size}", F.when(F.col("_pos") < size, F.lit(0.0)).otherwise(F.lag(column, size).over(c.window))))
 
 
-def fill_both_ways(df: DataFrame, keys: list[str], order: list[str], columns: dict[str, Column | str], default: object | None = None, chunk: int = CHUNK) -> DataFrame:
+def fill_both_ways(column: str, keys: list[str], order: list[str], default: object | None = None) -> Column:
+    """Forward fill, then backward fill, then a default, as an expression: for series that one task can order; `filled_both_ways` takes longer ones."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    back = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])  # the first known value behind is the last one before in reversed order
+    past, future = (F.last(column, ignorenulls=True).over(x.rowsBetween(Window.unboundedPreceding, 0)) for x in (w, back))
+    return F.coalesce(past, future, *([] if default is None else [F.lit(default)]))
+
+
+def filled_both_ways(df: DataFrame, keys: list[str], order: list[str], columns: dict[str, Column | str], default: object | None = None, chunk: int = CHUNK) -> DataFrame:
     """Each named column: a value, or the last known one before it, or the first known one behind it, or a default."""
     c = chunked(df, keys, order, chunk=chunk)
     values = {name: F.col(v) if isinstance(v, str) else v for name, v in columns.items()}
@@ -81,7 +89,7 @@ def many_lags(df: DataFrame, keys: list[str], order: list[str], column: str, lag
     """One column per lag; gaps at the ends are filled forward, backward, then with 0."""
     c = chunked(df, keys, order, before=max(lags), chunk=chunk)
     back = c.own(c.rows.withColumns({f"{column}_lag_{k}": F.lag(column, k).over(c.window) for k in lags}))
-    return fill_both_ways(back, keys, order, {f"{column}_lag_{k}": f"{column}_lag_{k}" for k in lags}, 0.0, chunk)
+    return filled_both_ways(back, keys, order, {f"{column}_lag_{k}": f"{column}_lag_{k}" for k in lags}, 0.0, chunk)
 
 
 def _ewm(c: Chunks, rows: DataFrame, value: str, alpha: float) -> DataFrame:
@@ -150,7 +158,7 @@ def gaussian_smooth(df: DataFrame, keys: list[str], order: list[str], column: st
 
     Missing values are filled from both sides before, and are missing afterwards."""
     reach = int(4 * sigma + 0.5)
-    filled = fill_both_ways(df, keys, order, {"_x": column}, chunk=chunk)
+    filled = filled_both_ways(df, keys, order, {"_x": column}, chunk=chunk)
     placed = positioned(filled, keys, order, "_pos", "_n", chunk)
     # A row stands at 2nm + pos and, mirrored, at 2nm - 1 - pos for every whole m.
     turns = F.sequence(F.floor(F.lit(-reach) / (2 * F.col("_n"))).cast("int") - 1, F.ceil(F.lit(reach) / (2 * F.col("_n"))).cast("int") + 1)

@@ -163,7 +163,7 @@ def win15(spark, sf):
 
 @query("fil1_fill_both_ways", f"with {GAPS} select event_type, event_id, coalesce(last_value(y ignore nulls) over ({OVER} rows between unbounded preceding and current row), first_value(y ignore nulls) over ({OVER} rows between current row and unbounded following), 0) as filled from g")
 def fil1(spark, sf):
-    return W.fill_both_ways(gappy(spark, sf), KEYS, ORDER, {"filled": "y"}, 0.0).select("event_type", "event_id", "filled")
+    return W.filled_both_ways(gappy(spark, sf), KEYS, ORDER, {"filled": "y"}, 0.0).select("event_type", "event_id", "filled")
 
 
 @query("fil2_interpolate", f"""with {GAPS}, p as (select *, row_number() over ({OVER}) as pos from g), k as (select *, case when y is not null then pos end as q from p),

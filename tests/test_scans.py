@@ -69,7 +69,7 @@ def test_no_task_holds_more_than_a_chunk_of_one_series(spark):
 
 @pytest.mark.parametrize("chunk", [16, 1 << 14])
 def test_fills(df, frame, chunk):
-    same(windows.fill_both_ways(df, KEYS, ORDER, {"f": "x"}, -1.0, chunk), "f", by_series(frame, lambda g: g["x"].ffill().bfill().fillna(-1.0)))
+    same(windows.filled_both_ways(df, KEYS, ORDER, {"f": "x"}, -1.0, chunk), "f", by_series(frame, lambda g: g["x"].ffill().bfill().fillna(-1.0)))
     line = by_series(frame, lambda g: g["x"].reset_index(drop=True).interpolate(limit_direction="both").fillna(0.0).set_axis(g.index))
     same(windows.interpolate(df, KEYS, ORDER, "x", chunk), "x_filled", line)
 
