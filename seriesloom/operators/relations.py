@@ -268,6 +268,54 @@ def nearest_of(queries: DataFrame, corpus: DataFrame, metric: str = "euclidean",
     return nearest_by_metrics(queries, corpus, (metric,), k, size).drop("metric")
 
 
+def tiled_relations(rows: DataFrame, ident: str, parts: list[tuple[str, str, float]], k: int, how: str = "sum", size: int = 1024) -> DataFrame:
+    """(a, b, score, place): of each row, the k others of greatest relation, ties by id. Ids are whole numbers; a row without one of the vectors takes no part.
+
+    A relation is the sum, or the product, of weight * similarity over `parts` (column, metric, weight): 1 - distance for cosine and correlation, minus the distance
+    for the others. Rows are dealt into blocks of up to `size`; a tile is a pair of blocks, worked out as matrices
+    in one task, which passes on k rows a row: no row is made for a pair. Tiles do not depend on each other, so a lost one is worked out again by itself."""
+    columns = [c for c, _, _ in parts]
+    known = rows.dropna(subset=columns).select(F.col(ident).cast("long").alias("id"), *[F.col(c).cast("array<double>").alias(c) for c in dict.fromkeys(columns)])
+    dealt = known.select(F.struct("*").alias("_v"), F.floor(F.monotonically_increasing_id() / size).alias("_b"))
+    blocks = dealt.groupBy("_b").agg(F.collect_list("_v").alias("_rows"))  # `size` rows at most
+    blocks = blocks.withColumn("_b", F.pmod(F.xxhash64("_b"), F.lit(1 << 31)).cast("long"))
+    names = blocks.agg(F.collect_list("_b").alias("_all"))  # one number a block
+    others = blocks.select(F.col("_rows").alias("_right"), F.col("_b").alias("_mine")).join(F.broadcast(names)).withColumn("_b", F.explode("_all")).drop("_all")  # one row
+
+    def matrix(cells: pa.StructArray, column: str) -> np.ndarray:
+        return np.stack(cells.field(cells.type.get_field_index(column)).to_numpy(zero_copy_only=False))
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for left, right in zip(batch.column(0), batch.column(1), strict=True):
+                a, b = left.values, right.values
+                total: np.ndarray | float = 0.0 if how == "sum" else 1.0
+                for column, metric, weight in parts:
+                    d = block_distances(matrix(a, column), matrix(b, column), metric)
+                    one = weight * (1 - d if metric in ("cosine", "correlation") else -d)
+                    total = total + one if how == "sum" else total * one
+                ida, idb = a.field(0).to_numpy(), b.field(0).to_numpy()
+                out = []
+                for i in range(len(ida)):
+                    score = np.where(idb == ida[i], -np.inf, total[i])
+                    edge = -np.partition(-score, min(k, len(idb)) - 1)[min(k, len(idb)) - 1]
+                    near = np.flatnonzero((score >= edge) & np.isfinite(score))
+                    near = near[np.lexsort((idb[near], -score[near]))][:k]
+                    out.append((np.full(len(near), ida[i]), idb[near], score[near]))
+                x, y, z = (np.concatenate(c) for c in zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(z, pa.float64())], ["a", "b", "score"])
+
+    found = blocks.join(others, "_b").select("_rows", "_right").mapInArrow(solve, "a long, b long, score double")
+    return found.withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))).where(F.col("place") <= k)
+
+
+def series_vectors(long: DataFrame, series: str, pos: str, value: str, length: int) -> DataFrame:
+    """(series, vector): the values of the positions 0 .. length - 1 as one array a series, 0 where there is none."""
+    held = F.map_from_entries(F.collect_list(F.struct(F.col(pos).cast("int"), F.col(value).cast("double"))))  # `length` entries at most
+    one = long.where(F.col(pos).between(0, length - 1)).groupBy(series).agg(held.alias("_m"))
+    return one.select(series, F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0.0))).alias("vector"))
+
+
 def fit_lists(corpus: DataFrame, lists: int = 64, per_list: int = 64, rounds: int = 8) -> np.ndarray:
     """Centres of an inverted file: k-means over a sample of at most lists * per_list vectors, those whose hashes of ids are smallest. Fewer vectors than lists make fewer centres."""
     sample = corpus.where(F.col("vector").isNotNull()).select("id", F.col("vector").cast("array<double>").alias("vector")).orderBy(F.xxhash64("id"), "id").limit(lists * per_list).toArrow()

@@ -177,6 +177,20 @@ def emb2(spark, sf):
     return both.select("a", "b", F.round(0.6 * (1 - d("cosine")) - 0.4 * d("euclidean"), 5).alias("relation"))
 
 
+@query("emb2_top_relations", f"with {_EV}, r as (select a.id as a, b.id as b, 0.7 * (1 - list_cosine_distance(a.vector[1:len(a.vector) // 2], b.vector[1:len(b.vector) // 2])) - 0.3 * list_distance(a.vector[len(a.vector) // 2 + 1:], b.vector[len(b.vector) // 2 + 1:]) as score from v a join v b on a.id <> b.id) select a, b, round(score, 5) as score from r qualify row_number() over (partition by a order by score desc, b) <= 3")
+def emb2t(spark, sf):
+    half = F.floor(F.size("vector") / 2).cast("int")
+    both = vectors(spark, sf).select("id", F.slice("vector", 1, half).alias("text"), F.slice("vector", half + 1, F.size("vector") - half).alias("series"))
+    return R.tiled_relations(both, "id", [("text", "cosine", 0.7), ("series", "euclidean", 0.3)], 3).select("a", "b", F.round("score", 5).alias("score"))
+
+
+@query("rel11_tiled_similarity", """with d as (select user_id, date_diff('day', date '2024-01-01', cast(ts as date)) as pos, sum(value) as v from events group by all), g as (select u.user_id, i, coalesce(d.v, 0) as v from (select distinct user_id from d) u cross join (select unnest(range(0, 30)) as i) left join d on d.user_id = u.user_id and d.pos = i),
+r as (select a.user_id as a, b.user_id as b, corr(a.v, b.v) as s from g a join g b on a.i = b.i and a.user_id <> b.user_id group by all) select a, b, round(s, 6) as score from r qualify row_number() over (partition by a order by round(s, 12) desc, b) <= 5""")
+def rel11t(spark, sf):
+    days = events(spark, sf).groupBy("user_id", F.date_diff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).alias("pos")).agg(F.sum("value").alias("v"))
+    return R.tiled_relations(R.series_vectors(days, "user_id", "pos", "v", 30), "user_id", [("vector", "correlation", 1.0)], 5).select("a", "b", F.round("score", 6).alias("score"))
+
+
 @query("emb3_nearest_real", f"with {_EV} select q, id, round(list_distance(vector, query), 5) as distance from q, v where id % 20 <> 0 qualify row_number() over (partition by q order by list_distance(vector, query), id) = 1")
 def emb3(spark, sf):
     return R.nearest_of(queries_of(spark, sf), vectors(spark, sf).where("id % 20 <> 0")).select("q", "id", F.round("distance", 5).alias("distance"))
