@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .calendar import gaps
 from .order_statistics import by_keys, mode_of, quantiles_of, with_quantiles
 from .scans import running_sum
 
@@ -90,6 +91,20 @@ def window_statistics(windows: DataFrame, keys: list[str], column: str) -> DataF
     return windows.groupBy(*keys).agg(F.avg(column).alias("mean"), F.min(column).alias("min"), F.max(column).alias("max"), F.stddev_samp(column).alias("std"), F.percentile(column, F.lit(0.5)).alias("median"))
 
 
+def describe_labels(df: DataFrame, categories: list[str], numbers: list[str], ts: str) -> DataFrame:
+    """(column_name, kind, item, n, low, high): a row per value of each category with its count; per number its range and known values; for the time its range and,
+    as item, the most common step in seconds. Lists of values are rows, so none is bounded by one task's memory."""
+    none = F.lit(None).cast("string")
+    long = df.select(*[F.col(c).cast("string").alias(c) for c in categories]).unpivot([], categories, "column_name", "item").where("item is not null")
+    parts = [long.groupBy("column_name", "item").agg(F.count("*").alias("n")).select("column_name", F.lit("category").alias("kind"), "item", "n", none.alias("low"), none.alias("high"))]
+    wide = df.select(*[F.col(c).cast("double").alias(c) for c in numbers]).unpivot([], numbers, "column_name", "v").groupBy("column_name").agg(F.count("v").alias("n"), F.min("v").cast("string").alias("low"), F.max("v").cast("string").alias("high"))
+    parts.append(wide.select("column_name", F.lit("number").alias("kind"), none.alias("item"), "n", "low", "high"))
+    step = mode_of(gaps(df, [], ts), [], "gap", "item")
+    span = df.agg(F.count(ts).alias("n"), F.min(ts).cast("string").alias("low"), F.max(ts).cast("string").alias("high"))
+    parts.append(span.join(F.broadcast(step)).select(F.lit(ts).alias("column_name"), F.lit("time").alias("kind"), F.col("item").cast("string").alias("item"), "n", "low", "high"))  # one row each
+    return reduce(DataFrame.unionByName, parts)
+
+
 def populated(df: DataFrame, label: str, n: int, unique: list[str]) -> DataFrame:
     """Rows of the n most populated labels, one per `unique`."""
     top = df.groupBy(label).agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), label).limit(n)

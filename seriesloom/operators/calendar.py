@@ -7,7 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scans import positioned
+from .order_statistics import mode_of
+from .scans import chunked, positioned
 
 NTZ = "timestamp_ntz"
 EPOCH = "1970-01-01"
@@ -57,8 +58,8 @@ def cyclic_features(df: DataFrame, keys: list[str], ts: str) -> DataFrame:
 
 def gaps(df: DataFrame, keys: list[str], ts: str) -> DataFrame:
     """Seconds between neighbouring distinct timestamps."""
-    w = Window.partitionBy(*keys).orderBy(ts)
-    return df.select(*keys, ts).distinct().withColumn("gap", F.timestamp_diff("SECOND", F.lag(ts).over(w), F.col(ts))).where("gap is not null")
+    c = chunked(df.select(*keys, ts).distinct(), keys, [ts], before=1)
+    return c.own(c.rows.withColumn("gap", F.timestamp_diff("SECOND", F.lag(ts).over(c.window), F.col(ts)))).where("gap is not null")
 
 
 #: Upper ends of gap lengths in seconds, by unit; fixed values.
@@ -67,7 +68,7 @@ UNITS = [("second", 59), ("minute", 3599), ("hour", 86399), ("day", 6 * 86400),
 
 def frequency(df: DataFrame, keys: list[str], ts: str) -> DataFrame:
     """The most common gap of each series (the smallest of ties) and its unit."""
-    modal = gaps(df, keys, ts).groupBy(*keys).agg(F.mode("gap", True).alias("gap"))
+    modal = mode_of(gaps(df, keys, ts), keys, "gap", "gap")
     unit = F.lit("year")
     for name, most in reversed(UNITS):
         unit = F.when(F.col("gap") <= most, name).otherwise(unit)

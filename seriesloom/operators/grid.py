@@ -7,7 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order_statistics import by_keys
 from .scans import positioned
+from .windows import interpolate
 
 LEVELS = ["hour", "day", "week", "month", "quarter", "year"]
 NTZ = "timestamp_ntz"
@@ -107,6 +109,17 @@ def resample(df: DataFrame, keys: list[str], ts: str, seconds: int, aggregates:
     return df.groupBy(*keys, bucket(ts, seconds).alias("slot")).agg(*[how[f](c).alias(name) for name, (c, f) in aggregates.items()])
 
 
+def resample_filled(df: DataFrame, keys: list[str], ts: str, seconds: int, numbers: dict[str, tuple[str, str]], texts: dict[str, tuple[str, str]]) -> DataFrame:
+    """As `resample`, with a row for every slot from a series' first to its last: numbers of empty slots are interpolated, texts (out -> (column, first | last)) are null there; a text that is not named is dropped."""
+    slots = resample(df, keys, ts, seconds, numbers | texts)
+    ends = slots.groupBy(*keys).agg(F.min("slot").alias("_lo"), F.max("slot").alias("_hi"))
+    every = ends.select(*keys, F.explode(F.sequence("_lo", "_hi", F.expr(f"interval {seconds} seconds"))).alias("slot"))
+    out = by_keys(every, slots, [*keys, "slot"], "left")
+    for name in numbers:
+        out = interpolate(out.withColumn(name, F.col(name).cast("double")), keys, ["slot"], name).drop(name).withColumnRenamed(f"{name}_filled", name)
+    return out
+
+
 def every_kth(df: DataFrame, keys: list[str], order: list[str], k: int) -> DataFrame:
     return positioned(df, keys, order, "_n").where(F.col("_n") % k == 0).drop("_n")
 

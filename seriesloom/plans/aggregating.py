@@ -147,6 +147,16 @@ def agg16(spark, sf):
     return events(spark, sf).agg(F.array_sort(F.collect_set("event_type")).alias("types"), F.min("value").alias("low"), F.max("value").alias("high"), F.min("ts").alias("first"), F.max("ts").alias("last"))
 
 
+@query("agg16_label_rows", """with h as (select distinct date_trunc('hour', ts) as hour from events), g as (select date_diff('second', lag(hour) over (order by hour), hour) as gap from h),
+st as (select gap from g where gap is not null group by 1 order by count(*) desc, gap limit 1), u as (select 'event_type' as column_name, event_type as item, count(*) as n from events group by 2 union all select 'day', cast(event_id % 7 as varchar), count(*) from events group by 2)
+select column_name, 'category' as kind, item, n, null::double as low, null::double as high from u union all select 'value', 'number', null, count(value), min(value), max(value) from events
+union all select 'hour', 'time', (select cast(gap as varchar) from st), count(*), null, null from events""")
+def agg16r(spark, sf):
+    e = events(spark, sf).select("event_type", (F.col("event_id") % 7).cast("string").alias("day"), "value", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"))
+    number = lambda c: F.when(F.col("kind") == "number", F.col(c).try_cast("double")).alias(c)
+    return A.describe_labels(e, ["event_type", "day"], ["value"], "hour").select("column_name", "kind", "item", "n", number("low"), number("high"))
+
+
 @query("agg17_window_statistics", f"with {WIN} select event_type, window_idx, round(avg(value) + 1e-9, 5) as mean, min(value) as min, max(value) as max, round(stddev_samp(value) + 1e-9, 5) as std, round(quantile_cont(value, 0.5), 5) as median from w group by all")
 def agg17(spark, sf):
     return rounded(A.window_statistics(event_windows(spark, sf), ["event_type", "window_idx"], "value"), 5, "mean", "std").withColumn("median", F.round("median", 5))

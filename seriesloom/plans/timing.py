@@ -87,6 +87,15 @@ def grd7(spark, sf):
     return out.withColumns({"total": F.round("total", 4), "middle": F.round("middle", 4)})
 
 
+@query("grd7_resample_filled", """with s as (select user_id, time_bucket(interval 6 hour, ts, timestamp '1970-01-01') as slot, avg(value) as mean, arg_max(event_type, ts) as kind from events group by all),
+e as (select user_id, min(slot) as a, max(slot) as b from s group by 1), g as (select user_id, unnest(generate_series(a, b, interval 6 hour)) as slot from e), j as (select g.user_id, g.slot, mean, kind, row_number() over (partition by g.user_id order by g.slot) as pos from g left join s on s.user_id = g.user_id and s.slot = g.slot),
+k as (select *, max(case when mean is not null then pos end) over (partition by user_id order by pos) as a, min(case when mean is not null then pos end) over (partition by user_id order by pos rows between current row and unbounded following) as b from j)
+select k.user_id, k.slot, round(x.mean + (y.mean - x.mean) * coalesce((k.pos - k.a) / nullif(k.b - k.a, 0), 0) + 1e-7, 5) as mean, k.kind from k join j x on x.user_id = k.user_id and x.pos = k.a join j y on y.user_id = k.user_id and y.pos = k.b""")
+def grd7f(spark, sf):
+    out = G.resample_filled(events(spark, sf), ["user_id"], "ts", 6 * 3600, {"mean": ("value", "mean")}, {"kind": ("event_type", "last")})
+    return out.select("user_id", "slot", F.round(F.col("mean") + 1e-7, 5).alias("mean"), "kind")
+
+
 @query("grd8_weekly_first", "select user_id, date_trunc('week', ts) as week, arg_min(value, ts) as first from events group by all")
 def grd8(spark, sf):
     return events(spark, sf).groupBy("user_id", G.truncated("week", "ts").alias("week")).agg(F.min_by("value", "ts").alias("first"))
