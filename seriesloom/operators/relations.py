@@ -316,6 +316,19 @@ def series_vectors(long: DataFrame, series: str, pos: str, value: str, length: i
     return one.select(series, F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0.0))).alias("vector"))
 
 
+def merged_window_relations(windows: DataFrame, window_edges: DataFrame, dataset_edges: DataFrame, how: str = "prod", weights: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
+    """(a, b, window, dataset, merged) of windows (id, dataset) that an edge (a, b, share) joins and whose datasets are related by an edge (a, b, score): the product of both,
+    or weights[0] * dataset + weights[1] * window. Edges of datasets hold both ways; windows of one dataset are related by 1. A pair without an edge of either kind has no row."""
+    of = lambda side: windows.select(F.col("id").alias(side), F.col("dataset").alias(f"_d{side}"))
+    met = window_edges.select("a", "b", F.col("share").alias("window")).join(of("a"), "a").join(of("b"), "b")
+    both = dataset_edges.select(F.col("a").alias("_da"), F.col("b").alias("_db"), F.col("score").alias("dataset"))
+    both = both.unionByName(both.select(F.col("_db").alias("_da"), F.col("_da").alias("_db"), "dataset"))
+    own = met.where("_da = _db").withColumn("dataset", F.lit(1.0))
+    found = met.where("_da <> _db").join(both, ["_da", "_db"]).unionByName(own)
+    merged = F.col("dataset") * F.col("window") if how == "prod" else weights[0] * F.col("dataset") + weights[1] * F.col("window")
+    return found.select("a", "b", "window", "dataset", merged.alias("merged"))
+
+
 def fit_lists(corpus: DataFrame, lists: int = 64, per_list: int = 64, rounds: int = 8) -> np.ndarray:
     """Centres of an inverted file: k-means over a sample of at most lists * per_list vectors, those whose hashes of ids are smallest. Fewer vectors than lists make fewer centres."""
     sample = corpus.where(F.col("vector").isNotNull()).select("id", F.col("vector").cast("array<double>").alias("vector")).orderBy(F.xxhash64("id"), "id").limit(lists * per_list).toArrow()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import anomalies as N
 from ..operators import evaluation as V
 from ..operators import relations as R
+from ..operators.joins import overlapping
 from ..operators.order_statistics import dense_rank_of_text
 from .base import query, table
 from .windowing import PATTERN, VOLATILE
@@ -114,6 +115,21 @@ def rel12(spark, sf):
     return joined.select("a", "b", F.round(0.7 * F.col("pearson") + 0.3 * F.least("na", "nb") / F.greatest("na", "nb"), 6).alias("merged"))
 
 
+_WINDOWS = "w as (select event_type || '-' || (date_diff('day', date '2024-01-01', cast(ts as date)) // 3) as id, event_type as dataset, min(ts) as s, max(ts) as e from events group by 1, 2), we as (select a.id as a, b.id as b, a.dataset as da, b.dataset as db, date_diff('second', greatest(a.s, b.s), least(a.e, b.e)) as shared, greatest(date_diff('second', a.s, a.e), date_diff('second', b.s, b.e)) as longer from w a join w b on a.id < b.id and a.s <= b.e and a.e >= b.s)"
+_MERGE = f"{PAIRS}, {_WINDOWS}, ds as (select a, b, corr(x, y) as score from pr group by all), de as (select * from ds union all select b, a, score from ds union select distinct event_type, event_type, 1.0 from events)"
+
+
+@query("rel12_window_relations", f"with {_MERGE} select we.a, we.b, round(shared / longer, 6) as \"window\", round(score, 6) as dataset, round(score * shared / longer, 6) as merged, round(0.7 * score + 0.3 * shared / longer, 6) as weighted from we join de on de.a = da and de.b = db where longer > 0")
+def rel12w(spark, sf):
+    part = F.floor(F.date_diff(F.to_date("ts"), F.lit("2024-01-01").cast("date")) / 3).cast("string")
+    w = events(spark, sf).groupBy(F.concat("event_type", F.lit("-"), part).alias("id"), F.col("event_type").alias("dataset")).agg(F.min("ts").alias("s"), F.max("ts").alias("e"))
+    shares = overlapping(w, [], "s", "e").where("share is not null").select("a", "b", "share")
+    related = R.pair_distance(R.aligned_pairs(daily(spark, sf), "event_type", "pos", "v")).select("a", "b", F.col("pearson").alias("score"))
+    merge = lambda *how: R.merged_window_relations(w.select("id", "dataset"), shares, related, *how)
+    out = merge("prod").join(merge("sum", (0.7, 0.3)).select("a", "b", F.col("merged").alias("weighted")), ["a", "b"])
+    return out.select("a", "b", *[F.round(c, 6).alias(c) for c in ("window", "dataset", "merged", "weighted")])
+
+
 @query("rel13_profile_tasks", f"with {_CC} select a, b, count(*) as lags, round(max(abs(cc)), 6) as best from cc where a < b and b = 'view' group by all")
 def rel13(spark, sf):
     cc = R.cross_correlation(daily(spark, sf), "event_type", "pos", "v", 5, True).where("b = 'view'")
