@@ -77,8 +77,9 @@ def held_back(df: DataFrame, keys: list[str], order: list[str], value: str, tail
 
 
 def routed(scores: DataFrame, keys: list[str], model: str, metric: str) -> DataFrame:
-    """(keys, model, metric): the model with the smallest validation metric per series; ties by name, models without a metric never."""
-    return scores.where(F.col(metric).isNotNull()).groupBy(*keys).agg(F.min(F.struct(metric, model)).alias("_m")).select(*keys, F.col(f"_m.{model}").alias(model), F.col(f"_m.{metric}").alias(metric))
+    """(keys, model, metric): the model with the smallest validation metric per series; metrics that agree to nine decimals tie, and ties go by name; models without a metric never win."""
+    best = F.min_by(F.struct(metric, model), F.struct(F.round(metric, 9), model)).alias("_m")
+    return scores.where(F.col(metric).isNotNull()).groupBy(*keys).agg(best).select(*keys, F.col(f"_m.{model}").alias(model), F.col(f"_m.{metric}").alias(metric))
 
 
 def route(df: DataFrame, keys: list[str], order: list[str], value: str, tail: int, period: int) -> DataFrame:

@@ -346,7 +346,7 @@ t as (select p.user_id, p.pos, p.actual, h.mean, h.last, h.last + (p.pos - k + 1
   from p join h using (user_id) left join p s on s.user_id = p.user_id and s.pos = p.n - 10 - 7 + (p.pos - (p.n - 10)) % 7 where p.pos >= p.n - 10),
 m as (select user_id, 'mean' as model, avg(abs(actual - mean)) as mae from t group by 1 union all select user_id, 'last', avg(abs(actual - last)) from t group by 1
   union all select user_id, 'drift', avg(abs(actual - drift)) from t group by 1 union all select user_id, 'seasonal', avg(abs(actual - seasonal)) from t group by 1)
-select user_id, model, round(mae + 1e-7, 5) as mae from m where mae is not null qualify row_number() over (partition by user_id order by mae, model) = 1""")
+select user_id, model, round(mae + 1e-7, 5) as mae from m where mae is not null qualify row_number() over (partition by user_id order by round(mae, 9), model) = 1""")
 def evl8(spark, sf):
     return V.route(events(spark, sf), ["user_id"], ["ts", "event_id"], "value", 10, 7).select("user_id", "model", F.round(F.col("mae") + 1e-7, 5).alias("mae"))
 
