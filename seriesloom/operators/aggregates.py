@@ -132,6 +132,25 @@ def clipped_weighted(columns: dict[str, float], low: float = -1.0, high: float =
     return F.greatest(F.lit(low), F.least(F.lit(high), reduce(lambda a, b: a + b, (F.col(c) * w for c, w in columns.items()))))
 
 
+def multivariate_score(scores: DataFrame, keys: list[str], measure: str, value: str, of_max: float, of_mean: float, padding: Column | None = None) -> DataFrame:
+    """(keys, score): the mean over measures of of_max * greatest + of_mean * mean of a measure's scores, each cut to 0 .. 1. Rows that `padding` marks, and null scores, are left out."""
+    rows = scores.where(F.col(value).isNotNull())
+    rows = rows if padding is None else rows.where(~F.coalesce(padding, F.lit(False)))
+    cut = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(value)))
+    each = rows.groupBy(*keys, measure).agg((F.max(cut) * of_max + F.avg(cut) * of_mean).alias("_s"))
+    return each.groupBy(*keys).agg(F.avg("_s").alias("score"))
+
+
+def dataset_descriptors(rows: DataFrame, dataset: str, series: list[str], results: DataFrame, model: str, at: list[str], error: str) -> DataFrame:
+    """Per dataset its points, least, mean and greatest length of a series and number of series, a row for each model with its latest error; datasets without results keep one row.
+
+    `results` may have a model many times: the last row in the order of `at` counts."""
+    sizes = rows.groupBy(dataset, *series).agg(F.count("*").alias("_n"))
+    each = sizes.groupBy(dataset).agg(F.sum("_n").alias("points"), F.min("_n").alias("low"), F.avg("_n").alias("mean"), F.max("_n").alias("high"), F.count("*").alias("series"))
+    latest = results.groupBy(dataset, model).agg(F.max_by(error, F.struct(*at)).alias(error))
+    return by_keys(each, latest, [dataset], "left")
+
+
 def combine_scores(scores: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Mean, maximum and median over groups, each also without zeros."""
     some = F.when(F.col(value) != 0, F.col(value))

@@ -211,6 +211,12 @@ def agg24(spark, sf):
     return s.select("user_id", F.round(A.clipped_weighted({"m": 0.9, "s": -0.4}), 6).alias("predictability"))
 
 
+@query("agg24_multivariate", "with s as (select user_id, event_type, event_id % 7 as col, avg(value) / 60 as v from events group by all), m as (select user_id, event_type, max(greatest(0, least(1, v))) * 0.6 + avg(greatest(0, least(1, v))) * 0.4 as s from s where col <> 6 group by all) select user_id, round(avg(s), 6) as score from m group by 1")
+def agg24m(spark, sf):
+    s = events(spark, sf).groupBy("user_id", "event_type", (F.col("event_id") % 7).alias("col")).agg((F.avg("value") / 60).alias("v"))
+    return A.multivariate_score(s, ["user_id"], "event_type", "v", 0.6, 0.4, F.col("col") == 6).withColumn("score", F.round("score", 6))
+
+
 @query("agg25_combined_scores", "with s as (select event_type, user_id, greatest(0, avg(value) - 40) as v from events group by all) select event_type, round(avg(v), 5) as mean, round(max(v), 5) as max, round(quantile_cont(v, 0.5), 5) as median, round(avg(v) filter (v <> 0), 5) as mean_nonzero, round(quantile_cont(v, 0.5) filter (v <> 0), 5) as median_nonzero, count(*) as groups from s group by 1")
 def agg25(spark, sf):
     s = events(spark, sf).groupBy("event_type", "user_id").agg(F.greatest(F.lit(0.0), F.avg("value") - 40).alias("v"))
@@ -253,3 +259,9 @@ def agg30(spark, sf):
 def agg31(spark, sf):
     s = events(spark, sf).groupBy("event_type", "user_id").agg(F.count("*").alias("n"))
     return s.groupBy("event_type").agg(F.sum("n").alias("points"), F.min("n").alias("low"), F.round(F.avg("n"), 5).alias("mean"), F.max("n").alias("high"), F.count("*").alias("series"))
+
+
+@query("agg31_with_models", "with s as (select event_type, user_id, count(*) as n from events group by all), d as (select event_type, cast(sum(n) as bigint) as points, min(n) as low, round(avg(n), 5) as mean, max(n) as high, count(*) as series from s group by 1), r as (select event_type, 'm' || (event_id % 3) as model, value as mape from events where event_type <> 'view' qualify row_number() over (partition by event_type, event_id % 3 order by ts desc, event_id desc) = 1) select d.*, model, mape from d left join r using (event_type)")
+def agg31m(spark, sf):
+    results = events(spark, sf).where("event_type <> 'view'").select("event_type", F.concat(F.lit("m"), (F.col("event_id") % 3).cast("string")).alias("model"), "ts", "event_id", F.col("value").alias("mape"))
+    return A.dataset_descriptors(events(spark, sf), "event_type", ["user_id"], results, "model", ["ts", "event_id"], "mape").withColumn("mean", F.round("mean", 5))
