@@ -126,8 +126,10 @@ def every_kth(df: DataFrame, keys: list[str], order: list[str], k: int) -> DataF
 
 def padded(df: DataFrame, keys: list[str], ts: str, value: str, size: int) -> DataFrame:
     """Short series get null rows at the front, stepping back by the median gap in seconds."""
+    short = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(ts).alias("_lo")).where((F.col("_n") < size) & (F.col("_n") > 1))
+    rows = by_keys(df.select(*keys, ts), short.select(*keys), keys)  # series of fewer than `size` rows
     w = Window.partitionBy(*keys).orderBy(ts)
-    gaps = df.withColumn("_gap", F.timestamp_diff("SECOND", F.lag(ts).over(w), F.col(ts)))
-    stats = gaps.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(ts).alias("_lo"), F.floor(F.percentile("_gap", F.lit(0.5))).alias("_step")).where((F.col("_n") < size) & (F.col("_n") > 1))
+    gaps = rows.withColumn("_gap", F.timestamp_diff("SECOND", F.lag(ts).over(w), F.col(ts)))
+    stats = by_keys(short, gaps.groupBy(*keys).agg(F.floor(F.percentile("_gap", F.lit(0.5))).alias("_step")), keys)
     front = stats.withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(size) - F.col("_n")))).select(*keys, F.timestamp_add("SECOND", -F.col("_k") * F.col("_step"), F.col("_lo")).alias(ts), F.lit(None).cast("double").alias(value))
     return df.select(*keys, ts, value).unionByName(front)

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .order_statistics import by_keys, quantiles_of
+from .scans import chunked
 
 
 def aligned_pairs(long: DataFrame, series: str, pos: str, value: str, scaled: bool = False) -> DataFrame:
@@ -64,8 +65,8 @@ def mutual_information(pairs: DataFrame, x: str, y: str) -> DataFrame:
 
 def transfer_entropy(rows: DataFrame, keys: list[str], x: str, y: str, order: str, lag: int = 1) -> DataFrame:
     """From binned columns: H(Y | Y before) - H(Y | Y before, X before), over H(Y)."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    r = rows.select(*keys, F.col(y).alias("y"), F.lag(y, lag).over(w).alias("yp"), F.lag(x, lag).over(w).alias("xp")).dropna()
+    c = chunked(rows, keys, [order], before=lag)
+    r = c.rows.select(*keys, "_own", F.col(y).alias("y"), F.lag(y, lag).over(c.window).alias("yp"), F.lag(x, lag).over(c.window).alias("xp")).where("_own").drop("_own").dropna()
     g = r.groupBy(*keys, "y", "yp", "xp").agg(F.count("*").alias("n"))
     sums = {"t": [], "ny": ["y"], "nyp": ["yp"], "nyyp": ["y", "yp"], "nypxp": ["yp", "xp"]}
     for name, by in sums.items():
@@ -138,10 +139,11 @@ def granger(rows: DataFrame, keys: list[str], x: str, y: str, order: str, lags:
     """Share of the residual sum of squares of an autoregression of y that lags of x remove, 0 .. 1.
 
     Lag products are summed in Spark; one small system per series is solved in a pandas UDF."""
-    w = Window.partitionBy(*keys).orderBy(order)
+    c = chunked(rows, keys, [order], before=lags)
+    w = c.window
     names = ["1", *[f"y{k}" for k in range(1, lags + 1)], *[f"x{k}" for k in range(1, lags + 1)]]
     cols = [F.lit(1.0).alias("1"), *[F.lag(y, k).over(w).alias(f"y{k}") for k in range(1, lags + 1)], *[F.lag(x, k).over(w).alias(f"x{k}") for k in range(1, lags + 1)]]
-    m = rows.select(*keys, F.col(y).cast("double").alias("_y"), *cols).dropna()
+    m = c.rows.select(*keys, "_own", F.col(y).cast("double").alias("_y"), *cols).where("_own").drop("_own").dropna()
     gram = [F.sum(F.col(f"`{a}`") * F.col(f"`{b}`")) for a in names for b in names]
     cross = [F.sum(F.col(f"`{a}`") * F.col("_y")) for a in names]
     sums = m.groupBy(*keys).agg(F.array(*gram).alias("g"), F.array(*cross).alias("c"), F.sum(F.col("_y") * F.col("_y")).alias("yy"))
