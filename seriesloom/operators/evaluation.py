@@ -18,13 +18,18 @@ def history_scaled(df: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("nmae", F.try_divide("mae", "_s")).drop("_s")
 
 
-def forecast_metrics(df: DataFrame, keys: list[str]) -> DataFrame:
-    """RMSE, NMAE (over the mean absolute actual), MAE, MSE, MAPE and SMAPE in percent (zero actuals left out), mean residual."""
+def forecast_metrics(df: DataFrame, keys: list[str], zeros: bool = False) -> DataFrame:
+    """RMSE, NMAE (over the mean absolute actual), MAE, MSE, MAPE and SMAPE in percent, mean residual.
+
+    MAPE and SMAPE leave zero actuals out; with `zeros` they count, so one makes MAPE an infinity, or NaN if its forecast is 0 as well (which makes SMAPE NaN, too)."""
     a, f = F.col("actual"), F.col("forecast")
-    gap, some = F.abs(a - f), a != 0
+    gap = F.abs(a - f)
+    undefined = F.when(gap == 0, F.lit(float("nan"))).otherwise(F.lit(float("inf")))
+    share = lambda part, whole: F.when(whole != 0, part / F.nullif(whole, F.lit(0.0))).otherwise(undefined)
+    counted = lambda c: c if zeros else F.when(a != 0, c)
     return df.where("actual is not null").groupBy(*keys).agg(
         F.sqrt(F.avg(gap * gap)).alias("rmse"), F.try_divide(F.avg(gap), F.avg(F.abs(a))).alias("nmae"), F.avg(gap).alias("mae"), F.avg(gap * gap).alias("mse"),
-        (F.avg(F.when(some, gap / F.abs(F.nullif(a, F.lit(0.0))))) * 100).alias("mape"), (F.avg(F.when(some, 2 * gap / (F.abs(F.nullif(a, F.lit(0.0))) + F.abs(f)))) * 100).alias("smape"), F.avg(a - f).alias("residual"),
+        (F.avg(counted(share(gap, F.abs(a)))) * 100).alias("mape"), (F.avg(counted(share(2 * gap, F.abs(a) + F.abs(f)))) * 100).alias("smape"), F.avg(a - f).alias("residual"),
     )
 
 

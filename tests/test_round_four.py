@@ -39,3 +39,10 @@ def at(hours):
 def test_zero_over_zero_as_the_sql_has_it(agree):
     found = agree("edt1_perturbed", [(i, at(i), 1, "view", v) for i, v in enumerate([0.0, 2.5, 7.0])])
     assert all(r["over_zero"] == math.inf for r in found)
+
+
+def test_metrics_count_zero_actuals_as_the_sql_does(agree):
+    users = {1: [4.0, 6.0, 0.0, 5.0], 2: [2.0, 2.0, 1.0, 4.0], 3: [3.0, 1.0, 2.0]}
+    rows = [(u, i, v) for u, values in users.items() for i, v in enumerate(values)]
+    found = agree("evl2_forecast_metrics", [(n, at(i if i < 2 else 24 * 22 + i), u, "view", v) for n, (u, i, v) in enumerate(rows)])
+    assert {r["user_id"]: r["mape"] == math.inf for r in found} == {1: True, 2: False, 3: False}
