@@ -140,17 +140,27 @@ def rolling_mean(df: DataFrame, keys: list[str], order: list[str], column: str,
 def rolling_mean_in_time(df: DataFrame, keys: list[str], ts: str, column: str, seconds: float, buckets: int = 255) -> DataFrame:
     """Mean of the known values in the `seconds` up to and with each row's time, those that are exactly so old left out.
 
-    `ts` is a timestamp or a date. Rows of the same time see each other. Rows go to the bucket of their time and, as
-    copies, to later buckets that may look back at them. A row without a time has no mean."""
+    `ts` is a timestamp or a date. Rows of the same time see each other. A row without a time has no mean.
+    Time is cut into cells of that length. A row sees its own cell up to its time, a running sum, and the later part of the cell before, a running sum
+    from behind, for which each row stands in the next cell as well, at its time plus the length. So a row costs the same however many it sees, and nothing is subtracted.
+    Inside a cell, buckets of about equally many rows are summed up by themselves, and the sums of the other buckets are carried over."""
     day = df.schema[ts].dataType.simpleString() == "date"
-    at = df.withColumn("_at", (ordinal(df, ts) * (86_400_000_000 if day else 1)).cast("long"))
     span = round(seconds * 1_000_000)
-    edges = edges_of(at, "_at", buckets)[1]
-    rows = at.withColumn("_home", bucket_of(F.col("_at"), edges)).withColumn("_chunk", F.explode(F.sequence("_home", bucket_of(F.col("_at") + span, edges))))
-    w = Window.partitionBy(*keys, "_chunk").orderBy("_at")
-    mean = F.avg(column).over(w.rangeBetween(1 - span, 0))
-    out = rows.withColumn(f"{column}_mean", F.when(F.col("_at").isNotNull(), mean))
-    return out.where(F.col("_chunk") == F.col("_home")).drop("_at", "_home", "_chunk")
+    at = df.withColumn("_at", (ordinal(df, ts) * (86_400_000_000 if day else 1)).cast("long"))
+    edges, x = edges_of(at, "_at", buckets)[1], F.col(column).cast("double")
+    now = at.select(*keys, "_at", F.when(F.col("_at").isNotNull(), x).alias("_new"), F.struct(*df.columns).alias("_row"))
+    old = at.where(F.col("_at").isNotNull() & x.isNotNull()).select(*keys, (F.col("_at") + span).alias("_at"), x.alias("_old"))
+    rows = now.unionByName(old, allowMissingColumns=True).withColumn("_cell", F.expr(f"(_at - pmod(_at, {span}L)) div {span}L")).withColumn("_b", bucket_of(F.col("_at"), edges))
+    part, cell = Window.partitionBy(*keys, "_cell", "_b"), Window.partitionBy(*keys, "_cell")
+    upto, behind = part.orderBy("_at").rangeBetween(Window.unboundedPreceding, 0), part.orderBy(F.desc("_at")).rangeBetween(Window.unboundedPreceding, -1)
+    parts = [("_new", upto, cell.orderBy("_b")), ("_old", behind, cell.orderBy(F.desc("_b")))]
+    totals = rows.groupBy(*keys, "_cell", "_b").agg(*[f(c).alias(f"{c}_{f.__name__}") for c, _, _ in parts for f in (F.sum, F.count)])
+    totals = totals.select(*keys, "_cell", "_b", *[F.sum(f"{c}_{f}").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias(f"{c}_{f}") for c, _, w in parts for f in ("sum", "count")])  # a row per series, cell and bucket
+    inside = rows.withColumns({f"_in{c}_{f.__name__}": f(c).over(w) for c, w, _ in parts for f in (F.sum, F.count)}).where("_row is not null")
+    met = by_keys(inside, totals, [*keys, "_cell", "_b"])
+    over = lambda f: sum(F.coalesce(n, F.lit(0)) for c, _, _ in parts for n in (f"_in{c}_{f}", f"{c}_{f}"))
+    mean = F.when(F.col("_at").isNotNull(), F.try_divide(over("sum"), over("count")))
+    return met.select("_row.*", mean.alias(f"{column}_mean"))
 
 
 def gaussian_smooth(df: DataFrame, keys: list[str], order: list[str], column: str, sigma: float, chunk: int = CHUNK) -> DataFrame:

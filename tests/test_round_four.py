@@ -46,3 +46,23 @@ def test_metrics_count_zero_actuals_as_the_sql_does(agree):
     rows = [(u, i, v) for u, values in users.items() for i, v in enumerate(values)]
     found = agree("evl2_forecast_metrics", [(n, at(i if i < 2 else 24 * 22 + i), u, "view", v) for n, (u, i, v) in enumerate(rows)])
     assert {r["user_id"]: r["mape"] == math.inf for r in found} == {1: True, 2: False, 3: False}
+
+
+@pytest.mark.parametrize("buckets", [1, 3, 40])
+def test_mean_in_time_reads_a_row_as_often_however_many_see_it(spark, buckets):
+    """Many rows of few times, a span of the whole series, and null times and values, against a plain mean; the plan has no frame that is read again for each row."""
+    import random
+
+    from seriesloom.operators import windows
+
+    r = random.Random(4)
+    rows = [(i, r.choice("ab"), at(r.choice([0, 1, 2.5, 7, 7, 7, 30])) if i % 17 else None, None if i % 5 == 0 else round(r.uniform(-9, 9), 2)) for i in range(300)]
+    df = spark.createDataFrame(rows, "i int, k string, ts timestamp_ntz, v double")
+    for hours in (1, 6, 1000):
+        out = windows.rolling_mean_in_time(df, ["k"], "ts", "v", hours * 3600, buckets)
+        assert "specifiedwindowframe(RangeFrame, -" not in out._jdf.queryExecution().toString()
+        found = {x["i"]: x["v_mean"] for x in out.collect()}
+        assert len(found) == len(rows)
+        for i, k, t, _ in rows:
+            seen = [v for _, other, u, v in rows if t and u and other == k and v is not None and 0 <= (t - u).total_seconds() < hours * 3600]
+            assert found[i] is None if not seen else math.isclose(found[i], sum(seen) / len(seen), rel_tol=1e-9, abs_tol=1e-12)
