@@ -66,3 +66,26 @@ def test_mean_in_time_reads_a_row_as_often_however_many_see_it(spark, buckets):
         for i, k, t, _ in rows:
             seen = [v for _, other, u, v in rows if t and u and other == k and v is not None and 0 <= (t - u).total_seconds() < hours * 3600]
             assert found[i] is None if not seen else math.isclose(found[i], sum(seen) / len(seen), rel_tol=1e-9, abs_tol=1e-12)
+
+
+def test_lists_meet_in_full_blocks(spark, monkeypatch):
+    """Rows next to each other go to many lists; the blocks of a list are full all the same, and nothing is lost among copies."""
+    import numpy as np
+
+    from seriesloom.operators import relations
+
+    r = np.random.default_rng(5)
+    x = np.round(r.normal(size=(1500, 4)), 1)
+    x[700:760] = x[3]
+    rows = [(i, [float(v) for v in x[i]]) for i in range(1500)]
+    df = spark.createDataFrame(rows, "id long, vector array<double>").repartition(8)
+    made = []
+    deal = relations._list_blocks
+    monkeypatch.setattr(relations, "_list_blocks", lambda *a: made.append(deal(*a)) or made[-1])
+    asked = df.where("id % 20 = 0").selectExpr("id as q", "vector as query")
+    found = {(f["q"], f["place"]): f["id"] for f in relations.nearest_in_lists(asked, df.where("id % 20 <> 0"), 3).collect()}
+    assert made[0].count() <= 64 and made[1].count() <= 64  # a block a list: 1,425 vectors, 75 queries
+    others = [i for i in range(1500) if i % 20]
+    for q in range(0, 1500, 20):
+        d = np.sqrt(((x[others] - x[q]) ** 2).sum(axis=1))
+        assert [found[q, p] for p in (1, 2, 3)] == [others[i] for i in np.lexsort((others, d))[:3]]
