@@ -89,3 +89,25 @@ def test_lists_meet_in_full_blocks(spark, monkeypatch):
     for q in range(0, 1500, 20):
         d = np.sqrt(((x[others] - x[q]) ** 2).sum(axis=1))
         assert [found[q, p] for p in (1, 2, 3)] == [others[i] for i in np.lexsort((others, d))[:3]]
+
+
+@pytest.mark.parametrize("size", [7, 50, 64, 1000])
+def test_tiles_are_worked_out_once_a_pair(spark, size):
+    """Every number of blocks, copies that tie, and both metrics with a product in them, against all pairs; half of the tiles of before."""
+    import numpy as np
+
+    from seriesloom.operators import relations
+
+    r = np.random.default_rng(6)
+    x, y = np.round(r.normal(size=(130, 4)), 1), r.normal(size=(130, 3)) * 50
+    x[20:40], y[20:40] = x[5], y[5]
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]], [float(v) for v in y[i]]) for i in range(130)], "id long, p array<double>, q array<double>")
+    out = relations.tiled_relations(df, "id", [("p", "cosine", 0.7), ("q", "euclidean", 0.3)], 3, size=size)
+    found = {(f["a"], f["place"]): (f["b"], f["score"]) for f in out.collect()}
+    score = np.round(0.7 * (x @ x.T) / np.linalg.norm(x, axis=1)[:, None] / np.linalg.norm(x, axis=1)[None, :] - 0.3 * np.sqrt(((y[:, None] - y[None]) ** 2).sum(axis=2)), 12)
+    for a in range(130):
+        others = [b for b in range(130) if b != a]
+        best = sorted(others, key=lambda b: (-score[a, b], b))[:3]
+        assert [found[a, p][0] for p in (1, 2, 3)] == best
+        assert all(math.isclose(found[a, p][1], score[a, b], abs_tol=2e-12) for p, b in zip((1, 2, 3), best))
+    assert len(found) == 390
