@@ -17,3 +17,9 @@ def nan_to_null(c: str) -> Column:
 
 def clip(c: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), c))
+
+
+def rounded(c: Column, places: int) -> Column:
+    """Rounding that keeps the sign of what becomes 0, as SQL engines do; Spark's own gives 0.0 for -0.00001. Arrays of such values compare by it."""
+    near = F.round(c, places)
+    return F.when((near == 0) & (c < 0), F.lit(-0.0)).otherwise(near)

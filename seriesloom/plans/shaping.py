@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from ..functions import rounded
 from ..operators import edits as E
 from ..operators import features as T
 from ..operators import scaling as S
@@ -122,7 +123,7 @@ def enc3(spark, sf):
 def enc4(spark, sf):
     w = event_windows(spark, sf)
     n = events(spark, sf).groupBy("event_type").agg(F.count("*").alias("n"))
-    packed = F.transform(F.array_sort(F.collect_list(F.struct("step", F.round(F.col("value") / 100, 6).alias("v")))), lambda x: x["v"])
+    packed = F.transform(F.array_sort(F.collect_list(F.struct("step", rounded(F.col("value") / 100, 6).alias("v")))), lambda x: x["v"])
     out = w.groupBy("event_type", "window_idx").agg(packed.alias("v"), F.min("pos").alias("_p")).join(n, "event_type")
     return out.select("event_type", "window_idx", "v", F.when(F.col("_p") + 24 <= F.floor(F.col("n") * 0.8), "train").otherwise("test").alias("split"))
 
@@ -279,7 +280,7 @@ def fea9(spark, sf):
     from ..operators.windows import window_arrays
 
     out = T.window_fourier(window_arrays(event_windows(spark, sf), KEYS, ["value"]), "value")
-    return out.select("event_type", "window_idx", F.transform("coefficients", lambda x: F.round(x + 2.3e-10, 5)).alias("coefficients"), F.col("ts_length").cast("long").alias("ts_length"), *[F.round(F.col(c) + 1e-7, 5).alias(c) for c in _WF])
+    return out.select("event_type", "window_idx", F.transform("coefficients", lambda x: rounded(x + 2.3e-10, 5)).alias("coefficients"), F.col("ts_length").cast("long").alias("ts_length"), *[F.round(F.col(c) + 1e-7, 5).alias(c) for c in _WF])
 
 
 @query("fea10_dominant_period", f"""with p as (select user_id, value + 60 * cos((row_number() over (partition by user_id order by ts, event_id) - 1) * {2 * math.pi!r} / 8) as v, row_number() over (partition by user_id order by ts, event_id) - 1 as pos, count(*) over (partition by user_id) as n from events),
@@ -331,7 +332,7 @@ fr as (select q.user_id, i, coalesce(sqrt(pow(sum(value * cos(((k * pos) % q.n)
 fl as (select user_id, list(m order by i) as f from fr group by 1)
 select user_id, list_transform(list_concat(s, pts, f), lambda x: case when x is null or isnan(x) or isinf(x) then 0 else round(x + 1e-7, 4) end) as vector from st join pt using (user_id) join fl using (user_id)""")
 def fea13v(spark, sf):
-    return T.fixed_vector(events(spark, sf), ["user_id"], ORDER, "value", 8, 6).withColumn("vector", F.transform("vector", lambda x: F.when(x == 0, 0.0).otherwise(F.round(x + 1e-7, 4))))
+    return T.fixed_vector(events(spark, sf), ["user_id"], ORDER, "value", 8, 6).withColumn("vector", F.transform("vector", lambda x: rounded(x + 1e-7, 4)))
 
 
 @query("fea14_cut_by_date", "select event_id from events where ts < timestamp '2024-01-12'")

@@ -111,3 +111,14 @@ def test_tiles_are_worked_out_once_a_pair(spark, size):
         assert [found[a, p][0] for p in (1, 2, 3)] == best
         assert all(math.isclose(found[a, p][1], score[a, b], abs_tol=2e-12) for p, b in zip((1, 2, 3), best))
     assert len(found) == 390
+
+
+def test_vectors_keep_the_sign_of_what_rounds_to_zero(agree):
+    """A slope of -0.00003 is -0.0 in the SQL's array."""
+    found = agree("fea13_fixed_vector", [(i, at(i), 1, "view", v) for i, v in enumerate([5.0, 5.00001, 5.0, 4.9999, 5.0, 4.9999])])
+    assert any(x == 0 and math.copysign(1, x) < 0 for x in found[0]["vector"])
+
+
+def test_coefficients_keep_the_sign_of_what_rounds_to_zero(agree):
+    found = agree("fea9_window_fourier", [(i, at(i), 1, "view", -1.000002) for i in range(24)])
+    assert math.copysign(1, found[0]["coefficients"][0]) < 0
