@@ -8,8 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ACCURACY, MARGIN, SMALL = 10_000, 5, 10_000
+#: A table of at most so many groups is worked out first and broadcast.
+FEW = 4096
 
 
 def by_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -21,6 +24,14 @@ def by_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inne
     return left.join(renamed, on, how).drop(*[f"_k{i}" for i in range(len(keys))])
 
 
+def settled(groups: DataFrame, few: int = FEW) -> DataFrame:
+    """A table of one row per group, worked out first: with few rows it is broadcast, so that a join with it moves no other row and a large group stays spread."""
+    if any(isinstance(f.dataType, T.TimestampType) for f in groups.schema):  # a local time that occurs twice does not come back as it was
+        return groups
+    taken = groups.limit(few + 1).collect()
+    return groups if len(taken) > few else F.broadcast(groups.sparkSession.createDataFrame(taken, groups.schema))
+
+
 def quantiles_of(df: DataFrame, keys: list[str], value: str | Column, shares: dict[str, float]) -> DataFrame:
     """(keys, one column per name in `shares`): exact quantiles with linear interpolation; a group without values has no row."""
     rows = df.select(*keys, (F.col(value) if isinstance(value, str) else value).cast("double").alias("_v")).where("_v is not null")

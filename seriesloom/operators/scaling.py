@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .aggregates import running_total
-from .order_statistics import quantiles_of
+from .order_statistics import by_keys, quantiles_of, settled
 
 
 def clipped(df: DataFrame, columns: list[str], k: float = 5.0) -> DataFrame:
@@ -76,11 +76,11 @@ def normalized_score(keys: list[str], column: str) -> Column:
     return F.when(s > 0, (F.col(column) - F.avg(column).over(w)) / (s + 1e-6)).otherwise(F.col(column))
 
 
-def range_scaled(keys: list[str], actual: str, other: str) -> tuple[Column, Column]:
-    """Both columns scaled by the range of the actual one."""
-    w = Window.partitionBy(*keys)
-    low, high = F.min(actual).over(w), F.max(actual).over(w)
-    return F.try_divide(F.col(actual) - low, high - low), F.try_divide(F.col(other) - low, high - low)
+def range_scaled(df: DataFrame, keys: list[str], actual: str, **columns: str) -> DataFrame:
+    """`df` with each name=column scaled by the range of the actual one in its group. Ranges are a table of groups, so no task holds a whole one."""
+    ends = settled(df.groupBy(*keys).agg(F.min(actual).alias("_lo"), F.max(actual).alias("_hi")))
+    met = by_keys(df, ends, keys)
+    return met.withColumns({name: F.try_divide(F.col(c) - F.col("_lo"), F.col("_hi") - F.col("_lo")) for name, c in columns.items()}).drop("_lo", "_hi")
 
 
 def one_hot(df: DataFrame, column: str, values: list[str]) -> DataFrame:

@@ -97,8 +97,8 @@ def scl6(spark, sf):
 
 @query("scl7_range_scaled", "select l_orderkey, l_linenumber, round((l_quantity - min(l_quantity) over p) / (max(l_quantity) over p - min(l_quantity) over p), 6) as a, round((l_quantity * 1.1 - min(l_quantity) over p) / (max(l_quantity) over p - min(l_quantity) over p), 6) as f from lineitem window p as (partition by l_returnflag)")
 def scl7(spark, sf):
-    a, f = S.range_scaled(["l_returnflag"], "l_quantity", "forecast")
-    return lines(spark, sf).withColumn("forecast", F.col("l_quantity") * 1.1).select("l_orderkey", "l_linenumber", F.round(a, 6).alias("a"), F.round(f, 6).alias("f"))
+    scaled = S.range_scaled(lines(spark, sf).withColumn("forecast", F.col("l_quantity") * 1.1), ["l_returnflag"], "l_quantity", a="l_quantity", f="forecast")
+    return scaled.select("l_orderkey", "l_linenumber", F.round("a", 6).alias("a"), F.round("f", 6).alias("f"))
 
 
 @query("enc1_one_hot", "select event_id, cast(event_type = 'click' as double) as event_type_click, cast(event_type = 'view' as double) as event_type_view, case when event_type in ('click', 'view') then event_type end as back from events")
