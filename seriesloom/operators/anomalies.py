@@ -50,12 +50,23 @@ def strongest(found: DataFrame, keys: list[str], score: str, least: float, n: in
 
 
 def concurrent(anomalies: DataFrame, ts: str, kpi: str, score: str, seconds: int, least: int) -> DataFrame:
-    """Anchors with anomalies of at least `least` KPIs within a time span after them: buckets of the span, then the exact condition."""
-    at = F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(ts))
-    rows = anomalies.select(F.col(ts).alias("t"), at.alias("s"), F.col(kpi).alias("k"), F.col(score).alias("v")).withColumn("_b", F.floor(F.col("s") / seconds))
-    later = rows.select(F.explode(F.array(F.col("_b"), F.col("_b") - 1)).alias("_b"), F.col("s").alias("s2"), F.col("k").alias("k2"), F.col("v").alias("v2"))
-    met = rows.join(later, "_b").where((F.col("s2") >= F.col("s")) & (F.col("s2") - F.col("s") <= seconds))
-    return met.groupBy("t", "k", "v").agg(F.count_distinct("k2").alias("kpis"), F.sum("v2").alias("total")).where(F.col("kpis") >= least)
+    """Anchors (t, k, v) with anomalies of at least `least` KPIs within `seconds` after them, their sum counted for every copy of the anchor.
+
+    Rows become one a second first. Time is cut into cells one second longer than the span, so a second sees its own cell from itself on, a running state from behind,
+    and the next cell up to the span's end, a running state for which each second stands in the cell before as well. So no pairs are made, however dense the anomalies are."""
+    since = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(ts))
+    second = ((since - F.pmod(since, F.lit(1_000_000))) / 1_000_000).cast("long")
+    rows = anomalies.select(F.col(ts).alias("t"), second.alias("s"), F.col(kpi).alias("k"), F.col(score).alias("v")).where("s is not null")
+    anchors = rows.groupBy("t", "s", "k", "v").agg(F.count("*").alias("_m"))
+    each, length = rows.groupBy("s", "k").agg(F.sum("v").alias("v")), seconds + 1
+    now = each.select("s", F.col("s").alias("_at"), "k", F.col("k").alias("_k"), F.col("v").alias("_v"))
+    later = each.select((F.col("s") - length).alias("_at"), F.col("k").alias("_k2"), F.col("v").alias("_v2"))
+    both = now.unionByName(later, allowMissingColumns=True).withColumn("_cell", F.expr(f"(_at - pmod(_at, {length}L)) div {length}L"))
+    part = Window.partitionBy("_cell")  # at most two rows a second of the span and KPI
+    own, ahead = part.orderBy(F.desc("_at")).rangeBetween(Window.unboundedPreceding, 0), part.orderBy("_at").rangeBetween(Window.unboundedPreceding, -1)
+    seen = both.withColumns({"_x": F.sum("_v").over(own), "_ks": F.collect_set("_k").over(own), "_x2": F.sum("_v2").over(ahead), "_ks2": F.collect_set("_k2").over(ahead)}).where("s is not null")
+    seen = seen.select("s", "k", F.size(F.array_union("_ks", "_ks2")).cast("long").alias("kpis"), F.coalesce(F.col("_x") + F.col("_x2"), "_x", "_x2").alias("_sum")).where(F.col("kpis") >= least)
+    return by_keys(anchors, seen, ["s", "k"]).select("t", "k", "v", "kpis", (F.col("_sum") * F.col("_m")).alias("total"))
 
 
 def timestamp_union(found: DataFrame, ts: str, channel: str, score: str) -> DataFrame:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from seriesloom.operators import scaling
+import random
+
+from seriesloom.operators import anomalies, scaling
+
+from test_round_four import agree, at  # noqa: F401  (a fixture)
 
 
 def plan(df) -> str:
@@ -14,3 +18,12 @@ def test_range_scaled_holds_no_group_in_one_task(spark):
     out = scaling.range_scaled(df, ["k"], "x", a="x", f="y")
     assert "Window" not in plan(out)
     assert sorted(((r["k"] or "", r["x"] or 0.0, r["a"], r["f"]) for r in out.collect()), key=repr) == sorted([("a", 1.0, 0.0, 0.5), ("a", 3.0, 1.0, 2.0), ("", 4.0, 0.0, 0.0), ("", 6.0, 1.0, 1.5), ("c", 2.0, None, None), ("d", 0.0, None, None)], key=repr)
+
+
+def test_concurrent_makes_no_pairs(spark, agree):  # noqa: F811
+    """Dense seconds, copies of rows, spans that end at a second and one before, and seconds before and after 1970, against all pairs."""
+    r = random.Random(7)
+    events = [(i, at(r.choice([0, 0.25, 5.9997, 6, 6.0003, 11, 12, 12.0002, 500, -500000, -500003])), 1, r.choice("abcd"), float(r.choice([100, 121, 130.5, 200]))) for i in range(150)]
+    assert agree("ano7_concurrent", events)
+    found = spark.createDataFrame([(at(0), "a", 1.0)], "t timestamp_ntz, k string, v double")
+    assert "Generate" not in plan(anomalies.concurrent(found, "t", "k", "v", 60, 1))
