@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.filters import require_columns
+from ..operators.order_statistics import by_keys
 
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
 WIDER = ["tinyint", "smallint", "int", "bigint", "float", "double", "string"]
@@ -58,11 +59,20 @@ def chosen_series(spark: SparkSession, path: str, catalog: DataFrame, condition:
 
 
 def column_series(df: DataFrame, keys: list[str], ts: str, columns: list[str] | None = None) -> DataFrame:
-    """Each numeric column as a series of its own: (keys, column_id, ts, value), trimmed to its known part."""
+    """Each numeric column as a series of its own: (keys, column_id, ts, value), trimmed to its known part.
+
+    A known value lies in that part, so only missing ones are held against its ends; which columns have any is counted first."""
     columns = columns or [c for c, t in df.dtypes if t in NUMERIC and c not in keys and c != ts]
-    long = df.select(*keys, ts, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot([*keys, ts], columns, "column_id", "value")
-    ends = long.where("value is not null").groupBy(*keys, "column_id").agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi"))
-    return long.join(ends, [*keys, "column_id"]).where(F.col(ts).between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
+    wide = df.select(*keys, ts, *[F.col(c).cast("double").alias(c) for c in columns]).where(F.col(ts).isNotNull())
+    long = lambda rows, names: rows.unpivot([*keys, ts], names, "column_id", "value")
+    known = long(wide, columns).where("value is not null")
+    gaps = wide.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
+    holed = [c for c in columns if gaps[c]]
+    if not holed:
+        return known
+    ends = known.where(F.col("column_id").isin(holed)).groupBy(*keys, "column_id").agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi"))
+    missing = by_keys(long(wide, holed).where("value is null"), ends, [*keys, "column_id"])
+    return known.unionByName(missing.where(F.col(ts).between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi"))
 
 
 def series_metadata(long: DataFrame, keys: list[str], ts: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 from seriesloom.operators import anomalies, scaling
+from seriesloom.sources import readers
 
 from test_round_four import agree, at  # noqa: F401  (a fixture)
 
@@ -27,3 +28,10 @@ def test_concurrent_makes_no_pairs(spark, agree):  # noqa: F811
     assert agree("ano7_concurrent", events)
     found = spark.createDataFrame([(at(0), "a", 1.0)], "t timestamp_ntz, k string, v double")
     assert "Generate" not in plan(anomalies.concurrent(found, "t", "k", "v", 60, 1))
+
+
+def test_columns_without_gaps_are_not_moved(spark):
+    full = spark.createDataFrame([(i // 4, i, float(i), None if i % 4 in (0, 2) else 1.0) for i in range(12)], "k int, ts int, x double, y double")
+    assert "Exchange" not in plan(readers.column_series(full, ["k"], "ts", ["x"]))
+    found = sorted((r["column_id"], r["k"], r["ts"], r["value"]) for r in readers.column_series(full, ["k"], "ts", ["x", "y"]).fillna(-1.0).collect())
+    assert found == [("x", i // 4, i, float(i)) for i in range(12)] + [("y", i // 4, i, -1.0 if i % 4 == 2 else 1.0) for i in range(12) if i % 4]
