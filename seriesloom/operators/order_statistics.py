@@ -6,6 +6,8 @@ a whole large group, and the result is exact."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,12 +42,17 @@ def quantiles_of(df: DataFrame, keys: list[str], value: str | Column, shares: di
     groups = rows.groupBy(*keys).agg(F.percentile_approx("_v", edges, ACCURACY).alias("_e"), F.count("*").alias("_all"))
     # In a group of at least SMALL rows a bracket is wider than one rank to both sides; of a smaller one, all values lie in the bracket.
     edges_of = F.when(F.col("_all") >= SMALL, F.col("_e")).otherwise(F.array(*[F.lit(x) for _ in names for x in (float("-inf"), float("inf"))]))
-    placed = by_keys(rows, groups.withColumn("_e", edges_of), keys)
+    groups = settled(groups.withColumn("_e", edges_of))
+    placed = by_keys(rows, groups, keys)
     low, high = [F.col("_e")[2 * i] for i in range(len(names))], [F.col("_e")[2 * i + 1] for i in range(len(names))]
-    below = placed.groupBy(*keys).agg(*[F.count_if(F.col("_v") < e).alias(f"_b{i}") for i, e in enumerate(low)], F.any_value("_all").alias("_all"))
     near = [(F.col("_v") >= a) & (F.col("_v") <= b) for a, b in zip(low, high, strict=True)]
+    # One pass counts the rows by the brackets that they lie below, and those inside a bracket by their value as well.
+    under = reduce(lambda a, b: a + b, [F.when(F.col("_v") < e, 1 << i).otherwise(0) for i, e in enumerate(low)])
+    cells = placed.groupBy(*keys, under.alias("_u"), F.when(reduce(lambda a, b: a | b, near), F.col("_v")).alias("_v")).agg(F.count("*").alias("_n"))
+    cells = by_keys(cells, groups, keys)
+    below = cells.groupBy(*keys).agg(*[F.sum(F.when(F.col("_u").bitwiseAND(1 << i) != 0, F.col("_n")).otherwise(0)).alias(f"_b{i}") for i in range(len(names))], F.any_value("_all").alias("_all"))
     which = F.filter(F.array(*[F.when(hit, F.lit(i)) for i, hit in enumerate(near)]), lambda i: i.isNotNull())
-    counts = placed.select(*keys, "_v", F.explode(which).alias("_i")).groupBy(*keys, "_i", "_v").agg(F.count("*").alias("_n"))
+    counts = cells.where("_v is not null").select(*keys, "_v", "_n", F.explode(which).alias("_i"))  # a row per value and bracket: copies of a value are counted in all of its brackets
     running = counts.withColumn("_c", F.sum("_n").over(Window.partitionBy(*keys, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
     met = by_keys(running, below, keys)
     at = {name: F.lit(q) * (F.col("_all") - 1) for name, q in shares.items()}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from seriesloom.operators import anomalies, scaling
+from seriesloom.operators import anomalies, order_statistics, scaling
 from seriesloom.sources import readers
 
 from test_round_four import agree, at  # noqa: F401  (a fixture)
@@ -35,3 +35,20 @@ def test_columns_without_gaps_are_not_moved(spark):
     assert "Exchange" not in plan(readers.column_series(full, ["k"], "ts", ["x"]))
     found = sorted((r["column_id"], r["k"], r["ts"], r["value"]) for r in readers.column_series(full, ["k"], "ts", ["x", "y"]).fillna(-1.0).collect())
     assert found == [("x", i // 4, i, float(i)) for i in range(12)] + [("y", i // 4, i, -1.0 if i % 4 == 2 else 1.0) for i in range(12) if i % 4]
+
+
+def test_quantiles_in_one_pass_over_brackets(spark, monkeypatch):
+    """Values of large groups, with many copies, that several brackets share; and groups too many to be broadcast."""
+    import numpy as np
+
+    monkeypatch.setattr(order_statistics, "SMALL", 500)
+    r = np.random.default_rng(3)
+    values = {"a": r.integers(0, 9, 3000).astype(float), "b": r.normal(size=3000), "c": r.normal(size=40)}
+    df = spark.createDataFrame([(k, float(v)) for k, vs in values.items() for v in vs], "k string, v double")
+    out = order_statistics.quantiles_of(df, ["k"], "v", {"a": 0.25, "b": 0.5, "c": 0.75, "d": 0.5})
+    found = {x["k"]: [x[n] for n in "abcd"] for x in out.collect()}
+    for k, vs in values.items():
+        assert np.allclose(found[k], np.quantile(vs, [0.25, 0.5, 0.75, 0.5]), rtol=0, atol=1e-12)
+    assert "BroadcastHashJoin" in plan(out)
+    groups = df.groupBy("k").count()
+    assert order_statistics.settled(groups, 2) is groups
