@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .order_statistics import by_keys, quantiles_of, with_quantiles
-from .scans import chunked
-from .windows import median_of, numbered, relative_changes
+from .scans import chunked, edges_of
+from .windows import median_of, numbered
 
 
 def statistical(long: DataFrame, keys: list[str]) -> DataFrame:
@@ -30,9 +30,9 @@ def trend(df: DataFrame, keys: list[str], order: list[str], value: str, edge: in
     return out.withColumn("direction", F.when(F.col("slope") > 0, "up").when(F.col("slope") < 0, "down").otherwise("flat"))
 
 
-def autocorrelation(df: DataFrame, keys: list[str], order: list[str], value: str, lags: int) -> DataFrame:
+def autocorrelation(df: DataFrame, keys: list[str], order: list[str], value: str, lags: int, edges: tuple[int, list] | None = None) -> DataFrame:
     """Pearson correlation with itself at lags 1 .. lags, from one pass of running lags; undefined is 0."""
-    c = chunked(df, keys, order, before=lags)
+    c = chunked(df, keys, order, before=lags, edges=edges)
     back = c.own(c.rows.withColumn("_back", F.array(*[F.lag(value, k).over(c.window) for k in range(1, lags + 1)])))
     back = back.select(*keys, F.col(value).alias("_x"), F.posexplode_outer("_back").alias("_k", "_y"))
     return back.where("_y is not null").groupBy(*keys, (F.col("_k") + 1).alias("lag")).agg(F.coalesce(F.corr("_x", "_y"), F.lit(0.0)).alias("acf"))
@@ -65,21 +65,22 @@ def seasonality_features(df: DataFrame, keys: list[str], order: list[str], value
     return out.withColumn("has_seasonality", F.when(F.col("strength") > flag, 1.0).otherwise(0.0))
 
 
-def volatility_features(df: DataFrame, keys: list[str], order: list[str], value: str, size: int, lags: int = 20) -> DataFrame:
+def volatility_features(df: DataFrame, keys: list[str], order: list[str], value: str, size: int, lags: int = 20, edges: tuple[int, list] | None = None) -> DataFrame:
     """Spread and shape of relative changes; mean and spread of the deviation of the `size` values before each row; and `clustering`, the mean autocorrelation of absolute changes at lags 1 .. lags.
 
     Series under 2 * size rows have no rolling deviation, those under 10 rows no clustering (0)."""
-    changes = relative_changes(df, keys, order, value)
-    c = chunked(changes, keys, order, before=size)
+    edges = edges or edges_of(df, order[0])
+    c = chunked(df, keys, order, before=max(size, 1), edges=edges)
+    back = F.lag(value).over(c.window)
     rolled = F.when((F.col("_pos") >= size) & (F.col("_n") >= 2 * size), F.stddev_pop(value).over(c.window.rowsBetween(-size, -1)))
-    r = c.own(c.rows.withColumn("_v", rolled))
+    r = c.own(c.rows.withColumns({"change": F.col(value) - back, "relative": F.try_divide(F.col(value) - back, back), "_v": rolled}))
     zero = lambda a: F.coalesce(a, F.lit(0.0))
     out = r.groupBy(*keys).agg(
         zero(F.stddev_pop("relative")).alias("std"), zero(F.skewness("relative")).alias("skew"), zero(F.kurtosis("relative")).alias("kurt"),
         zero(F.avg("_v")).alias("roll_mean"), zero(F.stddev_pop("_v")).alias("roll_std"), F.count("*").alias("_k"),
     )
-    steps = changes.where("change is not null").withColumn("_d", F.abs("change"))
-    acf = by_keys(autocorrelation(steps, keys, order, "_d", lags), out.select(*keys, "_k"), keys).where((F.col("lag") <= F.floor((F.col("_k") - 1) / 2)) & (F.col("_k") >= 10))
+    steps = r.drop("_v", "relative").where("change is not null").withColumn("_d", F.abs("change"))
+    acf = by_keys(autocorrelation(steps, keys, order, "_d", lags, edges), out.select(*keys, "_k"), keys).where((F.col("lag") <= F.floor((F.col("_k") - 1) / 2)) & (F.col("_k") >= 10))
     return by_keys(out.drop("_k"), acf.groupBy(*keys).agg(F.avg("acf").alias("clustering")), keys, "left").withColumn("clustering", zero(F.col("clustering")))
 
 

@@ -54,17 +54,14 @@ def edges_of(df: DataFrame, column: str, most: int = EDGES) -> tuple[int, list]:
 
 
 def bucket_of(value: Column, edges: list) -> Column:
-    """How many of the sorted edges are at or below a value (null: none), found in two short searches."""
+    """How many of the sorted edges are at or below a value (null: none), by halving; the value is worked out once, as the one element of an array."""
     if not edges:
         return F.lit(0)
-    width = math.isqrt(len(edges)) + 1
-    groups = [edges[i : i + width] for i in range(0, len(edges), width)]
     kind = "string" if isinstance(edges[0], str) else "double"
-    literal = lambda values, nested: F.from_json(F.lit(json.dumps(values)), f"array<{nested}>")  # noqa: E731  (one literal, not one for each edge)
-    below = lambda among: F.size(F.filter(among, lambda e: e <= value))
-    coarse = below(literal([g[0] for g in groups], kind))
-    inside = F.get(literal(groups, f"array<{kind}>"), coarse - 1)
-    return F.when(coarse == 0, 0).otherwise((coarse - 1) * width + below(inside))
+    among = F.from_json(F.lit(json.dumps(edges)), f"array<{kind}>")  # one literal, not one for each edge
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(edges).bit_length()))])
+    found = lambda v: F.aggregate(steps, F.lit(0), lambda n, step: F.when(F.get(among, n + step - 1) <= v, n + step).otherwise(n))
+    return F.get(F.transform(F.array(value), found), F.lit(0))
 
 
 def placed_in_buckets(df: DataFrame, column: str, most: int = EDGES, name: str = "_b") -> tuple[int, DataFrame]:
@@ -76,13 +73,15 @@ def placed_in_buckets(df: DataFrame, column: str, most: int = EDGES, name: str =
     return n, df.withColumn(name, bucket_of(F.col(column) if value is None else value, edges))
 
 
-def positioned(df: DataFrame, keys: list[str], order: list[str], name: str = "pos", total: str | None = None, chunk: int = CHUNK) -> DataFrame:
-    """`df` with each row's position from 0 in its series, and the series' size as `total`. Ties in all of `order` are in any order, nulls first."""
-    return _positioned(df, keys, order, name, total, chunk)[1]
+def positioned(df: DataFrame, keys: list[str], order: list[str], name: str = "pos", total: str | None = None, chunk: int = CHUNK, edges: tuple[int, list] | None = None) -> DataFrame:
+    """`df` with each row's position from 0 in its series, and the series' size as `total`. Ties in all of `order` are in any order, nulls first.
 
+    `edges`: what `edges_of` gave for the table that `df` was made of, with as many rows at least, so that `df` is not worked out for them."""
+    return _positioned(df, keys, order, name, total, chunk, edges)[1]
 
-def _positioned(df: DataFrame, keys: list[str], order: list[str], name: str, total: str | None, chunk: int) -> tuple[int, DataFrame]:
-    n, edges = edges_of(df, order[0])
+
+def _positioned(df: DataFrame, keys: list[str], order: list[str], name: str, total: str | None, chunk: int, edges: tuple[int, list] | None = None) -> tuple[int, DataFrame]:
+    n, edges = edges or edges_of(df, order[0])
     w = Window.partitionBy(*keys)
     if n <= chunk:
         out = df.withColumn(name, F.row_number().over(w.orderBy(*order)) - 1)
@@ -126,9 +125,18 @@ class Chunks:
         return by_keys(rows, table, [*self.keys, "_chunk"])
 
 
-def chunked(df: DataFrame, keys: list[str], order: list[str], before: int = 0, after: int = 0, chunk: int = CHUNK) -> Chunks:
-    """`df` in chunks, each with copies of the `before` rows that precede it and the `after` rows that follow."""
-    n, placed = _positioned(df, keys, order, "_pos", "_n", chunk)
+def chunked(df: DataFrame, keys: list[str], order: list[str], before: int = 0, after: int = 0, chunk: int = CHUNK, edges: tuple[int, list] | None = None) -> Chunks:
+    """`df` in chunks, each with copies of the `before` rows that precede it and the `after` rows that follow; `edges` as in `positioned`."""
+    n, placed = _positioned(df, keys, order, "_pos", "_n", chunk, edges)
+    return _dealt(n, placed, keys, before, after, chunk)
+
+
+def dealt_again(c: Chunks, rows: DataFrame, before: int = 0, after: int = 0) -> Chunks:
+    """`rows` of `c`, which has no copies, with copies; positions stay."""
+    return _dealt(c.all, rows.drop("_chunk", "_own"), c.keys, before, after, c.size)
+
+
+def _dealt(n: int, placed: DataFrame, keys: list[str], before: int, after: int, chunk: int) -> Chunks:
     home = F.expr(f"cast(_pos div {chunk} as int)")
     if not before and not after:
         return Chunks(placed.withColumn("_chunk", home).withColumn("_own", F.lit(True)), keys, chunk, n)

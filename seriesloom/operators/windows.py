@@ -6,16 +6,17 @@ spreads over tasks. A row goes to each window that holds it by an explode of win
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .order_statistics import by_keys
-from .scans import CHUNK, Chunks, affine_scan, bucket_of, chunked, edges_of, ordinal, positioned
+from .order_statistics import by_keys, settled
+from .scans import CHUNK, Chunks, affine_scan, bucket_of, chunked, dealt_again, edges_of, ordinal, positioned
 
-def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "pos", total: str | None = None, chunk: int = CHUNK) -> DataFrame:
+def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "pos", total: str | None = None, chunk: int = CHUNK, edges: tuple[int, list] | None = None) -> DataFrame:
     """Position from 0 inside each series, and the series' size if `total` names a column."""
-    return positioned(df, keys, order, name, total, chunk)
+    return positioned(df, keys, order, name, total, chunk, edges)
 
 
 def sliding_windows(df: DataFrame, keys: list[str], order: list[str], size: int, stride: int, chunk: int = CHUNK) -> DataFrame:
@@ -266,9 +267,9 @@ def large_groups(df: DataFrame, keys: list[str], least: int) -> DataFrame:
     return df.join(counts, keys, "left_semi")
 
 
-def relative_changes(df: DataFrame, keys: list[str], order: list[str], column: str, chunk: int = CHUNK) -> DataFrame:
+def relative_changes(df: DataFrame, keys: list[str], order: list[str], column: str, chunk: int = CHUNK, edges: tuple[int, list] | None = None) -> DataFrame:
     """First difference and relative change; null where there is no base."""
-    c = chunked(df, keys, order, before=1, chunk=chunk)
+    c = chunked(df, keys, order, before=1, chunk=chunk, edges=edges)
     before = F.lag(column).over(c.window)
     return c.own(c.rows.withColumn("change", F.col(column) - before).withColumn("relative", F.try_divide(F.col(column) - before, before)))
 

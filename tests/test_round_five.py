@@ -52,3 +52,37 @@ def test_quantiles_in_one_pass_over_brackets(spark, monkeypatch):
     assert "BroadcastHashJoin" in plan(out)
     groups = df.groupBy("k").count()
     assert order_statistics.settled(groups, 2) is groups
+def looks(monkeypatch) -> list:
+    """The tables that edges are looked for in from here on."""
+    from seriesloom.operators import features, grid, scans
+
+    seen, real = [], scans.edges_of
+    for module in (scans, features, grid):
+        monkeypatch.setattr(module, "edges_of", lambda df, *a: seen.append(df) or real(df, *a), raising=False)
+    return seen
+
+
+def series(spark):
+    return spark.createDataFrame([(i % 2, i // 3, i, float(i * 7 % 11)) for i in range(60)], "k int, t int, id int, x double")
+
+
+def test_bucket_value_is_worked_out_once(spark):
+    from pyspark.sql import functions as F
+    from seriesloom.operators import scans
+
+    edges = sorted({-3.5, -1.0, 0.0, 0.25, 2.0, 7.0, 9.0, 12.0, 40.0})
+    values = [None, -9.0, -3.5, -3.4, 0.0, 0.1, 0.25, 7.0, 11.9, 12.0, 41.0, float("nan"), float("inf"), float("-inf")]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for n in range(len(edges) + 1):
+        out = df.select("v", scans.bucket_of(F.cbrt("v"), edges[:n]).alias("b"))
+        assert plan(out).count("CBRT") <= 1
+        for r in df.select("v", scans.bucket_of(F.col("v"), edges[:n]).alias("b")).collect():
+            assert r["b"] == (0 if r["v"] is None else sum(e <= r["v"] or r["v"] != r["v"] for e in edges[:n]))
+
+
+def test_volatility_features_look_once(spark, monkeypatch):
+    from seriesloom.operators import features
+
+    seen = looks(monkeypatch)
+    features.volatility_features(series(spark), ["k"], ["t", "id"], "x", 5)
+    assert len(seen) == 1
