@@ -22,9 +22,9 @@ def statistical(long: DataFrame, keys: list[str]) -> DataFrame:
     return one.withColumn("cv", F.coalesce(F.try_divide("std", "mean"), F.lit(0.0)))
 
 
-def trend(df: DataFrame, keys: list[str], order: list[str], value: str, edge: int = 5) -> DataFrame:
+def trend(df: DataFrame, keys: list[str], order: list[str], value: str, edge: int = 5, edges: tuple[int, list] | None = None) -> DataFrame:
     """Least-squares line against the position, and the change between the means of the first and last `edge` rows."""
-    p = numbered(df, keys, order, total="_n")
+    p = numbered(df, keys, order, total="_n", edges=edges)
     head, tail = F.avg(F.when(F.col("pos") < edge, F.col(value))), F.avg(F.when(F.col("pos") >= F.col("_n") - edge, F.col(value)))
     out = p.groupBy(*keys).agg(F.regr_slope(value, "pos").alias("slope"), F.regr_intercept(value, "pos").alias("intercept"), F.corr(value, "pos").alias("corr"), (tail - head).alias("edge_change"), (F.max_by(value, "pos") - F.min_by(value, "pos")).alias("change"))
     return out.withColumn("direction", F.when(F.col("slope") > 0, "up").when(F.col("slope") < 0, "down").otherwise("flat"))
@@ -47,20 +47,21 @@ def seasonality(acf: DataFrame, keys: list[str], least: float = 0.1) -> DataFram
     return acf.select(*keys).distinct().join(best.select(*keys, (-F.col("_m.l")).alias("period"), F.col("_m.acf").alias("strength")), keys, "left")
 
 
-def seasonal_variance(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
+def seasonal_variance(df: DataFrame, keys: list[str], order: list[str], value: str, edges: tuple[int, list] | None = None) -> DataFrame:
     """(keys, variance_ratio): variance of what a trailing mean over up to 4 rows (a quarter of the series, 2 at least) leaves, over the series' variance; 0 where it is undefined."""
-    c = chunked(df, keys, order, before=3)
+    c = chunked(df, keys, order, before=3, edges=edges)
     mean = lambda n: F.when(F.col("_pos") >= n - 1, F.avg(value).over(c.window.rowsBetween(1 - n, 0)))
     trailing = F.when(F.col("_n") >= 16, mean(4)).when(F.col("_n") >= 12, mean(3)).when(F.col("_n") >= 8, mean(2))
     rest = c.own(c.rows.withColumn("_rest", F.col(value) - trailing))
     return rest.groupBy(*keys).agg(F.coalesce(F.try_divide(F.var_pop("_rest"), F.var_pop(value)), F.lit(0.0)).alias("variance_ratio"))
 
 
-def seasonality_features(df: DataFrame, keys: list[str], order: list[str], value: str, lags: int, least: float = 0.1, flag: float = 0.3) -> DataFrame:
+def seasonality_features(df: DataFrame, keys: list[str], order: list[str], value: str, lags: int, least: float = 0.1, flag: float = 0.3, edges: tuple[int, list] | None = None) -> DataFrame:
     """(keys, period, strength, variance_ratio, has_seasonality): the highest autocorrelation peak of lags 1 .. lags (at most half the series), 0 without one."""
+    edges = edges or edges_of(df, order[0])
     sizes = df.groupBy(*keys).agg(F.floor(F.count("*") / 2).alias("_half"))
-    acf = by_keys(autocorrelation(df, keys, order, value, lags), sizes, keys).where(F.col("lag") <= F.col("_half")).drop("_half")
-    out = by_keys(seasonality(acf, keys, least), seasonal_variance(df, keys, order, value), keys)
+    acf = by_keys(autocorrelation(df, keys, order, value, lags, edges), sizes, keys).where(F.col("lag") <= F.col("_half")).drop("_half")
+    out = by_keys(seasonality(acf, keys, least), seasonal_variance(df, keys, order, value, edges), keys)
     out = out.withColumn("period", F.coalesce("period", F.lit(0))).withColumn("strength", F.coalesce("strength", F.lit(0.0)))
     return out.withColumn("has_seasonality", F.when(F.col("strength") > flag, 1.0).otherwise(0.0))
 
@@ -86,9 +87,10 @@ def volatility_features(df: DataFrame, keys: list[str], order: list[str], value:
 
 def all_features(df: DataFrame, keys: list[str], order: list[str], value: str, size: int, lags: int = 100, least: float = 0.1) -> DataFrame:
     """One record per series of its statistics, trend, seasonality and volatility."""
+    edges = edges_of(df, order[0])
     parts = [
-        statistical(df.select(*keys, F.col(value).alias("value")), keys), trend(df, keys, order, value), seasonality_features(df, keys, order, value, lags, least),
-        volatility_features(df, keys, order, value, size).withColumnsRenamed({"std": "change_std", "skew": "change_skew", "kurt": "change_kurt"}),
+        statistical(df.select(*keys, F.col(value).alias("value")), keys), trend(df, keys, order, value, edges=edges), seasonality_features(df, keys, order, value, lags, least, edges=edges),
+        volatility_features(df, keys, order, value, size, edges=edges).withColumnsRenamed({"std": "change_std", "skew": "change_skew", "kurt": "change_kurt"}),
     ]
     out = parts[0]
     for part in parts[1:]:

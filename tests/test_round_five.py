@@ -86,3 +86,11 @@ def test_volatility_features_look_once(spark, monkeypatch):
     seen = looks(monkeypatch)
     features.volatility_features(series(spark), ["k"], ["t", "id"], "x", 5)
     assert len(seen) == 1
+
+
+def test_all_features_look_once(spark, monkeypatch):
+    from seriesloom.operators import features
+
+    seen = looks(monkeypatch)
+    features.all_features(series(spark), ["k"], ["t", "id"], "x", 5, 6)
+    assert len(seen) == 1
