@@ -73,9 +73,14 @@ def fill_both_ways(column: str, keys: list[str], order: list[str], default: obje
 def filled_both_ways(df: DataFrame, keys: list[str], order: list[str], columns: dict[str, Column | str], default: object | None = None, chunk: int = CHUNK) -> DataFrame:
     """Each named column: a value, or the last known one before it, or the first known one behind it, or a default."""
     c = chunked(df, keys, order, chunk=chunk)
+    return c.own(_filled(c, c.rows, columns, default))
+
+
+def _filled(c: Chunks, rows: DataFrame, columns: dict[str, Column | str], default: object | None = None) -> DataFrame:
+    """`filled_both_ways` over rows of chunks, without copies."""
     values = {name: F.col(v) if isinstance(v, str) else v for name, v in columns.items()}
-    rows = c.rows.withColumns({f"_v_{name}": v for name, v in values.items()})
-    past, future = c.window.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*keys, "_chunk").orderBy(F.desc("_pos")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({f"_v_{name}": v for name, v in values.items()})
+    past, future = c.window.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*c.keys, "_chunk").orderBy(F.desc("_pos")).rowsBetween(Window.unboundedPreceding, 0)
     known = lambda name: F.when(F.col(f"_v_{name}").isNotNull(), F.col("_pos"))
     states = {f"_p_{n}": (F.max_by(f"_v_{n}", known(n)), "last") for n in values} | {f"_f_{n}": (F.min_by(f"_v_{n}", known(n)), "next") for n in values}
     out = c.carried(rows, **states)
@@ -83,14 +88,14 @@ def filled_both_ways(df: DataFrame, keys: list[str], order: list[str], columns:
         n: F.coalesce(F.last(f"_v_{n}", ignorenulls=True).over(past), f"_p_{n}", F.last(f"_v_{n}", ignorenulls=True).over(future), f"_f_{n}", *([] if default is None else [F.lit(default)]))
         for n in values
     }
-    return c.own(out.withColumns(filled)).drop(*[f"_v_{n}" for n in values], *states)
+    return out.withColumns(filled).drop(*[f"_v_{n}" for n in values], *states)
 
 
 def many_lags(df: DataFrame, keys: list[str], order: list[str], column: str, lags: list[int], chunk: int = CHUNK) -> DataFrame:
     """One column per lag; gaps at the ends are filled forward, backward, then with 0."""
     c = chunked(df, keys, order, before=max(lags), chunk=chunk)
-    back = c.own(c.rows.withColumns({f"{column}_lag_{k}": F.lag(column, k).over(c.window) for k in lags}))
-    return filled_both_ways(back, keys, order, {f"{column}_lag_{k}": f"{column}_lag_{k}" for k in lags}, 0.0, chunk)
+    back = c.rows.withColumns({f"{column}_lag_{k}": F.lag(column, k).over(c.window) for k in lags}).where("_own")
+    return c.own(_filled(c, back, {f"{column}_lag_{k}": f"{column}_lag_{k}" for k in lags}, 0.0))
 
 
 def _ewm(c: Chunks, rows: DataFrame, value: str, alpha: float) -> DataFrame:

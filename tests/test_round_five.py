@@ -94,3 +94,11 @@ def test_all_features_look_once(spark, monkeypatch):
     seen = looks(monkeypatch)
     features.all_features(series(spark), ["k"], ["t", "id"], "x", 5, 6)
     assert len(seen) == 1
+
+
+def test_many_lags_look_once(spark, monkeypatch):
+    from seriesloom.operators import windows
+
+    seen = looks(monkeypatch)
+    windows.many_lags(series(spark), ["k"], ["t", "id"], "x", [1, 7])
+    assert len(seen) == 1
