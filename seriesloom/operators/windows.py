@@ -174,8 +174,8 @@ def gaussian_smooth(df: DataFrame, keys: list[str], order: list[str], column: st
 
     Missing values are filled from both sides before, and are missing afterwards."""
     reach = int(4 * sigma + 0.5)
-    filled = filled_both_ways(df, keys, order, {"_x": column}, chunk=chunk)
-    placed = positioned(filled, keys, order, "_pos", "_n", chunk)
+    c = chunked(df, keys, order, chunk=chunk)
+    placed = _filled(c, c.rows, {"_x": column}).drop("_chunk", "_own")
     # A row stands at 2nm + pos and, mirrored, at 2nm - 1 - pos for every whole m.
     turns = F.sequence(F.floor(F.lit(-reach) / (2 * F.col("_n"))).cast("int") - 1, F.ceil(F.lit(reach) / (2 * F.col("_n"))).cast("int") + 1)
     at = F.flatten(F.transform(turns, lambda m: F.array(2 * F.col("_n") * m + F.col("_pos"), 2 * F.col("_n") * m - 1 - F.col("_pos"))))
@@ -186,11 +186,11 @@ def gaussian_smooth(df: DataFrame, keys: list[str], order: list[str], column: st
     w = Window.partitionBy(*keys, "_chunk").orderBy("_at")
     gs = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-reach, reach + 1)]
     total = math.fsum(gs)
-    held = F.collect_list("_x").over(w.rowsBetween(-reach, reach))
-    pairs = F.zip_with("_held", F.array(*[F.lit(g / total) for g in gs]), lambda x, g: x * g)
-    smooth = F.when(F.col(column).isNotNull(), F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x))
-    out = spread.withColumn("_held", F.when(F.col("_own") & (F.col("_chunk") == F.col("_home")), held)).where(F.col("_own") & (F.col("_chunk") == F.col("_home")))
-    return out.withColumn(f"{column}_smooth", smooth).drop("_x", "_pos", "_n", "_at", "_own", "_home", "_chunk", "_held")
+    # A row's neighbours in its chunk are those at the places next to it, so the sum is one of lags.
+    near = {f"_x{i}": F.lag("_x", reach - i).over(w) for i in range(2 * reach + 1)}
+    smooth = F.when(F.col(column).isNotNull(), reduce(lambda a, b: a + b, [F.col(x) * (g / total) for x, g in zip(near, gs, strict=True)]))
+    out = spread.withColumns(near).where(F.col("_own") & (F.col("_chunk") == F.col("_home")))
+    return out.withColumn(f"{column}_smooth", smooth).drop("_x", "_pos", "_n", "_at", "_own", "_home", "_chunk", *near)
 
 
 def median_of(values: Column) -> Column:

@@ -102,3 +102,12 @@ def test_many_lags_look_once(spark, monkeypatch):
     seen = looks(monkeypatch)
     windows.many_lags(series(spark), ["k"], ["t", "id"], "x", [1, 7])
     assert len(seen) == 1
+
+
+def test_gaussian_smooth_looks_once(spark, monkeypatch):
+    from seriesloom.operators import windows
+
+    seen = looks(monkeypatch)
+    out = windows.gaussian_smooth(series(spark), ["k"], ["t", "id"], "x", 2.0, 16)
+    assert len(seen) == 1
+    assert "collect_list" not in plan(out)
