@@ -98,12 +98,12 @@ def many_lags(df: DataFrame, keys: list[str], order: list[str], column: str, lag
     return c.own(_filled(c, back, {f"{column}_lag_{k}": f"{column}_lag_{k}" for k in lags}, 0.0))
 
 
-def _ewm(c: Chunks, rows: DataFrame, value: str, alpha: float) -> DataFrame:
-    """`rows` with _mean and _std: exponential mean and deviation with decaying weights of the rows that have a value, sample correction included."""
+def _ewm(c: Chunks, df: DataFrame, value: str, alpha: float) -> DataFrame:
+    """The rows of `c`, which are those of `df`, with _mean and _std: exponential mean and deviation with decaying weights of the rows that have a value, sample correction included."""
     w, x = 1 - alpha, F.col(value).cast("double")
     one, v = F.when(x.isNotNull(), 1.0).otherwise(0.0), F.coalesce(x - F.col("_base"), F.lit(0.0))
-    centre = rows.groupBy(*c.keys).agg(F.avg(value).alias("_base"))
-    rows = by_keys(rows, centre, c.keys)
+    centre = settled(df.groupBy(*c.keys).agg(F.avg(value).alias("_base")))
+    rows = by_keys(c.rows, centre, c.keys)
     sums = affine_scan(c, rows, 46 / -math.log(w) if 0 < w < 1 else None, _k=(F.lit(w), one), _kk=(F.lit(w * w), one), _kx=(F.lit(w), v), _kxx=(F.lit(w), v * v))
     mean, full = F.try_divide(F.col("_kx"), F.col("_k")), F.col("_k") * F.col("_k")
     variance = F.greatest(F.try_divide(F.col("_kxx"), F.col("_k")) - mean * mean, F.lit(0.0))
@@ -122,7 +122,7 @@ def ema(df: DataFrame, keys: list[str], order: list[str], column: str, span: flo
     alpha = 2 / (span + 1)
     c = chunked(df, keys, order, chunk=chunk)
     if adjust:
-        out = _ewm(c, c.rows, column, alpha)
+        out = _ewm(c, df, column, alpha)
         return c.own(out.withColumnRenamed("_mean", f"{column}_ema").withColumnRenamed("_std", f"{column}_ema_std"))
     x = F.col(column).cast("double")
     known = F.when(x.isNotNull(), F.col("_pos"))
@@ -196,7 +196,7 @@ def gaussian_smooth(df: DataFrame, keys: list[str], order: list[str], column: st
 def median_of(values: Column) -> Column:
     """The median of an array without nulls; null of an empty one."""
     middle = lambda s: (F.get(s, F.floor((F.size(s) - 1) / 2).cast("int")) + F.get(s, F.floor(F.size(s) / 2).cast("int"))) / 2
-    return F.get(F.transform(F.array(F.array_sort(values)), middle), F.lit(0))
+    return F.get(F.transform(F.array(F.sort_array(values)), middle), F.lit(0))
 
 
 def volatility(df: DataFrame, keys: list[str], order: list[str], column: str, size: int, baseline: int, chunk: int = CHUNK) -> DataFrame:
@@ -205,13 +205,11 @@ def volatility(df: DataFrame, keys: list[str], order: list[str], column: str, si
     roll_std and roll_mad: sample deviation, and median absolute deviation from the median, of the last `size` values; ewm_std:
     exponential deviation of span `size`. Each score is (x - base) / base; a score that is undefined, or has a
     base of 0, is left out of the mean. A window or baseline with fewer rows, or a missing value, is undefined."""
-    c = chunked(df, keys, order, before=size + baseline - 2, chunk=chunk)
+    plain = chunked(df, keys, order, chunk=chunk)
+    c = dealt_again(plain, _ewm(plain, df, column, 2 / (size + 1)).drop("_mean").withColumnRenamed("_std", "ewm_std"), before=size + baseline - 2)
     near, far = c.window.rowsBetween(1 - size, 0), c.window.rowsBetween(1 - baseline, 0)
     full = F.count(column).over(near) == size
-    plain = chunked(df, keys, order, chunk=chunk)
-    decayed = _ewm(plain, plain.rows, column, 2 / (size + 1)).select(*keys, "_pos", F.col("_std").alias("ewm_std"))
-    rows = by_keys(c.rows, decayed, [*keys, "_pos"])
-    rows = rows.withColumn("roll_std", F.when(full, F.stddev_samp(column).over(near))).withColumn("_held", F.when(full, F.collect_list(column).over(near)))
+    rows = c.rows.withColumn("roll_std", F.when(full, F.stddev_samp(column).over(near))).withColumn("_held", F.when(full, F.collect_list(column).over(near)))
     rows = rows.withColumn("_med", median_of(F.col("_held"))).withColumn("roll_mad", median_of(F.transform("_held", lambda x: F.abs(x - F.col("_med"))))).drop("_held", "_med")
     names = ["roll_std", "roll_mad", "ewm_std"]
     rows = rows.withColumns({f"_base_{n}": F.when(F.count(n).over(far) == baseline, F.avg(n).over(far)) for n in names})

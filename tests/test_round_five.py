@@ -111,3 +111,11 @@ def test_gaussian_smooth_looks_once(spark, monkeypatch):
     out = windows.gaussian_smooth(series(spark), ["k"], ["t", "id"], "x", 2.0, 16)
     assert len(seen) == 1
     assert "collect_list" not in plan(out)
+
+
+def test_volatility_looks_once(spark, monkeypatch):
+    from seriesloom.operators import windows
+
+    seen = looks(monkeypatch)
+    windows.volatility(series(spark), ["k"], ["t", "id"], "x", 4, 8)
+    assert len(seen) == 1
