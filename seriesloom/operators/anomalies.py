@@ -26,9 +26,9 @@ def usable(df: DataFrame, kpis: list[str], keys: list[str], ts: str, least: int)
     return long.join(good.select("kpi", *keys), ["kpi", *keys], "left_semi")
 
 
-def scattered(long: DataFrame, keys: list[str], ts: str, size: int, baseline: int, threshold: float) -> DataFrame:
-    """Rows whose deviations have grown: a volatility score above a threshold."""
-    return volatility(long, keys, [ts], "value", size, baseline).where(F.col("score") > threshold)
+def scattered(long: DataFrame, keys: list[str], ts: str, size: int, baseline: int, threshold: float, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Rows whose deviations have grown: a volatility score above a threshold; rows of the same time are in the order of `ties`."""
+    return volatility(long, keys, [ts, *ties], "value", size, baseline).where(F.col("score") > threshold)
 
 
 def out_of_pattern(long: DataFrame, keys: list[str], ts: str, period: int, threshold: float, hours: bool = True) -> DataFrame:

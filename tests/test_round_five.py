@@ -119,3 +119,8 @@ def test_volatility_looks_once(spark, monkeypatch):
     seen = looks(monkeypatch)
     windows.volatility(series(spark), ["k"], ["t", "id"], "x", 4, 8)
     assert len(seen) == 1
+
+
+def test_scattered_orders_ties_as_the_sql_does(agree):  # noqa: F811
+    r = random.Random(2)
+    agree("ano3_scattered", [(i, at(i // 4), 1, "view", round(r.uniform(0, 9) * (40 if i > 150 else 1), 2)) for i in reversed(range(200))])
