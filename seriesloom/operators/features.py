@@ -133,9 +133,9 @@ def reconstructed(df: DataFrame, components: DataFrame, keys: list[str], order:
 COMMON_PERIODS = [7, 12, 24, 30, 52, 365]
 
 
-def spectrum(df: DataFrame, keys: list[str], order: list[str], value: str, most: int | None = None) -> DataFrame:
+def spectrum(df: DataFrame, keys: list[str], order: list[str], value: str, most: int | None = None, edges: tuple[int, list] | None = None) -> DataFrame:
     """(keys, k, n, power) of the frequencies k / n below one half, or of the first `most` of them: a series of n rows makes n times as many rows, whose sums combine before the shuffle."""
-    p = numbered(df, keys, order, total="n")
+    p = numbered(df, keys, order, total="n", edges=edges)
     last = F.floor((F.col("n") - 1) / 2) if most is None else F.least(F.lit(most), F.floor((F.col("n") - 1) / 2))
     each = p.where(F.col("n") > 2).withColumn("k", F.explode(F.sequence(F.lit(1), last.cast("int"))))
     angle = F.pmod(F.col("k").cast("long") * F.col("pos"), F.col("n")) * (2 * math.pi) / F.col("n")
@@ -143,17 +143,18 @@ def spectrum(df: DataFrame, keys: list[str], order: list[str], value: str, most:
     return sums.select(*keys, "k", "n", (F.col("_re") * F.col("_re") + F.col("_im") * F.col("_im")).alias("power"))
 
 
-def dominant_periods(df: DataFrame, keys: list[str], order: list[str], value: str, low: int, high: int, n: int = 3, least: float = 0.1, most: int | None = None) -> DataFrame:
+def dominant_periods(df: DataFrame, keys: list[str], order: list[str], value: str, low: int, high: int, n: int = 3, least: float = 0.1, most: int | None = None, edges: tuple[int, list] | None = None) -> DataFrame:
     """(keys, period, periods): the period of the strongest frequency, and up to `n` by power.
 
     A frequency counts if its power is above the mean by two deviations, its period (to the nearest whole number, halves to even) is
     between `low` and `high` and at most half the series, and the series correlates with itself by more than `least` at that lag. A series whose strongest frequency does not count
     takes the first common period in bounds, or `low`."""
+    edges = edges or edges_of(df, order[0])
     w = Window.partitionBy(*keys)
-    strong = spectrum(df, keys, order, value, most).withColumn("_t", F.avg("power").over(w) + 2 * F.stddev_pop("power").over(w)).where("power > _t")
+    strong = spectrum(df, keys, order, value, most, edges).withColumn("_t", F.avg("power").over(w) + 2 * F.stddev_pop("power").over(w)).where("power > _t")
     strong = strong.withColumn("_r", F.row_number().over(w.orderBy(F.desc("power"), "k"))).withColumn("lag", F.bround(F.col("n") / F.col("k")).cast("int"))
     asked = strong.where(F.col("lag").between(low, high) & (F.col("lag") * 2 <= F.col("n")) & (F.col("_r") <= 2 * n))
-    rows = numbered(df, keys, order).select(*keys, "pos", F.col(value).alias("_x"))
+    rows = numbered(df, keys, order, edges=edges).select(*keys, "pos", F.col(value).alias("_x"))
     ahead = by_keys(rows, asked.select(*keys, "lag").distinct(), keys).withColumn("_q", F.col("pos") + F.col("lag")).drop("pos")
     met = by_keys(ahead, rows.select(*keys, F.col("pos").alias("_q"), F.col("_x").alias("_y")), [*keys, "_q"]).groupBy(*keys, "lag").agg(F.corr("_x", "_y").alias("_acf"))
     good = by_keys(asked, met, [*keys, "lag"]).where(F.col("_acf") > least).groupBy(*keys, "lag").agg(F.min("_r").alias("_r"))

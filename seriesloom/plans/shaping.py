@@ -10,6 +10,7 @@ from ..functions import rounded
 from ..operators import edits as E
 from ..operators import features as T
 from ..operators import scaling as S
+from ..operators.scans import edges_of
 from .aggregating import L4, LONG, lines
 from .base import query, table
 from .windowing import ORDER, POS, WIN, event_windows
@@ -291,9 +292,10 @@ c as (select a.user_id, a.lag, a.r from a join p x on x.user_id = a.user_id join
 f as (select user_id, list(lag order by r)[:3] as periods, min(r) as first from c group by 1), z as (select user_id, any_value(n) as n from p group by 1)
 select z.user_id, cast(case when first = 1 then periods[1] when n // 2 >= 7 then 7 else 3 end as integer) as period, list_transform(coalesce(periods, []), lambda x: cast(x as integer)) as periods from z left join f using (user_id)""")
 def fea10(spark, sf):
-    placed = T.numbered(events(spark, sf), ["user_id"], ORDER)
+    edges = edges_of(events(spark, sf), ORDER[0])
+    placed = T.numbered(events(spark, sf), ["user_id"], ORDER, edges=edges)
     wave = placed.withColumn("v", F.col("value") + 60 * F.cos(F.col("pos") * (2 * math.pi) / 8)).drop("pos")
-    return T.dominant_periods(wave, ["user_id"], ORDER, "v", 3, 30)
+    return T.dominant_periods(wave, ["user_id"], ORDER, "v", 3, 30, edges=edges)
 
 
 _DEC = f"{POS}, t as (select *, avg(value) over (partition by event_type order by pos rows between 12 preceding and 12 following) as trend from p), m as (select event_type, pos % 24 as ph, avg(value - trend) as raw from t group by all), s as (select event_type, ph, raw - avg(raw) over (partition by event_type) as seasonal from m), parts as (select t.*, seasonal, value - trend - seasonal as rest from t join s on s.event_type = t.event_type and s.ph = pos % 24)"

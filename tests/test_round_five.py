@@ -124,3 +124,11 @@ def test_volatility_looks_once(spark, monkeypatch):
 def test_scattered_orders_ties_as_the_sql_does(agree):  # noqa: F811
     r = random.Random(2)
     agree("ano3_scattered", [(i, at(i // 4), 1, "view", round(r.uniform(0, 9) * (40 if i > 150 else 1), 2)) for i in reversed(range(200))])
+
+
+def test_dominant_periods_look_once(spark, monkeypatch):
+    from seriesloom.operators import features
+
+    seen = looks(monkeypatch)
+    features.dominant_periods(series(spark), ["k"], ["t", "id"], "x", 2, 9)
+    assert len(seen) == 1
