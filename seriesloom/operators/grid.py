@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .order_statistics import by_keys
-from .scans import positioned
+from .scans import edges_of, positioned
 from .windows import interpolate
 
 LEVELS = ["hour", "day", "week", "month", "quarter", "year"]
@@ -114,9 +114,10 @@ def resample_filled(df: DataFrame, keys: list[str], ts: str, seconds: int, numbe
     slots = resample(df, keys, ts, seconds, numbers | texts)
     ends = slots.groupBy(*keys).agg(F.min("slot").alias("_lo"), F.max("slot").alias("_hi"))
     every = ends.select(*keys, F.explode(F.sequence("_lo", "_hi", F.expr(f"interval {seconds} seconds"))).alias("slot"))
+    edges = edges_of(every, "slot") if numbers else None  # of the bare slots: the table beside them is not worked out for it
     out = by_keys(every, slots, [*keys, "slot"], "left")
     for name in numbers:
-        out = interpolate(out.withColumn(name, F.col(name).cast("double")), keys, ["slot"], name).drop(name).withColumnRenamed(f"{name}_filled", name)
+        out = interpolate(out.withColumn(name, F.col(name).cast("double")), keys, ["slot"], name, edges=edges).drop(name).withColumnRenamed(f"{name}_filled", name)
     return out
 
 

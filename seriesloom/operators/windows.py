@@ -277,9 +277,9 @@ def relative_changes(df: DataFrame, keys: list[str], order: list[str], column: s
     return c.own(c.rows.withColumn("change", F.col(column) - before).withColumn("relative", F.try_divide(F.col(column) - before, before)))
 
 
-def interpolate(df: DataFrame, keys: list[str], order: list[str], column: str, chunk: int = CHUNK) -> DataFrame:
-    """Linear interpolation by position; edges take the nearest value; a series of nulls becomes 0."""
-    c = chunked(df, keys, order, chunk=chunk)
+def interpolate(df: DataFrame, keys: list[str], order: list[str], column: str, chunk: int = CHUNK, edges: tuple[int, list] | None = None) -> DataFrame:
+    """Linear interpolation by position; edges take the nearest value; a series of nulls becomes 0. `edges` as in `scans.positioned`."""
+    c = chunked(df, keys, order, chunk=chunk, edges=edges)
     known = F.when(F.col(column).isNotNull(), F.struct(F.col("_pos").alias("p"), F.col(column).alias("v")))
     rows = c.carried(c.rows.withColumn("_k", known), _past=(F.max("_k"), "last"), _next=(F.min("_k"), "next"))
     past, back = c.window.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*keys, "_chunk").orderBy(F.desc("_pos")).rowsBetween(Window.unboundedPreceding, 0)

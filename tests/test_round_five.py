@@ -52,6 +52,8 @@ def test_quantiles_in_one_pass_over_brackets(spark, monkeypatch):
     assert "BroadcastHashJoin" in plan(out)
     groups = df.groupBy("k").count()
     assert order_statistics.settled(groups, 2) is groups
+
+
 def looks(monkeypatch) -> list:
     """The tables that edges are looked for in from here on."""
     from seriesloom.operators import features, grid, scans
@@ -132,3 +134,12 @@ def test_dominant_periods_look_once(spark, monkeypatch):
     seen = looks(monkeypatch)
     features.dominant_periods(series(spark), ["k"], ["t", "id"], "x", 2, 9)
     assert len(seen) == 1
+
+
+def test_resample_filled_looks_at_bare_slots(spark, monkeypatch):
+    from seriesloom.operators import grid
+
+    seen = looks(monkeypatch)
+    df = spark.createDataFrame([(1, at(0), 2.0), (1, at(5), 4.0)], "k int, ts timestamp_ntz, x double")
+    assert sorted(r["m"] for r in grid.resample_filled(df, ["k"], "ts", 3600, {"m": ("x", "mean")}, {}).collect()) == [2.0, 2.4, 2.8, 3.2, 3.6, 4.0]
+    assert [d.columns for d in seen] == [["k", "slot"]]
