@@ -143,3 +143,40 @@ def test_resample_filled_looks_at_bare_slots(spark, monkeypatch):
     df = spark.createDataFrame([(1, at(0), 2.0), (1, at(5), 4.0)], "k int, ts timestamp_ntz, x double")
     assert sorted(r["m"] for r in grid.resample_filled(df, ["k"], "ts", 3600, {"m": ("x", "mean")}, {}).collect()) == [2.0, 2.4, 2.8, 3.2, 3.6, 4.0]
     assert [d.columns for d in seen] == [["k", "slot"]]
+
+
+def test_long_texts_are_held_once_a_task(spark, tmp_path):
+    """Written out, the result holds a text once a task, not once a row; hot keys are sliced, rows without a text or a key drop out."""
+    from pyspark.sql import functions as F
+
+    from seriesloom.operators import joins
+
+    rows = spark.range(6000).select("id", F.when(F.col("id") % 101 > 0, F.col("id") % 60).alias("k"))
+    texts = spark.range(50).select(F.col("id").alias("k"), F.concat_ws("", F.transform(F.sequence(F.lit(0), F.lit(600)), lambda i: F.sha2(F.concat_ws(":", "id", i), 256))).alias("text"), F.when(F.col("id") == 3, 4).otherwise(1).alias("slices"))
+    out = joins.join_texts(rows, texts, "k", "text")
+    assert sorted(out.collect()) == sorted(rows.join(texts, "k").select(*out.columns).collect())
+    out.write.parquet(str(tmp_path / "out"))
+    written = sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet"))
+    assert written < 2 * 53 * 601 * 64  # 50 texts, one of them in four slices; a text a row would be 180 MB
+
+
+def test_interval_facts_hold_a_text_once(spark, tmp_path):
+    """Dates in turn, so that rows of a date do not stand together in the table, against the SQL and by the size of what is written."""
+    import duckdb
+    from datetime import datetime, timedelta
+
+    import __spark_entry__
+
+    day = lambda i: datetime(2000, 1, 1) + timedelta(i)
+    n = 60_000
+    spark.createDataFrame([(i, day(i % 9), f"{i * 7919 % 99991}-FACT") for i in range(n)], "o_orderkey long, o_orderdate timestamp_ntz, o_orderpriority string").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame([(i, 1, day(i % 30)) for i in range(600)], "l_orderkey long, l_linenumber int, l_shipdate timestamp_ntz").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    con = duckdb.connect()
+    for name in ("orders", "lineitem"):
+        con.sql(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    wanted = con.sql(__spark_entry__.oracle_sql()["jon8_interval_facts"]).fetchall()
+    out = __spark_entry__.queries()["jon8_interval_facts"](spark, str(tmp_path))
+    assert sorted(map(tuple, out.collect())) == sorted(wanted)
+    out.write.parquet(str(tmp_path / "out"))
+    texts = sum(len(t.encode()) for t in {r[2] for r in wanted})
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 2 * texts
