@@ -3,19 +3,19 @@
 Texts are lower-cased (A-Z), cut into pieces and words, and dealt into shards of one language.
 A shard stores its distinct words, counted, and its word sequence. Words that are
 common enough over all shards get global numbers; the others break phrases, since
-no phrase is more common than its words. Each shard then gets a bidirectional FM-index:
+no phrase is more common than its words. Small shards of a language are then put together up to the size of a full one,
+since what is shipped follows the different phrases of a shard, and each gets a bidirectional FM-index:
 the Burrows-Wheeler transforms of its sequence and of the reversed one, with contexts sorted as deep
 as phrases are long. A phrase is a pair of intervals, one in each
 transform; extending it by a word on the right is a rank query in the reversed
 transform and a sum of smaller followers in the forward one.
 
 Phrases grow by one word a round: shards extend the phrases that are common over
-all of them, and their counts are summed across shards. The first round, in which nearly every pair of common
-words is rare, ships sorted and compressed lists of pairs instead of rows; a shard finds the intervals
+all of them, and their counts are summed across shards. All rounds ship sorted and compressed lists, dealt by a hash of
+the phrase, instead of rows, since most of what a shard finds is rare; in the first a shard finds the intervals
 of the pairs that are left by one rank query in either transform. The index is stored in buckets of
-shards, so that later rounds move only phrases. A phrase whose whole forward
-interval is preceded by one word, or whose reversed one is followed by one, in every shard,
-is part of a longer phrase that is just as common.
+shards, so that later rounds move only phrases. A phrase that is as common as one of its extensions by
+a word is part of a longer phrase that is just as common; that extension is common, so it is among those found.
 
 Defined results: a null language counts as `und`, a null text as empty. Ties go to the
 higher count, then to the phrase that comes first in byte order. Repeated rows count as often as they
@@ -177,12 +177,6 @@ def extended(reverse: np.ndarray, base: int, lo: np.ndarray, lo_r: np.ndarray, s
     return owner, symbol, lo[owner] + (before - first)[real], Ranks(reverse).step(symbol, lo_r[owner]), count
 
 
-def sole(transform: np.ndarray, lo: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The symbol that fills each interval, or 0 where there are several."""
-    changes = np.concatenate([[0], np.cumsum(transform[1:] != transform[:-1])])
-    return np.where(changes[lo + size - 1] == changes[lo], transform[lo], 0)
-
-
 def packed(values: np.ndarray) -> bytes:
     return pa.compress(np.ascontiguousarray(values).tobytes(), "zstd", asbytes=True)
 
@@ -194,22 +188,36 @@ def unpacked(code: bytes, n: int, kind: type) -> np.ndarray:
 INDEX = "shard long, n int, n_words int, numbers binary, forward binary, reverse binary"
 
 
+def together(sharded: DataFrame, most: int) -> DataFrame:
+    """Columns shard and piece: shards of a language (pieces) in a row, put together until they have `most` words. A row per piece."""
+    before = F.sum("n").over(Window.partitionBy("lang").orderBy("shard")) - F.col("n")
+    steps = sharded.select("lang", F.col("shard").alias("piece"), F.floor(before / most).alias("step"))
+    return steps.select(F.min("piece").over(Window.partitionBy("lang", "step")).alias("shard"), "piece")
+
+
 def index(sharded: DataFrame, numbered: DataFrame, depth: int) -> DataFrame:
-    """One row per shard with two common words in a row: its words' global numbers and both transforms. `numbered` has shard, local, number."""
+    """One row per shard with two common words in a row: its words' global numbers and both transforms.
+
+    `sharded` has shard, piece, codes, n_codes, `numbered` has shard, piece, local, number."""
 
     def build(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         schema = pa.schema([("shard", pa.int64()), ("n", pa.int32()), ("n_words", pa.int32()), ("numbers", pa.binary()), ("forward", pa.binary()), ("reverse", pa.binary())])
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
-        local, number = right.column("local").to_numpy(), right.column("number").to_numpy()
-        order = np.argsort(number)
-        local, number = local[order], number[order]
+        piece, local = right.column("piece").to_numpy(), right.column("local").to_numpy()
+        number, named = np.unique(right.column("number").to_numpy(), return_inverse=True)
         if number[-1] >> 31:
             raise ValueError("numbers of words pass 31 bits")
-        codes = unpacked(left.column("codes")[0].as_py(), left.column("n_codes")[0].as_py(), np.int32)
-        symbol = np.zeros(max(int(codes.max()), int(local.max()) + 1) + 1, np.int32)
-        symbol[local + 1] = np.arange(1, len(local) + 1)
-        text = np.append(symbol[codes], np.int32(0))
+        order = np.argsort(piece, kind="stable")
+        piece, local, named = piece[order], local[order], named[order]
+        texts = []
+        for r in left.to_batches(max_chunksize=1):
+            mine = slice(*np.searchsorted(piece, [r.column("piece")[0].as_py(), r.column("piece")[0].as_py() + 1]))
+            codes = unpacked(r.column("codes")[0].as_py(), r.column("n_codes")[0].as_py(), np.int32)
+            symbol = np.zeros(max(int(codes.max()), int(local[mine].max(initial=0)) + 1) + 1, np.int32)
+            symbol[local[mine] + 1] = named[mine] + 1
+            texts += [symbol[codes], np.zeros(1, np.int32)]
+        text = np.concatenate(texts)
         inside = text > 0
         pair = np.zeros(len(text), bool)  # words beside another common word of their piece
         pair[1:] |= inside[1:] & inside[:-1]
@@ -222,8 +230,7 @@ def index(sharded: DataFrame, numbered: DataFrame, depth: int) -> DataFrame:
         give_back()
         return pa.table([[key[0].as_py()], [len(forward)], [len(number)], [packed(number.astype(np.int64))], [packed(forward)], [packed(reverse)]], schema=schema)
 
-    grouped = sharded.select("shard", "codes", "n_codes").groupBy("shard").cogroup(numbered.groupBy("shard"))
-    return grouped.applyInArrow(build, INDEX)
+    return sharded.groupBy("shard").cogroup(numbered.groupBy("shard")).applyInArrow(build, INDEX)
 
 
 PAIRS = "bucket int, shard long, n int, keys binary, counts binary"
@@ -275,13 +282,14 @@ def common_pairs(pairs: DataFrame, buckets: int, least: int) -> DataFrame:
     return pairs.groupBy("bucket").applyInArrow(rows, FOUND)
 
 
-GROWN = "shard long, parent long, number long, suffix long, lo int, lo_r int, size int, left_word long, right_word long"
-GROWN_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-GROWN_NAMES = [part.split(" ")[0] for part in GROWN.split(", ")]
+LISTS = "bucket int, shard long, n int, parent binary, number binary, suffix binary, lo binary, lo_r binary, size binary"
+PARTS = {"parent": np.int64, "number": np.int32, "suffix": np.int64, "lo": np.int32, "lo_r": np.int32, "size": np.int32}
+LISTS_SCHEMA = pa.schema([("bucket", pa.int32()), ("shard", pa.int64()), ("n", pa.int32()), *[(c, pa.binary()) for c in PARTS]])
+COMMON = "shard long, phrase long, parent long, number long, suffix long, lo int, lo_r int, size int, a long"
 
 
-def grown(shard: int, n: int, n_words: int, codes: tuple[bytes, bytes, bytes], phrases: dict[str, np.ndarray]) -> pa.Table:
-    """Extensions of a shard's phrases, and what fills their intervals (rows without a number).
+def grown(n: int, n_words: int, codes: tuple[bytes, bytes, bytes], phrases: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Extensions of a shard's phrases.
 
     An extension counts only if what it is without its first word is common, too: that is one of the shard's phrases again, its `suffix`."""
     numbers, forward, reverse = unpacked(codes[0], n_words, np.int64), unpacked(codes[1], n, np.int32), unpacked(codes[2], n, np.int32)
@@ -293,9 +301,6 @@ def grown(shard: int, n: int, n_words: int, codes: tuple[bytes, bytes, bytes], p
         ends, step = np.cumsum(np.bincount(reverse, minlength=n_words + 1)), Ranks(reverse).step
         lo, lo_r = Ranks(forward).step(a, ends[b - 1]), step(b, ends[a - 1])
         size = step(b, ends[a]) - lo_r
-    named = np.concatenate([[0], numbers])
-    none = np.zeros(len(ids), np.int64)
-    rows = [(ids, None, None, none, none, size, named[sole(forward, lo, size)], named[sole(reverse, lo_r, size)])]
     order = np.argsort(lo_r)
     owner, symbol, lo, lo_r, size = extended(reverse, n_words + 1, lo[order], lo_r[order], size[order])
     owner = order[owner]
@@ -307,30 +312,57 @@ def grown(shard: int, n: int, n_words: int, codes: tuple[bytes, bytes, bytes], p
     place = np.minimum(np.searchsorted(known[by_key], wanted), len(known) - 1)
     here = np.flatnonzero((known[by_key][place] == wanted) & (parent_of[np.minimum(rank, len(parent_of) - 1)] == suffixes[owner]))
     owner, symbol, place = owner[here], symbol[here], place[here]
-    rows.append((ids[owner], numbers[symbol - 1], ids[by_key[place]], lo[here], lo_r[here], size[here], None, None))
     give_back()
-    return pa.concat_tables(
-        pa.table([pa.array(np.full(len(r[0]), shard)), *[pa.nulls(len(r[0]), k) if v is None else pa.array(v, k) for v, k in zip(r, GROWN_KINDS[1:])]], names=GROWN_NAMES) for r in rows
-    )
+    return {"parent": ids[owner], "number": numbers[symbol - 1], "suffix": ids[by_key[place]], "lo": lo[here], "lo_r": lo_r[here], "size": size[here]}
+
+
+def lists(shard: int, found: dict[str, np.ndarray], buckets: int) -> pa.Table:
+    """A shard's extensions, dealt by a hash of the phrase: a row per bucket, parents in order as differences."""
+    bucket = (mix(mix(found["parent"].astype(np.uint64)) ^ found["number"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((found["number"], found["parent"], bucket))
+    ends = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
+    part = {c: found[c][order].astype(kind) for c, kind in PARTS.items()}
+    out = []
+    for b, (lo, hi) in enumerate(zip(ends[:-1], ends[1:])):
+        if hi > lo:
+            out.append({"bucket": b, "shard": shard, "n": hi - lo} | {c: packed(np.diff(v[lo:hi], prepend=0) if c == "parent" else v[lo:hi]) for c, v in part.items()})
+    return pa.Table.from_pylist(out, LISTS_SCHEMA)
 
 
-def next_round(indexed: DataFrame, phrases: DataFrame) -> DataFrame:
-    """Extensions of `phrases` (shard, phrase, parent, number, suffix and, but for pairs, their intervals), and what stands beside them."""
+def next_round(indexed: DataFrame, phrases: DataFrame, buckets: int) -> DataFrame:
+    """Extensions of `phrases` (shard, phrase, parent, number, suffix and, but for pairs, their intervals)."""
 
     def rows(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
-            return pa.table([pa.array([], kind) for kind in GROWN_KINDS], names=GROWN_NAMES)
+            return LISTS_SCHEMA.empty_table()
         r = left.to_pylist()[0]
-        return grown(r["shard"], r["n"], r["n_words"], (r["numbers"], r["forward"], r["reverse"]), {c: right.column(c).to_numpy() for c in right.column_names[1:]})
+        found = grown(r["n"], r["n_words"], (r["numbers"], r["forward"], r["reverse"]), {c: right.column(c).to_numpy() for c in right.column_names[1:]})
+        return lists(r["shard"], found, buckets)
 
-    return indexed.groupBy("shard").cogroup(phrases.groupBy("shard")).applyInArrow(rows, GROWN)
+    return indexed.groupBy("shard").cogroup(phrases.groupBy("shard")).applyInArrow(rows, LISTS)
 
 
-def common(grown_rows: DataFrame, least: int) -> DataFrame:
+def common(extensions: DataFrame, buckets: int, least: int) -> DataFrame:
     """Extensions that are common over all shards, each shard's row with a number of the phrase and the sum `a`."""
-    w = Window.partitionBy("parent", "number")
-    rows = grown_rows.where("number is not null").select("shard", "parent", "number", "suffix", "lo", "lo_r", "size", F.monotonically_increasing_id().alias("_row"))
-    return rows.withColumn("a", F.sum("size").over(w)).where(F.col("a") >= least).withColumn("phrase", F.min("_row").over(w)).drop("_row")
+
+    def rows(group: pa.Table) -> pa.Table:
+        n = group.column("n").to_numpy()
+        part = {}
+        for c, kind in PARTS.items():
+            pieces = [unpacked(v, m, kind) for v, m in zip(group.column(c).to_pylist(), n.tolist())]
+            part[c] = np.concatenate([np.cumsum(v) for v in pieces] if c == "parent" else pieces)
+        key = np.unique(part["parent"], return_inverse=True)[1].astype(np.int64) << 31 | part["number"]
+        place = np.unique(key, return_inverse=True)[1]
+        total = np.bincount(place, weights=part["size"]).astype(np.int64)
+        enough = total >= least
+        here = np.flatnonzero(enough[place])
+        place = place[here]
+        number = (np.cumsum(enough) - 1)[place] * buckets + group.column("bucket")[0].as_py()
+        give_back()
+        values = {"shard": np.repeat(group.column("shard").to_numpy(), n)[here], "phrase": number} | {c: v[here] for c, v in part.items()}
+        return pa.table(values | {"number": values["number"].astype(np.int64), "a": total[place]})
+
+    return extensions.groupBy("bucket").applyInArrow(rows, COMMON)
 
 
 def phrases(df: DataFrame, longest: int = LONGEST, least: int = LEAST, text_col: str = "text", lang_col: str = "lang", shard: int = SHARD) -> DataFrame:
@@ -348,58 +380,53 @@ def phrases(df: DataFrame, longest: int = LONGEST, least: int = LEAST, text_col:
     place = F.dense_rank().over(Window.partitionBy("part").orderBy("lang", "word"))
     placed = store(words.select("shard", "local", "lang", "word", "a", ((place - 1) * parts + F.col("part") + 1).cast("long").alias("phrase_id")), "op11-placed")
     vocabulary = store(placed.groupBy("phrase_id").agg(F.first("lang").alias("lang"), F.first("word").alias("word"), F.first("a").alias("a")), "op11-words")
+    pieces = store(together(sharded, shard), "op11-pieces")  # a row per shard
+    n = pieces.select("shard").distinct().count()
     shares = min(max(1, n), 20_000)
-    numbers = placed.select("shard", "local", F.col("phrase_id").alias("number")).repartition(shares, "shard")
-    indexed, table = in_buckets(index(sharded.select("shard", "codes", "n_codes").repartition(shares, "shard"), numbers, longest), "shard", shares, "op11-index")
+    dealt = lambda rows, *c: rows.withColumnRenamed("shard", "piece").join(F.broadcast(pieces), "piece").select(F.col("shard").alias("shard"), "piece", *c).repartition(shares, "shard")
+    numbers, texts = dealt(placed, "local", F.col("phrase_id").alias("number")), dealt(sharded, "codes", "n_codes")
+    indexed, table = in_buckets(index(texts, numbers, longest), "shard", shares, "op11-index")
     sizes = store(sharded.groupBy("lang").agg(F.sum("n").alias("n")), "op11-sizes")
-    discard(placed, sharded)
+    discard(placed, sharded, pieces)
     none = F.array().cast("array<long>")
     spelled = F.col("word").cast("string")
-    level = vocabulary.select("phrase_id", "lang", "a", spelled.alias("phrase"), spelled.alias("head"), none.alias("before"), none.alias("after"))
-    levels, sides, live = [], [], None
-    buckets = max(16, n // 4)  # a group holds the pairs of about four shards
+    level = vocabulary.select("phrase_id", "lang", "a", spelled.alias("phrase"), spelled.alias("head"), spelled.alias("last"), none.alias("before"), none.alias("after"))
+    levels, live = [], None
+    buckets = max(16, n // 2)  # a group holds the lists of about two shards
     for depth in range(2, longest + 1):
         if depth == 2:
-            rows, found = None, store(common_pairs(first_round(indexed, buckets), buckets, least).withColumn("suffix", F.col("number")), "op11-common")
+            found = common_pairs(first_round(indexed, buckets), buckets, least).withColumn("suffix", F.col("number"))
         else:
-            rows = store(next_round(indexed, live), "op11-grown")
-            sides.append(_beside(rows))
-            found = store(common(rows, least), "op11-common")
+            found = common(next_round(indexed, live.drop("a"), buckets), buckets, least)
+        found = store(found, "op11-common")
         discard(live)
-        ends = level.select(F.col("phrase_id").alias("suffix"), F.col("phrase").alias("tail_phrase"), F.col("a").alias("tail_a"), F.col("after").alias("tail_after"))
+        live = found
+        ends = level.select(F.col("phrase_id").alias("suffix"), F.col("phrase").alias("tail_phrase"), "last", F.col("a").alias("tail_a"), F.col("after").alias("tail_after"))
         heads = level.select(F.col("phrase_id").alias("parent"), "lang", "head", "before", F.col("a").alias("head_a"))
         named = found.groupBy(F.col("phrase").alias("phrase_id")).agg(*[F.first(c).alias(c) for c in ("parent", "suffix", "a")]).join(heads, "parent").join(ends, "suffix")
         level = store(
             named.select(
-                "phrase_id", "lang", "a", F.concat_ws(" ", "head", "tail_phrase").alias("phrase"), "head",
+                "phrase_id", "parent", "suffix", "lang", "a", F.concat_ws(" ", "head", "tail_phrase").alias("phrase"), "head", "last",
                 F.concat("before", F.array("head_a")).alias("before"), F.concat(F.array("tail_a"), "tail_after").alias("after"),
             ),
             "op11-phrases",
         )
-        levels.append(level.select("phrase_id", F.lit(depth).alias("depth"), "lang", "phrase", "a", "before", "after"))
-        live = store(found.drop("a"), "op11-live") if depth < longest else None
-        discard(found)
-    discard(indexed)
+        levels.append(level)
+    discard(indexed, live)
     df.sparkSession.sql(f"drop table {table}")
     out = None
     for depth, part in enumerate(levels, 2):
-        word = vocabulary.select(F.col("phrase_id").alias("side_id"), F.col("word").cast("string").alias("side"))
-        if depth - 2 < len(sides):
-            part = part.join(sides[depth - 2], "phrase_id", "left")
-            for side in ("left_word", "right_word"):
-                part = part.join(word.withColumnRenamed("side", side + "_text"), F.col(side) == F.col("side_id"), "left").drop("side_id", side).withColumnRenamed(side + "_text", side)
+        part = part.select("phrase_id", F.lit(depth).alias("depth"), "lang", "phrase", "a", "before", "after")
+        if depth < longest:  # of a phrase's extensions on a side at most one is as common as the phrase
+            longer = levels[depth - 1]
+            part = part.join(longer.where(F.col("a") == F.col("after")[0]).select(F.col("suffix").alias("phrase_id"), F.col("head").alias("left_word")), "phrase_id", "left")
+            part = part.join(longer.where(F.col("a") == F.element_at("before", -1)).select(F.col("parent").alias("phrase_id"), F.col("last").alias("right_word")), "phrase_id", "left")
         else:
             part = part.withColumn("left_word", F.lit(None).cast("string")).withColumn("right_word", F.lit(None).cast("string"))
         out = part if out is None else out.unionByName(part)
     return out.join(sizes, "lang").select("lang", "phrase", "depth", "a", "n", "before", "after", "left_word", "right_word")
 
 
-def _beside(rows: DataFrame) -> DataFrame:
-    """phrase_id with the one word that stands before, or after, all of its occurrences in all shards; null where there is none."""
-    one = lambda c: F.when((F.min(c) == F.max(c)) & (F.min(c) > 0), F.min(c)).alias(c)
-    return rows.where("number is null").groupBy(F.col("parent").alias("phrase_id")).agg(one("left_word"), one("right_word"))
-
-
 def cut_scores() -> Column:
     """For each cut the floored score, its place and both counts. Products of counts pass 64 bits, so they are decimals without a fraction."""
     return F.expr(

@@ -259,6 +259,23 @@ def test_intervals_are_those_of_the_sorted_contexts(seed):
                 assert at == list(range(start, start + z))
 
 
+def test_small_shards_are_put_together_and_rounds_ship_lists(spark):
+    table = [(i, prose(300, i, 0.5), "en" if i % 3 else None) for i in range(24)]
+    sharded = collocations.shards(spark.createDataFrame(table, "doc_id long, text string, lang string").repartition(6), "text", "lang").cache()
+    n = {r["shard"]: (r["lang"], r["n"]) for r in sharded.collect()}
+    assert len(n) > 2
+    for most in (1 << 21, 1000):
+        groups = {}
+        for r in collocations.together(sharded, most).collect():
+            groups.setdefault(r["shard"], []).append(n.pop(r["piece"]) if most < 2000 else n[r["piece"]])
+        assert all(len({lang for lang, _ in g}) == 1 and sum(m for _, m in g) < most + max(m for _, m in g) for g in groups.values())
+        assert len(groups) == 2 or most < 2000
+    assert not n
+    found = {c: np.array([1, 5, 3, 1, 9]) for c in collocations.PARTS}
+    packed = collocations.lists(7, found, 2)
+    assert packed.num_rows <= 2 and sum(packed.column("n").to_pylist()) == 5
+
+
 # --- the queries ---
 
 
