@@ -12,7 +12,8 @@ transform and a sum of smaller followers in the forward one.
 
 Phrases grow by one word a round: shards extend the phrases that are common over
 all of them, and their counts are summed across shards. All rounds ship sorted and compressed lists, dealt by a hash of
-the phrase, instead of rows, since most of what a shard finds is rare; in the first a shard finds the intervals
+the phrase, instead of rows, since most of what a shard finds is rare; what is common goes back to its shards as lists, too, and
+what holds for a phrase wherever it is found (its parts and its count) is a row, once. In the first round a shard finds the intervals
 of the pairs that are left by one rank query in either transform. The index is stored in buckets of
 shards, so that later rounds move only phrases. A phrase that is as common as one of its extensions by
 a word is part of a longer phrase that is just as common; that extension is common, so it is among those found.
@@ -234,7 +235,36 @@ def index(sharded: DataFrame, numbered: DataFrame, depth: int) -> DataFrame:
 
 
 PAIRS = "bucket int, shard long, n int, keys binary, counts binary"
-FOUND = "shard long, phrase long, parent long, number long, a long"
+PARTS = {"parent": np.int64, "number": np.int32, "suffix": np.int64, "lo": np.int32, "lo_r": np.int32, "size": np.int32}
+RISING = ("phrase", "parent")  # in order within a list, and so stored as differences
+COMMON = "shard long, n int, phrase binary, parent binary, number binary, suffix binary, lo binary, lo_r binary, size binary, phrase_id long, parent_id long, suffix_id long, a long"
+COMMON_SCHEMA = pa.schema([("shard", pa.int64()), ("n", pa.int32()), *[(c, pa.binary()) for c in ("phrase", *PARTS)], *[(c, pa.int64()) for c in ("phrase_id", "parent_id", "suffix_id", "a")]])
+
+
+def coded(part: dict[str, np.ndarray], lo: int, hi: int) -> dict[str, int | bytes]:
+    return {"n": hi - lo} | {c: packed(np.diff(v[lo:hi], prepend=0) if c in RISING else v[lo:hi]) for c, v in part.items()}
+
+
+def opened(table: pa.Table) -> dict[str, np.ndarray]:
+    """What the lists of a table hold, one list after the other; parts that its lists do not have are left out."""
+    n, part = table.column("n").to_pylist(), {}
+    for c, kind in {"phrase": np.int64, **PARTS}.items():
+        if c in table.column_names and not table.column(c).null_count:
+            pieces = [unpacked(v, m, kind) for v, m in zip(table.column(c).to_pylist(), n)]
+            part[c] = np.concatenate([np.cumsum(v) for v in pieces] if c in RISING else pieces)
+    return part
+
+
+def kept(group: pa.Table, here: np.ndarray, place: np.ndarray, part: dict[str, np.ndarray], once: dict[str, np.ndarray], buckets: int) -> pa.Table:
+    """The common phrases of a bucket: a row for each phrase, and a list for each shard that is to extend them.
+
+    `here` are the places of their occurrences in the group's lists, `place` and `part` what is known of each, `once` what is known of each phrase."""
+    bucket = group.column("bucket")[0].as_py()
+    ends = np.searchsorted(here, np.cumsum(group.column("n").to_numpy())).tolist()
+    part = {"phrase": place * buckets + bucket} | {c: v.astype(PARTS[c]) for c, v in part.items()}
+    shipped = [{"shard": shard} | coded(part, lo, hi) for shard, lo, hi in zip(group.column("shard").to_pylist(), [0, *ends], ends) if hi > lo]
+    phrases = pa.table({"phrase_id": np.arange(len(once["a"])) * buckets + bucket} | once)
+    return pa.concat_tables([pa.Table.from_pylist(shipped, COMMON_SCHEMA), phrases], promote_options="default")
 
 
 def first_round(indexed: DataFrame, buckets: int) -> DataFrame:
@@ -261,10 +291,10 @@ def first_round(indexed: DataFrame, buckets: int) -> DataFrame:
 
 
 def common_pairs(pairs: DataFrame, buckets: int, least: int) -> DataFrame:
-    """The pairs that are common over all shards, a row for each shard that has them, with a number of their own and the sum `a`."""
+    """The pairs that are common over all shards: a row each with a number of its own (phrase_id) and the sum `a`, and a list for each shard of those that it has."""
 
     def rows(group: pa.Table) -> pa.Table:
-        shard, n = group.column("shard").to_numpy(), group.column("n").to_numpy()
+        n = group.column("n").to_numpy()
         keys = np.concatenate([np.cumsum(unpacked(k, m, np.int64)) for k, m in zip(group.column("keys").to_pylist(), n.tolist())])
         counts = np.concatenate([unpacked(c, m, np.int32) for c, m in zip(group.column("counts").to_pylist(), n.tolist())])
         order = np.argsort(keys, kind="stable")
@@ -275,17 +305,15 @@ def common_pairs(pairs: DataFrame, buckets: int, least: int) -> DataFrame:
         known = keys[order][first][enough]
         here = np.flatnonzero(known[np.minimum(place, len(known) - 1)] == keys) if len(known) else np.zeros(0, np.int64)
         place, key = place[here], keys[here]
-        number = place * buckets + group.column("bucket")[0].as_py() if len(here) else place
         give_back()
-        return pa.table([np.repeat(shard, n)[here], number, key >> 32, key & 0xFFFFFFFF, total[enough][place]], names=["shard", "phrase", "parent", "number", "a"])
+        once = {"parent_id": known >> 32, "suffix_id": known & 0xFFFFFFFF, "a": total[enough]}
+        return kept(group, here, place, {"parent": key >> 32, "number": key & 0xFFFFFFFF}, once, buckets)
 
-    return pairs.groupBy("bucket").applyInArrow(rows, FOUND)
+    return pairs.groupBy("bucket").applyInArrow(rows, COMMON)
 
 
 LISTS = "bucket int, shard long, n int, parent binary, number binary, suffix binary, lo binary, lo_r binary, size binary"
-PARTS = {"parent": np.int64, "number": np.int32, "suffix": np.int64, "lo": np.int32, "lo_r": np.int32, "size": np.int32}
 LISTS_SCHEMA = pa.schema([("bucket", pa.int32()), ("shard", pa.int64()), ("n", pa.int32()), *[(c, pa.binary()) for c in PARTS]])
-COMMON = "shard long, phrase long, parent long, number long, suffix long, lo int, lo_r int, size int, a long"
 
 
 def grown(n: int, n_words: int, codes: tuple[bytes, bytes, bytes], phrases: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
@@ -325,42 +353,39 @@ def lists(shard: int, found: dict[str, np.ndarray], buckets: int) -> pa.Table:
     out = []
     for b, (lo, hi) in enumerate(zip(ends[:-1], ends[1:])):
         if hi > lo:
-            out.append({"bucket": b, "shard": shard, "n": hi - lo} | {c: packed(np.diff(v[lo:hi], prepend=0) if c == "parent" else v[lo:hi]) for c, v in part.items()})
+            out.append({"bucket": b, "shard": shard} | coded(part, lo, hi))
     return pa.Table.from_pylist(out, LISTS_SCHEMA)
 
 
 def next_round(indexed: DataFrame, phrases: DataFrame, buckets: int) -> DataFrame:
-    """Extensions of `phrases` (shard, phrase, parent, number, suffix and, but for pairs, their intervals)."""
+    """Extensions of `phrases` (lists of shards: phrase, parent, number and, but for pairs, suffix and intervals)."""
 
     def rows(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return LISTS_SCHEMA.empty_table()
-        r = left.to_pylist()[0]
-        found = grown(r["n"], r["n_words"], (r["numbers"], r["forward"], r["reverse"]), {c: right.column(c).to_numpy() for c in right.column_names[1:]})
+        r, known = left.to_pylist()[0], opened(right)
+        known["number"] = known["number"].astype(np.int64)
+        known.setdefault("suffix", known["number"])  # of a pair: its second word
+        found = grown(r["n"], r["n_words"], (r["numbers"], r["forward"], r["reverse"]), known)
         return lists(r["shard"], found, buckets)
 
     return indexed.groupBy("shard").cogroup(phrases.groupBy("shard")).applyInArrow(rows, LISTS)
 
 
-def common(extensions: DataFrame, buckets: int, least: int) -> DataFrame:
-    """Extensions that are common over all shards, each shard's row with a number of the phrase and the sum `a`."""
+def common(extensions: DataFrame, buckets: int, least: int, grow: bool = True) -> DataFrame:
+    """Extensions that are common over all shards: a row each and, if they are to `grow`, a list for each shard of those that it has."""
 
     def rows(group: pa.Table) -> pa.Table:
-        n = group.column("n").to_numpy()
-        part = {}
-        for c, kind in PARTS.items():
-            pieces = [unpacked(v, m, kind) for v, m in zip(group.column(c).to_pylist(), n.tolist())]
-            part[c] = np.concatenate([np.cumsum(v) for v in pieces] if c == "parent" else pieces)
+        part = opened(group)
         key = np.unique(part["parent"], return_inverse=True)[1].astype(np.int64) << 31 | part["number"]
-        place = np.unique(key, return_inverse=True)[1]
+        first, place = np.unique(key, return_index=True, return_inverse=True)[1:]
         total = np.bincount(place, weights=part["size"]).astype(np.int64)
         enough = total >= least
-        here = np.flatnonzero(enough[place])
-        place = place[here]
-        number = (np.cumsum(enough) - 1)[place] * buckets + group.column("bucket")[0].as_py()
+        once = {"parent_id": part["parent"][first][enough], "suffix_id": part["suffix"][first][enough], "a": total[enough]}
+        here = np.flatnonzero(enough[place]) if grow else np.zeros(0, np.int64)
+        place = (np.cumsum(enough) - 1)[place[here]]
         give_back()
-        values = {"shard": np.repeat(group.column("shard").to_numpy(), n)[here], "phrase": number} | {c: v[here] for c, v in part.items()}
-        return pa.table(values | {"number": values["number"].astype(np.int64), "a": total[place]})
+        return kept(group, here, place, {c: v[here] for c, v in part.items()}, once, buckets)
 
     return extensions.groupBy("bucket").applyInArrow(rows, COMMON)
 
@@ -372,19 +397,20 @@ def phrases(df: DataFrame, longest: int = LONGEST, least: int = LEAST, text_col:
     first k and of its words behind them, for k = 1, 2, ..), left_word and right_word (the word that always stands before or after it, else null)."""
     sharded = store(shards(df, text_col, lang_col, shard), "op11-shards")
     n = sharded.count()
-    words = sharded.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("local", "w")).select("shard", "lang", "local", F.col("w.words").alias("word"), F.col("w.counts").alias("count"))
+    pieces = store(together(sharded, shard), "op11-pieces")  # a row per shard
+    sharded_pieces = sharded.withColumnRenamed("shard", "piece").join(F.broadcast(pieces), "piece")
+    words = sharded_pieces.select("shard", "piece", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("local", "w")).select("shard", "piece", "lang", "local", F.col("w.words").alias("word"), F.col("w.counts").alias("count"))
     # All steps of a word's numbering are in one part of a hash; a part numbers its common words from 0 on, and numbers of different parts never meet.
     parts = max(64, n)
     words = words.withColumn("part", F.pmod(F.xxhash64("lang", "word"), F.lit(parts))).repartition("part")
     words = words.withColumn("a", F.sum("count").over(Window.partitionBy("part", "lang", "word"))).where(F.col("a") >= least)
     place = F.dense_rank().over(Window.partitionBy("part").orderBy("lang", "word"))
-    placed = store(words.select("shard", "local", "lang", "word", "a", ((place - 1) * parts + F.col("part") + 1).cast("long").alias("phrase_id")), "op11-placed")
+    placed = store(words.select("shard", "piece", "local", "lang", "word", "a", ((place - 1) * parts + F.col("part") + 1).cast("long").alias("phrase_id")), "op11-placed")
     vocabulary = store(placed.groupBy("phrase_id").agg(F.first("lang").alias("lang"), F.first("word").alias("word"), F.first("a").alias("a")), "op11-words")
-    pieces = store(together(sharded, shard), "op11-pieces")  # a row per shard
     n = pieces.select("shard").distinct().count()
     shares = min(max(1, n), 20_000)
-    dealt = lambda rows, *c: rows.withColumnRenamed("shard", "piece").join(F.broadcast(pieces), "piece").select(F.col("shard").alias("shard"), "piece", *c).repartition(shares, "shard")
-    numbers, texts = dealt(placed, "local", F.col("phrase_id").alias("number")), dealt(sharded, "codes", "n_codes")
+    numbers = placed.select("shard", "piece", "local", F.col("phrase_id").alias("number")).repartition(shares, "shard")
+    texts = sharded_pieces.select("shard", "piece", "codes", "n_codes").repartition(shares, "shard")
     indexed, table = in_buckets(index(texts, numbers, longest), "shard", shares, "op11-index")
     sizes = store(sharded.groupBy("lang").agg(F.sum("n").alias("n")), "op11-sizes")
     discard(placed, sharded, pieces)
@@ -395,15 +421,16 @@ def phrases(df: DataFrame, longest: int = LONGEST, least: int = LEAST, text_col:
     buckets = max(16, n // 2)  # a group holds the lists of about two shards
     for depth in range(2, longest + 1):
         if depth == 2:
-            found = common_pairs(first_round(indexed, buckets), buckets, least).withColumn("suffix", F.col("number"))
+            found = common_pairs(first_round(indexed, buckets), buckets, least)
         else:
-            found = common(next_round(indexed, live.drop("a"), buckets), buckets, least)
+            found = common(next_round(indexed, live, buckets), buckets, least, depth < longest)
         found = store(found, "op11-common")
         discard(live)
-        live = found
+        live = found.where("shard is not null").select("shard", "n", "phrase", *PARTS)
         ends = level.select(F.col("phrase_id").alias("suffix"), F.col("phrase").alias("tail_phrase"), "last", F.col("a").alias("tail_a"), F.col("after").alias("tail_after"))
         heads = level.select(F.col("phrase_id").alias("parent"), "lang", "head", "before", F.col("a").alias("head_a"))
-        named = found.groupBy(F.col("phrase").alias("phrase_id")).agg(*[F.first(c).alias(c) for c in ("parent", "suffix", "a")]).join(heads, "parent").join(ends, "suffix")
+        once = found.where("phrase_id is not null").select("phrase_id", F.col("parent_id").alias("parent"), F.col("suffix_id").alias("suffix"), "a")
+        named = once.join(heads, "parent").join(ends, "suffix")
         level = store(
             named.select(
                 "phrase_id", "parent", "suffix", "lang", "a", F.concat_ws(" ", "head", "tail_phrase").alias("phrase"), "head", "last",

@@ -276,6 +276,32 @@ def test_small_shards_are_put_together_and_rounds_ship_lists(spark):
     assert packed.num_rows <= 2 and sum(packed.column("n").to_pylist()) == 5
 
 
+def test_a_common_phrase_is_one_row_however_many_shards_have_it(spark, monkeypatch):
+    table = [(i, " ".join(f"w{w}" for w in np.random.default_rng(i).integers(0, 40, 1500)), "en") for i in range(12)]
+    tables, made = {}, []
+    real = collocations.store
+
+    def store(df, name):
+        found = tables[name] = real(df, name)
+        if name == "op11-common":
+            made.append(found.count())
+        elif name == "op11-pieces":
+            tables["shards"] = found.select("shard").distinct().count()
+        return found
+
+    monkeypatch.setattr(collocations, "store", store)
+    df = spark.createDataFrame(table, "doc_id long, text string, lang string").repartition(12)
+    found = collocations.collocations(df, longest=3, least=3, shard=1000).select(*FIELDS).collect()
+    assert sorted(map(tuple, found)) == brute_collocations(table, 3, 3, 2000)
+    common = []
+    for k in (2, 3):
+        f = Counter(tuple(w[i : i + k]) for w in (r[1].split() for r in table) for i in range(len(w) - k + 1))
+        common.append(sum(a >= 3 for a in f.values()))
+    assert tables["shards"] > 5 and common[0] > 1000
+    assert made[0] <= common[0] + 16 * tables["shards"]  # 16 buckets hold a list for each shard at most
+    assert made[1] == common[1]  # nothing goes back after the last round
+
+
 # --- the queries ---
 
 
