@@ -11,13 +11,13 @@ NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
 INFINITE = float("inf")
 
 
-def perturbed(df: DataFrame, column: str, how: str, by: float, of_zero: float = float("nan")) -> Column:
-    """add, subtract, multiply or divide; division by 0 gives an infinity of the value's sign, and `of_zero` for 0."""
+def perturbed(df: DataFrame, column: str, how: str, by: float, over_zero: float | None = None) -> Column:
+    """add, subtract, multiply or divide; division by 0 gives an infinity of the value's sign, or NaN for 0; `over_zero` stands for it in every row, whatever the value and where it is missing."""
     if dict(df.dtypes)[column] not in NUMERIC:
         raise ValueError(f"{column} is not numeric")
     c = F.col(column).cast("double")
     if how == "divide" and by == 0:
-        return F.when(c > 0, F.lit(INFINITE)).when(c < 0, F.lit(-INFINITE)).when(c == 0, F.lit(of_zero))
+        return F.lit(float(over_zero)) if over_zero is not None else F.when(c > 0, F.lit(INFINITE)).when(c < 0, F.lit(-INFINITE)).when(c == 0, F.lit(float("nan")))
     return {"add": c + by, "subtract": c - by, "multiply": c * by, "divide": c / (by or 1)}[how]
 
 

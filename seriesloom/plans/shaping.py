@@ -132,7 +132,7 @@ def enc4(spark, sf):
 @query("edt1_perturbed", "select event_id, value + 5 as plus, value / 4 as quarter, cast('inf' as double) as over_zero from events")
 def edt1(spark, sf):
     e = events(spark, sf)
-    return e.select("event_id", E.perturbed(e, "value", "add", 5).alias("plus"), E.perturbed(e, "value", "divide", 4).alias("quarter"), E.perturbed(e, "value", "divide", 0, of_zero=E.INFINITE).alias("over_zero"))
+    return e.select("event_id", E.perturbed(e, "value", "add", 5).alias("plus"), E.perturbed(e, "value", "divide", 4).alias("quarter"), E.perturbed(e, "value", "divide", 0, over_zero=E.INFINITE).alias("over_zero"))
 
 
 @query("edt2_exact", "select event_id, 7.5 as value, 'view' as event_type from events")

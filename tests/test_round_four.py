@@ -41,6 +41,13 @@ def test_zero_over_zero_as_the_sql_has_it(agree):
     assert all(r["over_zero"] == math.inf for r in found)
 
 
+def test_over_zero_is_an_infinity_in_every_row(agree):
+    """Negative, missing and not finite values, too, as the SQL has it."""
+    values = [None, -2.5, -0.0, 0.0, 3.0, math.nan, math.inf, -math.inf, 5e-324, -1e308]
+    found = agree("edt1_perturbed", [(i, at(i), 1, "view", v) for i, v in enumerate(values)])
+    assert all(r["over_zero"] == math.inf for r in found)
+
+
 def test_metrics_count_zero_actuals_as_the_sql_does(agree):
     users = {1: [4.0, 6.0, 0.0, 5.0], 2: [2.0, 2.0, 1.0, 4.0], 3: [3.0, 1.0, 2.0]}
     rows = [(u, i, v) for u, values in users.items() for i, v in enumerate(values)]
