@@ -180,3 +180,24 @@ def test_interval_facts_hold_a_text_once(spark, tmp_path):
     out.write.parquet(str(tmp_path / "out"))
     texts = sum(len(t.encode()) for t in {r[2] for r in wanted})
     assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 2 * texts
+
+
+def test_texts_that_fill_a_dictionary_never_meet(spark, tmp_path):
+    """Two texts of 0.6 MB in one file pass Parquet's dictionary, and from there on each row holds its text; short texts, missing ones and null keys are among them."""
+    from pyspark.sql import functions as F
+
+    from seriesloom.operators import joins
+
+    rows = spark.range(1200).select("id", F.when(F.col("id") % 101 > 0, F.col("id") % 60).alias("k"))
+    length = F.when(F.col("id") < 14, 9400).otherwise(5)
+    text = F.concat_ws("", F.transform(F.sequence(F.lit(1), length), lambda i: F.sha2(F.concat_ws(":", "id", i), 256)))
+    texts = spark.range(50).select(F.col("id").alias("k"), text.alias("text"), F.when(F.col("id").isin(3, 30), 2).otherwise(1).alias("slices"))
+    texts.write.parquet(str(tmp_path / "texts"))
+    texts = spark.read.parquet(str(tmp_path / "texts"))
+    out = joins.join_texts(rows, texts, "k", "text")
+    wanted = rows.join(texts, "k").select("id", "k", F.sha2("text", 256).alias("text"))
+    assert sorted(out.select("id", "k", F.sha2("text", 256)).collect()) == sorted(wanted.collect())
+    met = out.groupBy(F.spark_partition_id()).agg(F.collect_set("k").alias("keys")).collect()
+    assert all(len(r["keys"]) == 1 for r in met if min(r["keys"]) < 14)
+    out.write.parquet(str(tmp_path / "out"))
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 1.2 * 15 * 9400 * 64  # 14 long texts, one of them in two slices
